@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html_extract, mixing, quality, token_output, url_filter
+from . import chat, html_extract, mixing, order_minhash, quality, token_output, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,6 +91,12 @@ def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.read_shards(spark, shards)
 
 
+# --- 6
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("digest")
+
+
 # --- 9
 
 def learned_rules(spark: SparkSession, sf_dir: str) -> quality.DecisionList:
@@ -109,7 +115,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op4_format_chats, op5_token_output, op9_quality_rules, op10_main_text)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op4_format_chats, op5_token_output, op6_near_duplicates, op9_quality_rules, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
