@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import chat, html_extract, mixing, order_minhash, quality, token_output, url_filter
+from . import chat, html_extract, line_dedup, mixing, order_minhash, quality, token_output, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +78,13 @@ SELECT page_id, host, path, rule,
 FROM j
 """
 
+# --- 3
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.col("kept_text").alias("text"), "n_lines", "n_removed_lines", "n_removed_chars")
+
+
 # --- 4
 
 def op4_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +123,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op4_format_chats, op5_token_output, op6_near_duplicates, op9_quality_rules, op10_main_text)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_line_dedup, op4_format_chats, op5_token_output, op6_near_duplicates, op9_quality_rules, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
