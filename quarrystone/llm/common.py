@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 SPACES = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker looks at together (a longer single text is taken alone).
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 1_000_000
 
 _made: list[tuple[SparkSession, str]] = []
 
