@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from quarrystone.llm import decontaminate, mixing, order_minhash, quality, token_output
 from quarrystone.llm.queries import learned_rules, table, tokenizer_path
@@ -11,8 +10,7 @@ from quarrystone.llm.queries import learned_rules, table, tokenizer_path
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules and the learned decision list keep."""
-    judged = quality.judge(docs, learned_rules(spark, sf_dir))
-    return judged.filter(F.col(judged.columns[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return quality.keep(docs, learned_rules(spark, sf_dir))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -186,3 +186,14 @@ def judge(docs: DataFrame, rules: DecisionList, *, text_col: str = "text") -> Da
     failed = free_name(stats, "base_failed")
     out = stats.withColumn(failed, (n < 20) | (100 * repeated > 30 * n))
     return out.withColumn(free_name(out, "kept"), F.when(F.col(failed), F.lit(False)).otherwise(rules.column(names)))
+
+
+def keep(docs: DataFrame, rules: DecisionList, *, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept, with their columns only.
+
+    The verdict is tied to a row number that changes nothing: a filter on plain expressions would be pushed below
+    the columns it reads, and every statistic written out again in each place that uses it.
+    """
+    judged = judge(docs, rules, text_col=text_col)
+    kept = judged.columns[-1]
+    return judged.withColumn(kept, F.col(kept) & (F.monotonically_increasing_id() >= 0)).filter(F.col(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
