@@ -30,7 +30,7 @@ BANDS, TAKEN, TAKEN_SHORT = 24, 5, 2
 #: Texts of up to the second number of shingles use short sequences, those from the first number on long ones: every similar pair shares a kind.
 SHORT = (16, 25)
 #: Rounds of one leader a bucket; if classes are still open then, what is left of the buckets is compared pair by pair.
-ROUNDS = 12
+ROUNDS = 3
 _ODD = mix(np.arange(1, 1 + 2 * BANDS, dtype=np.uint64)) | np.uint64(1)
 _LOW, _HIGH, _MAX = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -241,8 +241,9 @@ def _linked(active: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -
             x, y = met.select("k", *(F.col(c).alias(f"x_{c}") for c in ("rid", "n", "u", "comp"))), met.select("k", *(F.col(c).alias(f"y_{c}") for c in ("rid", "n", "u", "comp")))
             pairs = x.join(y, (x["k"] == y["k"]) & (F.col("x_rid") < F.col("y_rid")) & (F.col("x_comp") != F.col("y_comp")) & _may("x_u", "x_n", "y_u", "y_n", least)).select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b"))
         found = stage(_verified(pairs.distinct(), texts, least), "links")
-        edges = found if edges is None else edges.union(found)
-        comp = components(edges)
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            comp = components(edges)
     return spark.createDataFrame([], "node long, comp long") if comp is None else comp
 
 
