@@ -1,9 +1,422 @@
-"""Registered queries over the standard tables."""
+"""Registered queries over the standard tables, and the SQL that each must equal.
 
+``@q(name, sql)`` registers a query; its function takes a table loader.  Doubles are rounded on both sides.
+"""
 
-def queries():
-    return {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def oracle_sql():
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..core.col import ieee_div
+from ..functions import metrics, noise, num, stats, strings, ts
+from ..operators import encode, knn, linear, misc
+from . import diagnosis, transforms
+from .blueprint import Blueprint
+from .windows import dynamic_groups
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def q(name: str, sql: str | None = None):
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet"))
+
+        QUERIES[name] = run
+        if sql:
+            SQL[name] = sql
+        return f
+
+    return add
+
+
+def r(c: Column | str, digits: int = 6) -> Column:
+    c = F.col(c) if isinstance(c, str) else c
+    return F.round(c.cast("double"), digits)
+
+
+def rowwise(name: str, table: str, keys: str, sql: str, expr, kind: str = "double") -> None:
+    """Registers a row-wise expression as column v beside the keys."""
+    ks = keys.split(", ")
+    cast = {"double": lambda c: r(c), "long": lambda c: c.cast("long"), "string": lambda c: c.cast("string"), "boolean": lambda c: c}[kind]
+    rounded = f"round({sql}, 6) + 0.0" if kind == "double" else f"({sql})::BIGINT" if kind == "long" else sql
+    q(name, f"SELECT {keys}, {rounded} AS v FROM {table}")(lambda t: t(table).select(*ks, cast(expr()).alias("v")))
+
+
+def grouped(name: str, table: str, by: str, sql: str, expr, kind: str = "double", digits: int = 6, where: str = "") -> None:
+    """Registers an aggregate as column v for each group."""
+    rounded = f"round({sql}, {digits}) + 0.0" if kind == "double" else f"({sql})::BIGINT"
+    w = f" WHERE {where}" if where else ""
+    q(name, f"SELECT {by}, {rounded} AS v FROM {table}{w} GROUP BY {by}")(lambda t: (t(table).filter(where) if where else t(table)).groupBy(by).agg((r(expr(), digits) if kind == "double" else expr().cast("long")).alias("v")))
+
+
+# --- flagship: metrics by segment
+
+
+def _segments(li: DataFrame) -> DataFrame:
+    return li.select(F.col("l_linestatus").alias("segment"), (F.col("l_returnflag") == "R").cast("int").alias("actual"), (F.col("l_quantity") / 51).alias("score"), "l_orderkey", "l_linenumber")
+
+
+SEGMENT_SQL = """
+WITH d AS (SELECT l_linestatus AS segment, (l_returnflag = 'R')::INT AS actual, l_quantity / 51 AS score FROM lineitem),
+c AS (SELECT segment, score, sum(actual)::DOUBLE AS p, count(*)::DOUBLE AS n FROM d GROUP BY ALL),
+w AS (SELECT *, sum(p) OVER (PARTITION BY segment ORDER BY score DESC) AS tp FROM c),
+a AS (SELECT segment, sum((n - p) * (2 * tp - p) / 2) / (sum(p) * (sum(n) - sum(p))) AS roc_auc FROM w GROUP BY segment),
+l AS (SELECT segment, count(*) AS n, -avg(CASE WHEN actual = 1 THEN ln(score) ELSE ln(1 - score) END) AS log_loss FROM d GROUP BY segment)
+SELECT segment, n, round(roc_auc, 6) + 0.0 AS roc_auc, round(log_loss, 6) + 0.0 AS log_loss FROM a JOIN l USING (segment)
+"""
+
+
+def segment_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ROC AUC and log loss of a score for each segment."""
+    d = _segments(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
+    auc = metrics.query_roc_auc(d, "actual", "score", "segment")
+    loss = d.groupBy("segment").agg(F.count(F.lit(1)).alias("n"), metrics.query_log_loss("actual", "score").alias("log_loss"))
+    return loss.join(auc, "segment").select("segment", "n", r("roc_auc").alias("roc_auc"), r("log_loss").alias("log_loss"))
+
+
+QUERIES["segment_metrics"], SQL["segment_metrics"] = segment_metrics, SEGMENT_SQL
+
+# --- relational operators
+q("rel_filter_project", "SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) + 0.0 AS v FROM lineitem WHERE l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity > 30")(lambda t: t("lineitem").filter("l_shipdate < TIMESTAMP '1995-01-01' AND l_quantity > 30").select("l_orderkey", "l_linenumber", r(F.expr("l_extendedprice * (1 - l_discount)"), 4).alias("v")))
+q("rel_group_by", "SELECT l_returnflag, l_linestatus, count(*) AS n, round(avg(l_quantity), 6) + 0.0 AS v FROM lineitem GROUP BY ALL")(lambda t: t("lineitem").groupBy("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), r(F.avg("l_quantity")).alias("v")))
+q("rel_left_join", "SELECT c_nationkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY c_nationkey")(lambda t: t("customer").join(t("orders"), F.col("c_custkey") == F.col("o_custkey"), "left").groupBy("c_nationkey").agg(F.count("o_orderkey").alias("n")))
+q("rel_full_join", "SELECT coalesce(a, b) AS k, coalesce(n, 0) AS n, coalesce(m, 0) AS m FROM (SELECT c_nationkey AS a, count(*) AS n FROM customer GROUP BY 1) FULL JOIN (SELECT s_nationkey AS b, count(*) AS m FROM supplier GROUP BY 1) ON a = b")(lambda t: t("customer").groupBy(F.col("c_nationkey").alias("a")).agg(F.count(F.lit(1)).alias("n")).join(t("supplier").groupBy(F.col("s_nationkey").alias("b")).agg(F.count(F.lit(1)).alias("m")), F.col("a") == F.col("b"), "full").select(F.coalesce("a", "b").alias("k"), F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("m", F.lit(0)).alias("m")))
+q("rel_cross_join", "SELECT r_name, n_name FROM region, nation")(lambda t: t("region").crossJoin(t("nation")).select("r_name", "n_name"))
+q("rel_top_k", "SELECT o_orderkey, round(o_totalprice, 2) AS v FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")(lambda t: t("orders").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(20).select("o_orderkey", r("o_totalprice", 2).alias("v")))
+q("rel_distinct_agg", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1")(lambda t: t("lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("n")))
+q("rel_union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")(lambda t: t("nation").select(F.col("n_name").alias("name")).unionByName(t("region").select(F.col("r_name").alias("name"))))
+q("rel_explode", "SELECT l, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS l FROM part) GROUP BY l")(lambda t: t("part").select(F.explode(F.split("p_name", " ")).alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("n")))
+q("rel_rank_window", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS v FROM customer")(lambda t: t("customer").select("c_custkey", F.rank().over(stats.Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))).cast("long").alias("v")))
+
+# --- 2.4 horizontal, arrays
+LI, LK = "lineitem", "l_orderkey, l_linenumber"
+rowwise("l_inf_horizontal", LI, LK, "greatest(abs(l_quantity), abs(l_tax), abs(l_discount - 5))", lambda: num.l_inf_horizontal("l_quantity", "l_tax", F.col("l_discount") - 5))
+rowwise("l2_sq_horizontal", LI, LK, "(l_quantity*l_quantity + l_tax*l_tax) / 2", lambda: num.l2_sq_horizontal("l_quantity", "l_tax", normalize=True))
+rowwise("l1_horizontal", LI, LK, "abs(l_quantity) + abs(l_tax) + abs(l_discount)", lambda: num.l1_horizontal("l_quantity", "l_tax", "l_discount"))
+_E, _EB = "embedding::DOUBLE[]", "list_reverse(embedding)::DOUBLE[]"
+rowwise("list_dot", "embeddings", "vec_id", f"list_dot_product({_E}, {_EB})", lambda: num.list_dot("embedding", F.reverse("embedding")))
+rowwise("arr_dot", "embeddings", "vec_id", f"list_dot_product({_E}, {_E})", lambda: num.arr_dot("embedding", "embedding"))
+for _n, _f in (("list_l1_dist", num.list_l1_dist), ("arr_l1_dist", num.arr_l1_dist)):
+    rowwise(_n, "embeddings", "vec_id", "list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda x: abs(x[1]::DOUBLE - x[2]::DOUBLE)))", lambda f=_f: f("embedding", F.reverse("embedding")))
+for _n, _f in (("list_sql2_dist", num.list_sql2_dist), ("arr_sql2_dist", num.arr_sql2_dist)):
+    rowwise(_n, "embeddings", "vec_id", "list_sum(list_transform(list_zip(embedding, list_reverse(embedding)), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) ** 2))", lambda f=_f: f("embedding", F.reverse("embedding")))
+rowwise("jaccard_row", "part", "p_partkey", "len(list_intersect(string_split(p_name, ' '), string_split(p_type, ' ')))::DOUBLE / (len(string_split(p_name, ' ')) + len(string_split(p_type, ' ')) - len(list_intersect(string_split(p_name, ' '), string_split(p_type, ' '))))", lambda: num.jaccard_row(F.split("p_name", " "), F.split("p_type", " ")))
+q("jaccard_col", "WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_mktsegment = 'BUILDING'), b AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_acctbal < 0) SELECT round((SELECT count(*) FROM a JOIN b USING (k))::DOUBLE / (SELECT count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)), 6) + 0.0 AS v")(lambda t: t("customer").agg(r(num.jaccard_col(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_nationkey")), F.when(F.col("c_acctbal") < 0, F.col("c_nationkey")))).alias("v")))
+rowwise("list_amax", "embeddings", "vec_id", "list_position(embedding, list_max(embedding)) - 1", lambda: num.list_amax("embedding"), "long")
+
+# --- 2.5 scalar maths
+rowwise("gcd", LI, LK, "gcd(l_partkey, l_suppkey)", lambda: num.gcd("l_partkey", "l_suppkey"), "long")
+rowwise("lcm", LI, LK, "lcm(l_partkey, l_suppkey)", lambda: num.lcm("l_partkey", "l_suppkey"), "long")
+_LA, _LO = "(c_custkey % 170 - 85)", "(c_nationkey * 7 - 80)"
+rowwise("haversine", "customer", "c_custkey", f"2 * 6371 * atan2(sqrt(power(sin(radians(10 - {_LA}) / 2), 2) + cos(radians({_LA})) * cos(radians(10)) * power(sin(radians(20 - {_LO}) / 2), 2)), sqrt(1 - (power(sin(radians(10 - {_LA}) / 2), 2) + cos(radians({_LA})) * cos(radians(10)) * power(sin(radians(20 - {_LO}) / 2), 2))))", lambda: num.haversine(F.expr(_LA), F.expr(_LO), F.lit(10.0), F.lit(20.0)))
+q("gamma", "SELECT DISTINCT p_size, round(gamma(p_size / 10.0), 6) + 0.0 AS v FROM part")(lambda t: t("part").select("p_size").distinct().select("p_size", r(num.gamma(F.col("p_size") / 10.0)).alias("v")))
+q("digamma")(lambda t: t("part").select("p_size").distinct().select("p_size", r(num.digamma(F.col("p_size") / 10.0)).alias("v")))
+for _n, _s, _c in (
+    ("expit", "1 / (1 + exp(-(l_quantity - 25) / 5))", lambda: num.expit((F.col("l_quantity") - 25) / 5)),
+    ("logit", "CASE WHEN l_discount = 0 THEN '-inf'::DOUBLE ELSE ln(l_discount / (1 - l_discount)) END", lambda: num.logit("l_discount")),
+    ("exp2", "power(2, l_quantity / 10)", lambda: num.exp2(F.col("l_quantity") / 10)),
+    ("fract", "l_extendedprice % 1", lambda: num.fract("l_extendedprice")),
+    ("trunc", "trunc(-l_extendedprice)", lambda: num.trunc(-F.col("l_extendedprice"))),
+    ("sinc", "CASE WHEN l_tax = 0 THEN 1.0 ELSE sin(pi() * l_tax) / (pi() * l_tax) END", lambda: num.sinc("l_tax")),
+    ("xlogy", "CASE WHEN l_tax = 0 THEN 0 ELSE l_tax * ln(l_quantity) END", lambda: num.xlogy("l_tax", "l_quantity")),
+):
+    rowwise(_n, LI, LK, _s, _c)
+for _n, _s, _f in (("next_up", "'inf'", num.next_up), ("next_down", "'-inf'", num.next_down)):
+    q(_n, f"SELECT DISTINCT p_size, nextafter(p_size::DOUBLE, {_s}::DOUBLE) AS v FROM part")(lambda t, f=_f: t("part").select("p_size").distinct().select("p_size", f("p_size").alias("v")))
+
+# --- 2.6 columns over groups and orders
+ORD = "o_custkey, o_orderkey"
+rowwise("center", "orders", ORD, "o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey)", lambda: num.center("o_totalprice", "o_custkey"))
+q("z_normalize", "SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER w) / stddev_samp(o_totalprice) OVER w, 6) + 0.0 AS v FROM orders WINDOW w AS (PARTITION BY o_orderpriority)")(lambda t: t("orders").select("o_orderkey", r(num.z_normalize("o_totalprice", "o_orderpriority")).alias("v")))
+rowwise("softmax", LI, LK, "exp(l_tax) / sum(exp(l_tax)) OVER (PARTITION BY l_orderkey)", lambda: num.softmax("l_tax", "l_orderkey"))
+q("is_increasing", "WITH d AS (SELECT l_orderkey, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS d FROM lineitem) SELECT l_orderkey, coalesce(bool_and(d >= 0), true) AS value FROM d GROUP BY 1")(lambda t: ts.is_increasing(t(LI), "l_quantity", "l_linenumber", by="l_orderkey"))
+q("is_decreasing", "WITH d AS (SELECT l_orderkey, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS d FROM lineitem) SELECT l_orderkey, coalesce(bool_and(d < 0), true) AS value FROM d GROUP BY 1")(lambda t: ts.is_decreasing(t(LI), "l_quantity", "l_linenumber", strict=True, by="l_orderkey"))
+q("detrend", "WITH d AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), f AS (SELECT user_id, regr_slope(value, i) AS b, regr_intercept(value, i) AS a FROM d GROUP BY 1) SELECT event_id, round(value - a - b * i, 5) + 0.0 AS v FROM d JOIN f USING (user_id)")(lambda t: ts.detrend(t("events"), "value", ["ts", "event_id"], by="user_id").select("event_id", r("detrended", 5).alias("v")))
+q("integrate_trapz", "WITH d AS (SELECT l_orderkey, (l_linenumber - lag(l_linenumber) OVER w) * (l_quantity + lag(l_quantity) OVER w) / 2 AS a FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) SELECT l_orderkey, round(coalesce(sum(a), 'nan'::DOUBLE), 6) + 0.0 AS value FROM d GROUP BY 1")(lambda t: ts.integrate_trapz(t(LI), "l_quantity", "l_linenumber", "l_orderkey").select("l_orderkey", r("value").alias("value")))
+q("convolve", "WITH d AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), k AS (SELECT * FROM (VALUES (0, 1.0), (1, 0.0), (2, -1.0)) t(j, c)) SELECT l_orderkey, i + j AS i, round(sum(l_quantity * c), 6) + 0.0 AS value FROM d, k WHERE n >= 3 GROUP BY l_orderkey, i + j")(lambda t: ts.convolve(t(LI).join(t(LI).groupBy("l_orderkey").count().filter("count >= 3"), "l_orderkey"), "l_quantity", [1.0, 0.0, -1.0], "l_linenumber", by="l_orderkey").select("l_orderkey", "i", r("value").alias("value")))
+q("rfft", "WITH d AS (SELECT l_orderkey, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS j, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), k AS (SELECT range AS i FROM range(8)) SELECT l_orderkey, i, round(sum(x * cos(-2 * pi() * i * j / n)), 5) + 0.0 AS re, round(sum(x * sin(-2 * pi() * i * j / n)), 5) + 0.0 AS im FROM d, k WHERE i <= n // 2 GROUP BY l_orderkey, i")(lambda t: ts.rfft(t(LI), "l_quantity", "l_linenumber", by="l_orderkey").select("l_orderkey", "i", r("re", 5).alias("re"), r("im", 5).alias("im")))
+q("isotonic_regression")(lambda t: ts.isotonic_regression(t(LI), "l_quantity", "l_linenumber", by="l_orderkey"))
+q("add_at", "SELECT i, coalesce(s, 0.0) AS value FROM (SELECT range AS i FROM range(30)) LEFT JOIN (SELECT c_nationkey AS i, round(sum(c_acctbal), 4) + 0.0 AS s FROM customer GROUP BY 1) USING (i)")(lambda t: ts.add_at(t("customer"), "c_nationkey", "c_acctbal", 30).select("i", r("value", 4).alias("value")))
+
+# --- 2.8 drift and encoding
+q("psi_discrete", "WITH a AS (SELECT c_nationkey AS k, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM customer WHERE c_acctbal > 0 GROUP BY 1), b AS (SELECT c_nationkey AS k, count(*)::DOUBLE / sum(count(*)) OVER () AS p FROM customer WHERE c_acctbal <= 0 GROUP BY 1), j AS (SELECT greatest(coalesce(a.p, 0), 1e-4) AS n, greatest(coalesce(b.p, 0), 1e-4) AS m FROM a FULL JOIN b USING (k)) SELECT round(sum((n - m) * ln(n / m)), 6) + 0.0 AS psi FROM j")(lambda t: _psi_sides(t).select(r("psi").alias("psi")))
+
+
+def _psi_sides(t) -> DataFrame:
+    c = t("customer")
+    new, base = (c.filter(w).select(F.col("c_nationkey").alias("category")) for w in ("c_acctbal > 0", "c_acctbal <= 0"))
+    return encode._psi(encode._shares(base, new, "category", "full"), "category").agg(F.sum("psi").alias("psi"))
+
+
+q("psi", "WITH p AS (SELECT list_sort(list_distinct(quantile_cont(l_quantity, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]))) AS b FROM lineitem), d AS (SELECT coalesce(list_min(list_filter(b, lambda x: l_quantity <= x)), 'inf'::DOUBLE) AS u, coalesce(list_min(list_filter(b, lambda x: l_linenumber * 7 <= x)), 'inf'::DOUBLE) AS v FROM lineitem, p), a AS (SELECT u, count(*)::DOUBLE / sum(count(*)) OVER () AS m FROM d GROUP BY 1), c AS (SELECT v AS u, count(*)::DOUBLE / sum(count(*)) OVER () AS n FROM d GROUP BY 1), j AS (SELECT greatest(coalesce(n, 0), 1e-4) AS n, greatest(m, 1e-4) AS m FROM a LEFT JOIN c USING (u)) SELECT round(sum((n - m) * ln(n / m)), 6) + 0.0 AS psi FROM j")(lambda t: encode.psi(t(LI).withColumn("x", F.col("l_linenumber") * 7.0), "x", "l_quantity").select(r("psi").alias("psi")))
+q("psi_w_breakpoints", "WITH d AS (SELECT CASE WHEN l_quantity <= 10 THEN 10 WHEN l_quantity <= 30 THEN 30 ELSE 'inf'::DOUBLE END AS u, CASE WHEN l_linenumber * 7 <= 10 THEN 10 WHEN l_linenumber * 7 <= 30 THEN 30 ELSE 'inf'::DOUBLE END AS v FROM lineitem), a AS (SELECT u, count(*)::DOUBLE / sum(count(*)) OVER () AS m FROM d GROUP BY 1), c AS (SELECT v AS u, count(*)::DOUBLE / sum(count(*)) OVER () AS n FROM d GROUP BY 1) SELECT u AS upper, round((greatest(coalesce(n, 0), 1e-4) - greatest(m, 1e-4)) * ln(greatest(coalesce(n, 0), 1e-4) / greatest(m, 1e-4)), 6) + 0.0 AS psi FROM a LEFT JOIN c USING (u)")(lambda t: encode.psi_w_breakpoints(t(LI).withColumn("x", F.col("l_linenumber") * 7.0), "x", "l_quantity", [10.0, 30.0]).select("upper", r("psi").alias("psi")))
+_T = "(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END)"
+_WOE = "WITH g AS (SELECT {k} AS value, sum({t})::DOUBLE AS e, count(*)::DOUBLE AS n FROM {s} GROUP BY 1), w AS (SELECT value, (e + 1) / (sum(e) OVER () + 2) AS pe, (n - e + 1) / (sum(n - e) OVER () + 2) AS pn FROM g) "
+_WD = _WOE.format(k="o_orderpriority", t=_T, s="orders")
+_WB = "WITH p AS (SELECT list_sort(list_distinct(quantile_cont(o_totalprice, [0.1,0.2,0.3,0.4,0.5,0.6,0.7,0.8,0.9]))) AS b FROM orders), " + _WOE.format(k="coalesce(list_min(list_filter(b, lambda x: o_totalprice <= x)), 'inf'::DOUBLE)", t=_T, s="orders, p").removeprefix("WITH ")
+
+
+def _orders(t) -> DataFrame:
+    return t("orders").withColumn("t", F.expr(_T))
+
+
+q("woe_discrete", _WD + "SELECT value, round(ln(pe / pn), 6) + 0.0 AS woe FROM w")(lambda t: encode.woe_discrete(_orders(t), "o_orderpriority", "t").select("value", r("woe").alias("woe")))
+q("info_value_discrete", _WD + "SELECT round(sum((pe - pn) * ln(pe / pn)), 6) + 0.0 AS iv FROM w")(lambda t: encode.info_value_discrete(_orders(t), "o_orderpriority", "t").select(r("iv").alias("iv")))
+q("woe", _WB + "SELECT round(value, 4) AS value, round(ln(pe / pn), 6) + 0.0 AS woe FROM w")(lambda t: encode.woe(_orders(t), "o_totalprice", "t").select(r("value", 4).alias("value"), r("woe").alias("woe")))
+q("info_value", _WB + "SELECT round(sum((pe - pn) * ln(pe / pn)), 6) + 0.0 AS iv FROM w")(lambda t: encode.info_value(_orders(t), "o_totalprice", "t").select(r("iv").alias("iv")))
+q("target_encode", f"WITH g AS (SELECT o_orderpriority AS value, sum({_T})::DOUBLE AS t, count(*)::DOUBLE AS n FROM orders GROUP BY 1), a AS (SELECT *, sum(t) OVER () / sum(n) OVER () AS p, 1 / (1 + exp(-(n - 20) / 10.0)) AS w FROM g) SELECT value, round(p * (1 - w) + t / n * w, 6) + 0.0 AS \"to\" FROM a")(lambda t: encode.target_encode(_orders(t), "o_orderpriority", "t").select("value", r("to").alias("to")))
+
+# --- 2.9 tests
+for _n, _alt, _pool in (("ttest_ind", "equal", True), ("ttest_welch", "welch", False)):
+    _den = "sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1 / n1 + 1 / n2))" if _pool else "sqrt(v1 / n1 + v2 / n2)"
+    q(_n, f"WITH s AS (SELECT l_returnflag AS g, avg(l_tax) AS m1, var_samp(l_tax) AS v1, count(l_tax)::DOUBLE AS n1, avg(l_discount) AS m2, var_samp(l_discount) AS v2, count(l_discount)::DOUBLE AS n2 FROM lineitem GROUP BY 1) SELECT g, round((m1 - m2) / {_den}, 5) + 0.0 AS statistic FROM s")(lambda t, p=_pool: t(LI).groupBy(F.col("l_returnflag").alias("g")).agg(stats.ttest_ind("l_tax", "l_discount", equal_var=p).alias("s")).select("g", r("s.statistic", 5).alias("statistic")))
+q("ttest_1samp", "SELECT l_returnflag AS g, round((avg(l_quantity) - 25) / sqrt(var_samp(l_quantity) / count(*)), 5) + 0.0 AS statistic FROM lineitem GROUP BY 1")(lambda t: t(LI).groupBy(F.col("l_returnflag").alias("g")).agg(stats.ttest_1samp("l_quantity", 25.0).alias("s")).select("g", r("s.statistic", 5).alias("statistic")))
+q("ttest_ind_from_stats", "SELECT l_returnflag AS g, round((avg(l_quantity) - 25) / sqrt(var_samp(l_quantity) / count(*) + 200.0 / 50), 5) + 0.0 AS statistic FROM lineitem GROUP BY 1")(lambda t: t(LI).groupBy(F.col("l_returnflag").alias("g")).agg(stats.ttest_ind_from_stats("l_quantity", 25.0, 200.0, 50).alias("s")).select("g", r("s.statistic", 5).alias("statistic")))
+q("ks_2samp", "WITH c AS (SELECT v, sum(a)::DOUBLE AS a, sum(b)::DOUBLE AS b FROM (SELECT l_quantity AS v, 1 AS a, 0 AS b FROM lineitem UNION ALL SELECT l_linenumber * 7.0, 0, 1 FROM lineitem) GROUP BY v), d AS (SELECT abs(sum(a) OVER (ORDER BY v) / sum(a) OVER () - sum(b) OVER (ORDER BY v) / sum(b) OVER ()) AS d, a, b FROM c) SELECT round(max(d), 6) + 0.0 AS statistic, round(sqrt(-0.5 * ln(0.025)) * sqrt((sum(a) + sum(b)) / (sum(a) * sum(b))), 6) + 0.0 AS pvalue FROM d")(lambda t: stats.ks_2samp(t(LI).withColumn("x", F.col("l_linenumber") * 7.0), "l_quantity", "x").select(r("statistic").alias("statistic"), r("pvalue").alias("pvalue")))
+q("f_test", "WITH g AS (SELECT l_returnflag, count(*)::DOUBLE AS n, avg(l_quantity) AS m, var_pop(l_quantity) * count(*) AS w FROM lineitem GROUP BY 1), s AS (SELECT sum(n) AS n, count(*) AS k, sum(w) AS w, sum(n * m * m) - sum(n * m) * sum(n * m) / sum(n) AS b FROM g) SELECT 'l_quantity' AS variable, round((b / (k - 1)) / (w / (n - k)), 4) + 0.0 AS statistic FROM s")(lambda t: stats.f_test(t(LI), "l_quantity", group="l_returnflag").select("variable", r("statistic", 4).alias("statistic")))
+q("chi2", "WITH c AS (SELECT o_orderpriority AS a, o_orderstatus AS b, count(*)::DOUBLE AS o FROM orders GROUP BY ALL), m AS (SELECT x.a, y.b, x.n * y.n / t.n AS e FROM (SELECT a, sum(o) AS n FROM c GROUP BY 1) x, (SELECT b, sum(o) AS n FROM c GROUP BY 1) y, (SELECT sum(o) AS n FROM c) t) SELECT round(sum((coalesce(o, 0) - e) ** 2 / e), 5) + 0.0 AS statistic FROM m LEFT JOIN c USING (a, b)")(lambda t: stats.chi2(t("orders"), "o_orderpriority", "o_orderstatus").select(r("statistic", 5).alias("statistic")))
+q("chi2_full", "WITH c AS (SELECT o_orderpriority, o_orderstatus, count(*)::DOUBLE AS o FROM orders GROUP BY ALL) SELECT x.o_orderpriority, y.o_orderstatus, coalesce(o, 0) AS observed, round(x.n * y.n / t.n, 6) + 0.0 AS expected FROM (SELECT o_orderpriority, sum(o) AS n FROM c GROUP BY 1) x, (SELECT o_orderstatus, sum(o) AS n FROM c GROUP BY 1) y, (SELECT sum(o) AS n FROM c) t LEFT JOIN c ON c.o_orderpriority = x.o_orderpriority AND c.o_orderstatus = y.o_orderstatus")(lambda t: stats.chi2(t("orders"), "o_orderpriority", "o_orderstatus", True).withColumn("expected", r("expected")))
+q("mann_whitney_u", "WITH u AS (SELECT l_tax AS v, 1 AS a FROM lineitem UNION ALL SELECT l_discount, 0 FROM lineitem), c AS (SELECT v, sum(a)::DOUBLE AS a, count(*)::DOUBLE AS t FROM u GROUP BY 1), k AS (SELECT *, sum(t) OVER (ORDER BY v) - (t - 1) / 2 AS r FROM c) SELECT round(sum(r * a) - sum(a) * (sum(a) + 1) / 2, 2) AS statistic FROM k")(lambda t: stats.mann_whitney_u(t(LI), "l_tax", "l_discount").select(r("statistic", 2).alias("statistic")))
+q("normal_test")(lambda t: t(LI).groupBy("l_returnflag").agg(stats.normal_test("l_quantity").alias("s")).select("l_returnflag", r("s.statistic", 4).alias("statistic"), r("s.pvalue").alias("pvalue")))
+
+# --- 2.10 weighted, robust
+W = "l_discount + 0.01"
+for _n, _s, _c in (
+    ("hmean", "count(*) / sum(1 / l_quantity)", lambda: stats.hmean("l_quantity")),
+    ("weighted_hmean", f"sum({W}) / sum(({W}) / l_quantity)", lambda: stats.weighted_hmean("l_quantity", F.expr(W))),
+    ("gmean", "exp(avg(ln(l_quantity)))", lambda: stats.gmean("l_quantity")),
+    ("weighted_gmean", f"exp(sum(({W}) * ln(l_quantity)) / sum({W}))", lambda: stats.weighted_gmean("l_quantity", F.expr(W))),
+    ("weighted_mean", f"sum(({W}) * l_quantity) / sum({W})", lambda: stats.weighted_mean("l_quantity", F.expr(W))),
+    ("weighted_var", f"sum(({W}) * l_quantity * l_quantity) / sum({W}) - (sum(({W}) * l_quantity) / sum({W})) ** 2", lambda: stats.weighted_var("l_quantity", F.expr(W))),
+    ("weighted_cov", f"sum(({W}) * l_quantity * l_tax) / sum({W}) - sum(({W}) * l_quantity) * sum(({W}) * l_tax) / sum({W}) ** 2", lambda: stats.weighted_cov("l_quantity", "l_tax", F.expr(W))),
+    ("weighted_corr", f"(sum(({W}) * l_quantity * l_tax) / sum({W}) - sum(({W}) * l_quantity) * sum(({W}) * l_tax) / sum({W}) ** 2) / sqrt((sum(({W}) * l_quantity ** 2) / sum({W}) - (sum(({W}) * l_quantity) / sum({W})) ** 2) * (sum(({W}) * l_tax ** 2) / sum({W}) - (sum(({W}) * l_tax) / sum({W})) ** 2))", lambda: stats.weighted_corr("l_quantity", "l_tax", F.expr(W))),
+    ("cosine_sim", "sum(l_quantity * l_tax) / sqrt(sum(l_quantity ** 2) * sum(l_tax ** 2))", lambda: stats.cosine_sim("l_quantity", "l_tax")),
+    ("weighted_cosine_sim", f"sum(({W}) * l_quantity * l_tax) / sqrt(sum(({W}) * l_quantity ** 2) * sum(({W}) * l_tax ** 2))", lambda: stats.weighted_cosine_sim("l_quantity", "l_tax", F.expr(W))),
+    ("corr_pearson", "corr(l_quantity, l_extendedprice)", lambda: stats.pearson("l_quantity", "l_extendedprice")),
+):
+    grouped(_n, LI, "l_returnflag", _s, _c)
+_RANKS = "WITH d AS (SELECT rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS b FROM lineitem) "
+q("corr_spearman", _RANKS + "SELECT round(corr(a, b), 6) + 0.0 AS statistic FROM d")(lambda t: stats.corr(t(LI), "l_quantity", "l_extendedprice", "spearman").select(r("statistic").alias("statistic")))
+q("bicor", "WITH m AS (SELECT median(l_quantity) AS mx, median(l_extendedprice) AS my FROM lineitem), s AS (SELECT mx, my, median(abs(l_quantity - mx)) AS dx, median(abs(l_extendedprice - my)) AS dy FROM lineitem, m GROUP BY 1, 2), d AS (SELECT (l_quantity - mx) * CASE WHEN abs(l_quantity - mx) < 9 * dx THEN (1 - ((l_quantity - mx) / (9 * dx)) ** 2) ** 2 ELSE 0 END AS a, (l_extendedprice - my) * CASE WHEN abs(l_extendedprice - my) < 9 * dy THEN (1 - ((l_extendedprice - my) / (9 * dy)) ** 2) ** 2 ELSE 0 END AS b FROM lineitem, s) SELECT round(sum(a * b) / sqrt(sum(a * a) * sum(b * b)), 6) + 0.0 AS statistic FROM d")(lambda t: stats.bicor(t(LI), "l_quantity", "l_extendedprice").select(r("statistic").alias("statistic")))
+q("xi_corr")(lambda t: stats.xi_corr(t("orders"), "o_orderkey", "o_totalprice", return_p=True).select(r("statistic").alias("statistic"), r("pvalue").alias("pvalue")))
+q("kendall_tau", "WITH d AS (SELECT o_custkey AS k, o_totalprice AS x, date_diff('day', TIMESTAMP '1990-01-01', o_orderdate) AS y FROM orders), p AS (SELECT a.k, sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x = b.x AS tx, a.y = b.y AS ty FROM d a JOIN d b ON a.k = b.k AND (a.x, a.y) < (b.x, b.y)) SELECT k AS o_custkey, round(sum(s) / sqrt(count(*) FILTER (WHERE NOT tx) * count(*) FILTER (WHERE NOT ty)), 6) + 0.0 AS statistic FROM p GROUP BY 1")(lambda t: stats.kendall_tau(t("orders").withColumn("y", F.datediff("o_orderdate", F.lit("1990-01-01"))).join(t("orders").groupBy("o_custkey").count().filter("count > 1"), "o_custkey"), "o_totalprice", "y", "o_custkey").select("o_custkey", r("statistic").alias("statistic")))
+q("winsorize", "WITH s AS (SELECT list_sort(list(c_acctbal)) AS l, count(*) AS n FROM customer), b AS (SELECT l[floor((n - 1) * 0.05 + 0.5)::INT + 1] AS lo, l[floor((n - 1) * 0.95 + 0.5)::INT + 1] AS hi FROM s) SELECT c_custkey, round(least(greatest(c_acctbal, lo), hi), 4) + 0.0 AS v FROM customer, b")(lambda t: stats.winsorize(t("customer"), "c_acctbal").select("c_custkey", r("c_acctbal", 4).alias("v")))
+
+# --- 2.11 random
+q("random_columns")(lambda t: t("orders").select("o_orderkey", noise.random(0, 1, 1).alias("u"), noise.random_int(0, 10, 2).alias("i"), noise.random_exp(2.0, 3).alias("e"), noise.random_normal(1.0, 2.0, 4).alias("z"), noise.random_str(3, 6, 5).alias("s"), noise.random_binomial(10, 0.3, 6).alias("b"), noise.random_null("o_custkey", 0.2, 7).alias("n"), noise.perturb("o_totalprice", 1e-3, seed=8).alias("p"), noise.jitter("o_totalprice", 1.0, 9).alias("j"), noise.add_noise("o_totalprice", "uniform", seed=10).alias("a")))
+
+# --- 2.12 metrics: actual and prediction of a quantity
+A, P = "l_quantity", "(l_quantity + l_tax * 10 - l_linenumber * 0.5)"
+for _n, _s, _c in (
+    ("query_r2", f"1 - sum(({A} - {P}) ** 2) / (var_pop({A}) * count(*))", lambda: metrics.query_r2(A, F.expr(P))),
+    ("query_adj_r2", f"1 - (sum(({A} - {P}) ** 2) / (var_pop({A}) * count(*))) * (count(*) - 1) / (count(*) - 3)", lambda: metrics.query_adj_r2(A, F.expr(P), 3)),
+    ("query_log_cosh", f"avg(ln((exp({P} - {A}) + exp({A} - {P})) / 2))", lambda: metrics.query_log_cosh(A, F.expr(P))),
+    ("query_hubor_loss", f"avg(CASE WHEN abs({A} - {P}) <= 1 THEN 0.5 * ({A} - {P}) ** 2 ELSE abs({A} - {P}) - 0.5 END)", lambda: metrics.query_hubor_loss(A, F.expr(P), 1.0)),
+    ("query_l2", f"avg(({A} - {P}) ** 2)", lambda: metrics.query_l2(A, F.expr(P))),
+    ("query_l1", f"avg(abs({A} - {P}))", lambda: metrics.query_l1(A, F.expr(P))),
+    ("query_l_inf", f"max(abs({A} - {P}))", lambda: metrics.query_l_inf(A, F.expr(P))),
+    ("query_mape", f"avg(abs({A} - {P}) / abs({A}))", lambda: metrics.query_mape(A, F.expr(P))),
+    ("query_wmape", f"sum(abs({A} - {P})) / sum(abs({A}))", lambda: metrics.query_mape(A, F.expr(P), True)),
+    ("query_smape", f"avg(abs({A} - {P}) / (abs({A}) + abs({P})))", lambda: metrics.query_smape(A, F.expr(P))),
+    ("query_msle", "avg((ln(1 + l_quantity) - ln(1 + l_linenumber)) ** 2)", lambda: metrics.query_msle(A, "l_linenumber")),
+    ("query_log_loss", "-avg(CASE WHEN l_returnflag = 'R' THEN ln(l_quantity / 51) ELSE ln(1 - l_quantity / 51) END)", lambda: metrics.query_log_loss(F.expr("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END"), F.expr("l_quantity / 51"))),
+    ("query_mcc", "(tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn))", None),
+    ("query_cat_cross_entropy", "-avg(ln(CASE l_linenumber % 2 WHEN 0 THEN l_quantity / 51 ELSE 1 - l_quantity / 51 END))", lambda: metrics.query_cat_cross_entropy(F.expr("l_linenumber % 2"), F.expr("array(l_quantity / 51, 1 - l_quantity / 51)"))),
+):
+    if _c:
+        grouped(_n, LI, "l_linestatus", _s, _c)
+_CM = "SELECT l_linestatus, count(*) FILTER (WHERE NOT a AND NOT p)::DOUBLE AS tn, count(*) FILTER (WHERE NOT a AND p)::DOUBLE AS fp, count(*) FILTER (WHERE a AND NOT p)::DOUBLE AS fn, count(*) FILTER (WHERE a AND p)::DOUBLE AS tp FROM (SELECT l_linestatus, l_returnflag = 'R' AS a, l_quantity / 51 > 0.5 AS p FROM lineitem) GROUP BY 1"
+q("query_confusion_matrix", f"WITH c AS ({_CM}) SELECT l_linestatus, tn, fp, fn, tp, round(tp / (tp + fn), 6) + 0.0 AS tpr, round(2 * tp / (2 * tp + fp + fn), 6) + 0.0 AS f1, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) + 0.0 AS mcc, round((tp + tn) / (tp + tn + fp + fn), 6) + 0.0 AS acc FROM c")(lambda t: t(LI).groupBy("l_linestatus").agg(metrics.query_confusion_matrix(F.expr("CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END"), F.expr("l_quantity / 51"), all_metrics=True).alias("c")).select("l_linestatus", "c.tn", "c.fp", "c.fn", "c.tp", r("c.tpr").alias("tpr"), r("c.f1").alias("f1"), r("c.mcc").alias("mcc"), r("c.acc").alias("acc")))
+q("query_mcc", f"WITH c AS ({_CM}) SELECT l_linestatus, round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) + 0.0 AS v FROM c")(lambda t: t(LI).groupBy("l_linestatus").agg(r(metrics.query_mcc(F.expr("CAST(l_returnflag = 'R' AS INT)"), F.expr("CAST(l_quantity / 51 > 0.5 AS INT)"))).alias("v")))
+_CURVE = "WITH d AS (SELECT l_linestatus AS segment, (l_returnflag = 'R')::INT AS a, l_quantity / 51 AS score FROM lineitem), c AS (SELECT segment, score, sum(a)::DOUBLE AS p, count(*)::DOUBLE AS n FROM d GROUP BY ALL), w AS (SELECT *, sum(p) OVER o AS tp, sum(n) OVER o AS al, sum(p) OVER g AS ap, sum(n) OVER g AS an FROM c WINDOW o AS (PARTITION BY segment ORDER BY score DESC), g AS (PARTITION BY segment)) "
+_AUC = "sum((n - p) * (2 * tp - p) / 2) / (max(ap) * (max(an) - max(ap)))"
+q("query_roc_auc", _CURVE + f"SELECT segment, round({_AUC}, 6) + 0.0 AS roc_auc FROM w GROUP BY 1")(lambda t: metrics.query_roc_auc(_segments(t(LI)), "actual", "score", "segment").select("segment", r("roc_auc").alias("roc_auc")))
+q("query_gini", _CURVE + f"SELECT segment, round(2 * {_AUC} - 1, 6) + 0.0 AS gini FROM w GROUP BY 1")(lambda t: metrics.query_gini(_segments(t(LI)), "actual", "score", "segment").select("segment", r("gini").alias("gini")))
+q("query_tpr_fpr", _CURVE + "SELECT segment, round(score, 6) + 0.0 AS threshold, round(tp / ap, 6) + 0.0 AS tpr, round((al - tp) / (an - ap), 6) + 0.0 AS fpr FROM w UNION ALL SELECT DISTINCT segment, 'inf'::DOUBLE, 0.0, 0.0 FROM w")(lambda t: metrics.query_tpr_fpr(_segments(t(LI)), "actual", "score", "segment").select("segment", r("threshold").alias("threshold"), r("tpr").alias("tpr"), r("fpr").alias("fpr")))
+q("query_binary_metrics", _CURVE + f"SELECT segment, round(sum(p) FILTER (WHERE score >= 0.5) / sum(n) FILTER (WHERE score >= 0.5), 6) + 0.0 AS precision, round(sum(p) FILTER (WHERE score >= 0.5) / max(ap), 6) + 0.0 AS recall, round(sum(p / ap * tp / al), 6) + 0.0 AS average_precision, round({_AUC}, 6) + 0.0 AS roc_auc FROM w GROUP BY 1")(lambda t: metrics.query_binary_metrics(_segments(t(LI)), "actual", "score", 0.5, "segment").select("segment", *(r(c).alias(c) for c in ("precision", "recall", "average_precision", "roc_auc"))))
+q("query_multi_roc_auc", "WITH d AS (SELECT l_linenumber % 2 AS a, unnest([0, 1]) AS k, unnest([l_quantity / 51, 1 - l_quantity / 51]) AS s FROM lineitem), c AS (SELECT k, s, sum((a = k)::INT)::DOUBLE AS p, count(*)::DOUBLE AS n FROM d GROUP BY ALL), w AS (SELECT *, sum(p) OVER (PARTITION BY k ORDER BY s DESC) AS tp FROM c), e AS (SELECT k, sum((n - p) * (2 * tp - p) / 2) / (sum(p) * (sum(n) - sum(p))) AS auc, sum(p) AS m FROM w GROUP BY 1) SELECT round(sum(auc * m) / sum(m), 6) + 0.0 AS roc_auc FROM e")(lambda t: metrics.query_multi_roc_auc(t(LI).selectExpr("l_linenumber % 2 AS a", "array(l_quantity / 51, 1 - l_quantity / 51) AS p"), "a", "p", 2).select(r("roc_auc").alias("roc_auc")))
+q("query_mad", "WITH m AS (SELECT l_returnflag, avg(l_quantity) AS m FROM lineitem GROUP BY 1) SELECT l_returnflag, round(avg(abs(l_quantity - m)), 6) + 0.0 AS mad FROM lineitem JOIN m USING (l_returnflag) GROUP BY 1")(lambda t: metrics.query_mad(t(LI), "l_quantity", by="l_returnflag").select("l_returnflag", r("mad").alias("mad")))
+q("query_mase", "WITH d AS (SELECT user_id, value, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id)) AS s FROM events) SELECT user_id, round(avg(abs(value - 10)) / avg(s), 5) + 0.0 AS mase FROM d GROUP BY 1 HAVING count(*) > 2")(lambda t: metrics.query_mase(t("events").join(t("events").groupBy("user_id").count().filter("count > 2"), "user_id"), "value", F.lit(10.0), "value", ["ts", "event_id"], by="user_id").select("user_id", r("mase", 5).alias("mase")))
+q("query_dcg_score", "WITH d AS (SELECT l_returnflag AS g, l_linenumber::DOUBLE AS y, l_quantity AS s, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC) AS i FROM lineitem), t AS (SELECT g, s, avg(y) * sum(1 / log2(i + 1)) AS v FROM d GROUP BY g, s) SELECT g, round(sum(v), 4) + 0.0 AS dcg FROM t GROUP BY g")(lambda t: metrics.query_dcg_score(t(LI).withColumnRenamed("l_returnflag", "g"), "l_linenumber", "l_quantity", by="g").select("g", r("dcg", 4).alias("dcg")))
+q("query_ndcg_score", "WITH d AS (SELECT l_returnflag AS g, l_linenumber::DOUBLE AS y, l_quantity AS s, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_quantity DESC) AS i, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_linenumber DESC) AS j FROM lineitem), t AS (SELECT g, s, avg(y) * sum(1 / log2(i + 1)) AS v, sum(y / log2(j + 1)) AS w FROM d GROUP BY g, s) SELECT g, round(sum(v) / sum(w), 6) + 0.0 AS ndcg FROM t GROUP BY g")(lambda t: metrics.query_ndcg_score(t(LI).withColumnRenamed("l_returnflag", "g"), "l_linenumber", "l_quantity", by="g").select("g", r("ndcg").alias("ndcg")))
+
+# --- 2.13 series
+for _n, _s, _c, _k in (
+    ("query_mid_range", "(max(value) - min(value)) / 2", lambda: ts.query_mid_range("value"), "double"),
+    ("query_symm_ratio", "CASE WHEN max(value) = min(value) THEN 'nan'::DOUBLE ELSE abs(avg(value) - median(value)) / (max(value) - min(value)) END", lambda: ts.query_symm_ratio("value"), "double"),
+    ("query_abs_energy", "sum(value * value)", lambda: ts.query_abs_energy("value"), "double"),
+    ("query_cv", "stddev_samp(value) / avg(value)", lambda: ts.query_cv("value"), "double"),
+    ("query_range_count", "count(*) FILTER (WHERE value BETWEEN 5 AND 50)", lambda: ts.query_range_count("value", 5, 50), "long"),
+):
+    grouped(_n, "events", "event_type", _s, _c, _k, 4)
+q("query_first_digit_cnt", "WITH d AS (SELECT event_type, substr(format('{:e}', abs(value)), 1, 1)::INT AS d FROM events WHERE value <> 0) SELECT event_type, list_transform(range(1, 10), lambda k: len(list_filter(l, lambda x: x = k))::BIGINT) AS v FROM (SELECT event_type, list(d) AS l FROM d GROUP BY 1)")(lambda t: t("events").groupBy("event_type").agg(ts.query_first_digit_cnt("value").alias("v")))
+q("query_count_uniques", "SELECT event_type, count(*) FILTER (WHERE n = 1) AS value FROM (SELECT event_type, user_id, count(*) AS n FROM events GROUP BY ALL) GROUP BY 1")(lambda t: ts.query_count_uniques(t("events"), "user_id", "event_type"))
+q("query_entropy", "SELECT event_type, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) + 0.0 AS value FROM (SELECT event_type, user_id, count(*)::DOUBLE AS n FROM events GROUP BY ALL) GROUP BY 1")(lambda t: ts.query_entropy(t("events"), "user_id", by="event_type").select("event_type", r("value").alias("value")))
+q("query_cond_entropy", "WITH b AS (SELECT l_returnflag AS x, l_linenumber AS y, count(*)::DOUBLE AS n FROM lineitem GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER () AS nn FROM b) SELECT round(-sum(n / nn * ln(n / ny)), 6) + 0.0 AS value FROM m")(lambda t: ts.query_cond_entropy(t(LI), "l_returnflag", "l_linenumber").select(r("value").alias("value")))
+q("query_mean_n_abs_max", "SELECT event_type, round(avg(v), 4) + 0.0 AS value FROM (SELECT event_type, abs(value) AS v, row_number() OVER (PARTITION BY event_type ORDER BY abs(value) DESC) AS i FROM events) WHERE i <= 5 GROUP BY 1")(lambda t: ts.query_mean_n_abs_max(t("events"), "value", 5, "event_type").select("event_type", r("value", 4).alias("value")))
+_EV = "WITH d AS (SELECT event_type, value, {x} AS d FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) "
+EO = ["ts", "event_id"]
+q("query_mean_abs_change", _EV.format(x="abs(value - lag(value) OVER w)") + "SELECT event_type, round(avg(d), 4) + 0.0 AS value FROM d GROUP BY 1")(lambda t: ts.query_mean_abs_change(t("events"), "value", EO, "event_type").select("event_type", r("value", 4).alias("value")))
+q("query_cid_ce", _EV.format(x="value - lag(value) OVER w") + "SELECT event_type, round(sqrt(sum(d * d)), 4) + 0.0 AS value FROM d GROUP BY 1")(lambda t: ts.query_cid_ce(t("events"), "value", EO, by="event_type").select("event_type", r("value", 4).alias("value")))
+q("query_c3_stats", _EV.format(x="value * lag(value, 2) OVER w * lag(value, 4) OVER w") + "SELECT event_type, round(sum(d) / (count(value) - 4), 2) + 0.0 AS value FROM d GROUP BY 1")(lambda t: ts.query_c3_stats(t("events"), "value", 2, EO, "event_type").select("event_type", r("value", 2).alias("value")))
+q("query_time_reversal_asymmetry_stats", _EV.format(x="lead(value, 1) OVER w * (lead(value, 2) OVER w + value) * (lead(value, 2) OVER w - value)") + "SELECT event_type, round(avg(d), 2) + 0.0 AS value FROM d GROUP BY 1")(lambda t: ts.query_time_reversal_asymmetry_stats(t("events"), "value", 1, EO, "event_type").select("event_type", r("value", 2).alias("value")))
+q("query_auto_corr", _EV.format(x="lead(value, 2) OVER w") + ", m AS (SELECT event_type, avg(value) AS m, var_pop(value) AS v FROM events GROUP BY 1) SELECT event_type, round(avg((value - m) * (d - m)) / max(v), 6) + 0.0 AS value FROM d JOIN m USING (event_type) GROUP BY 1")(lambda t: ts.query_auto_corr(t("events"), "value", 2, EO, by="event_type").select("event_type", r("value").alias("value")))
+_STREAK = "WITH d AS (SELECT event_type, value > 20 AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) - row_number() OVER (PARTITION BY event_type, value > 20 ORDER BY ts, event_id) AS g FROM events), s AS (SELECT event_type, t, g, count(*) AS n FROM d GROUP BY ALL) "
+q("query_streak", _STREAK + "SELECT event_type, t AS value, n AS length, count(*) AS runs FROM s GROUP BY ALL")(lambda t: ts.query_streak(t("events"), "value > 20", EO, "event_type").groupBy("event_type", "value", "length").agg(F.count(F.lit(1)).alias("runs")))
+q("query_longest_streak", _STREAK + "SELECT event_type, coalesce(max(n) FILTER (WHERE t), 0) AS value FROM s GROUP BY 1")(lambda t: ts.query_longest_streak(t("events"), "value > 20", EO, "event_type"))
+q("query_avg_streak", _STREAK + "SELECT event_type, round(avg(n) FILTER (WHERE t), 6) + 0.0 AS value FROM s GROUP BY 1")(lambda t: ts.query_avg_streak(t("events"), "value > 20", EO, "event_type").select("event_type", r("value").alias("value")))
+q("query_similar_count", "WITH d AS (SELECT event_type, [value, lead(value, 1) OVER w, lead(value, 2) OVER w] AS s FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)) SELECT event_type, count(*) FILTER (WHERE (s[1] - 10) ** 2 + (s[2] - 20) ** 2 + (s[3] - 10) ** 2 < 800) AS value FROM d WHERE s[3] IS NOT NULL GROUP BY 1")(lambda t: ts.query_similar_count(t("events"), "value", [10.0, 20.0, 10.0], 800.0, EO, metric="sql2", by="event_type"))
+q("query_permute_entropy", "WITH d AS (SELECT event_type, value AS a, lead(value, 1) OVER w AS b, lead(value, 2) OVER w AS c FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)), p AS (SELECT event_type, list_transform(list_sort([{'v': a, 'i': 0}, {'v': b, 'i': 1}, {'v': c, 'i': 2}]), lambda x: x.i) AS p, count(*)::DOUBLE AS n FROM d WHERE c IS NOT NULL GROUP BY ALL) SELECT event_type, round(ln(sum(n)) - sum(n * ln(n)) / sum(n), 6) + 0.0 AS value FROM p GROUP BY 1")(lambda t: ts.query_permute_entropy(t("events"), "value", EO, by="event_type").select("event_type", r("value").alias("value")))
+q("query_ar_coeffs")(lambda t: linear.query_ar_coeffs(t("events"), "value", 2, "event_id", by="event_type").select("event_type", F.transform("coeffs", lambda x: F.round(x, 6)).alias("coeffs")))
+_U = lambda t: t("events").join(t("events").groupBy("user_id").count().filter("count > 5"), "user_id")
+q("query_lempel_ziv")(lambda t: ts.query_lempel_ziv(_U(t), "value > 20", EO, by="user_id"))
+q("query_sample_entropy")(lambda t: ts.query_sample_entropy(_U(t), "value", EO, by="user_id"))
+q("query_approx_entropy")(lambda t: ts.query_approx_entropy(_U(t), "value", 2, 0.5, EO, by="user_id"))
+q("query_knn_entropy")(lambda t: ts.query_knn_entropy(t("customer"), "c_acctbal", "c_custkey", by="c_nationkey"))
+q("query_copula_entropy")(lambda t: ts.query_copula_entropy(t("customer"), "c_acctbal", "c_custkey", by="c_nationkey"))
+q("query_cond_indep")(lambda t: ts.query_cond_indep(t("supplier"), "s_acctbal", "s_suppkey", "s_nationkey"))
+q("query_transfer_entropy")(lambda t: ts.query_transfer_entropy(t("customer"), "c_acctbal", "c_custkey", "c_custkey", by="c_nationkey"))
+
+# --- 2.14 neighbours
+FEATS = ("s_acctbal / 1000", "s_nationkey / 5")
+_DS = "(a.x - b.x) ** 2 + (a.y - b.y) ** 2"
+_KNN = f"WITH p AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS x, s_nationkey / 5 AS y FROM supplier), n AS (SELECT a.id, b.id AS nn, {_DS} AS d, row_number() OVER (PARTITION BY a.id ORDER BY {_DS}, b.id) AS i FROM p a, p b) "
+
+
+def _points(t) -> DataFrame:
+    return t("supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_acctbal") / 1000).alias("x"), (F.col("s_nationkey") / 5).alias("y"), "s_acctbal")
+
+
+q("query_knn_ptwise", _KNN + "SELECT id, list(nn ORDER BY i) AS neighbours FROM n WHERE i <= 4 GROUP BY 1")(lambda t: knn.query_knn_ptwise(_points(t), "x", "y", index="id", k=3))
+q("query_dist_from_kth_nb", _KNN + "SELECT id, round(d, 6) + 0.0 AS dist FROM n WHERE i = 4")(lambda t: knn.query_dist_from_kth_nb(_points(t), "x", "y", index="id", k=3).select("id", r("dist").alias("dist")))
+q("query_knn_freq_cnt", _KNN + "SELECT nn AS id, count(*) AS count FROM n WHERE i <= 4 GROUP BY 1")(lambda t: knn.query_knn_freq_cnt(_points(t), "x", "y", index="id", k=3))
+q("query_knn_avg", f"WITH p AS (SELECT s_suppkey AS id, s_acctbal / 1000 AS x, s_nationkey / 5 AS y, s_acctbal AS v FROM supplier), n AS (SELECT a.id, b.v, row_number() OVER (PARTITION BY a.id ORDER BY {_DS}, b.id) AS i FROM p a, p b WHERE {_DS} >= 1e-9) SELECT id, round(avg(v), 4) + 0.0 AS value FROM n WHERE i <= 3 GROUP BY 1")(lambda t: knn.query_knn_avg(_points(t), "x", "y", index="id", target="s_acctbal", k=3).select("id", r("value", 4).alias("value")))
+q("query_radius_ptwise", _KNN + "SELECT id, list(nn ORDER BY d, nn) AS neighbours FROM n WHERE d <= 0.5 GROUP BY 1")(lambda t: knn.query_radius_ptwise(_points(t), "x", "y", index="id", r=0.5))
+q("query_radius_ptwise_null_safe", _KNN + "SELECT id, len(list(nn)) AS n FROM n WHERE d <= 0.5 GROUP BY 1")(lambda t: knn.query_radius_ptwise_null_safe(_points(t), "x", "y", index="id", r=0.5).select("id", F.size("neighbours").cast("long").alias("n")))
+q("query_radius_freq_cnt", _KNN + "SELECT nn AS id, count(*) AS count FROM n WHERE d <= 0.5 GROUP BY 1")(lambda t: knn.query_radius_freq_cnt(_points(t), "x", "y", index="id", r=0.5))
+q("query_nb_cnt", _KNN + "SELECT id, count(*) AS count FROM n WHERE d <= 1 GROUP BY 1")(lambda t: knn.query_nb_cnt(_points(t), "x", "y", index="id", r=1.0))
+q("within_dist_from", "SELECT s_suppkey, coalesce((s_acctbal / 1000 - 4) ** 2 + (s_nationkey / 5 - 2) ** 2 <= 4, false) AS v FROM supplier")(lambda t: t("supplier").select("s_suppkey", knn.within_dist_from(F.col("s_acctbal") / 1000, F.col("s_nationkey") / 5, pt=[4.0, 2.0], r=4.0).alias("v")))
+q("is_knn_from", _KNN.replace("FROM p a, p b)", "FROM p a, (SELECT 4.0 AS x, 2.0 AS y, 0 AS id) b)").replace("PARTITION BY a.id ", "") + "SELECT id, i <= 10 AS v FROM n")(lambda t: knn.is_knn_from(_points(t), "x", "y", pt=[4.0, 2.0], k=10).select("id", F.col("is_knn").alias("v")))
+
+# --- 2.15 linear models
+q("simple_lin_reg", "SELECT l_returnflag, round(regr_slope(l_extendedprice, l_quantity), 5) + 0.0 AS slope, round(regr_intercept(l_extendedprice, l_quantity), 3) + 0.0 AS bias FROM lineitem GROUP BY 1")(lambda t: t(LI).groupBy("l_returnflag").agg(linear.simple_lin_reg("l_quantity", "l_extendedprice", True).alias("c")).select("l_returnflag", r(F.get("c", F.lit(0)), 5).alias("slope"), r(F.get("c", F.lit(1)), 3).alias("bias")))
+_NE = "WITH m AS (SELECT l_returnflag AS g, sum(l_quantity ** 2) AS a, sum(l_quantity * l_tax) AS b, sum(l_tax ** 2) AS c, sum(l_quantity * l_extendedprice) AS d, sum(l_tax * l_extendedprice) AS e FROM lineitem GROUP BY 1) "
+q("lin_reg", _NE + "SELECT g AS l_returnflag, round((d * c - b * e) / (a * c - b * b), 4) + 0.0 AS b0, round((a * e - b * d) / (a * c - b * b), 3) + 0.0 AS b1 FROM m")(lambda t: linear.lin_reg(t(LI), "l_quantity", "l_tax", target="l_extendedprice", by="l_returnflag").select("l_returnflag", r(F.get("coeffs", F.lit(0)), 4).alias("b0"), r(F.get("coeffs", F.lit(1)), 3).alias("b1")))
+q("lin_reg_ridge", _NE + "SELECT g AS l_returnflag, round((d * (c + 10) - b * e) / ((a + 10) * (c + 10) - b * b), 4) + 0.0 AS b0, round(((a + 10) * e - b * d) / ((a + 10) * (c + 10) - b * b), 3) + 0.0 AS b1 FROM m")(lambda t: linear.lin_reg(t(LI), "l_quantity", "l_tax", target="l_extendedprice", l2_reg=10.0, by="l_returnflag").select("l_returnflag", r(F.get("coeffs", F.lit(0)), 4).alias("b0"), r(F.get("coeffs", F.lit(1)), 3).alias("b1")))
+q("lin_reg_weighted", "SELECT l_returnflag, round(sum(l_tax * l_quantity * l_extendedprice) / sum(l_tax * l_quantity ** 2), 5) + 0.0 AS b0 FROM lineitem GROUP BY 1")(lambda t: linear.lin_reg(t(LI), "l_quantity", target="l_extendedprice", weights="l_tax", by="l_returnflag").select("l_returnflag", r(F.get("coeffs", F.lit(0)), 5).alias("b0")))
+q("lin_reg_pred", "WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem) SELECT l_orderkey, l_linenumber, round(a + b * l_quantity, 3) + 0.0 AS pred FROM lineitem, m")(lambda t: linear.lin_reg_pred(t(LI), "l_quantity", target="l_extendedprice", add_bias=True).select("l_orderkey", "l_linenumber", r("pred", 3).alias("pred")))
+for _n, _o in (("lin_reg_lasso", {"l1_reg": 5.0}), ("lin_reg_elastic_net", {"l1_reg": 1.0, "l2_reg": 0.5}), ("lin_reg_nnls", {"positive": True}), ("lin_reg_multi", {"multi": True})):
+    q(_n)(lambda t, o=_o: linear.lin_reg(t(LI), "l_quantity", "l_tax", "l_discount", target=["l_extendedprice", "l_linenumber"] if "multi" in o else "l_extendedprice", add_bias=True, by="l_returnflag", **{k: v for k, v in o.items() if k != "multi"}))
+q("lin_reg_w_rcond")(lambda t: linear.lin_reg_w_rcond(t(LI), "l_quantity", "l_tax", target="l_extendedprice", rcond=1e-6, by="l_returnflag"))
+q("lin_reg_report", "WITH m AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a, regr_r2(l_extendedprice, l_quantity) AS r2, regr_sxx(l_extendedprice, l_quantity) AS sxx, regr_syy(l_extendedprice, l_quantity) AS syy, count(*) AS n, avg(l_quantity) AS mx FROM lineitem), s AS (SELECT *, (1 - r2) * syy / (n - 2) AS s2 FROM m) SELECT 'l_quantity' AS features, round(b, 4) + 0.0 AS beta, round(sqrt(s2 / sxx), 4) + 0.0 AS std_err, round(r2, 6) + 0.0 AS r2 FROM s UNION ALL SELECT '__bias__', round(a, 4) + 0.0, round(sqrt(s2 * (1.0 / n + mx * mx / sxx)), 4) + 0.0, round(r2, 6) + 0.0 FROM s")(lambda t: linear.lin_reg_report(t(LI), "l_quantity", target="l_extendedprice", add_bias=True).select("features", r("beta", 4).alias("beta"), r("std_err", 4).alias("std_err"), r("r2").alias("r2")))
+q("lin_reg_report_hc3")(lambda t: linear.lin_reg_report(t(LI), "l_quantity", "l_tax", target="l_extendedprice", add_bias=True, std_err="hc3"))
+q("rolling_lin_reg", "WITH d AS (SELECT event_id, sum(user_id * value) OVER w / sum(user_id * user_id) OVER w AS b, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id ROWS 19 PRECEDING)) SELECT event_id, CASE WHEN n >= 20 THEN round(b, 6) + 0.0 END AS b0 FROM d")(lambda t: linear.rolling_lin_reg(t("events"), "user_id", target="value", window_size=20, order_by="event_id", by="event_type").select("event_id", r(F.get("coeffs", F.lit(0))).alias("b0")))
+q("recursive_lin_reg", "WITH d AS (SELECT event_id, sum(user_id * value) OVER w / sum(user_id * user_id) OVER w AS b, count(*) OVER w AS n FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id)) SELECT event_id, CASE WHEN n >= 10 THEN round(b, 6) + 0.0 END AS b0 FROM d")(lambda t: linear.recursive_lin_reg(t("events"), "user_id", target="value", start_with=10, order_by="event_id", by="event_type").select("event_id", r(F.get("coeffs", F.lit(0))).alias("b0")))
+
+
+def _coefs(df: DataFrame, names: list[str], values) -> DataFrame:
+    return df.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, values)], "feature string, coefficient double")
+
+
+q("logistic_reg")(lambda t: _coefs(t(LI), ["l_quantity", "l_tax", "bias"], linear.logistic_reg(t(LI), "l_quantity / 50", "l_tax", target="l_returnflag = 'R'")))
+q("glm_poisson")(lambda t: _coefs(t(LI), ["l_tax", "bias"], [*(m := linear.GLM("poisson").fit_df(t(LI), ["l_tax"], "l_linenumber")).coeffs(), m.bias()]))
+q("elastic_net_model")(lambda t: _coefs(t(LI), ["l_quantity", "l_tax", "bias"], [*(m := linear.ElasticNet(1.0, 0.1, True).fit_df(t(LI), ["l_quantity", "l_tax"], "l_extendedprice")).coeffs(), m.bias()]))
+q("online_lr_model")(lambda t: _coefs(t(LI), ["l_quantity"], linear.OnlineLR().update_df(t(LI).filter("l_linenumber < 4"), ["l_quantity"], "l_extendedprice").update_df(t(LI).filter("l_linenumber >= 4"), ["l_quantity"], "l_extendedprice").coeffs()))
+q("mixed_model")(lambda t: t(LI).sparkSession.createDataFrame(linear.MixedModel().fit_df(t("customer"), ["c_custkey / 1000"], "c_acctbal", "c_nationkey").report()))
+
+# --- 2.7 decomposition
+q("singular_values")(lambda t: _coefs(t(LI), ["s0", "s1", "s2"], linear.singular_values(t(LI), "l_quantity", "l_tax", "l_discount")))
+q("pca")(lambda t: linear.pca(t(LI), "l_quantity", "l_tax", "l_discount"))
+q("principal_components", "WITH m AS (SELECT avg(l_quantity) AS m, avg(l_linenumber) AS n, covar_pop(l_quantity, l_linenumber) AS c, var_pop(l_quantity) AS a, var_pop(l_linenumber) AS b FROM lineitem), v AS (SELECT m, n, c, ((a + b) + sqrt((a - b) ** 2 + 4 * c * c)) / 2 - b AS u FROM m), w AS (SELECT m, n, u / sqrt(u * u + c * c) AS x, c / sqrt(u * u + c * c) AS y FROM v) SELECT l_orderkey, l_linenumber, round((l_quantity - m) * x + (l_linenumber - n) * y, 4) + 0.0 AS pc1 FROM lineitem, w")(lambda t: linear.principal_components(t(LI), "l_quantity", "l_linenumber", k=1).select("l_orderkey", "l_linenumber", r("pc1", 4).alias("pc1")))
+
+# --- 2.16 spline, survival, combinatorics
+q("smooth_spline")(lambda t: ts.smooth_spline(t(LI), "l_linenumber", "l_quantity", 0.5, by="l_orderkey"))
+q("query_kaplan_meier_prob", "WITH d AS (SELECT date_diff('day', o_orderdate, l_shipdate)::DOUBLE AS t, (l_linestatus = 'F')::INT AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey), c AS (SELECT t, sum(s)::DOUBLE AS s, count(*)::DOUBLE AS n FROM d GROUP BY 1), f AS (SELECT t, 1 - s / sum(n) OVER (ORDER BY t DESC) AS p FROM c) SELECT t, round(CASE WHEN max((p <= 0)::INT) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN p > 0 THEN ln(p) END) OVER w) END, 6) + 0.0 AS prob FROM f WINDOW w AS (ORDER BY t)")(lambda t: misc.query_kaplan_meier_prob(t(LI).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("t", F.datediff("l_shipdate", "o_orderdate")), "l_linestatus = 'F'", "t").select("t", r("prob").alias("prob")))
+q("product", "SELECT [a.r_name, b.r_name] AS pair FROM region a, region b")(lambda t: misc.product(t("region"), "r_name", "r_name"))
+q("combinations", "SELECT [a.n_name, b.n_name] AS values FROM nation a JOIN nation b ON a.n_name < b.n_name")(lambda t: misc.combinations(t("nation"), "n_name", 2, unique=True))
+
+# --- 2.17 strings
+PN, PK = "part", "p_partkey"
+rowwise("str_leven", PN, PK, "levenshtein(p_name, p_type)", lambda: strings.str_leven("p_name", "p_type"), "long")
+rowwise("str_leven_sim", PN, PK, "1 - levenshtein(p_name, p_type)::DOUBLE / greatest(length(p_name), length(p_type))", lambda: strings.str_leven("p_name", "p_type", True))
+rowwise("filter_by_levenshtein", PN, PK, "levenshtein(p_name, p_type) <= 14", lambda: strings.filter_by_levenshtein("p_name", "p_type", 14), "boolean")
+rowwise("str_hamming", "customer", "c_custkey", "hamming(c_name, 'Customer#000000001')", lambda: strings.str_hamming("c_name", F.lit("Customer#000000001")), "long")
+rowwise("filter_by_hamming", "customer", "c_custkey", "hamming(c_name, 'Customer#000000001') <= 2", lambda: strings.filter_by_hamming("c_name", F.lit("Customer#000000001"), 2), "boolean")
+rowwise("str_d_leven", PN, PK, "damerau_levenshtein(p_name, p_type)", lambda: strings.str_d_leven("p_name", "p_type"), "long")
+rowwise("str_jaro", PN, PK, "jaro_similarity(p_name, p_type)", lambda: strings.str_jaro("p_name", "p_type"))
+rowwise("str_jw", PN, PK, "jaro_winkler_similarity(p_name, p_type)", lambda: strings.str_jw("p_name", "p_type"))
+_G = "list_distinct(list_transform(range(1, length({c})), lambda i: substr({c}, i, 2)))"
+_A, _B = _G.format(c="p_name"), _G.format(c="p_type")
+_M = f"len(list_intersect({_A}, {_B}))"
+rowwise("str_jaccard", PN, PK, f"{_M}::DOUBLE / (len({_A}) + len({_B}) - {_M})", lambda: strings.str_jaccard("p_name", "p_type"))
+rowwise("str_sorensen_dice", PN, PK, f"2 * {_M}::DOUBLE / (len({_A}) + len({_B}))", lambda: strings.str_sorensen_dice("p_name", "p_type"))
+rowwise("str_overlap_coeff", PN, PK, f"{_M}::DOUBLE / least(len({_A}), len({_B}))", lambda: strings.str_overlap_coeff("p_name", "p_type"))
+rowwise("str_tversky_sim", PN, PK, f"{_M}::DOUBLE / ({_M} + 0.3 * (len({_A}) - {_M}) + 0.7 * (len({_B}) - {_M}))", lambda: strings.str_tversky_sim("p_name", "p_type", 0.3, 0.7))
+for _n, _c in (("str_osa", strings.str_osa), ("str_fuzz", strings.str_fuzz), ("str_lcs_subseq", strings.str_lcs_subseq), ("str_lcs_substr", strings.str_lcs_substr), ("str_lcs_subseq_dist", strings.str_lcs_subseq_dist)):
+    q(_n)(lambda t, f=_c: t(PN).select(PK, f("p_name", "p_type").alias("v")))
+q("str_nearest", "SELECT min_by(n_name, (levenshtein(n_name, 'FRANZE'), n_name)) AS v FROM nation")(lambda t: t("nation").agg(strings.str_nearest("n_name", "FRANZE").alias("v")))
+rowwise("similar_to_vocab", PN, PK, "(1 - levenshtein(p_name, 'red metal')::DOUBLE / greatest(length(p_name), 9)) >= 0.4", lambda: strings.similar_to_vocab("p_name", ["red metal"], 0.4), "boolean")
+rowwise("extract_numbers", "customer", "c_custkey", "array_to_string(regexp_extract_all(c_name, '(\\d*\\.?\\d+)', 1), '-')", lambda: strings.extract_numbers("c_name", join_by="-"), "string")
+rowwise("replace_non_ascii", "documents", "doc_id", "regexp_replace(text, '[^\\x00-\\x7F]', '?', 'g')", lambda: strings.replace_non_ascii("text", "?"), "string")
+rowwise("map_words", PN, PK, "array_to_string(list_transform(string_split(p_name, ' '), lambda w: CASE w WHEN 'red' THEN 'rouge' WHEN 'small' THEN 'petit' ELSE w END), ' ')", lambda: strings.map_words("p_name", {"red": "rouge", "small": "petit"}), "string")
+rowwise("normalize_whitespace", "documents", "doc_id", "trim(regexp_replace(text, '\\s+', ' ', 'g'))", lambda: strings.normalize_whitespace("text"), "string")
+rowwise("remove_diacritics", "documents", "doc_id", "regexp_replace(strip_accents(text), '[^\\x00-\\x7F]', '', 'g')", lambda: strings.remove_diacritics("text"), "string")
+rowwise("normalize_string", "documents", "doc_id", "nfc_normalize(text)", lambda: strings.normalize_string("text"), "string")
+rowwise("to_snake_case", PN, PK, "lower(replace(p_name, ' ', '_'))", lambda: strings.to_snake_case("p_name"), "string")
+rowwise("to_constant_case", PN, PK, "upper(replace(p_name, ' ', '_'))", lambda: strings.to_constant_case("p_name"), "string")
+_CAP = "list_transform(string_split(lower(p_name), ' '), lambda w: upper(w[1]) || w[2:])"
+rowwise("to_pascal_case", PN, PK, f"array_to_string({_CAP}, '')", lambda: strings.to_pascal_case("p_name"), "string")
+rowwise("to_camel_case", PN, PK, f"lower(p_name[1]) || array_to_string({_CAP}, '')[2:]", lambda: strings.to_camel_case("p_name"), "string")
+
+# --- 2.18 and 2.21 pipelines
+q("pipeline_scale", "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM customer)) / (SELECT stddev_pop(c_acctbal) FROM customer), 6) + 0.0 AS c_acctbal FROM customer")(lambda t: Blueprint(t("customer")).scale(["c_acctbal"]).select("c_custkey", F.col("c_acctbal")).materialize().transform(t("customer")).withColumn("c_acctbal", r("c_acctbal")))
+q("pipeline_one_hot", "SELECT c_custkey, (c_mktsegment = 'BUILDING')::TINYINT AS b FROM customer")(lambda t: Blueprint(t("customer").select("c_custkey", "c_mktsegment")).one_hot_encode(["c_mktsegment"]).materialize().transform(t("customer")).select("c_custkey", F.col("c_mktsegment_BUILDING").alias("b")))
+q("pipeline_ordinal", "SELECT o_orderkey, (dense_rank() OVER (ORDER BY o_orderpriority) - 1)::DOUBLE AS o_orderpriority FROM orders")(lambda t: t("orders").select("o_orderkey", *transforms.ordinal_encode(t("orders"), ["o_orderpriority"], -2, -1)))
+q("pipeline_impute", "SELECT c_custkey, round(CASE WHEN c_acctbal > 0 THEN c_acctbal ELSE (SELECT avg(c_acctbal) FROM customer WHERE c_acctbal > 0) END, 4) + 0.0 AS v FROM customer")(lambda t: Blueprint(t("customer").selectExpr("c_custkey", "CASE WHEN c_acctbal > 0 THEN c_acctbal END AS v")).impute(["v"]).materialize(True)[1].withColumn("v", r("v", 4)))
+q("pipeline_conditional_impute", "SELECT c_custkey, round(CASE WHEN c_acctbal < 0 THEN (SELECT median(c_acctbal) FROM customer WHERE NOT c_acctbal < 0) ELSE c_acctbal END, 4) + 0.0 AS v FROM customer")(lambda t: t("customer").select("c_custkey", r(transforms.conditional_impute(t("customer"), {"c_acctbal": "c_acctbal < 0"}, "median")[0], 4).alias("v")))
+q("pipeline_robust_scale", "WITH s AS (SELECT list_sort(list(c_acctbal)) AS l, count(*) - 1 AS n FROM customer), b AS (SELECT (l[floor(n * 0.25)::INT + 1] + l[ceil(n * 0.25)::INT + 1]) / 2 AS lo, (l[floor(n * 0.75)::INT + 1] + l[ceil(n * 0.75)::INT + 1]) / 2 AS hi FROM s) SELECT c_custkey, round((c_acctbal - lo) / (hi - lo), 6) + 0.0 AS v FROM customer, b")(lambda t: t("customer").select("c_custkey", r(transforms.robust_scale(t("customer"), ["c_acctbal"])[0]).alias("v")))
+q("pipeline_target_encode", f"WITH g AS (SELECT o_orderpriority AS k, sum({_T})::DOUBLE AS t, count(*)::DOUBLE AS n FROM orders GROUP BY 1), a AS (SELECT *, sum(t) OVER () / sum(n) OVER () AS p, 1 / (1 + exp(-(n - 20) / 10.0)) AS w FROM g) SELECT o_orderkey, round(p * (1 - w) + t / n * w, 6) + 0.0 AS v FROM orders JOIN a ON k = o_orderpriority")(lambda t: Blueprint(_orders(t), target="t").target_encode(["o_orderpriority"]).materialize(True)[1].select("o_orderkey", r("o_orderpriority").alias("v")))
+q("pipeline_woe_encode", _WD + "SELECT o_orderkey, round(ln(pe / pn), 6) + 0.0 AS v FROM orders JOIN w ON value = o_orderpriority")(lambda t: Blueprint(_orders(t), target="t").woe_encode(["o_orderpriority"]).materialize(True)[1].select("o_orderkey", r("o_orderpriority").alias("v")))
+q("pipeline_iv_encode", _WD + "SELECT o_orderkey, round((pe - pn) * ln(pe / pn), 6) + 0.0 AS v FROM orders JOIN w ON value = o_orderpriority")(lambda t: Blueprint(_orders(t), target="t").iv_encode(["o_orderpriority"]).materialize(True)[1].select("o_orderkey", r("o_orderpriority").alias("v")))
+q("pipeline_rank_hot", "SELECT o_orderkey, (o_orderpriority IN ('2-HIGH', '1-URGENT'))::TINYINT AS v FROM orders")(lambda t: t("orders").select("o_orderkey", F.coalesce(transforms.rank_hot_encode("o_orderpriority", ["5-LOW", "4-NOT SPECIFIED", "3-MEDIUM", "2-HIGH", "1-URGENT"])[2], F.lit(0)).cast("tinyint").alias("v")))
+q("pipeline_polynomial", "SELECT l_orderkey, l_linenumber, round(l_quantity * l_tax, 6) + 0.0 AS v FROM lineitem")(lambda t: Blueprint(t(LI)).polynomial_features(["l_quantity", "l_tax"], 2).materialize(True)[1].select("l_orderkey", "l_linenumber", r(F.col("`l_quantity*l_tax`")).alias("v")))
+q("pipeline_sql_sort_group", "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity > 10 GROUP BY 1")(lambda t: Blueprint(t(LI)).filter("l_quantity > 10").sql_transform("SELECT l_returnflag, l_quantity FROM df").group_by_agg("l_returnflag", [F.expr("count(*)").alias("n")]).sort("l_returnflag").materialize().transform(t(LI)))
+q("group_by_dynamic", "SELECT time_bucket(INTERVAL '1 hour', ts) AS ts, count(*) AS n, round(sum(value), 3) + 0.0 AS v FROM events GROUP BY 1")(lambda t: dynamic_groups(t("events"), "ts", [F.count(F.lit(1)).alias("n"), r(F.sum("value"), 3).alias("v")], "1h"))
+q("group_by_dynamic_month", "SELECT date_trunc('month', o_orderdate) AS o_orderdate, count(*) AS n FROM orders GROUP BY 1")(lambda t: dynamic_groups(t("orders"), "o_orderdate", [F.count(F.lit(1)).alias("n")], "1mo"))
+q("group_by_dynamic_index", "SELECT (i - 1) * 10 AS o_orderkey, count(*) AS n FROM (SELECT ceil(o_orderkey / 10)::BIGINT AS i FROM orders) GROUP BY 1")(lambda t: dynamic_groups(t("orders"), "o_orderkey", [F.count(F.lit(1)).alias("n")], "10i", closed="right"))
+
+# --- 2.19 sampling
+q("sample_n")(lambda t: misc.sample(t("orders"), 100, seed=1))
+q("volume_neutral", "SELECT c_mktsegment, (SELECT min(n) FROM (SELECT count(*) AS n FROM customer GROUP BY c_mktsegment)) AS n FROM customer GROUP BY 1")(lambda t: misc.volume_neutral(t("customer"), "c_mktsegment", seed=1).groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n")))
+q("downsample", "SELECT (SELECT count(*) FROM customer WHERE NOT c_acctbal > 0) + 50 AS n")(lambda t: misc.downsample(t("customer"), ("c_acctbal > 0", 50), seed=1).agg(F.count(F.lit(1)).alias("n")))
+q("split_by_ratio", "SELECT o_orderstatus, ceil(count(*) * 0.75)::BIGINT AS n FROM orders GROUP BY 1")(lambda t: misc.split_by_ratio(t("orders"), 0.75, by="o_orderstatus", seed=1).filter("__split = 'train'").groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n")))
+
+# --- 2.20, 2.22, 2.24 tables
+q("expander", "SELECT l_returnflag, count(*) AS __len__, round(avg(l_tax), 6) + 0.0 AS l_tax_mean, max(l_tax) AS l_tax_max FROM lineitem GROUP BY 1")(lambda t: t(LI).groupBy("l_returnflag").agg(*diagnosis.E(["l_tax"], ["mean", "max"])).withColumn("l_tax_mean", r("l_tax_mean")))
+q("dia_special_values", "SELECT 'c_acctbal' AS \"column\", count(*) FILTER (WHERE c_acctbal IS NULL) AS null_count FROM customer UNION ALL SELECT 'c_custkey', 0 UNION ALL SELECT 'c_nationkey', 0")(lambda t: diagnosis.DIA(t("customer")).special_values_report().select("column", "null_count"))
+q("dia_numeric_profile")(lambda t: diagnosis.DIA(t("customer")).numeric_profile())
+q("dia_str_stats", "SELECT 'c_mktsegment' AS \"column\", count(DISTINCT c_mktsegment) AS n_unique, max(length(c_mktsegment))::BIGINT AS m FROM customer UNION ALL SELECT 'c_name', count(DISTINCT c_name), max(length(c_name))::BIGINT FROM customer")(lambda t: diagnosis.DIA(t("customer")).str_stats().select("column", "n_unique", F.col("max_char_len").cast("long").alias("m")))
+q("dia_corr", "SELECT 'l_quantity' AS x, 'l_tax' AS y, round(corr(l_quantity, l_tax), 6) + 0.0 AS corr FROM lineitem")(lambda t: diagnosis.DIA(t(LI)).corr(["l_quantity", "l_tax"]).filter("x = 'l_quantity' AND y = 'l_tax'").withColumn("corr", r("corr")))
+q("dia_null_corr")(lambda t: diagnosis.DIA(t("customer")).null_corr())
+q("dia_row_validation", "SELECT c_custkey, 'neg' AS reason FROM customer WHERE c_acctbal < 0")(lambda t: diagnosis.DIA(t("customer")).row_validation(("neg", "c_acctbal >= 0"), id_col="c_custkey"))
+q("dia_infer_dependency", "WITH b AS (SELECT n_regionkey AS x, n_nationkey AS y, count(*)::DOUBLE AS n FROM nation GROUP BY ALL), m AS (SELECT *, sum(n) OVER (PARTITION BY y) AS ny, sum(n) OVER (PARTITION BY x) AS nx, sum(n) OVER () AS nn FROM b) SELECT 'n_regionkey' AS x, 'n_nationkey' AS y, round(-sum(n / nn * ln(n / ny)), 6) + 0.0 AS cond_entropy FROM m UNION ALL SELECT 'n_nationkey', 'n_regionkey', round(-sum(n / nn * ln(n / nx)), 6) + 0.0 FROM m")(lambda t: diagnosis.DIA(t("nation")).infer_dependency(["n_regionkey", "n_nationkey"]).withColumn("cond_entropy", r("cond_entropy") + 0.0))
+q("feature_distr", "WITH b AS (SELECT min(c_acctbal) AS lo, (max(c_acctbal) - min(c_acctbal)) / 10 AS w FROM customer) SELECT least(floor((c_acctbal - lo) / w), 9)::BIGINT AS bin, count(*) AS count FROM customer, b GROUP BY 1")(lambda t: diagnosis.feature_distr(t("customer"), "c_acctbal").select("bin", "count"))
+q("prob_calibration", "SELECT least(floor(l_quantity / 51 * 10), 9)::BIGINT AS bin, round(avg(l_quantity / 51), 6) + 0.0 AS mean_score, count(*) AS count FROM lineitem GROUP BY 1")(lambda t: diagnosis.prob_calibration(_segments(t(LI)), "actual", "score").select("bin", r("mean_score").alias("mean_score"), "count"))
+q("partition_head")(lambda t: diagnosis.PartitionHelper(t("nation"), "n_regionkey").head(2))
+q("frame", "SELECT range AS row_num FROM range(100)")(lambda t: misc.frame(t("region").sparkSession, 100))
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
+
+
+__all__ = ["queries", "oracle_sql", "segment_metrics", "ieee_div"]
