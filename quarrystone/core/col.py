@@ -20,10 +20,9 @@ def dbl(x) -> Column:
 
 
 def ieee_div(a, b) -> Column:
-    """a / b as doubles: x/0 is inf, -inf or NaN."""
+    """a / b as doubles: x/0 is inf, -inf or NaN (as x times 0 to the power -1 is)."""
     a, b = dbl(a), dbl(b)
-    zero = F.when(F.isnan(a) | (a == 0), F.lit(NAN)).when(a > 0, F.lit(INF)).otherwise(F.lit(-INF))
-    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(b == 0, zero).otherwise(F.try_divide(a, b))
+    return F.coalesce(F.try_divide(a, b), a * F.pow(b, F.lit(-1.0)))
 
 
 def ieee_ln(x) -> Column:
@@ -32,8 +31,8 @@ def ieee_ln(x) -> Column:
 
 
 def ieee_sqrt(x) -> Column:
-    x = dbl(x)
-    return F.when(x < 0, F.lit(NAN)).otherwise(F.sqrt(x))
+    """NaN below zero, as Spark's own."""
+    return F.sqrt(dbl(x))
 
 
 def finite(x) -> Column:

@@ -182,8 +182,8 @@ def _discounted(df: DataFrame, y: str, score: str, log_base: float, k: int | Non
     ranked = ranked.withColumn("w", F.when(F.col("i") <= k, w).otherwise(0.0) if k else w)
     if ignore_ties:
         return ranked.groupBy(*by).agg(F.sum(F.col("y") * F.col("w")).alias(name))
-    ties = ranked.groupBy(*by, "s").agg((F.avg("y") * F.sum("w")).alias("g"))
-    return ties.groupBy(*by).agg(F.sum("g").alias(name))
+    ties = ranked.groupBy(*by, "s").agg((F.avg("y") * F.sum("w")).alias("gain_"))
+    return ties.groupBy(*by).agg(F.sum("gain_").alias(name))
 
 
 def query_dcg_score(df: DataFrame, y_true, y_score, log_base: float = 2.0, k: int | None = None, ignore_ties: bool = False, by=None) -> DataFrame:

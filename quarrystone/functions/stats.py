@@ -129,25 +129,30 @@ def ttest_ind_from_stats(var1, mean: float, var: float, cnt: int, alternative: s
     return _two(*_moments(var1), F.lit(float(mean)), F.lit(float(var)), F.lit(float(cnt)), equal_var, alternative)
 
 
+def _k2(n: float, skew: float, kurt: float) -> float:
+    """K squared from the count, the skewness and the kurtosis (3 for a normal distribution)."""
+    import math
+
+    if n < 20:
+        return NAN
+    y = skew * math.sqrt((n + 1) * (n + 3) / (6 * (n - 2)))
+    b2 = 3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3) / ((n - 2) * (n + 5) * (n + 7) * (n + 9))
+    w2 = math.sqrt(2 * (b2 - 1)) - 1
+    r = y / math.sqrt(2 / (w2 - 1))
+    z1 = math.asinh(r) / math.sqrt(0.5 * math.log(w2))
+    v = 24 * n * (n - 2) * (n - 3) / ((n + 1) ** 2 * (n + 3) * (n + 5))
+    s = (kurt - 3 * (n - 1) / (n + 1)) / math.sqrt(v)
+    b1 = 6 * (n * n - 5 * n + 2) / ((n + 7) * (n + 9)) * math.sqrt(6 * (n + 3) * (n + 5) / (n * (n - 2) * (n - 3)))
+    a = 6 + 8 / b1 * (2 / b1 + math.sqrt(1 + 4 / (b1 * b1)))
+    cube = (1 - 2 / a) / (1 + s * math.sqrt(2 / (a - 4)))
+    z2 = (1 - 2 / (9 * a) - math.copysign(abs(cube) ** (1 / 3), cube)) / math.sqrt(2 / (9 * a))
+    return z1 * z1 + z2 * z2
+
+
 def normal_test(x) -> Column:
-    """D'Agostino and Pearson's K squared; NaN below 20 values."""
+    """D'Agostino and Pearson's K squared; NaN below 20 values or without spread."""
     x = finite(x)
-    n = F.count(x).cast("double")
-    skew, kurt = F.skewness(x), F.kurtosis(x) + 3
-    y = skew * ieee_sqrt(ieee_div((n + 1) * (n + 3), 6 * (n - 2)))
-    b2 = ieee_div(3 * (n * n + 27 * n - 70) * (n + 1) * (n + 3), (n - 2) * (n + 5) * (n + 7) * (n + 9))
-    w2 = ieee_sqrt(2 * (b2 - 1)) - 1
-    delta, alpha = ieee_div(1.0, ieee_sqrt(0.5 * ieee_ln(w2))), ieee_sqrt(ieee_div(2.0, w2 - 1))
-    r = ieee_div(y, alpha)
-    z1 = delta * ieee_ln(r + ieee_sqrt(r * r + 1))
-    e = ieee_div(3 * (n - 1), n + 1)
-    v = ieee_div(24 * n * (n - 2) * (n - 3), (n + 1) * (n + 1) * (n + 3) * (n + 5))
-    s = ieee_div(kurt - e, ieee_sqrt(v))
-    b1 = ieee_div(6 * (n * n - 5 * n + 2), (n + 7) * (n + 9)) * ieee_sqrt(ieee_div(6 * (n + 3) * (n + 5), n * (n - 2) * (n - 3)))
-    a = 6 + ieee_div(8.0, b1) * (ieee_div(2.0, b1) + ieee_sqrt(1 + ieee_div(4.0, b1 * b1)))
-    cube = ieee_div(1 - ieee_div(2.0, a), 1 + s * ieee_sqrt(ieee_div(2.0, a - 4)))
-    z2 = ieee_div((1 - ieee_div(2.0, 9 * a)) - F.signum(cube) * F.pow(F.abs(cube), F.lit(1 / 3)), ieee_sqrt(ieee_div(2.0, 9 * a)))
-    k2 = F.when(n >= 20, z1 * z1 + z2 * z2).otherwise(F.lit(NAN))
+    k2 = _tail(_k2)(F.count(x).cast("double"), F.skewness(x), F.kurtosis(x) + 3)
     return F.struct(k2.alias("statistic"), F.exp(-k2 / 2).alias("pvalue"))
 
 
@@ -294,7 +299,7 @@ def kendall_tau(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
 
     slim = df.select(*by, dbl(x).alias("x"), dbl(y).alias("y"))
     kind = ", ".join([*(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by), "statistic double"])
-    return (slim.groupBy(*by) if by else slim.groupBy(F.lit(1))).applyInPandas(run, kind)
+    return slim.groupBy(*by).applyInPandas(run, kind)
 
 
 def corr(df: DataFrame, x: str, y: str, method: str = "pearson", seed: int = 42) -> DataFrame:

@@ -221,7 +221,7 @@ def _kernel(df: DataFrame, cols: list, order_by, by, f, kind: str) -> DataFrame:
         return out
 
     schema = ", ".join([*(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by), kind])
-    return (slim.groupBy(*by) if by else slim.groupBy(F.lit(1))).applyInPandas(run, schema)
+    return slim.groupBy(*by).applyInPandas(run, schema)
 
 
 def lempel_ziv(b: np.ndarray) -> int:

@@ -134,13 +134,13 @@ ORD = "o_custkey, o_orderkey"
 rowwise("center", "orders", ORD, "o_totalprice - avg(o_totalprice) OVER (PARTITION BY o_custkey)", lambda: num.center("o_totalprice", "o_custkey"))
 q("z_normalize", "SELECT o_orderkey, round((o_totalprice - avg(o_totalprice) OVER w) / stddev_samp(o_totalprice) OVER w, 6) + 0.0 AS v FROM orders WINDOW w AS (PARTITION BY o_orderpriority)")(lambda t: t("orders").select("o_orderkey", r(num.z_normalize("o_totalprice", "o_orderpriority")).alias("v")))
 rowwise("softmax", LI, LK, "exp(l_tax) / sum(exp(l_tax)) OVER (PARTITION BY l_orderkey)", lambda: num.softmax("l_tax", "l_orderkey"))
-q("is_increasing", "WITH d AS (SELECT l_orderkey, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS d FROM lineitem) SELECT l_orderkey, coalesce(bool_and(d >= 0), true) AS value FROM d GROUP BY 1")(lambda t: ts.is_increasing(t(LI), "l_quantity", "l_linenumber", by="l_orderkey"))
-q("is_decreasing", "WITH d AS (SELECT l_orderkey, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS d FROM lineitem) SELECT l_orderkey, coalesce(bool_and(d < 0), true) AS value FROM d GROUP BY 1")(lambda t: ts.is_decreasing(t(LI), "l_quantity", "l_linenumber", strict=True, by="l_orderkey"))
+q("is_increasing", "WITH d AS (SELECT l_orderkey, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS d FROM lineitem) SELECT l_orderkey, coalesce(bool_and(d >= 0), true) AS value FROM d GROUP BY 1")(lambda t: ts.is_increasing(t(LI), "l_quantity", ["l_linenumber", "l_extendedprice"], by="l_orderkey"))
+q("is_decreasing", "WITH d AS (SELECT l_orderkey, l_quantity - lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS d FROM lineitem) SELECT l_orderkey, coalesce(bool_and(d < 0), true) AS value FROM d GROUP BY 1")(lambda t: ts.is_decreasing(t(LI), "l_quantity", ["l_linenumber", "l_extendedprice"], strict=True, by="l_orderkey"))
 q("detrend", "WITH d AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events), f AS (SELECT user_id, regr_slope(value, i) AS b, regr_intercept(value, i) AS a FROM d GROUP BY 1) SELECT event_id, round(value - a - b * i, 5) + 0.0 AS v FROM d JOIN f USING (user_id)")(lambda t: ts.detrend(t("events"), "value", ["ts", "event_id"], by="user_id").select("event_id", r("detrended", 5).alias("v")))
-q("integrate_trapz", "WITH d AS (SELECT l_orderkey, (l_linenumber - lag(l_linenumber) OVER w) * (l_quantity + lag(l_quantity) OVER w) / 2 AS a FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)) SELECT l_orderkey, round(coalesce(sum(a), 'nan'::DOUBLE), 6) + 0.0 AS value FROM d GROUP BY 1")(lambda t: ts.integrate_trapz(t(LI), "l_quantity", "l_linenumber", "l_orderkey").select("l_orderkey", r("value").alias("value")))
-q("convolve", "WITH d AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), k AS (SELECT * FROM (VALUES (0, 1.0), (1, 0.0), (2, -1.0)) t(j, c)) SELECT l_orderkey, i + j AS i, round(sum(l_quantity * c), 6) + 0.0 AS value FROM d, k WHERE n >= 3 GROUP BY l_orderkey, i + j")(lambda t: ts.convolve(t(LI).join(t(LI).groupBy("l_orderkey").count().filter("count >= 3"), "l_orderkey"), "l_quantity", [1.0, 0.0, -1.0], "l_linenumber", by="l_orderkey").select("l_orderkey", "i", r("value").alias("value")))
-q("rfft", "WITH d AS (SELECT l_orderkey, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS j, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), k AS (SELECT range AS i FROM range(8)) SELECT l_orderkey, i, round(sum(x * cos(-2 * pi() * i * j / n)), 5) + 0.0 AS re, round(sum(x * sin(-2 * pi() * i * j / n)), 5) + 0.0 AS im FROM d, k WHERE i <= n // 2 GROUP BY l_orderkey, i")(lambda t: ts.rfft(t(LI), "l_quantity", "l_linenumber", by="l_orderkey").select("l_orderkey", "i", r("re", 5).alias("re"), r("im", 5).alias("im")))
-q("isotonic_regression")(lambda t: ts.isotonic_regression(t(LI), "l_quantity", "l_linenumber", by="l_orderkey"))
+q("integrate_trapz", "WITH d AS (SELECT user_id, (event_id - lag(event_id) OVER w) * (value + lag(value) OVER w) / 2 AS a FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, round(coalesce(sum(a), 'nan'::DOUBLE), 3) + 0.0 AS value FROM d GROUP BY 1")(lambda t: ts.integrate_trapz(t("events"), "value", "event_id", "user_id").select("user_id", r("value", 3).alias("value")))
+q("convolve", "WITH d AS (SELECT l_orderkey, l_linenumber, l_quantity, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1 AS i, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), k AS (SELECT * FROM (VALUES (0, 1.0), (1, 0.0), (2, -1.0)) t(j, c)) SELECT l_orderkey, i + j AS i, round(sum(l_quantity * c), 6) + 0.0 AS value FROM d, k WHERE n >= 3 GROUP BY l_orderkey, i + j")(lambda t: ts.convolve(t(LI).join(t(LI).groupBy("l_orderkey").count().filter("count >= 3"), "l_orderkey"), "l_quantity", [1.0, 0.0, -1.0], ["l_linenumber", "l_extendedprice"], by="l_orderkey").select("l_orderkey", "i", r("value").alias("value")))
+q("rfft", "WITH d AS (SELECT l_orderkey, l_quantity AS x, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) - 1 AS j, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem), k AS (SELECT range AS i FROM range(8)) SELECT l_orderkey, i, round(sum(x * cos(-2 * pi() * i * j / n)), 5) + 0.0 AS re, round(sum(x * sin(-2 * pi() * i * j / n)), 5) + 0.0 AS im FROM d, k WHERE i <= n // 2 GROUP BY l_orderkey, i")(lambda t: ts.rfft(t(LI), "l_quantity", ["l_linenumber", "l_extendedprice"], by="l_orderkey").select("l_orderkey", "i", r("re", 5).alias("re"), r("im", 5).alias("im")))
+q("isotonic_regression")(lambda t: ts.isotonic_regression(t("events"), "value", "event_id", by="event_type"))
 q("add_at", "SELECT i, coalesce(s, 0.0) AS value FROM (SELECT range AS i FROM range(30)) LEFT JOIN (SELECT c_nationkey AS i, round(sum(c_acctbal), 4) + 0.0 AS s FROM customer GROUP BY 1) USING (i)")(lambda t: ts.add_at(t("customer"), "c_nationkey", "c_acctbal", 30).select("i", r("value", 4).alias("value")))
 
 # --- 2.8 drift and encoding
@@ -335,7 +335,7 @@ q("pca")(lambda t: linear.pca(t(LI), "l_quantity", "l_tax", "l_discount"))
 q("principal_components", "WITH m AS (SELECT avg(l_quantity) AS m, avg(l_linenumber) AS n, covar_pop(l_quantity, l_linenumber) AS c, var_pop(l_quantity) AS a, var_pop(l_linenumber) AS b FROM lineitem), v AS (SELECT m, n, c, ((a + b) + sqrt((a - b) ** 2 + 4 * c * c)) / 2 - b AS u FROM m), w AS (SELECT m, n, u / sqrt(u * u + c * c) AS x, c / sqrt(u * u + c * c) AS y FROM v) SELECT l_orderkey, l_linenumber, round((l_quantity - m) * x + (l_linenumber - n) * y, 4) + 0.0 AS pc1 FROM lineitem, w")(lambda t: linear.principal_components(t(LI), "l_quantity", "l_linenumber", k=1).select("l_orderkey", "l_linenumber", r("pc1", 4).alias("pc1")))
 
 # --- 2.16 spline, survival, combinatorics
-q("smooth_spline")(lambda t: ts.smooth_spline(t(LI), "l_linenumber", "l_quantity", 0.5, by="l_orderkey"))
+q("smooth_spline")(lambda t: ts.smooth_spline(t("events"), "event_id", "value", 0.5, by="user_id"))
 q("query_kaplan_meier_prob", "WITH d AS (SELECT date_diff('day', o_orderdate, l_shipdate)::DOUBLE AS t, (l_linestatus = 'F')::INT AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey), c AS (SELECT t, sum(s)::DOUBLE AS s, count(*)::DOUBLE AS n FROM d GROUP BY 1), f AS (SELECT t, 1 - s / sum(n) OVER (ORDER BY t DESC) AS p FROM c) SELECT t, round(CASE WHEN max((p <= 0)::INT) OVER w = 1 THEN 0 ELSE exp(sum(CASE WHEN p > 0 THEN ln(p) END) OVER w) END, 6) + 0.0 AS prob FROM f WINDOW w AS (ORDER BY t)")(lambda t: misc.query_kaplan_meier_prob(t(LI).join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("t", F.datediff("l_shipdate", "o_orderdate")), "l_linestatus = 'F'", "t").select("t", r("prob").alias("prob")))
 q("product", "SELECT [a.r_name, b.r_name] AS pair FROM region a, region b")(lambda t: misc.product(t("region"), "r_name", "r_name"))
 q("combinations", "SELECT [a.n_name, b.n_name] AS values FROM nation a JOIN nation b ON a.n_name < b.n_name")(lambda t: misc.combinations(t("nation"), "n_name", 2, unique=True))
