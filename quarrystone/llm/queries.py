@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, html_extract, line_dedup, mixing, order_minhash, quality, token_output, url_filter
+from . import attention_lm, chat, decontaminate, html_extract, line_dedup, mixing, order_minhash, quality, token_output, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -105,6 +105,13 @@ def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("digest")
 
 
+# --- 7
+
+def op7_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = attention_lm.train_and_score(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 # --- 8
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +137,7 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_line_dedup, op4_format_chats, op5_token_output, op6_near_duplicates, op8_decontaminate, op9_quality_rules, op10_main_text)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_line_dedup, op4_format_chats, op5_token_output, op6_near_duplicates, op7_lm_scores, op8_decontaminate, op9_quality_rules, op10_main_text)}
 
 
 def oracle_sql() -> dict[str, str]:
