@@ -16,6 +16,7 @@ A reader fetches the table from the end of the file, the index, and then only th
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -36,7 +37,7 @@ INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NULL_ID = -(1 << 63)
 FRAME_BYTES = 1 << 20
 #: Chunks of text whose ids a worker remembers; then it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 700_000
 _ENTRY = struct.Struct("<III")
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n", "<u8"), ("crc", "<u4"), ("zero", "<u4")])
 
@@ -187,7 +188,19 @@ class ChunkEncoder:
         return [self._alone(c) if parts is None else b"".join([units[u] for u in parts]) for c, parts in zip(chunks, cut)]
 
     def encode(self, texts: Sequence[str | None]) -> list[bytes]:
-        """Ids of each text, with the end id, as little-endian bytes; null: empty."""
+        """Ids of each text, with the end id, as little-endian bytes; null: empty.
+
+        Nothing here makes cycles, so the collector rests: it would walk the lists of chunks again and again.
+        """
+        on = gc.isenabled()
+        gc.disable()
+        try:
+            return self._encode(texts)
+        finally:
+            if on:
+                gc.enable()
+
+    def _encode(self, texts: Sequence[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         if len(self.units) > REMEMBERED:
@@ -242,7 +255,7 @@ def write_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 1, id_col: st
 
         shard, attempt = TaskContext.get().partitionId(), TaskContext.get().taskAttemptId()
         writer = out = None
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", 4_000_000):
             if writer is None:
                 fs, root = _open_fs(path)
                 fs.create_dir(root, recursive=True)
