@@ -175,8 +175,9 @@ class ChunkEncoder:
     def _pieces(self, chunks: list[str]) -> list[bytes]:
         cut, units = [], self.units
         for c in chunks:
-            parts = _UNITS.findall(c.lower())
-            cut.append(parts if sum(map(len, parts)) == len(c) else None)
+            low = c.lower()
+            parts = _UNITS.findall(low)
+            cut.append(parts if sum(map(len, parts)) == len(low) else None)
         new = list({u for parts in cut if parts for u in parts if u not in units})
         for i in range(0, len(new), 2048):
             part = new[i : i + 2048]
