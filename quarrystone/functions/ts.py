@@ -262,7 +262,7 @@ def sample_entropy(x: np.ndarray, ratio: float = 0.2, m: int = 2) -> float:
     if len(x) < m + 2:
         return NAN
     r = ratio * x.std()
-    b = _close(_embed(x[:-1], m), r).sum() - (len(x) - m)
+    b = _close(_embed(x, m), r).sum() - (len(x) - m + 1)
     a = _close(_embed(x, m + 1), r).sum() - (len(x) - m)
     return math.log(b / a) if a > 0 and b > 0 else NAN
 

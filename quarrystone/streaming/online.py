@@ -12,11 +12,11 @@ from ..operators.linear import OnlineLR
 def windowed(stream: DataFrame, ts: str, agg: list[Column], every: str, watermark: str, period: str | None = None, by: list[str] | None = None) -> DataFrame:
     """Aggregates over tumbling or sliding windows; rows later than the watermark are dropped, state is bounded by it."""
     w = F.window(ts, period or every, every)
-    return stream.withWatermark(ts, watermark).groupBy(w, *(by or [])).agg(*agg)
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).groupBy(w, *(by or [])).agg(*agg)
 
 
 def session_windowed(stream: DataFrame, ts: str, agg: list[Column], gap: str, watermark: str, by: list[str] | None = None) -> DataFrame:
-    return stream.withWatermark(ts, watermark).groupBy(F.session_window(ts, gap), *(by or [])).agg(*agg)
+    return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).groupBy(F.session_window(ts, gap), *(by or [])).agg(*agg)
 
 
 def online_regression(stream: DataFrame, model: OnlineLR, features: list[str], target: str, checkpoint: str, name: str | None = None) -> StreamingQuery:
