@@ -5,7 +5,8 @@ around every long line.  Boundaries hang on nearby lines only, so text inserted
 inside it.  A chunk of two lines or more, or one long line, that stands anywhere before (in the order of document id,
 digest of the text, place) is removed.
 
-Chunks are first matched by hash; chunks of repeated hashes are then grouped by their bytes.
+Chunks are first matched by hash; chunks of repeated hashes are then grouped by their bytes.  Texts cross the network
+compressed, and twice: to their repeated places, and to the lines that go.
 """
 
 from __future__ import annotations
@@ -14,16 +15,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import free_name, mix, slices, span_hashes, spans, stage, table_of, texts_of
+from .common import free_name, mix, slices, span_hashes, spans, stage, texts_of
 
 #: A chunk has this many lines on average where no line is long.
 MEAN_LINES = 4
 #: Words that make a line long, and words that a chunk must have to be removed.
 LONG_WORDS, LEAST_WORDS = 25, 10
-_LINE_BYTES = table_of(b"\n")
 
 
 def chunks_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -64,18 +66,48 @@ def chunks_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    kinds = {"doc_id": pa.int64(), "digest": pa.binary(), "first": pa.int32(), "after": pa.int32(), "hash": pa.int64(), "body": pa.string()}
-
+    """Place and hash of every chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            raw, at = texts_of(part.column("text"))
-            doc, first, after, a, b, h = chunks_of(raw, at)
-            data = raw.tobytes()
-            body = pa.array([data[i:j] for i, j in zip(a.tolist(), b.tolist())], pa.binary()).cast(pa.string())
+            doc, first, after, _, _, h = chunks_of(*texts_of(part.column("text")))
             take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("digest").take(take), pa.array(first, pa.int32()), pa.array(after, pa.int32()), pa.array(h.view(np.int64)), body], schema=pa.schema(list(kinds.items())))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("digest").take(take), pa.array(first, pa.int32()), pa.array(after, pa.int32()), pa.array(h.view(np.int64))], names=["doc_id", "digest", "first", "after", "hash"])
+
+    return docs.mapInArrow(run, "doc_id long, digest binary, first int, after int, hash long")
+
+
+def _packed(docs: DataFrame, column: str) -> DataFrame:
+    """The rows with the text column compressed: texts cross the network so."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == column else f for f in docs.schema.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=1)
+        for part in slices(batches, column):
+            z = pa.array([None if t is None else packer.compress(t.encode()) for t in part.column(column).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([z if n == column else part.column(n) for n in part.schema.names], names=part.schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def _unpack(z: bytes | None) -> str | None:
+    return None if z is None else zstandard.ZstdDecompressor().decompress(z).decode()
+
+
+def _bodies(marked: DataFrame) -> DataFrame:
+    """The texts of the chunks at the places of each row."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                rows = []
+                for d, g, z, places in zip(*(part.column(c).to_pylist() for c in ("doc_id", "digest", "z", "places"))):
+                    lines = _unpack(z).split("\n")
+                    rows += [(d, g, p["first"], p["after"], "\n".join(lines[p["first"] : p["after"]])) for p in places]
+                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string())
+                cols = list(zip(*rows)) or [[]] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "digest", "first", "after", "body"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, first int, after int, hash long, body string")
+    return marked.mapInArrow(run, "doc_id long, digest binary, first int, after int, body string")
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -86,25 +118,38 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     first; an empty table gives an empty result.  Existing columns of the new names push underscores before the new ones.
     """
     new = {n: free_name(docs, n) for n in ("kept_text", "n_lines", "n_removed_lines", "n_removed_chars")}
-    slim = docs.filter(F.col(f"`{text_col}`").isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(F.col(f"`{text_col}`"))).alias("digest"), F.col(f"`{text_col}`").alias("text"))
+    names = {n: free_name(docs, n) for n in ("r_id", "r_digest", "r_lines", "digest")}
+    text = F.col(f"`{text_col}`")
+    slim = docs.filter(text.isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
     chunks = stage(_chunks(slim), "chunks")
     place = F.struct("doc_id", "digest", "first")
     repeated = chunks.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("NOT (lo <=> hi)").select("hash")
-    some = chunks.join(repeated, "hash", "left_semi")
+    places = chunks.join(repeated, "hash", "left_semi").groupBy(F.col("doc_id").alias("p_id"), F.col("digest").alias("p_digest")).agg(F.collect_set(F.struct("first", "after")).alias("places"))
+    z = _packed(slim, "text").withColumnRenamed("text", "z")
+    marked = z.join(places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("digest") == F.col("p_digest"))).select("doc_id", "digest", "z", "places")
+    some = stage(_bodies(marked), "bodies")
+    # equal bytes
     equal = some.groupBy("body").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("NOT (lo <=> hi)").select("body", "lo")
-    removed = some.join(equal, "body").filter(~place.eqNullSafe(F.col("lo"))).groupBy(F.col("doc_id").alias("r_id"), F.col("digest").alias("r_digest")).agg(F.collect_set(F.struct("first", "after")).alias("r_lines"))
-    names = {n: free_name(docs, n) for n in ("r_id", "r_digest", "r_lines", "digest", "lines", "left")}
+    removed = some.select("doc_id", "digest", "first", "after", "body").join(equal, "body").filter(~place.eqNullSafe(F.col("lo"))).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "after")).alias("r_lines"))
     removed = removed.toDF(names["r_id"], names["r_digest"], names["r_lines"])
-    text, gone, lines = F.col(f"`{text_col}`"), F.col(names["r_lines"]), F.col(names["lines"])
-    out = docs.withColumn(names["digest"], F.unhex(F.md5(text))).join(removed, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(names["r_id"])) & (F.col(names["digest"]) == F.col(names["r_digest"])), "left")
-    out = out.withColumn(names["lines"], F.split(text, "\n"))
-    out = out.withColumn(names["left"], F.when(gone.isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~F.exists(gone, lambda r: (i >= r["first"]) & (i < r["after"])))))
-    left = F.col(names["left"])
-    kept = F.when(gone.isNull(), text).otherwise(F.array_join(left, "\n"))
-    return out.select(
-        *(F.col(f"`{c}`") for c in docs.columns),
-        kept.alias(new["kept_text"]),
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias(new["n_lines"]),
-        F.coalesce(F.size(lines) - F.size(left), F.lit(0)).cast("long").alias(new["n_removed_lines"]),
-        F.coalesce(F.char_length(text) - F.char_length(kept), F.lit(0)).cast("long").alias(new["n_removed_chars"]),
-    )
+    out = _packed(docs.withColumn(names["digest"], F.unhex(F.md5(text))), text_col).join(removed, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(names["r_id"])) & (F.col(names["digest"]) == F.col(names["r_digest"])), "left")
+    out = out.select(*(F.col(f"`{c}`") for c in docs.columns), F.col(names["r_lines"]))
+    schema = T.StructType([*docs.schema.fields, T.StructField(new["kept_text"], T.StringType()), *(T.StructField(new[n], T.LongType()) for n in ("n_lines", "n_removed_lines", "n_removed_chars"))])
+
+    def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                texts = [_unpack(x) for x in part.column(text_col).to_pylist()]
+                kept, counts = [], []
+                for t, gone in zip(texts, part.column(names["r_lines"]).to_pylist()):
+                    lines = [] if t is None else t.split("\n")
+                    cut = {k for p in gone or () for k in range(p["first"], p["after"])}
+                    kept.append(t if not cut else "\n".join(x for k, x in enumerate(lines) if k not in cut))
+                    counts.append((len(lines), len(cut), len(t or "") - len(kept[-1] or "")))
+                cols = [pa.array(texts, pa.string()) if n == text_col else part.column(n) for n in docs_columns]
+                n = [pa.array([c[k] for c in counts], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array(kept, pa.string()), *n], names=[*docs_columns, *new.values()])
+
+    docs_columns = docs.columns
+    return out.mapInArrow(rebuild, schema)
