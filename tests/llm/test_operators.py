@@ -305,7 +305,7 @@ def test_lm_scores_each_word_once_and_sums_to_one():
     chain = attention_lm.Chain(key, c, np.bincount(before, minlength=size), np.bincount(after, minlength=size))
     p = 10 ** chain.log10(np.full(size, 5), np.arange(size))
     assert p.sum() == pytest.approx(1.0)
-    model = attention_lm.Model(path, np.zeros(0, np.uint64), np.zeros(0, np.int64), chain, 10, 5, attention_lm.Attention())
+    model = attention_lm.Model(path, [], np.zeros(0, np.int64), chain, 10, 5, attention_lm.Attention())
     texts = pa.array([" ".join(f"w{i}" for i in range(k)) for k in (0, 1, 15, 16, 17, 100)])
     raw, b, e, h, first = attention_lm._words(texts)
     found = model.look_up(raw, b, e, h)
