@@ -5,14 +5,12 @@ hash functions, the few smallest labelled shingles are taken and kept in text or
 sequence are candidates, likelier the less one must edit to turn one into the other.  Candidates are
 verified by alignment: with ``m`` shingles matched in order, similarity is ``m / (a + b - m)``.
 
-Links are single linkage: a class is a connected component of verified links.  Within a bucket pairs are not all
-enumerated.  Exact copies stand behind one text.  A text's shingles that no other candidate has bound its similarity
-to all others; texts that the bound rules out leave the bucket.  Of the rest, each round takes the text with the best
-bound as leader and aligns it with every other.  What two members can share beyond the leader's shingles are shingles
-that the leader lacks, so pairs of members meet only over those, and only if they and the leader's own could
-be enough.  Members whose share of the leader alone could be enough, though they are not linked to it, stay for the next
-round.  So no candidate link that could join two classes is left out, and a group of many near copies of a text
-costs one alignment a copy, not one a pair.
+Links are single linkage: a class is a connected component of verified links.  Within a bucket no pairs are enumerated.
+Exact copies stand behind one text.  A text's shingles that no other candidate has bound its similarity to all
+others; texts that the bound rules out leave the bucket.  Of the rest, rounds take the text with the
+best bound, verify it against those that are not yet in its class, and merge classes.  What two rounds leave open, texts
+of different classes that the bound still allows to be similar, is compared pair by pair, if it agrees in two
+sequences: a group of many near copies of a text costs one comparison a copy, and pairs only on its fringe.
 """
 
 from __future__ import annotations
@@ -31,8 +29,9 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, TAKEN, TAKEN_SHORT = 24, 5, 2
 #: Texts of up to the second number of shingles use short sequences, those from the first number on long ones: every similar pair shares a kind.
 SHORT = (16, 25)
-#: Rounds of one leader a bucket; members that are still open then are compared with all others of their bucket.
-ROUNDS = 3
+#: Rounds of one leader a bucket; of what is still open then, texts of different classes that agree in AGREE sequences are compared.
+ROUNDS = 2
+AGREE = 2
 _ODD = mix(np.arange(1, 1 + 2 * BANDS, dtype=np.uint64)) | np.uint64(1)
 _LOW, _HIGH, _MAX = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -148,34 +147,24 @@ def _shingles(texts: DataFrame) -> DataFrame:
     return texts.select("rid", "text").mapInArrow(run, "rid long, shingles array<long>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, least: float, with_rest: bool = False) -> DataFrame:
-    """(a, b, ok) of the pairs (a, b); with_rest: also n of b, m shingles common to both, and the shingles that only b has."""
+def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
+    """The pairs (a, b) whose texts are similar."""
     joined = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: tuple = (None, None, None)
+        known: tuple = (None, None)
         for part in slices(batches, "text_b"):
-            ok, common, rest = [], [], []
+            out_a, out_b = [], []
             h, before = labelled(*texts_of(part.column("text_b")))
-            for i, a in enumerate(part.column("a").to_pylist()):
+            for i, (a, b) in enumerate(zip(part.column("a").to_pylist(), part.column("b").to_pylist())):
                 if known[0] != a:
-                    own = labelled(*texts_of(part.column("text_a").slice(i, 1)))[0]
-                    known = (a, own.tolist(), np.sort(own))
-                other = h[before[i] : before[i + 1]]
-                at = np.minimum(np.searchsorted(known[2], other), max(len(known[2]) - 1, 0))
-                both = known[2][at] == other if len(known[2]) else np.zeros(len(other), bool)
-                m = int(both.sum())
-                # the order can only take matches away
-                ok.append(m >= least * (len(known[1]) + len(other) - m) - 1e-9 and similarity(known[1], other.tolist(), least) >= least)
-                if with_rest:
-                    common.append(m)
-                    rest.append(other[~both].view(np.int64))
-            cols = {"a": part.column("a"), "b": part.column("b"), "ok": pa.array(ok, pa.bool_())}
-            if with_rest:
-                cols |= {"n": pa.array(np.diff(before), pa.int64()), "m": pa.array(common, pa.int64()), "rest": pa.array(rest, pa.list_(pa.int64()))}
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
-
-    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, ok boolean" + ", n long, m long, rest array<long>" * with_rest)
+                    known = (a, labelled(*texts_of(part.column("text_a").slice(i, 1)))[0].tolist())
+                if similarity(known[1], h[before[i] : before[i + 1]].tolist(), least) >= least:
+                    out_a.append(a)
+                    out_b.append(b)
+            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+
+    return joined.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -210,14 +199,14 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     entries = stage(keyed.select("rid", "n", F.explode("bands").alias("k")).distinct(), "entries")
     shared = entries.groupBy("k").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo < hi").select("k")
     active = stage(entries.join(shared, "k"), "buckets")
-    links = _linked(active, reps, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), least)
+    links = _linked(active, entries.groupBy("rid").agg(F.collect_list("k").alias("bands")), reps, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), least)
     named = reps.select("digest", "rid").join(links, F.col("rid") == F.col("node"), "left").select("digest", F.coalesce("comp", "rid").alias("comp"))
     members = slim.select("doc_id", "digest").join(named, "digest")
     sizes = members.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return members.join(sizes, "comp").select(F.col("doc_id").alias(id_col), "digest", "class_id", "class_size")
 
 
-def _linked(active: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def _linked(active: DataFrame, sequences: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """(node, comp) of all texts that verified links join to another."""
     spark = active.sparkSession
     wanted = active.select("rid").distinct().join(reps.select("rid", "digest", "first"), "rid")
@@ -233,60 +222,36 @@ def _linked(active: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -
     own = _shingles(texts).select("rid", F.explode("shingles").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c"), F.min("rid").alias("rid")).filter("c = 1").groupBy("rid").agg(F.count(F.lit(1)).alias("own"))
     bounded = active.join(own, "rid", "left").select("k", "rid", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("u"))
     left = stage(_possible(bounded, least), "open")
-    left = left.withColumn("alive", F.lit(True))
     comp: DataFrame | None = None
     edges: DataFrame | None = None
-
-    def classed(df: DataFrame, rid: str, name: str) -> DataFrame:
-        if comp is None:
-            return df.withColumn(name, F.col(rid))
-        return df.join(comp.select(F.col("node").alias("c_node"), F.col("comp").alias(name)), F.col(rid) == F.col("c_node"), "left").drop("c_node").withColumn(name, F.coalesce(name, rid))
-
-    def link(pairs: DataFrame) -> None:
-        nonlocal comp, edges
-        new = pairs.filter("ok").select("a", "b")
-        if not new.isEmpty():
-            edges = new if edges is None else edges.union(new)
-            comp = components(edges)
-
     for turn in range(ROUNDS + 1):
-        left = classed(left, "rid", "comp")
-        # buckets in which more than one class is left, and a member that is not done
-        lead = F.max(F.struct("alive", (F.col("u") / F.col("n")).alias("share"), "rid"))
-        open_ = left.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("n_min"), lead.alias("best")).filter("lo < hi AND best.alive").select("k", "n_min", F.col("best.rid").alias("leader"))
-        met = stage(left.join(open_, "k"), "round")
+        if comp is not None:
+            left = left.drop("comp").join(comp, F.col("rid") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("comp", "rid"))
+        else:
+            left = left.withColumn("comp", F.col("rid"))
+        # buckets in which more than one class is left
+        open_ = left.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct((F.col("u") / F.col("n")).alias("share"), F.col("u"), F.col("rid"), F.col("comp"))).alias("best")).filter("lo < hi").select("k", F.col("best.rid").alias("leader"), F.col("best.comp").alias("leader_comp"), F.col("best.u").alias("leader_u"), (F.col("best.u") / F.col("best.share")).alias("leader_n"))
+        met = left.join(open_, "k")
+        met = stage(met, "round")
         if met.isEmpty():
             break
-        if turn == ROUNDS:
-            side = lambda t: met.select("k", *(F.col(c).alias(f"{t}_{c}") for c in ("rid", "n", "u", "comp", "alive")))
-            x, y = side("x").filter("x_alive"), side("y")
-            # of two that are alive, the pair is looked at once
-            pairs = x.join(y, (x["k"] == y["k"]) & (F.col("x_comp") != F.col("y_comp")) & (~F.col("y_alive") | (F.col("x_rid") < F.col("y_rid"))) & _may("x_u", "x_n", "y_u", "y_n", least))
-            link(stage(_verified(pairs.select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b")).distinct(), texts, least), "links"))
-            break
-        pairs = met.filter("rid <> leader").select(F.col("leader").alias("a"), F.col("rid").alias("b")).distinct()
-        found = stage(_verified(pairs, texts, least, True), "links")
-        link(found)
-        link(stage(_verified(_over_rest(classed(found, "b", "c"), least), texts, least), "links"))
-        # who could be similar to another by the leader's shingles alone, and is not in the leader's class
-        enough = F.col("m") >= least * (F.col("n") + F.col("n_min")) / (1 + least) - 1e-9
-        known = found.select(F.col("a").alias("leader"), F.col("b").alias("rid"), "m")
-        after = classed(classed(met.drop("comp").filter("rid <> leader").join(known, ["leader", "rid"]), "rid", "mine"), "leader", "its")
-        left = after.select("k", "rid", "n", "u", (F.col("alive") & enough & (F.col("mine") != F.col("its"))).alias("alive"))
+        if turn < ROUNDS:
+            pairs = met.filter("comp <> leader_comp").filter(_may("u", "n", "leader_u", "leader_n", least)).select(F.col("leader").alias("a"), F.col("rid").alias("b"))
+            left = met.filter("rid <> leader").select("k", "rid", "n", "u", "comp")
+        else:
+            # a text's open buckets are not all that it shares with another, so its sequences come along
+            full = stage(met.join(sequences, "rid"), "fringe")
+            side = lambda t: full.select("k", *(F.col(c).alias(f"{t}_{c}") for c in ("rid", "n", "u", "comp", "bands")))
+            x, y = side("x"), side("y")
+            agree = F.size(F.array_intersect("x_bands", "y_bands")) >= AGREE
+            pairs = x.join(y, (x["k"] == y["k"]) & (F.col("x_rid") < F.col("y_rid")) & (F.col("x_comp") != F.col("y_comp")) & _may("x_u", "x_n", "y_u", "y_n", least) & agree).select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b"))
+        found = stage(_verified(pairs.distinct(), texts, least), "links")
+        if not found.isEmpty():
+            edges = found if edges is None else edges.union(found)
+            comp = components(edges)
     return spark.createDataFrame([], "node long, comp long") if comp is None else comp
 
 
-def _over_rest(found: DataFrame, least: float) -> DataFrame:
-    """Pairs of members of one leader, of different classes, that could be similar by shingles that the leader lacks."""
-    rest = found.select("a", "b", "n", "m", "c", F.explode("rest").alias("s"))
-    mixed = rest.groupBy("a", "s").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("a", "s")
-    rest = stage(rest.join(mixed, ["a", "s"]), "rest")
-    other = rest.select("a", "s", *(F.col(c).alias(f"{c}2") for c in ("b", "n", "m", "c")))
-    pairs = rest.join(other, ["a", "s"]).filter("b < b2 AND c <> c2").groupBy("a", "b", "b2").agg(F.count(F.lit(1)).alias("both"), F.first("n").alias("n"), F.first("n2").alias("n2"), F.first("m").alias("m"), F.first("m2").alias("m2"))
-    most = F.least("m", "m2") + F.col("both")
-    return pairs.filter(most >= least * (F.col("n") + F.col("n2")) / (1 + least) - 1e-9).select(F.col("b").alias("a"), F.col("b2").alias("b")).distinct()
-
-
 def _may(u: str, n: str, v: str, m: str, least: float):
     """Whether two texts' shared shingles (at most the smaller of u and v) allow the similarity."""
     most = F.least(F.col(u), F.col(v))
