@@ -49,7 +49,9 @@ def with_stats(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, dict
         left_out(r"[\x20\x09-\x0D]+").cast("long").alias(names["word_chars"]),
         (n_chars - left_out(r"[#*$%&|<>]+")).cast("long").alias(names["n_symbols"]),
         (F.size(c["lines"]) - F.size(F.array_distinct(c["lines"]))).cast("long").alias(names["n_dup_lines"]),
-        F.coalesce(covered, F.lit(0)).cast("long").alias(names["n_repeat_words"]),
+        # tied to a row number that changes nothing: else a filter on any statistic would be pushed below this step, and
+        # all steps before it written out again in each place that uses them
+        F.when(F.monotonically_increasing_id() >= 0, F.coalesce(covered, F.lit(0)).cast("long")).alias(names["n_repeat_words"]),
         _rate(F.size(c["lines"]) - F.size(F.array_distinct(c["lines"])), F.size(c["lines"])).alias(names["dup_line_rate"]),
         _rate(F.size(F.array_distinct(c["words"])), F.size(c["words"])).alias(names["distinct_rate"]),
     )
@@ -189,11 +191,6 @@ def judge(docs: DataFrame, rules: DecisionList, *, text_col: str = "text") -> Da
 
 
 def keep(docs: DataFrame, rules: DecisionList, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns only.
-
-    The verdict is tied to a row number that changes nothing: a filter on plain expressions would be pushed below
-    the columns it reads, and every statistic written out again in each place that uses it.
-    """
+    """The rows of ``docs`` that are kept, with their columns only."""
     judged = judge(docs, rules, text_col=text_col)
-    kept = judged.columns[-1]
-    return judged.withColumn(kept, F.col(kept) & (F.monotonically_increasing_id() >= 0)).filter(F.col(kept)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    return judged.filter(F.col(judged.columns[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))
