@@ -296,6 +296,17 @@ def test_lm_base_and_coverage(spark):
     assert all(r["_score"] < 0 for r in got)
 
 
+def test_lm_scores_hang_on_no_cap(spark, monkeypatch):
+    rng = random.Random(9)
+    df = spark.createDataFrame([(i, words(rng, rng.randint(0, 60))) for i in range(50)] + [(50, None), (51, "x é"), (51, "x é"), (None, "unseen")], "doc_id long, text string")
+    score = lambda: sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in attention_lm.train_and_score(df, queries.tokenizer_path()).collect())
+    want = score()
+    for words_kept, pairs_kept in ((3, 5), (0, 0)):
+        monkeypatch.setattr(attention_lm, "FREQUENT", words_kept)
+        monkeypatch.setattr(attention_lm, "PAIRS", pairs_kept)
+        assert score() == want
+
+
 def test_lm_scores_each_word_once_and_sums_to_one():
     path = queries.tokenizer_path()
     ids = attention_lm.ids_of(["ab", "cd", "efgh"], path)
