@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +33,7 @@ def _render(c: Column) -> str:
 
 @dataclass
 class Step:
-    """``kind``: select, with, filter, sql, sort, group, dynamic, explode, drop, rename; the rest are its arguments, as text."""
+    """``kind``: select, with, filter, sql, sort, group, dynamic, explode, drop, rename, join; the rest are its arguments, as text."""
 
     kind: str
     args: dict = field(default_factory=dict)
@@ -65,6 +65,8 @@ class Step:
             return df.drop(*a["cols"])
         if self.kind == "rename":
             return df.withColumnsRenamed(a["mapping"])
+        if self.kind == "join":
+            return transforms.Joined(**a).apply(df)
         raise ValueError(self.kind)
 
 
@@ -88,8 +90,10 @@ class FitStep:
 
     def fit(self, df: DataFrame) -> list[Step]:
         exprs = self.func(df, self.cols, **self.kwargs) if self.cols is not None else self.func(df, **self.kwargs)
+        joins = [Step("join", asdict(e)) for e in exprs if isinstance(e, transforms.Joined)]
+        exprs = [e for e in exprs if not isinstance(e, transforms.Joined)]
         step = Step("select", {"exprs": [_sql(e) for e in exprs]}) if self.kind == "select" else Step("with", {"exprs": [_named(e) for e in exprs]})
-        return [step] + ([Step("drop", {"cols": self.drop})] if self.drop else [])
+        return [step, *joins] + ([Step("drop", {"cols": self.drop})] if self.drop else [])
 
 
 def _named(e: str | Column) -> dict:
@@ -263,13 +267,13 @@ class Blueprint:
         return self.drop([col]) if drop_cols else self
 
     def target_encode(self, cols=None, target: str | None = None, min_samples_leaf: int = 20, smoothing: float = 10.0, default=None) -> Blueprint:
-        return self._fit(transforms.target_encode, _strings(self.df) if cols is None else cols, target=self._get_target(target), min_samples_leaf=min_samples_leaf, smoothing=smoothing, default=default)
+        return self._fit(transforms.target_encode, _strings(self.df) if cols is None else cols, target=self._get_target(target), min_samples_leaf=min_samples_leaf, smoothing=smoothing, default=default, joined=True)
 
     def woe_encode(self, cols=None, target: str | None = None, default=None) -> Blueprint:
-        return self._fit(transforms.woe_encode, _strings(self.df) if cols is None else cols, target=self._get_target(target), default=default)
+        return self._fit(transforms.woe_encode, _strings(self.df) if cols is None else cols, target=self._get_target(target), default=default, joined=True)
 
     def iv_encode(self, cols=None, target: str | None = None, default=None) -> Blueprint:
-        return self._fit(transforms.iv_encode, _strings(self.df) if cols is None else cols, target=self._get_target(target), default=default)
+        return self._fit(transforms.iv_encode, _strings(self.df) if cols is None else cols, target=self._get_target(target), default=default, joined=True)
 
     def with_columns(self, *exprs) -> Blueprint:
         return self._add("with", exprs=[_named(e) for e in exprs])

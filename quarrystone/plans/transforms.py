@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import itertools
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..core.col import dbl, finite, quantile, total
@@ -95,22 +96,61 @@ def rank_hot_encode(col: str, ranking: list[str], default_rank: int | None = Non
     return [(rank >= i).cast("tinyint").alias(f"{col}>={ranking[i]}") for i in range(1, len(ranking))]
 
 
-def _encoded(c: str, table: DataFrame, default: str | float | None) -> Column:
-    m = {r[0]: float(r[1]) for r in table.limit(MAX_LITERALS).collect()}
-    d = {"null": None, "zero": 0.0, "mean": sum(m.values()) / len(m) if m else None}.get(default, default) if isinstance(default, str) else default
+@dataclass
+class Joined:
+    """An encoding with more values than literals are used for: a table joined by value.  Values are kept as text with their type."""
+
+    name: str
+    kind: str
+    values: list[str]
+    codes: list[float | None]
+    default: float | None
+
+    def table(self, spark: SparkSession) -> DataFrame:
+        text = spark.createDataFrame(list(zip(self.values, self.codes)), "v_ string, code_ double")
+        return text.select((F.unbase64("v_") if self.kind == "binary" else F.col("v_").cast(self.kind)).alias("v_"), "code_")
+
+    def column(self, spark: SparkSession) -> Column:
+        # values are distinct: max is the one code
+        found = self.table(spark).where(F.col("v_") == F.col(self.name).outer()).select(F.max("code_")).scalar()
+        return self._or_default(F.col(self.name), found).alias(self.name)
+
+    def apply(self, df: DataFrame) -> DataFrame:
+        table = self.table(df.sparkSession)
+        out = df.join(table, df[self.name] == table["v_"], "left")
+        return out.select(*(self._or_default(df[c], table["code_"]).alias(c) if c == self.name else df[f"`{c}`"] for c in df.columns))
+
+    def _or_default(self, value: Column, code: Column) -> Column:
+        return F.when(value.isNotNull(), F.coalesce(code, F.lit(self.default).cast("double")))
+
+
+def _encoded(c: str, table: DataFrame, default: str | float | None, joined: bool) -> Column | Joined:
+    rows = table.limit(MAX_LITERALS + 1).collect()
+    large = len(rows) > MAX_LITERALS
+    if large:
+        value, code = table.columns
+        kind = table.schema[value].dataType.simpleString()
+        rows = table.select(F.base64(value) if kind == "binary" else F.col(value).cast("string"), code).collect()
+    m = {r[0]: None if r[1] is None else float(r[1]) for r in rows}
+    d = {"null": None, "zero": 0.0, "mean": sum(m.values()) / len(m) if m and default == "mean" else None}.get(default, default) if isinstance(default, str) else default
+    if large:
+        j = Joined(c, kind, list(m), list(m.values()), None if d is None else float(d))
+        return j if joined else j.column(table.sparkSession)
     return lookup(c, m, F.lit(d).cast("double")).alias(c)
 
 
-def target_encode(df: DataFrame, cols: list[str], /, target: str, min_samples_leaf: int = 20, smoothing: float = 10.0, default: str | float | None = "null") -> list[Column]:
-    return [_encoded(c, encode.target_encode(df, c, target, min_samples_leaf, smoothing), default) for c in cols]
+# joined: encodings of more than MAX_LITERALS values come as Joined instead of as expressions with a subquery, which can't be stored
 
+def target_encode(df: DataFrame, cols: list[str], /, target: str, min_samples_leaf: int = 20, smoothing: float = 10.0, default: str | float | None = "null", joined: bool = False) -> list[Column | Joined]:
+    return [_encoded(c, encode.target_encode(df, c, target, min_samples_leaf, smoothing), default, joined) for c in cols]
 
-def woe_encode(df: DataFrame, cols: list[str], /, target: str, default: str | float | None = "null") -> list[Column]:
-    return [_encoded(c, encode.woe_discrete(df, c, target), default) for c in cols]
 
+def woe_encode(df: DataFrame, cols: list[str], /, target: str, default: str | float | None = "null", joined: bool = False) -> list[Column | Joined]:
+    return [_encoded(c, encode.woe_discrete(df, c, target), default, joined) for c in cols]
 
-def iv_encode(df: DataFrame, cols: list[str], /, target: str, default: str | float | None = "null") -> list[Column]:
-    return [_encoded(c, encode.info_value_discrete(df, c, target, False), default) for c in cols]
+
+def iv_encode(df: DataFrame, cols: list[str], /, target: str, default: str | float | None = "null", joined: bool = False) -> list[Column | Joined]:
+    return [_encoded(c, encode.info_value_discrete(df, c, target, False), default, joined) for c in cols]
 
 
 def select_by_std(df: DataFrame, cols: list[str], /, min_: float, max_: float) -> list[Column]:

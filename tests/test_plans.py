@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarrystone.functions import metrics
+from quarrystone.operators import encode
 from quarrystone.operators.linear import OnlineLR
+from quarrystone.plans import transforms
 from quarrystone.plans.blueprint import Blueprint, Pipeline
 from quarrystone.plans.diagnosis import DIA, E, PartitionHelper
 from quarrystone.plans.windows import dynamic_groups
@@ -26,6 +28,23 @@ def test_pipeline_round_trip(spark):
     assert [tuple(r) for r in again.transform(new).collect()] == rows
 
 
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_encodings_of_many_values(spark, kind):
+    n = transforms.MAX_LITERALS + 500
+    df = spark.range(3 * n).select("id", (F.col("id") % n).cast(kind).alias("g"), (F.col("id") % 7 % 2).cast("double").alias("t"), F.lit("x").alias("k"))
+    new = spark.createDataFrame([(i, str(i)) for i in range(n)] + [(-1, "-5"), (-2, None)], "id long, g string").withColumn("g", F.col("g").cast(kind)).withColumn("k", F.lit("x"))
+    for name, table in (("target_encode", encode.target_encode(df, "g", "t")), ("woe_encode", encode.woe_discrete(df, "g", "t")), ("iv_encode", encode.info_value_discrete(df, "g", "t", False))):
+        codes = {int(r[0]): r[1] for r in table.collect()}
+        mean = sum(codes.values()) / n
+        pipe = getattr(Blueprint(df, target="t"), name)(["g", "k"], default="mean").materialize()
+        pipe.feature_names_out_ = ["id", "g"]
+        plain = new.select("id", getattr(transforms, name)(df, ["g"], target="t", default="mean")[0])
+        for out in (pipe.transform(new), Pipeline.from_json(pipe.to_json()).transform(new), plain):
+            got = {r.id: r.g for r in out.collect()}
+            assert got.pop(-2) is None and got.pop(-1) == pytest.approx(mean)
+            assert got == pytest.approx(codes)
+
+
 def test_linear_and_conditional_impute(spark):
     df = spark.createDataFrame([(float(i), float(i * i), None if i == 3 else float(i + i * i)) for i in range(1, 9)], "a double, b double, c double")
     out = Blueprint(df).linear_impute(["a", "b"], "c").materialize(True)[1]
