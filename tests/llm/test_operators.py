@@ -205,20 +205,51 @@ def test_shard_round_trip():
         token_output.ShardReader(io.BytesIO(bytes(bad)), len(bad)).ids(1)
 
 
-def test_encoder_equals_the_library():
+ODD_TEXTS = [
+    "Hello, wörld!! don't <|endoftext|> x1.5\n\n ÉTÉ\tstraße á Σας İ 漢字", "", None, "  a  ", "co-op_'s %% 12ab", "a<|endoftext|>b<|startoftext|>", "<|EndOfText|>",
+    "x y \u0301z", "ΑΣ ΑΣΑ", "\n", "é×÷ß ÿÀÞ×Ö", "\u00a0a\u00a0b", "naïve,ÉTÉ!!a-b_c1234%%%(10.5)", "it's we'll 'tis", "\x00\x7f ~", "ab" * 3000,
+]
+
+
+@pytest.mark.parametrize("literal", [False, True])
+def test_encoder_equals_the_library(literal):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(queries.tokenizer_path())
+    library.encode_special_tokens = literal
+    e = token_output.ChunkEncoder(queries.tokenizer_path(), 1, literal)
+    assert e.by_chunk
+    rng = random.Random(11)
+    glyphs = ["a", "B", "é", "É", "ß", "×", "1", "'", "-", "<|endoftext|>", " ", "\n", "\t", "Σ", "漢", "\u0301", "s", "\u2003"]
+    texts = ODD_TEXTS + ["".join(rng.choices(glyphs, k=rng.randint(0, 30))) for _ in range(2000)]
+    want = [np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4").tobytes() for t in texts]
+    assert e.encode(texts) == want
+    assert e.encode(texts) == want  # from memory
+    assert e.encode([]) == [] and e.encode([None]) == [b"\x01\0\0\0"]
+    assert literal or 49407 in np.frombuffer(e.encode(texts[:1])[0], "<u4")
+
+
+def test_encoder_of_long_texts_and_other_tokenizers(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     e = token_output.ChunkEncoder(queries.tokenizer_path(), 1)
-    assert e.fast
-    texts = ["Hello, wörld!! don't <|endoftext|> x1.5\n\n ÉTÉ\tstraße á Σας İ 漢字", "", None, "  a  ", "co-op_'s %% 12ab"]
-    for t, raw in zip(texts, e.encode(texts)):
-        want = e.plain.encode(t or "", add_special_tokens=False).ids + [1]
-        assert np.frombuffer(raw, "<u4").tolist() == want
+    text = "Some words, é ' 12 <|endoftext|>\n" * 40
+    monkeypatch.setattr(token_output, "SLICE", 50)
+    monkeypatch.setattr(token_output, "REMEMBERED", 5)
+    assert e.encode_long(text) == e.encode([text])[0]
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other = token_output.ChunkEncoder(path, 50256)
+    assert not other.by_chunk
+    for t in (text, "", " a  b"):
+        assert np.frombuffer(other.encode_long(t), "<u4").tolist() == [*Tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 50256] == np.frombuffer(other.encode([t])[0], "<u4").tolist()
 
 
 def test_token_output(spark):
-    rows = [(5, "Hello there"), (2, None), (9, "b " * 3000), (2, "same id"), (None, "no id")]
-    path, shards = token_output.write_shards(spark.createDataFrame(rows, "doc_id long, text string"), queries.tokenizer_path())
+    rows = [(5, "Hello there"), (2, None), (9, "b " * 3000), (2, "same id"), (None, "no id"), (-(1 << 63), "least id"), (2, "same id")]
+    path, shards = token_output.write_shards(spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, ids_crc32 int"), queries.tokenizer_path())
     got = token_output.read_shards(spark, shards, with_ids=True).orderBy("start").collect()
-    assert [r.doc_id for r in got][0] is None and sorted(r.doc_id for r in got if r.doc_id) == [2, 2, 5, 9]
+    assert [r.doc_id for r in got][0] is None and [r.doc_id for r in got][1:] == [-(1 << 63), 2, 2, 2, 5, 9]
     at = 0
     for r in got:
         assert r.start == at and r.n_tokens * 4 == len(r.ids) and r.ids_crc32 == zlib.crc32(r.ids) and r.ids[-4:] == b"\x01\0\0\0"
