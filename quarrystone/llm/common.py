@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -23,10 +22,15 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or the one that was set for checkpoints.
+
+    Where neither is set, only a session whose driver and executors are one process (local mode) goes on, in its warehouse folder.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = f"file://{tempfile.mkdtemp(prefix='checkpoints-')}"
+        if not (spark.sparkContext.master or "").startswith("local") or "cluster" in spark.sparkContext.master:
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        at = f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints"
         spark.sparkContext.setCheckpointDir(at)
     return at.rstrip("/")
 
@@ -59,7 +63,21 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     """Writes ``df`` as a table in the shared folder and reads it back: lineage ends there, lost executors cost nothing."""
     path = new_path(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _where[id(out)] = (out, path)
+    return out
+
+
+_where: dict[int, tuple[DataFrame, str]] = {}
+
+
+def free(*tables: DataFrame | None) -> None:
+    """Removes tables that ``stage`` wrote, once nothing lazy reads them any more; others are left alone."""
+    for df in tables:
+        if df is not None and (held := _where.pop(id(df), None)):
+            spark, path = df.sparkSession, held[1]
+            remove(spark, path)
+            _made.remove((spark, path))
 
 
 def free_name(df: DataFrame, name: str) -> str:

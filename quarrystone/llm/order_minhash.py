@@ -8,9 +8,11 @@ verified by alignment: with ``m`` shingles matched in order, similarity is ``m /
 Links are single linkage: a class is a connected component of verified links.  Within a bucket no pairs are enumerated.
 Exact copies stand behind one text.  A text's shingles that no other candidate has bound its similarity to all
 others; texts that the bound rules out leave the bucket.  Of the rest, rounds take the text with the
-best bound, verify it against those that are not yet in its class, and merge classes.  What two rounds leave open, texts
-of different classes that the bound still allows to be similar, is compared pair by pair, if it agrees in two
-sequences: a group of many near copies of a text costs one comparison a copy, and pairs only on its fringe.
+best bound, verify it against those that are not yet in its class, and merge classes.  What the rounds leave open, texts
+of different classes that still share a bucket, is joined under a bound from bit maps of their shingles: a pair is
+verified only if so few bits are in one map alone that the similarity is possible.  No pair at or above the similarity
+is ruled out by any of these bounds; a group of many near copies of a text costs one comparison a copy, and the pairs
+on its fringe that are nearly similar.
 """
 
 from __future__ import annotations
@@ -22,16 +24,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, mix, shingle_hashes, slices, span_hashes, spans, stage, texts_of
+from .common import free, free_name, mix, shingle_hashes, slices, span_hashes, spans, stage, texts_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Hash functions, and shingles taken for each; short texts (see ``SHORT``) take fewer.
 BANDS, TAKEN, TAKEN_SHORT = 24, 5, 2
 #: Texts of up to the second number of shingles use short sequences, those from the first number on long ones: every similar pair shares a kind.
 SHORT = (16, 25)
-#: Rounds of one leader a bucket; of what is still open then, texts of different classes that agree in AGREE sequences are compared.
+#: Rounds of one leader a bucket, before pairs that are still open meet; it changes the cost and no result.  64-bit words of a bit map.
 ROUNDS = 2
-AGREE = 2
+MAP_WORDS = 32
 _ODD = mix(np.arange(1, 1 + 2 * BANDS, dtype=np.uint64)) | np.uint64(1)
 _LOW, _HIGH, _MAX = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -147,6 +149,37 @@ def _shingles(texts: DataFrame) -> DataFrame:
     return texts.select("rid", "text").mapInArrow(run, "rid long, shingles array<long>")
 
 
+def bit_maps(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """A bit map of MAP_WORDS words for each text: the bits that its shingles' hashes choose."""
+    maps = np.zeros((len(before) - 1, MAP_WORDS * 8), np.uint8)
+    doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    bit = (mix(h) % np.uint64(MAP_WORDS * 64)).astype(np.int64)
+    np.bitwise_or.at(maps, (doc, bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    return maps.view(np.int64)
+
+
+def _maps(texts: DataFrame) -> DataFrame:
+    """rid, m0, m1, ...: the bit maps of rows (rid, text)."""
+    names = [f"m{i}" for i in range(MAP_WORDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            maps = bit_maps(*labelled(*texts_of(part.column("text"))))
+            yield pa.RecordBatch.from_arrays([part.column("rid"), *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(MAP_WORDS))], names=["rid", *names])
+
+    return texts.select("rid", "text").mapInArrow(run, "rid long, " + ", ".join(f"{n} long" for n in names))
+
+
+def _maps_may(least: float):
+    """Whether the bit maps of sides x and y allow the similarity: a bit in one map alone stands for a shingle, at least, that the other lacks."""
+    both, own = F.lit(0), {t: F.lit(0) for t in "xy"}
+    for i in range(MAP_WORDS):
+        both = both + F.bit_count(F.col(f"x_m{i}").bitwiseAND(F.col(f"y_m{i}")))
+        own = {t: c + F.bit_count(F.col(f"{t}_m{i}")) for t, c in own.items()}
+    most = F.least(*(F.col(f"{t}_n") - own[t] + both for t in "xy"))
+    return most >= least * (F.col("x_n") + F.col("y_n") - most) - 1e-9
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose texts are similar."""
     joined = pairs.join(texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a").join(texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b")
@@ -173,40 +206,52 @@ def components(edges: DataFrame) -> DataFrame:
     Each round, labels go along edges and then jump to their label's label; every round is a table in the shared folder.
     """
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    label = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
+    label = written = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
     while True:
         heard = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("heard"))
         new = label.join(heard, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
         jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
         moved = stage(new.join(jump, "comp").select("node", "old", F.least("comp", "further").alias("comp")), "labels")
+        free(written)
+        label, written = moved.select("node", "comp"), moved
         if moved.filter("old <> comp").isEmpty():
-            return moved.select("node", "comp")
-        label = moved.select("node", "comp")
+            free(both)
+            return label
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """One row for each row of ``docs``: its id, digest of its text, class_id (the smallest id of its class) and class_size.
-
-    Defined cases: null and empty texts are copies of one another; a text of fewer than five words is one shingle;
-    a text without words resembles only its exact copies; rows that repeat an id are members of their own; null ids are
-    no class's name unless a class has no other; an empty table gives an empty result.
-    """
-    slim = stage(_sketches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))), "sketches")
+def _grouped(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, digest, ...) of all documents; and of each different text its digest, smallest id, copies and component."""
+    slim = stage(_sketches(docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))), "sketches")
     # one row for each different text, with a number of its own
-    first = slim.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"))
+    first = slim.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     reps = stage(first.withColumn("rid", F.monotonically_increasing_id()), "texts")
     keyed = slim.select(F.col("digest").alias("d"), F.col("doc_id").alias("i"), "bands").join(reps, (F.col("d") == F.col("digest")) & F.col("i").eqNullSafe(F.col("first"))).select("rid", "n", "bands")
     entries = stage(keyed.select("rid", "n", F.explode("bands").alias("k")).distinct(), "entries")
     shared = entries.groupBy("k").agg(F.min("rid").alias("lo"), F.max("rid").alias("hi")).filter("lo < hi").select("k")
     active = stage(entries.join(shared, "k"), "buckets")
-    links = _linked(active, entries.groupBy("rid").agg(F.collect_list("k").alias("bands")), reps, docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), least)
-    named = reps.select("digest", "rid").join(links, F.col("rid") == F.col("node"), "left").select("digest", F.coalesce("comp", "rid").alias("comp"))
-    members = slim.select("doc_id", "digest").join(named, "digest")
-    sizes = members.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    return members.join(sizes, "comp").select(F.col("doc_id").alias(id_col), "digest", "class_id", "class_size")
+    free(entries)
+    links = _linked(active, reps, docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), least)
+    named = stage(reps.select("digest", "rid", "first", "copies").join(links, F.col("rid") == F.col("node"), "left").select("digest", "first", "copies", F.coalesce("comp", "rid").alias("comp")), "named")
+    free(active)
+    return slim, named
 
 
-def _linked(active: DataFrame, sequences: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
+    """One row for each row of ``docs``: its id, digest of its text, class_id (the smallest id of its class) and class_size.
+
+    Defined cases: null and empty texts are copies of one another; a text of fewer than five words is one shingle;
+    a text without words resembles only its exact copies; rows that repeat an id are members of their own; null ids are
+    no class's name unless a class has no other; a very long text is sketched whole, in the memory of one slice; an empty
+    table gives an empty result.  Only the id and text columns are read, so others may have any name.
+    """
+    slim, named = _grouped(docs, id_col, text_col, least)
+    # classes are summed over different texts, and every side of a join that may have a hot key is a plain table, which Spark can split
+    sizes = stage(named.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")), "sizes")
+    of_text = stage(named.join(sizes, "comp").select("digest", "class_id", "class_size"), "classes")
+    return slim.select(F.col("doc_id").alias(id_col), "digest").join(of_text, "digest").select(id_col, "digest", "class_id", "class_size")
+
+
+def _linked(active: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -> DataFrame:
     """(node, comp) of all texts that verified links join to another."""
     spark = active.sparkSession
     wanted = active.select("rid").distinct().join(reps.select("rid", "digest", "first"), "rid")
@@ -224,6 +269,7 @@ def _linked(active: DataFrame, sequences: DataFrame, reps: DataFrame, docs: Data
     left = stage(_possible(bounded, least), "open")
     comp: DataFrame | None = None
     edges: DataFrame | None = None
+    met: DataFrame | None = None
     for turn in range(ROUNDS + 1):
         if comp is not None:
             left = left.drop("comp").join(comp, F.col("rid") == F.col("node"), "left").drop("node").withColumn("comp", F.coalesce("comp", "rid"))
@@ -231,20 +277,18 @@ def _linked(active: DataFrame, sequences: DataFrame, reps: DataFrame, docs: Data
             left = left.withColumn("comp", F.col("rid"))
         # buckets in which more than one class is left
         open_ = left.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct((F.col("u") / F.col("n")).alias("share"), F.col("u"), F.col("rid"), F.col("comp"))).alias("best")).filter("lo < hi").select("k", F.col("best.rid").alias("leader"), F.col("best.comp").alias("leader_comp"), F.col("best.u").alias("leader_u"), (F.col("best.u") / F.col("best.share")).alias("leader_n"))
-        met = left.join(open_, "k")
-        met = stage(met, "round")
+        met, before = stage(left.join(open_, "k"), "round"), met
+        free(before)
         if met.isEmpty():
             break
         if turn < ROUNDS:
             pairs = met.filter("comp <> leader_comp").filter(_may("u", "n", "leader_u", "leader_n", least)).select(F.col("leader").alias("a"), F.col("rid").alias("b"))
             left = met.filter("rid <> leader").select("k", "rid", "n", "u", "comp")
         else:
-            # a text's open buckets are not all that it shares with another, so its sequences come along
-            full = stage(met.join(sequences, "rid"), "fringe")
-            side = lambda t: full.select("k", *(F.col(c).alias(f"{t}_{c}") for c in ("rid", "n", "u", "comp", "bands")))
+            full = stage(met.join(_maps(texts.join(met.select("rid").distinct(), "rid")), "rid"), "fringe")
+            side = lambda t: full.select("k", *(F.col(c).alias(f"{t}_{c}") for c in ("rid", "n", "u", "comp", *(f"m{i}" for i in range(MAP_WORDS)))))
             x, y = side("x"), side("y")
-            agree = F.size(F.array_intersect("x_bands", "y_bands")) >= AGREE
-            pairs = x.join(y, (x["k"] == y["k"]) & (F.col("x_rid") < F.col("y_rid")) & (F.col("x_comp") != F.col("y_comp")) & _may("x_u", "x_n", "y_u", "y_n", least) & agree).select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b"))
+            pairs = x.join(y, (x["k"] == y["k"]) & (F.col("x_rid") < F.col("y_rid")) & (F.col("x_comp") != F.col("y_comp")) & _may("x_u", "x_n", "y_u", "y_n", least) & _maps_may(least)).select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b"))
         found = stage(_verified(pairs.distinct(), texts, least), "links")
         if not found.isEmpty():
             edges = found if edges is None else edges.union(found)
@@ -267,12 +311,19 @@ def _possible(bounded: DataFrame, least: float) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one row of each class: the one whose id names the class."""
-    found = stage(classes(docs, id_col=id_col, text_col=text_col, least=least), "classes")
-    kept = found.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).groupBy(F.col(id_col).alias("kept_id")).agg(F.min("digest").alias("kept_digest"), F.count(F.lit(1)).alias("kept_n"))
-    digest = free_name(docs, "digest")
-    out = docs.withColumn(digest, F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")))))
-    out = out.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("kept_id")) & (F.col(digest) == F.col("kept_digest")))
-    if not kept.filter("kept_n > 1").isEmpty():
-        out = out.dropDuplicates([id_col, digest])
+    """``docs`` with one row of each class: the one whose id names the class (of several texts of that id, the one of least digest).
+
+    Defined cases are those of ``classes``; of rows that repeat id and text one stays, a class of null ids only keeps one row;
+    columns of any names pass through, and an empty table stays empty.
+    """
+    slim, named = _grouped(docs, id_col, text_col, least)
+    best = named.groupBy("comp").agg(F.min(F.struct(F.col("first").isNull().alias("nameless"), "first", "digest")).alias("k"))
+    names = {n: free_name(docs, f"kept_{n}") for n in ("id", "digest", "own")}
+    kept = stage(best.select(F.col("k.first").alias(names["id"]), F.col("k.digest").alias(names["digest"])), "kept")
+    same = lambda i, own: i.eqNullSafe(F.col(names["id"])) & (own == F.col(names["digest"]))
+    again = slim.select("doc_id", "digest").join(kept, same(F.col("doc_id"), F.col("digest"))).groupBy("digest").count().filter("count > 1").isEmpty()
+    out = docs.withColumn(names["own"], F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))))
+    out = out.join(kept, same(F.col(f"`{id_col}`").cast("long"), F.col(names["own"])))
+    if not again:
+        out = out.dropDuplicates([names["own"]])
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -301,11 +301,54 @@ def test_near_duplicates(spark):
         want[top(k)].append(i)
     names = sorted((min(x for x in v if x is not None), len(v)) for v in want.values() for _ in v)
     assert sorted((r.class_id, r.class_size) for r in got) == names
-    kept = order_minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
-    assert kept.count() == len(want)
+    kept = order_minhash.keep_one(spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, kept_id int, kept_digest int"))
+    assert kept.columns == ["doc_id", "text", "kept_id", "kept_digest"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(min((x for x in v if x is not None), default=None)) for v in want.values())
+    nameless = spark.createDataFrame([(None, base[0]), (None, edited(rng, base[0], 0.01)), (None, base[0]), (None, base[5])], "doc_id long, text string")
+    assert order_minhash.keep_one(nameless).count() == 2
     assert order_minhash.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+@pytest.mark.parametrize("rounds", [0, 2])
+def test_near_duplicates_of_a_loose_group(spark, monkeypatch, rounds):
+    """Copies of copies, 0.5 to 1 of one another: classes equal those of all pairs, however many leader rounds come first."""
+    monkeypatch.setattr(order_minhash, "ROUNDS", rounds)
+    rng = random.Random(12)
+    texts = [" ".join(f"w{rng.random():.6f}" for _ in range(80))]
+    for _ in range(150):
+        texts.append(" ".join(f"w{rng.random():.6f}" if rng.random() < rng.choice([0.01, 0.05]) else w for w in rng.choice(texts[-20:]).split()))
+    sh = [order_minhash.labelled(*common.texts_of(pa.array([t]))) for t in texts]
+    maps = [order_minhash.bit_maps(*x)[0] for x in sh]
+    lists = [x[0].tolist() for x in sh]
+    comp = list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        shared = len(set(lists[i]) & set(lists[j]))
+        both = sum(int(x).bit_count() for x in (maps[i] & maps[j]).view(np.uint64))
+        assert shared <= min(len(lists[k]) - sum(int(x).bit_count() for x in maps[k].view(np.uint64)) + both for k in (i, j))
+        if order_minhash.similarity(lists[i], lists[j], 0.8) >= 0.8:
+            a, b = comp[i], comp[j]
+            comp = [min(a, b) if c in (a, b) else c for c in comp]
+    got = order_minhash.classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.class_id for r in got} == dict(enumerate(comp))
+
+
+def test_recall_of_near_copies_on_a_table(spark):
+    """Ids divisible by 20 against all texts: at least 9 of 10 similar pairs are in one class."""
+    path = "/root/testdata/sf0.01/documents.parquet"
+    rows = spark.read.parquet(path).select("doc_id", "text").collect()
+    sh = {r.doc_id: order_minhash.labelled(*common.texts_of(pa.array([r.text])))[0].tolist() for r in rows}
+    sets = {i: set(x) for i, x in sh.items()}
+    named = {r.doc_id: r.class_id for r in order_minhash.classes(spark.read.parquet(path)).collect()}
+    found = total = 0
+    for i in sh:
+        if i % 20 == 0:
+            for j in sh:
+                n = len(sets[i] & sets[j])
+                if i != j and n >= 0.8 * (len(sets[i]) + len(sets[j]) - n) and n and order_minhash.similarity(sh[i], sh[j], 0.8) >= 0.8:
+                    total, found = total + 1, found + (named[i] == named[j])
+    assert total >= 5 and found >= 0.9 * total, (found, total)
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(10, 40)] + [(1, 2), (3, 2), (7, 7)], "a long, b long")
     got = {r.node: r.comp for r in order_minhash.components(edges).collect()}
