@@ -33,7 +33,7 @@ BANDS, TAKEN, TAKEN_SHORT = 24, 5, 2
 SHORT = (16, 25)
 #: Rounds of one leader a bucket, before pairs that are still open meet; it changes the cost and no result.  64-bit words of a bit map.
 ROUNDS = 2
-MAP_WORDS = 32
+MAP_WORDS = 16
 _ODD = mix(np.arange(1, 1 + 2 * BANDS, dtype=np.uint64)) | np.uint64(1)
 _LOW, _HIGH, _MAX = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -159,25 +159,28 @@ def bit_maps(h: np.ndarray, before: np.ndarray) -> np.ndarray:
 
 
 def _maps(texts: DataFrame) -> DataFrame:
-    """rid, m0, m1, ...: the bit maps of rows (rid, text)."""
+    """rid, rest (shingles that share a bit with another of the text), m0, m1, ... (the bit map) of rows (rid, text)."""
     names = [f"m{i}" for i in range(MAP_WORDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            maps = bit_maps(*labelled(*texts_of(part.column("text"))))
-            yield pa.RecordBatch.from_arrays([part.column("rid"), *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(MAP_WORDS))], names=["rid", *names])
+            h, before = labelled(*texts_of(part.column("text")))
+            maps = bit_maps(h, before)
+            rest = np.diff(before) - np.bitwise_count(maps.view(np.uint64)).sum(axis=1)
+            yield pa.RecordBatch.from_arrays([part.column("rid"), pa.array(rest, pa.int64()), *(pa.array(np.ascontiguousarray(maps[:, i])) for i in range(MAP_WORDS))], names=["rid", "rest", *names])
 
-    return texts.select("rid", "text").mapInArrow(run, "rid long, " + ", ".join(f"{n} long" for n in names))
+    return texts.select("rid", "text").mapInArrow(run, "rid long, rest long, " + ", ".join(f"{n} long" for n in names))
 
 
 def _maps_may(least: float):
-    """Whether the bit maps of sides x and y allow the similarity: a bit in one map alone stands for a shingle, at least, that the other lacks."""
-    both, own = F.lit(0), {t: F.lit(0) for t in "xy"}
-    for i in range(MAP_WORDS):
+    """Whether the bit maps of sides x and y allow the similarity: a bit in one map alone stands for a shingle, at least, that the other lacks.
+
+    At most ``least(x_rest, y_rest) + bits of both`` shingles are shared; written so that the expression stays small enough to be compiled.
+    """
+    both = F.bit_count(F.col("x_m0").bitwiseAND(F.col("y_m0")))
+    for i in range(1, MAP_WORDS):
         both = both + F.bit_count(F.col(f"x_m{i}").bitwiseAND(F.col(f"y_m{i}")))
-        own = {t: c + F.bit_count(F.col(f"{t}_m{i}")) for t, c in own.items()}
-    most = F.least(*(F.col(f"{t}_n") - own[t] + both for t in "xy"))
-    return most >= least * (F.col("x_n") + F.col("y_n") - most) - 1e-9
+    return both >= (F.col("x_n") + F.col("y_n")) * (least / (1 + least)) - F.least("x_rest", "y_rest") - 1e-6
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -286,7 +289,7 @@ def _linked(active: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -
             left = met.filter("rid <> leader").select("k", "rid", "n", "u", "comp")
         else:
             full = stage(met.join(_maps(texts.join(met.select("rid").distinct(), "rid")), "rid"), "fringe")
-            side = lambda t: full.select("k", *(F.col(c).alias(f"{t}_{c}") for c in ("rid", "n", "u", "comp", *(f"m{i}" for i in range(MAP_WORDS)))))
+            side = lambda t: full.select("k", *(F.col(c).alias(f"{t}_{c}") for c in ("rid", "n", "u", "comp", "rest", *(f"m{i}" for i in range(MAP_WORDS)))))
             x, y = side("x"), side("y")
             pairs = x.join(y, (x["k"] == y["k"]) & (F.col("x_rid") < F.col("y_rid")) & (F.col("x_comp") != F.col("y_comp")) & _may("x_u", "x_n", "y_u", "y_n", least) & _maps_may(least)).select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b"))
         found = stage(_verified(pairs.distinct(), texts, least), "links")
