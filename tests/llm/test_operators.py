@@ -358,48 +358,105 @@ def test_components(spark):
 
 # --- 7
 
-def test_lm_base_and_coverage(spark):
-    rng = random.Random(8)
-    rows = [(i, words(rng, rng.randint(0, 60)).replace("a", "A")) for i in range(60)] + [(60, None), (61, "x"), (61, "x"), (None, "né b\x0bc")]
-    got = attention_lm.train_and_score(spark.createDataFrame([(*r, 1.0) for r in rows], "doc_id long, text string, score double"), queries.tokenizer_path()).collect()
-    toks = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [0] for _, t in rows]
-    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, _ in rows]
+def lm_table(rng):
+    rows = [(i, words(rng, rng.randint(0, 60)).replace("a", "A")) for i in range(60)] + [(60, None), (61, "x"), (61, "x"), (None, "né b\x0bc"), (62, ""), (63, "<|endoftext|> don't")]
+    return [(*r, 1.0) for r in rows]
+
+
+def test_lm_base_and_coverage(spark, monkeypatch):
+    rows = lm_table(random.Random(8))
+    df = spark.createDataFrame(rows, "doc_id long, text string, score double")
+    toks = [re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) + [0] for _, t, _ in rows]
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2 for i, *_ in rows]
     c = collections.Counter(w for ws, h in zip(toks, held) if not h for w in ws)
     n, v = sum(c.values()), len(c)
     want = sorted((len(ws), sum(c[w] > 0 for w in ws), round(sum(np.log10((c[w] + 1) / (n + v + 1)) for w in ws), 6), h, n) for ws, h in zip(toks, held))
-    assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6), r.held_out, r.train_tokens) for r in got) == want
+    for frequent in (attention_lm.FREQUENT, 3, 0):  # what is kept in memory changes nothing
+        monkeypatch.setattr(attention_lm, "FREQUENT", frequent)
+        got = attention_lm.train_and_score(df, queries.tokenizer_path()).collect()
+        assert sorted((r.n_tokens, r.n_known, round(r.base_score, 6), r.held_out, r.train_tokens) for r in got) == want
     assert all(r["_score"] < 0 for r in got)
+    assert attention_lm.train_and_score(df.limit(0), queries.tokenizer_path()).count() == 0
+    none = attention_lm.train_and_score(df.filter("doc_id = 2"), queries.tokenizer_path()).collect() if held[2] else []
+    assert all(r.train_tokens == 0 and np.isfinite(r["_score"]) for r in none)
+
+
+def test_lm_scores_hang_on_no_partition(spark, monkeypatch):
+    monkeypatch.setattr(attention_lm, "GROUP_IDS", 500)
+    monkeypatch.setattr(attention_lm, "BUFFER", 300)
+    df = spark.createDataFrame(lm_table(random.Random(8)), "doc_id long, text string, x double")
+    score = lambda d: sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in attention_lm.train_and_score(d, queries.tokenizer_path()).collect())
+    want = score(df)
+    assert score(df.repartition(7, "x", "text")) == want and score(df.coalesce(1).orderBy("text")) == want
+
+
+def small_model(rng, size=40):
+    counts = rng.integers(0, 30, size).astype(float)
+    counts[:5] = 0
+    v = attention_lm.Vocabulary(counts)
+    m = attention_lm.Attention(v)
+    texts = [rng.choice(size, rng.integers(1, 70), p=(counts + 0.1) / (counts + 0.1).sum()) for _ in range(60)]
+    attention_lm._fit_buffer(m, [v.place[t] for t in texts], 1)
+    return v, m, texts
+
+
+def plain_log_p(v, m, ids, at):
+    """ln p of each id after ids[:at], in double precision, one place at a time."""
+    w = {k: x.astype(np.float64) for k, x in m.w.items()}
+    window = at // attention_lm.HALF
+    places = [v.begin, *(int(v.place[i]) for i in ids[:at])]
+    context = places[max(0, (window - 1) * attention_lm.HALF) : at + 1]
+    e = w["embed"][context]
+    far = np.arange(len(context))[::-1]
+    s = (e @ w["k"]) @ (e[-1] @ w["q"]) / attention_lm.DIM**0.5 + w["far"][far]
+    a = np.exp(s - s.max())
+    h = (a / a.sum()) @ (e @ w["v"]) + e[-1] @ w["last"]
+    soft = lambda z: z - z.max() - np.log(np.exp(z - z.max()).sum())
+    top, out = soft(w["top"] @ h + w["top_bias"]), np.full(v.size, v.log_unseen)
+    for j in range(v.n_classes):
+        lo, hi = v.starts[j], v.starts[j + 1]
+        out[v.order[lo:hi]] = v.log_seen + top[j] + soft(w["out"][lo:hi] @ h + w["out_bias"][lo:hi])
+    return out
 
 
-def test_lm_scores_hang_on_no_cap(spark, monkeypatch):
-    rng = random.Random(9)
-    df = spark.createDataFrame([(i, words(rng, rng.randint(0, 60))) for i in range(50)] + [(50, None), (51, "x é"), (51, "x é"), (None, "unseen")], "doc_id long, text string")
-    score = lambda: sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 4)) for r in attention_lm.train_and_score(df, queries.tokenizer_path()).collect())
-    want = score()
-    for words_kept, pairs_kept in ((3, 5), (0, 0)):
-        monkeypatch.setattr(attention_lm, "FREQUENT", words_kept)
-        monkeypatch.setattr(attention_lm, "PAIRS", pairs_kept)
-        assert score() == want
-
-
-def test_lm_scores_each_word_once_and_sums_to_one():
-    path = queries.tokenizer_path()
-    ids = attention_lm.ids_of(["ab", "cd", "efgh"], path)
-    size = 49410
-    before, after, n = attention_lm.pairs_of(ids)
-    key, c = np.unique(before * size + after, return_counts=True)
-    chain = attention_lm.Chain(key, c, np.bincount(before, minlength=size), np.bincount(after, minlength=size))
-    p = 10 ** chain.log10(np.full(size, 5), np.arange(size))
-    assert p.sum() == pytest.approx(1.0)
-    model = attention_lm.Model(path, [], np.zeros(0, np.int64), chain, 10, 5, attention_lm.Attention())
-    texts = pa.array([" ".join(f"w{i}" for i in range(k)) for k in (0, 1, 15, 16, 17, 100)])
-    raw, b, e, h, first = attention_lm._words(texts)
-    found = model.look_up(raw, b, e, h)
-    seen = collections.Counter()
-    for x, w, real, logp, on, d in attention_lm._windows(model, found, h, first, 1):
-        for row, flags, doc in zip(w[:, attention_lm.HALF :], on, d):
-            seen.update((int(doc), int(a)) for a, f in zip(row, flags) if f)
-    assert all(v == 1 for v in seen.values()) and sum(seen.values()) == sum((0, 1, 15, 16, 17, 100)) + 6
+def test_lm_score_equals_a_plain_loop_and_sums_to_one():
+    rng = np.random.default_rng(9)
+    v, m, texts = small_model(rng)
+    texts = [*texts[:8], *(rng.integers(0, v.size, n) for n in (1, 15, 16, 17, 32, 33, 100))]
+    got = m.score(v.place[np.concatenate(texts)], np.array([len(t) for t in texts]))
+    for t, g in zip(texts, got):
+        each = [plain_log_p(v, m, t, k) for k in range(len(t))]
+        assert g == pytest.approx(sum(x[i] for x, i in zip(each, t)), abs=1e-2, rel=1e-4)
+        assert all(np.exp(x).sum() == pytest.approx(1.0) for x in each)
+
+
+def test_lm_learns_and_its_gradients_are_right():
+    rng = np.random.default_rng(10)
+    v, m, texts = small_model(rng)
+    rows, targets, at, _ = attention_lm.windows_of(np.concatenate([v.place[t] for t in texts]), np.array([len(t) for t in texts]), v)
+    x, y = np.concatenate([rows[at], rows[at + 1]], axis=1), targets[at]
+    loss = lambda model: sum(model.score(v.place[np.concatenate(texts)], np.array([len(t) for t in texts])))
+    fresh = attention_lm.Attention(v)
+    assert loss(m) > loss(fresh)
+    # a gradient is what Adagrad adds squared
+    n, before = ((y >= 0) & (y < v.n)).sum(), m.flat.copy()
+    moved = attention_lm.Attention(v, before)
+    moved.fit(x, y)
+    unseen = sum(v.log_unseen for t in texts for i in t if v.place[i] >= v.n)
+    for name in ("q", "k", "v", "last", "far", "embed", "top", "top_bias", "out", "out_bias"):
+        g = np.sqrt(np.maximum(moved.g[name].astype(float) - m.g[name], 0))
+        place = np.unravel_index(np.argmax(g), g.shape)
+        up, down = (attention_lm.Attention(v, before) for _ in "ab")
+        up.w[name][place] += 0.02
+        down.w[name][place] -= 0.02
+        slope = ((loss(up) - unseen) - (loss(down) - unseen)) / 0.04 / n
+        assert abs(slope) == pytest.approx(g[place], rel=0.08, abs=2e-4), name
+
+
+def test_lm_beats_word_frequencies_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    r = attention_lm.train_and_score(docs, queries.tokenizer_path()).filter("held_out").selectExpr("sum(score) / sum(n_tokens) AS s", "sum(base_score) / sum(n_tokens) AS b").first()
+    assert r.s > r.b, r
 
 
 # --- 8
