@@ -34,6 +34,8 @@ SHORT = (16, 25)
 #: Rounds of one leader a bucket, before pairs that are still open meet; it changes the cost and no result.  64-bit words of a bit map.
 ROUNDS = 2
 MAP_WORDS = 16
+#: Rows of a file of the tables that links make (a few numbers a row).
+FILE_ROWS = 500_000
 _ODD = mix(np.arange(1, 1 + 2 * BANDS, dtype=np.uint64)) | np.uint64(1)
 _LOW, _HIGH, _MAX = np.uint64(0xFFFFFFFF), np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -206,15 +208,17 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) for the nodes of edges (a, b): comp is the smallest node of the connected component.
 
-    Each round, labels go along edges and then jump to their label's label; every round is a table in the shared folder.
+    Each round, labels go along edges and then jump to their label's label; every round is a table in the shared folder, of
+    few files if it is small.
     """
     both = stage(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct(), "edges")
-    label = written = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
+    files = 1 + both.count() // FILE_ROWS
+    label = written = stage(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")).coalesce(files), "labels")
     while True:
         heard = both.join(label.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("heard"))
         new = label.join(heard, F.col("node") == F.col("a")).select("node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
         jump = label.select(F.col("node").alias("comp"), F.col("comp").alias("further"))
-        moved = stage(new.join(jump, "comp").select("node", "old", F.least("comp", "further").alias("comp")), "labels")
+        moved = stage(new.join(jump, "comp").select("node", "old", F.least("comp", "further").alias("comp")).coalesce(files), "labels")
         free(written)
         label, written = moved.select("node", "comp"), moved
         if moved.filter("old <> comp").isEmpty():
@@ -234,7 +238,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, least: float) -> tuple
     active = stage(entries.join(shared, "k"), "buckets")
     free(entries)
     links = _linked(active, reps, docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), least)
-    named = stage(reps.select("digest", "rid", "first", "copies").join(links, F.col("rid") == F.col("node"), "left").select("digest", "first", "copies", F.coalesce("comp", "rid").alias("comp")), "named")
+    named = reps.select("digest", "rid", "first", "copies").join(links, F.col("rid") == F.col("node"), "left").select("digest", "first", "copies", F.coalesce("comp", "rid").alias("comp"))
     free(active)
     return slim, named
 
@@ -248,8 +252,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     table gives an empty result.  Only the id and text columns are read, so others may have any name.
     """
     slim, named = _grouped(docs, id_col, text_col, least)
-    # classes are summed over different texts, and every side of a join that may have a hot key is a plain table, which Spark can split
-    sizes = stage(named.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")), "sizes")
+    # classes are summed over different texts, and the sums dealt out anew: then Spark can split a join's hot keys, on both sides plain exchanges
+    sizes = named.groupBy("comp").agg(F.min("first").alias("class_id"), F.sum("copies").alias("class_size")).repartition("comp")
     of_text = stage(named.join(sizes, "comp").select("digest", "class_id", "class_size"), "classes")
     return slim.select(F.col("doc_id").alias(id_col), "digest").join(of_text, "digest").select(id_col, "digest", "class_id", "class_size")
 
@@ -280,7 +284,10 @@ def _linked(active: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -
             left = left.withColumn("comp", F.col("rid"))
         # buckets in which more than one class is left
         open_ = left.groupBy("k").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max(F.struct((F.col("u") / F.col("n")).alias("share"), F.col("u"), F.col("rid"), F.col("comp"))).alias("best")).filter("lo < hi").select("k", F.col("best.rid").alias("leader"), F.col("best.comp").alias("leader_comp"), F.col("best.u").alias("leader_u"), (F.col("best.u") / F.col("best.share")).alias("leader_n"))
-        met, before = stage(left.join(open_, "k"), "round"), met
+        still, before = left.join(open_, "k"), met
+        if turn == ROUNDS:
+            still = still.join(_maps(texts.join(still.select("rid").distinct(), "rid")), "rid")
+        met = stage(still, "round")
         free(before)
         if met.isEmpty():
             break
@@ -288,8 +295,7 @@ def _linked(active: DataFrame, reps: DataFrame, docs: DataFrame, least: float) -
             pairs = met.filter("comp <> leader_comp").filter(_may("u", "n", "leader_u", "leader_n", least)).select(F.col("leader").alias("a"), F.col("rid").alias("b"))
             left = met.filter("rid <> leader").select("k", "rid", "n", "u", "comp")
         else:
-            full = stage(met.join(_maps(texts.join(met.select("rid").distinct(), "rid")), "rid"), "fringe")
-            side = lambda t: full.select("k", *(F.col(c).alias(f"{t}_{c}") for c in ("rid", "n", "u", "comp", "rest", *(f"m{i}" for i in range(MAP_WORDS)))))
+            side = lambda t: met.select("k", *(F.col(c).alias(f"{t}_{c}") for c in ("rid", "n", "u", "comp", "rest", *(f"m{i}" for i in range(MAP_WORDS)))))
             x, y = side("x"), side("y")
             pairs = x.join(y, (x["k"] == y["k"]) & (F.col("x_rid") < F.col("y_rid")) & (F.col("x_comp") != F.col("y_comp")) & _may("x_u", "x_n", "y_u", "y_n", least) & _maps_may(least)).select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b"))
         found = stage(_verified(pairs.distinct(), texts, least), "links")
