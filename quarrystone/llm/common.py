@@ -211,8 +211,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 FAN_IN = 16
 
 
-def tree_sum(parts: DataFrame, n: int | None = None) -> np.ndarray:
-    """Sum of the float64 vectors in column ``v`` of rows (part, v), in an order that the numbers ``part`` give; none: an empty one.
+def tree_sum(parts: DataFrame, n: int | None = None, kind: str = "f8") -> np.ndarray:
+    """Sum of the vectors (of numpy type ``kind``) in column ``v`` of rows (part, v), as doubles, in an order that the numbers ``part`` give; none: an empty one.
 
     ``part`` numbers rows from 0 on, each once, below ``n`` (by default the number of partitions).  Level by level a task
     adds FAN_IN vectors at most; the driver gets as many.
@@ -220,11 +220,14 @@ def tree_sum(parts: DataFrame, n: int | None = None) -> np.ndarray:
 
     def add(table: pa.Table) -> pa.Table:
         rows = sorted(zip(table.column("part").to_pylist(), table.column("v").to_pylist()))
-        return pa.table({"part": pa.array([rows[0][0] // FAN_IN], pa.int64()), "v": pa.array([sum(np.frombuffer(v) for _, v in rows).tobytes()], pa.binary())})
+        total = np.zeros(len(rows[0][1]) // np.dtype(kind).itemsize)
+        for _, v in rows:
+            total += np.frombuffer(v, kind)
+        return pa.table({"part": pa.array([rows[0][0] // FAN_IN], pa.int64()), "v": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
     n = parts.rdd.getNumPartitions() if n is None else n
     while n > FAN_IN:
         parts = parts.groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(add, "part long, v binary")
         n = -(-n // FAN_IN)
     rows = sorted((r.part, r.v) for r in parts.collect())
-    return sum(np.frombuffer(v) for _, v in rows) if rows else np.zeros(0)
+    return sum(np.frombuffer(v, kind).astype(np.float64) for _, v in rows) if rows else np.zeros(0)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, mix, slices, span_hashes, spans, stage, table_of, texts_of
+from .common import free_name, slices, span_hashes, spans, stage, table_of, texts_of, tree_sum
 
 #: Hashed terms, dimensions of the latent space, strongest directions left out (they tell languages apart, not passages) and extra ones of the random projection.
 TERMS, DIMS, LEFT_OUT, EXTRA = 1 << 14, 64, 4, 8
@@ -28,8 +28,10 @@ WIDTHS = (2, 3, 4, 5)
 COSINE = 0.33
 #: Share of an item's weight that must come in order; and the share that is enough with the answer whole.
 MATCHED, MATCHED_WITH_ANSWER, ANSWER = 0.8, 0.6, 0.9
-#: The benchmark is a small table: beyond this many items the call is refused.
-MAX_ITEMS = 100_000
+#: Items, and bytes of their texts, that are sent to all tasks together; more of them are looked for block by block.
+BLOCK_ITEMS, BLOCK_BYTES = 10_000, 16_000_000
+#: Numbers of a block of cosines.
+COSINES = 1 << 22
 #: Characters that part words: white space, ASCII controls and punctuation.
 _INSIDE = table_of([i for i in range(128) if not (48 <= i <= 57 or 65 <= i <= 90 or 97 <= i <= 122)])
 
@@ -55,24 +57,6 @@ def _passages(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, before
 
 
-def _sum_parts(parts: DataFrame) -> np.ndarray:
-    """Sum of the float vectors in column ``v`` (one a task): first within ``g``, then on the driver."""
-
-    def run(key, tables):
-        total = None
-        for x in tables if not isinstance(tables, pa.Table) else [tables]:
-            for raw in x.column("v").to_pylist():
-                v = np.frombuffer(raw, np.float32)
-                total = v.astype(np.float64) if total is None else total + v
-        return pa.table({"v": [total.astype(np.float32).tobytes()]}) if total is not None else pa.table({"v": pa.array([], pa.binary())})
-
-    rows = parts.groupBy("g").applyInArrow(run, "v binary").collect()  # at most GROUPS vectors of fixed length
-    return sum(np.frombuffer(r.v, np.float32).astype(np.float64) for r in rows) if rows else np.zeros(0)
-
-
-GROUPS = 16
-
-
 def _per_task(docs: DataFrame, text_col: str, length: int, add) -> DataFrame:
     """One vector a task: ``add(total, terms, starts of passages)`` for each slice of its texts."""
 
@@ -80,15 +64,15 @@ def _per_task(docs: DataFrame, text_col: str, length: int, add) -> DataFrame:
         from pyspark import TaskContext
 
         total = None
-        for part in slices(batches, text_col):
-            h, first = word_ids(part.column(text_col))
+        for part in slices(batches, "text"):
+            h, first = word_ids(part.column("text"))
             if len(h):
                 total = np.zeros(length, np.float32) if total is None else total
                 add(total, _terms(h), _passages(first)[0])
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int32()), pa.array([total.tobytes()], pa.binary())], names=["g", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["part", "v"])
 
-    return docs.select(text_col).mapInArrow(run, "g int, v binary")
+    return docs.select(F.col(f"`{text_col}`").alias("text")).mapInArrow(run, "part long, v binary")
 
 
 class LatentSpace:
@@ -146,7 +130,7 @@ def fit(docs: DataFrame, text_col: str = "text", *, seed: int = 42) -> LatentSpa
         total[TERMS] = 0  # no term
         total[TERMS + 1] += len(starts)
 
-    sums = _sum_parts(_per_task(docs, text_col, TERMS + 2, count))
+    sums = tree_sum(_per_task(docs, text_col, TERMS + 2, count), kind="f4")
     if not len(sums):
         return None
     df, n = sums[:TERMS], sums[-1]
@@ -165,7 +149,7 @@ def fit(docs: DataFrame, text_col: str = "text", *, seed: int = 42) -> LatentSpa
         _spread(total[: (TERMS + 1) * size].reshape(TERMS + 1, size), y, grid.ravel(), np.repeat(np.arange(len(grid), dtype=np.int32), PASSAGE))
         total[(TERMS + 1) * size :] += (grid < TERMS).sum(axis=1).astype(np.float32) @ y
 
-    z = _sum_parts(_per_task(docs, text_col, (TERMS + 2) * size, multiply))
+    z = tree_sum(_per_task(docs, text_col, (TERMS + 2) * size, multiply), kind="f4")
     pulled = z[(TERMS + 1) * size :]
     z = z[: TERMS * size].reshape(TERMS, size) - np.outer(center, pulled)
     z *= idf[:, None]
@@ -221,10 +205,12 @@ class Item:
         self.item_id, self.words, self.answer = item_id, words.tolist(), answer
         self.weights = weights.tolist()
         self.total, self.answer_total = sum(self.weights), sum(self.weights[len(self.words) - answer :])
+        #: The greatest weight that so many words can have.
+        self.most = np.concatenate([[0.0], np.cumsum(sorted(self.weights, reverse=True))])
 
     def check(self, words: list[int]) -> tuple[float, bool] | None:
         """Share of the item's weight found in order, and whether the answer is; None if that is too little."""
-        if _length(self.words, words) < 0.4 * len(self.words):
+        if self.most[_length(self.words, words)] < MATCHED_WITH_ANSWER * self.total * 0.999:
             return None
         weight, hit = _in_order(self.words, words, self.weights)
         share = weight / self.total
@@ -292,18 +278,38 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
     """(doc_id, digest of the text, item_id, matched, answered): the items that stand in documents, one row a pair.
 
     Defined cases: null and empty texts hold nothing; items without words are in no document; repeated rows give
-    one row a pair; repeated items count each by its id; an empty table on either side gives an empty result.
+    one row a pair; repeated items count each by its id; of equal matches of a pair either says the same; a very long text is
+    looked through whole, in the memory of one slice; only the named columns are read, whatever others are called; an empty table
+    on either side gives an empty result.
     """
     spark = docs.sparkSession
+    slim = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(F.col(f"`{text_col}`"))).alias("digest"), F.col(f"`{text_col}`").alias("text"))
+    space, out = None, spark.createDataFrame([], "doc_id long, digest binary, item_id long, matched double, answered boolean")
+    for block in _blocks(benchmark.select(F.col(f"`{item_col}`").cast("long"), F.col(f"`{item_text_col}`").cast("string")).toLocalIterator()):
+        space = fit(slim, "text") if space is None else space
+        if space is None:
+            break
+        if items := _items(block, space):
+            out = out.unionByName(_found(slim, space, items, cosine))
+    return out
+
+
+def _blocks(rows) -> Iterator[list]:
+    held, size = [], 0
+    for r in rows:
+        held.append(tuple(r))
+        size += len(r[1] or "")
+        if len(held) >= BLOCK_ITEMS or size >= BLOCK_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _found(slim: DataFrame, space: LatentSpace, items: list[Item], cosine: float) -> DataFrame:
+    """The pairs of a block of items, as a table."""
+    asked = slim.sparkSession.sparkContext.broadcast((space, items, _queries(items, space), _term_bits(items)))
     kind = "doc_id long, digest binary, item_id long, matched double, answered boolean"
-    rows = [tuple(r) for r in benchmark.select(F.col(item_col).cast("long"), F.col(item_text_col).cast("string")).limit(MAX_ITEMS + 1).collect()]
-    if len(rows) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} items")
-    space = fit(docs, text_col) if rows else None
-    items = _items(rows, space) if space is not None else []
-    if not items:
-        return spark.createDataFrame([], kind)
-    asked = spark.sparkContext.broadcast((space, items, _queries(items, space), _term_bits(items)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, items, queries, bits = asked.value
@@ -324,8 +330,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
                 for k in range(1, width):
                     w[:-k] += np.where((doc[k:] == doc[:-k])[:, None], y[k:], 0)
                 w /= np.maximum(np.linalg.norm(w, axis=1, keepdims=True), 1e-9)
-                for i in range(0, len(w), 4096):
-                    p, q = np.nonzero(w[i : i + 4096] @ vectors.T >= cosine)
+                rows = max(COSINES // len(vectors), 16)
+                for i in range(0, len(w), rows):
+                    p, q = np.nonzero(w[i : i + rows] @ vectors.T >= cosine)
                     p, q = p + i, which[q]
                     begin = np.maximum(starts[p] - np.where(lengths[q] > width * PASSAGE, lengths[q], PASSAGE), first[doc[p]])
                     end = np.minimum(starts[p] + (width + 1) * PASSAGE + np.where(lengths[q] > width * PASSAGE, lengths[q], 0), first[doc[p] + 1])
@@ -337,14 +344,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text
                 at = pa.array([d for d, _ in found])
                 yield pa.RecordBatch.from_arrays([part.column("doc_id").take(at), part.column("digest").take(at), pa.array([items[i].item_id for _, i in found], pa.int64()), pa.array([s for s, _ in found.values()]), pa.array([a for _, a in found.values()])], names=["doc_id", "digest", "item_id", "matched", "answered"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.unhex(F.md5(F.col(text_col))).alias("digest"), F.col(text_col).alias("text"))
-    hits = slim.mapInArrow(run, kind)
-    return hits.groupBy("doc_id", "digest", "item_id").agg(F.max("matched").alias("matched"), F.max("answered").alias("answered"))
+    out = stage(slim.mapInArrow(run, kind).groupBy("doc_id", "digest", "item_id").agg(F.max("matched").alias("matched"), F.max("answered").alias("answered")), "leaks")
+    asked.destroy()
+    return out
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` less the documents that hold an item."""
-    hit = stage(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("hit_id"), F.col("digest").alias("hit_digest")).distinct(), "leaks")
-    digest = free_name(docs, "digest")
-    marked = docs.withColumn(digest, F.unhex(F.md5(F.col(f"`{text_col}`"))))
-    return marked.join(hit, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col("hit_id")) & (F.col(digest) == F.col("hit_digest")), "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
+    """``docs`` less the documents that hold an item.
+
+    Defined cases: null and empty texts stay; rows that repeat id and text stay or go together; columns of any names pass
+    through; an empty table on either side leaves ``docs`` as it is.
+    """
+    names = {n: free_name(docs, f"hit_{n}") for n in ("id", "digest", "own")}
+    hit = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(names["id"]), F.col("digest").alias(names["digest"])).distinct()
+    marked = docs.withColumn(names["own"], F.unhex(F.md5(F.col(f"`{text_col}`"))))
+    same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(names["id"])) & (F.col(names["own"]) == F.col(names["digest"]))
+    return marked.join(hit, same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -1,12 +1,13 @@
 """Line dedup: repeated multi-line chunks with content-defined boundaries.
 
-A chunk ends after a line where the rolling hash over the hashes of it and the line before it has its low bits zero, and
-around every long line.  Boundaries hang on nearby lines only, so text inserted above or below a passage moves none
-inside it.  A chunk of two lines or more, or one long line, that stands anywhere before (in the order of document id,
-digest of the text, place) is removed.
-
-Chunks are first matched by hash; chunks of repeated hashes are then grouped by their bytes.  Texts cross the network
-compressed, and twice: to their repeated places, and to the lines that go.
+A rolling hash over the hashes of lines chooses boundaries: after lines whose hash has its low bits zero, and around every
+long line.  They hang on the lines themselves, so text inserted above or below a passage moves none inside it.  From
+every line, the lines up to the first boundary that leaves a chunk make a chunk, and so do those back to the last such
+boundary; so a repeated passage is covered up to its first and its last line, wherever it stands.  A chunk of two lines or
+more, or one long line, that stands anywhere before (in the order of document id, digest of the text, place) is removed.
+
+Chunks are first matched by hash.  Chunks of repeated hashes, and the same with one line more before or after, are then
+grouped by their bytes.  Texts cross the network compressed, and twice: to their repeated places, and to the lines that go.
 """
 
 from __future__ import annotations
@@ -20,16 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, mix, slices, span_hashes, spans, stage, texts_of
+from .common import SLICE_BYTES, free_name, mix, slices, span_hashes, spans, stage, texts_of
 
-#: A chunk has this many lines on average where no line is long.
-MEAN_LINES = 4
+#: One line in so many ends at a boundary.
+MEAN_LINES = 2
 #: Words that make a line long, and words that a chunk must have to be removed.
 LONG_WORDS, LEAST_WORDS = 25, 10
 
 
 def chunks_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
-    """All texts' chunks that may be removed: text, first line, line after the last, first byte, byte after the last, hash."""
+    """All texts' chunks that may be removed, one line's in another's: text, first line, line after the last, first byte, byte after the last, hash."""
     # lines end at line feeds; empty lines count, so bounds come from the feeds and not from spans
     feeds = np.flatnonzero(raw == 10)
     n_lines = np.diff(np.searchsorted(feeds, at)) + 1
@@ -47,24 +48,41 @@ def chunks_of(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
     h = span_hashes(raw, begin, end)
     word_begin, _, _ = spans(raw, at)
     words = np.searchsorted(word_begin, end) - np.searchsorted(word_begin, begin)
-    with np.errstate(over="ignore"):
-        prev = np.concatenate([[np.uint64(0)], h[:-1]]) if len(h) else h
-        prev = np.where(inner, prev, np.uint64(0))
-        rolled = mix(prev * np.uint64(0xD6E8FEB86659FD93) + h)
+    rolled = mix(h)
     long = words >= LONG_WORDS
     cut_after = (rolled % np.uint64(MEAN_LINES) == 0) | long | last
     cut_after[:-1] |= long[1:]
-    ends = np.flatnonzero(cut_after) + 1
-    starts = np.concatenate([[0], ends[:-1]]) if len(ends) else ends
     total = np.concatenate([[0], np.cumsum(words)])
-    n_words = total[ends] - total[starts]
-    eligible = (((ends - starts) >= 2) & (n_words >= LEAST_WORDS)) | (n_words >= LONG_WORDS)
-    starts, ends = starts[eligible], ends[eligible]
+    starts, ends = _candidates(cut_after, last, long, before, total)
     doc = np.searchsorted(before, starts, "right") - 1
     a, b = begin[starts], end[ends - 1]
     return doc, starts - before[doc], ends - before[doc], a, b, span_hashes(raw, a, b)
 
 
+def _candidates(cut_after: np.ndarray, last: np.ndarray, long: np.ndarray, before: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First lines and lines after the last of all chunks, each once: long lines, and for every line the shortest chunks from it and up to it."""
+    n = len(cut_after)
+    at = np.arange(n)
+    cuts = np.flatnonzero(cut_after) + 1  # lines that begin after a boundary
+    doc = np.repeat(np.arange(len(before) - 1), np.diff(before))
+    top, bottom = before[doc], before[doc + 1]
+    pairs = [(at[long], at[long] + 1)]
+    # the first boundary that leaves two lines and words enough, and of long lines none but their own chunk
+    k = np.searchsorted(cuts, np.maximum(at + 2, np.searchsorted(total, total[:-1] + LEAST_WORDS)))
+    to = cuts[np.minimum(k, max(len(cuts) - 1, 0))] if n else at
+    good = (k < len(cuts)) & (to <= bottom)
+    pairs.append((at[good], to[good]))
+    marks = np.unique(np.concatenate([cuts, before[:-1]]))  # lines that a chunk may begin with
+    most = np.minimum(at - 1, np.searchsorted(total, total[1:] - LEAST_WORDS, "right") - 1)
+    k = np.searchsorted(marks, most, "right") - 1
+    since = marks[np.maximum(k, 0)] if n else at
+    good = (k >= 0) & (since >= top)
+    pairs.append((since[good], at[good] + 1))
+    starts, ends = (np.concatenate(x) for x in zip(*pairs))
+    both = np.unique(starts * np.int64(n + 1) + ends)
+    return both // (n + 1), both % (n + 1)
+
+
 def _chunks(docs: DataFrame) -> DataFrame:
     """Place and hash of every chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -93,19 +111,40 @@ def _unpack(z: bytes | None) -> str | None:
     return None if z is None else zstandard.ZstdDecompressor().decompress(z).decode()
 
 
+def _small(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """The same rows, few enough that their texts together are of bounded size, unless one alone is longer."""
+    begin = size = 0
+    for i, z in enumerate(batch.column(column)):
+        n = zstandard.get_frame_parameters(z.as_py()).content_size if z.is_valid else 0
+        if i > begin and size + n > SLICE_BYTES:
+            yield batch.slice(begin, i - begin)
+            begin, size = i, 0
+        size += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)
+
+
 def _bodies(marked: DataFrame) -> DataFrame:
-    """The texts of the chunks at the places of each row."""
+    """The texts of the chunks at the places of each row, and of the chunks with a line more before or after."""
+    names, kinds = ("doc_id", "digest", "first", "after", "body"), (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string())
+
+    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*rows)) or [[]] * 5, kinds)], names=list(names))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
-                rows = []
-                for d, g, z, places in zip(*(part.column(c).to_pylist() for c in ("doc_id", "digest", "z", "places"))):
-                    lines = _unpack(z).split("\n")
-                    rows += [(d, g, p["first"], p["after"], "\n".join(lines[p["first"] : p["after"]])) for p in places]
-                kinds = (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string())
-                cols = list(zip(*rows)) or [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "digest", "first", "after", "body"])
+            rows, size = [], 0
+            for d, g, z, places in zip(*(batch.column(c) for c in ("doc_id", "digest", "z", "places"))):
+                lines = _unpack(z.as_py()).split("\n")
+                spans_ = {(p["first"], p["after"]) for p in places.as_py()}
+                wider = spans_ | {(a - 1, b) for a, b in spans_ if a} | {(a, b + 1) for a, b in spans_ if b < len(lines)}
+                for a, b in sorted(wider):
+                    rows.append((d.as_py(), g.as_py(), a, b, "\n".join(lines[a:b])))
+                    size += len(rows[-1][4])
+                    if size >= SLICE_BYTES:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+            yield batch_of(rows)
 
     return marked.mapInArrow(run, "doc_id long, digest binary, first int, after int, body string")
 
@@ -115,7 +154,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Defined cases: null text stays null with no lines; an empty text is one empty line; rows that repeat both id and
     text are one document and treated alike; rows that repeat only the id are documents of their own; null ids come
-    first; an empty table gives an empty result.  Existing columns of the new names push underscores before the new ones.
+    first; equal chunks of one document are removed but for the first; an empty table gives an empty result.  Existing columns
+    of the new names push underscores before the new ones.  A very long text is cut and rebuilt whole, alone in its worker.
     """
     new = {n: free_name(docs, n) for n in ("kept_text", "n_lines", "n_removed_lines", "n_removed_chars")}
     names = {n: free_name(docs, n) for n in ("r_id", "r_digest", "r_lines", "digest")}
@@ -129,7 +169,8 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     marked = z.join(places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("digest") == F.col("p_digest"))).select("doc_id", "digest", "z", "places")
     some = stage(_bodies(marked), "bodies")
     # equal bytes
-    equal = some.groupBy("body").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("NOT (lo <=> hi)").select("body", "lo")
+    # dealt out anew, so that a body that very many places share is a hot key between two plain exchanges, which Spark splits
+    equal = some.groupBy("body").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("NOT (lo <=> hi)").select("body", "lo").repartition("body")
     removed = some.select("doc_id", "digest", "first", "after", "body").join(equal, "body").filter(~place.eqNullSafe(F.col("lo"))).groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "after")).alias("r_lines"))
     removed = removed.toDF(names["r_id"], names["r_digest"], names["r_lines"])
     out = _packed(docs.withColumn(names["digest"], F.unhex(F.md5(text))), text_col).join(removed, F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(names["r_id"])) & (F.col(names["digest"]) == F.col(names["r_digest"])), "left")
@@ -138,8 +179,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     def rebuild(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for part in _small(batch, text_col):
                 texts = [_unpack(x) for x in part.column(text_col).to_pylist()]
                 kept, counts = [], []
                 for t, gone in zip(texts, part.column(names["r_lines"]).to_pylist()):

@@ -96,22 +96,48 @@ def test_tokens_bound_the_match():
 
 # --- 3
 
+def plain_chunks(text):
+    """Chunks of a text by their definition, line by line; of the operator's code only the hash of a line."""
+    lines = text.split("\n")
+    n = [len(re.findall(common.WORD, x)) for x in lines]
+    raw, at = common.texts_of(pa.array(lines))
+    h = common.mix(common.span_hashes(raw, at[:-1], at[1:])) % np.uint64(line_dedup.MEAN_LINES)
+    long = [x >= line_dedup.LONG_WORDS for x in n]
+    cut = [i + 1 == len(lines) or h[i] == 0 or long[i] or long[i + 1] for i in range(len(lines))]
+    enough = lambda a, b: b - a >= 2 and sum(n[a:b]) >= line_dedup.LEAST_WORDS
+    out = {(i, i + 1) for i in range(len(lines)) if long[i]}
+    for i in range(len(lines)):
+        out |= set([(i, j) for j in range(i + 2, len(lines) + 1) if enough(i, j) and cut[j - 1]][:1])
+        out |= set([(j, i + 1) for j in range(i - 1, -1, -1) if enough(j, i + 1) and (j == 0 or cut[j - 1])][:1])
+    return lines, out
+
+
 def brute_lines(rows):
-    """Chunks as the operator cuts them, matched by their text."""
+    """Chunks, and such as stand twice with a line more on either side, less those that stand before."""
+    docs = {i: plain_chunks(t) for i, t in rows}
+    text = lambda i, a, b: "\n".join(docs[i][0][a:b])
+    often = collections.Counter(text(i, *c) for i, (_, cs) in docs.items() for c in cs)
     seen, out = set(), {}
-    for i, t in rows:
-        raw, at = common.texts_of(pa.array([t]))
-        _, first, after, *_ = line_dedup.chunks_of(raw, at)
-        lines, gone = t.split("\n"), set()
-        for a, b in zip(first.tolist(), after.tolist()):
-            body = "\n".join(lines[a:b])
-            if body in seen:
+    for i, (lines, cs) in sorted(docs.items()):
+        cs = {c for c in cs if often[text(i, *c)] > 1}
+        cs |= {(a - 1, b) for a, b in cs if a} | {(a, b + 1) for a, b in cs if b < len(lines)}
+        gone = set()
+        for a, b in sorted(cs):
+            if text(i, a, b) in seen:
                 gone |= set(range(a, b))
-            seen.add(body)
+            seen.add(text(i, a, b))
         out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
     return out
 
 
+def test_line_chunks_by_definition():
+    rng = random.Random(16)
+    texts = ["", "\n\n", words(rng, 60)] + ["\n".join(words(rng, rng.choice([0, 1, 3, 8, 30])) for _ in range(rng.randint(1, 25))) for _ in range(40)]
+    doc, first, after, *_ = line_dedup.chunks_of(*common.texts_of(pa.array(texts)))
+    for k, t in enumerate(texts):
+        assert {(a, b) for d, a, b in zip(doc.tolist(), first.tolist(), after.tolist()) if d == k} == plain_chunks(t)[1]
+
+
 def test_line_dedup(spark):
     rng = random.Random(2)
     pool = [words(rng, rng.randint(0, 40)) for _ in range(30)]
@@ -120,9 +146,9 @@ def test_line_dedup(spark):
     for i in range(40):
         own = [words(rng, rng.randint(1, 12)) for _ in range(8)]
         rows.append((i, "\n".join([*own[:4], shared, *rng.sample(pool, 6), *own[4:]]) if i % 3 else "\n".join(own)))
-    df = spark.createDataFrame([*rows, (90, None), (91, ""), (0, rows[0][1])], "doc_id long, text string")
+    df = spark.createDataFrame([(*r, 5) for r in [*rows, (90, None), (91, ""), (0, rows[0][1])]], "doc_id long, text string, digest int")
     got = line_dedup.dedup_lines(df).collect()
-    want = brute_lines(sorted(rows))
+    want = brute_lines(rows)
     for r in got:
         if r.doc_id < 90:
             assert r.kept_text == want[r.doc_id]
@@ -132,6 +158,35 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_repeated_passages_go_whole(spark):
+    """Passages of over 50 words in short lines, in contexts of their own: nearly all lines of their second places go, and no other line."""
+    rng = random.Random(17)
+    line = lambda n: " ".join(f"{words(rng, 1)}{rng.randint(0, 9999)}" for _ in range(n))
+    rows, planted = [], {}
+    for i in range(120):
+        n = rng.choice([2, 3, 5, 8, 20])
+        passage = [line(max(3, -(-52 // n)) + rng.randint(0, 3)) for _ in range(n)]
+        for k in (2 * i, 2 * i + 1):
+            rows.append((k, "\n".join([line(rng.randint(1, 20)) for _ in range(rng.randint(1, 8))] + passage + [line(rng.randint(1, 20)) for _ in range(rng.randint(1, 8))])))
+        planted[2 * i + 1] = set(passage)
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[k].n_removed_lines == 0 for k, _ in rows if k not in planted)
+    left = {k: planted[k] & set(got[k].kept_text.split("\n")) for k in planted}
+    assert all(got[k].n_removed_lines == len(planted[k]) - len(left[k]) for k in planted)
+    assert sum(not x for x in left.values()) >= 0.9 * len(left)
+
+
+def test_line_boundaries_do_not_shift():
+    """Lines put before a text change no boundary inside it but near its top."""
+    rng = random.Random(18)
+    lines = [words(rng, 6) for _ in range(60)]
+    place = lambda t: {(a, b) for a, b in zip(*(x.tolist() for x in line_dedup.chunks_of(*common.texts_of(pa.array([t])))[1:3]))}
+    plain = place("\n".join(lines))
+    for extra in (1, 2, 7):
+        moved = {(a - extra, b - extra) for a, b in place("\n".join([words(rng, 5) for _ in range(extra)] + lines))}
+        assert {c for c in plain if c[0] > 12} == {c for c in moved if c[0] > 12}
+
+
 # --- 4
 
 def brute_cost(roles, costs):
@@ -478,6 +533,81 @@ def test_leaks(spark):
     assert {r.doc_id for r in left.collect()} == set(range(60)) | {300, 301}
 
 
+def test_latent_space_holds_what_a_whole_decomposition_holds(spark, monkeypatch):
+    """The randomised directions keep nearly all that as many exact singular vectors keep of the passages."""
+    monkeypatch.setattr(decontaminate, "LEFT_OUT", 0)
+    rng = random.Random(13)
+    topics = [[words(rng, 1) + str(k) for k in range(40)] for _ in range(12)]
+    texts = [" ".join(rng.choice(topics[i % 12]) for _ in range(96)) for i in range(80)]
+    space = decontaminate.fit(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3))
+    h, first = decontaminate.word_ids(pa.array(texts))
+    starts, _ = decontaminate._passages(first)
+    grid = decontaminate._grid(decontaminate._terms(h), starts)
+    df = np.bincount(grid.ravel(), minlength=decontaminate.TERMS + 1)[: decontaminate.TERMS]
+    idf = np.log((len(grid) + 1) / (df + 1)) + 0.1
+    assert np.allclose(space.idf, idf, atol=1e-5)
+    used = np.flatnonzero(df)
+    x = np.zeros((len(grid), decontaminate.TERMS + 1))
+    np.put_along_axis(x, grid.astype(int), 1.0, axis=1)
+    x = x[:, : decontaminate.TERMS]
+    x = ((x - np.outer(x.sum(axis=1), df / df.sum())) * idf)[:, used]
+    # rows of the space: (loadings x idf - mean); the loadings span what the method keeps
+    q, _ = np.linalg.qr(((space.rows[:-1] + space.mean) / idf[:, None])[used])
+    _, best, v = np.linalg.svd(x, full_matrices=False)
+    # the strong directions (12 topics less their mean) wholly, the flat rest as far as one pass over so few extra directions gets
+    assert (np.linalg.norm(v[:11] @ q, axis=1) > 0.95).all()
+    assert np.square(x @ q).sum() >= 0.85 * np.square(best[: q.shape[1]]).sum()
+
+
+def test_leaks_against_all_windows(spark):
+    """Every pair that a look at all windows of all texts finds, and no other."""
+    rng = random.Random(14)
+    items = [(i, " ".join(f"{words(rng, 1)}{rng.randint(0, 30)}" for _ in range(rng.choice([15, 25, 45]))) + ". " + words(rng, 4) + ".") for i in range(12)]
+    items.append((3, items[3][1]))  # the same item again
+    rows = []
+    for i in range(90):
+        t = words(rng, rng.randint(0, 250)).split()
+        if i % 3 == 0:
+            ws = [w for w in items[i % 12][1].split() if rng.random() > rng.choice([0.0, 0.1, 0.3, 0.5])]
+            at = rng.randint(0, len(t))
+            t[at:at] = ws
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    space = decontaminate.fit(df)
+    want = set()
+    for item in decontaminate._items(items, space):
+        for i, t in rows:
+            h = decontaminate.word_ids(pa.array([t]))[0].tolist()
+            n = len(item.words)
+            if any(item.check(h[k : k + 2 * n + 32]) for k in range(0, max(len(h) - n // 2, 1), 4)):
+                want.add((i, item.item_id))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
+    assert len(want) >= 15 and got <= want and len(got) >= 0.9 * len(want), (want - got, got - want)
+
+
+def test_leaks_of_clashing_names_and_blocks(spark, monkeypatch):
+    rng = random.Random(15)
+    items = [(i, " ".join(f"{words(rng, 1)}k{i}" for _ in range(30)) + ".") for i in range(5)]
+    rows = [(i, items[i][1] if i < 5 else words(rng, 80), 1, 2, 3) for i in range(12)] + [(20, None, 1, 2, 3), (None, items[1][1], 1, 2, 3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, hit_id int, hit_digest int, item_id int")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = {(r.doc_id, r.item_id, round(r.matched, 6)) for r in decontaminate.leaks(df, bench).collect()}
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
+    monkeypatch.setattr(decontaminate, "COSINES", 40)
+    assert {(r.doc_id, r.item_id, round(r.matched, 6)) for r in decontaminate.leaks(df, bench).collect()} == one
+    left = decontaminate.without_leaks(df, bench)
+    assert left.columns == df.columns and {r.doc_id for r in left.collect()} == {*range(5, 12), 20}
+    assert decontaminate.without_leaks(df, bench.limit(0)).count() == len(rows)
+
+
+def test_tree_sum(spark):
+    rows = [(i, (np.arange(5.0) * i).tobytes()) for i in range(300)]
+    df = spark.createDataFrame(rows, "part long, v binary").repartition(7)
+    assert common.tree_sum(df, 300).tolist() == (np.arange(5.0) * sum(range(300))).tolist()
+    assert not len(common.tree_sum(df.limit(0), 300))
+
+
 # --- 9
 
 def brute_stats(text):
