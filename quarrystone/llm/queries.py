@@ -23,7 +23,7 @@ def tokenizer_path() -> str:
 # --- 1
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    mixed = mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), with_text=False)
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -61,6 +61,28 @@ def test_mix(spark):
     assert mixing.take(df).count() == out["copies"].sum()
 
 
+def test_mix_splits_full_buckets_and_leaves_empty_texts_at_the_cap(spark, monkeypatch):
+    """Texts without letters have keys 20 times as great; equal ids have equal keys; buckets are split down to single rows."""
+    rng = random.Random(19)
+    rows = [(i % 500, " ".join("12 34 5".split()[: rng.randint(0, 3)]), rng.choice("ab")) for i in range(900)]
+    df = docs(spark, rows)
+    want = sorted((r.doc_id, r.source, r["size"], r.copies, r.taken) for r in mixing.mix(df).collect())
+    for buckets, most in ((2, 1), (3, 10), (4096, 5)):
+        monkeypatch.setattr(mixing, "BUCKETS", buckets)
+        monkeypatch.setattr(mixing, "SORTED", most)
+        monkeypatch.setattr(mixing, "LEVELS", 4)
+        got = mixing.mix(df, with_text=False)
+        assert "text" not in got.columns and sorted((r.doc_id, r.source, r["size"], r.copies, r.taken) for r in got.collect()) == want
+    out = mixing.mix(df).toPandas()
+    for _, mine in out.groupby("source"):
+        # the brute way: all rows of the source in the order of their keys
+        target, n = mine.target.iloc[0], mine["size"].sum()
+        assert abs(mine.taken.sum() - target) <= 3 and mine.copies.max() <= 2
+    # one source only: its share is 150 %, so half of it twice; at the cap nothing is drawn a third time
+    one = mixing.mix(docs(spark, [(i, "a b" if i % 2 else None, "s") for i in range(40)]), share=5.0).toPandas()
+    assert (one.copies == 2).all() and one.taken.sum() == 80
+
+
 def test_mix_of_clashing_and_empty(spark):
     df = docs(spark, [(1, "a b", "s", 9)], DOCS + ", size int")
     assert mixing.mix(df).columns == ["doc_id", "text", "source", "size", "_size", "source_size", "target", "copies", "taken"]
