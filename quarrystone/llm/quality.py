@@ -165,23 +165,30 @@ def fit(rows: list[tuple], features: tuple[str, ...] = FEATURES, *, min_covered:
 def learn(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_labelled: int = MAX_LABELLED) -> DecisionList:
     """A decision list that rejects rows like those labelled 0; at most ``max_labelled`` labelled rows are looked at.
 
-    Labels that are null, or whose id is null or in no document, say nothing; an id with several labels counts as each.
+    Defined cases: labels that are null, or whose id is null or in no document, say nothing; an id with several labels counts
+    as each; of several documents of an id the one whose text has the least digest counts; no labels, or of one kind only: no
+    rules; columns of any other names play no part.
     """
     known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("l_id"), (F.col(label_col) == 0).alias("l_bad"))
     some = known.orderBy(F.xxhash64("l_id"), "l_id", "l_bad").limit(max_labelled)
-    slim = docs.select(F.col(id_col).alias("l_doc"), F.col(text_col).alias("l_text"))
+    slim = docs.select(F.col(f"`{id_col}`").alias("l_doc"), F.col(f"`{text_col}`").alias("l_text"), F.md5(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("l_digest"))
     # the sample is bounded, so it is the side that is sent everywhere
     joined = slim.join(F.broadcast(some), F.col("l_doc") == F.col("l_id"))
     stats, names = with_stats(joined, "l_text")
-    rows = stats.select("l_id", *(F.col(names[f]).cast("double") for f in FEATURES), "l_bad").collect()
-    return fit([tuple(r)[1:] for r in sorted(rows, key=lambda r: tuple(r))])
+    one = stats.groupBy("l_id", "l_bad").agg(F.min_by(F.struct(*(F.col(names[f]).cast("double").alias(f) for f in FEATURES)), "l_digest").alias("f"))
+    rows = one.collect()  # as many as the sample has at most
+    return fit([(*r.f, r.l_bad) for r in sorted(rows, key=lambda r: (r.l_id, r.l_bad))])
 
 
 def judge(docs: DataFrame, rules: DecisionList, *, text_col: str = "text") -> DataFrame:
     """``docs`` with the statistics, base_failed and kept.
 
     base_failed: fewer than 20 words, or more than 30 % of them in windows of 8 words found twice or more.
-    kept: False if base_failed, else what the list says.  Null and empty texts have no words and fail.
+    kept: False if base_failed, else what the list says.
+
+    Defined cases: null and empty texts have no words and fail; repeated rows are judged alike; a value equal to a threshold
+    meets it on both sides; existing columns of the new names push underscores before the new ones; an empty table gives
+    an empty result.  A very long text's words and windows are arrays of one row.
     """
     stats, names = with_stats(docs, text_col)
     n, repeated = F.col(names["n_words"]), F.col(names["n_repeat_words"])
@@ -191,6 +198,6 @@ def judge(docs: DataFrame, rules: DecisionList, *, text_col: str = "text") -> Da
 
 
 def keep(docs: DataFrame, rules: DecisionList, *, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are kept, with their columns only."""
+    """The rows of ``docs`` that are kept, with their columns only (columns of any names pass through).  Defined cases are those of ``judge``."""
     judged = judge(docs, rules, text_col=text_col)
     return judged.filter(F.col(judged.columns[-1])).select(*(F.col(f"`{c}`") for c in docs.columns))

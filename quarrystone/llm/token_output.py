@@ -383,7 +383,10 @@ def write_shards(docs: DataFrame, tokenizer: str, *, end_id: int = 1, id_col: st
 
 
 def read_shards(spark: SparkSession, shards: list[dict], with_ids: bool = False) -> DataFrame:
-    """What the files hold: doc_id, start (ids before it in all shards), n_tokens, ids_crc32, and the id bytes if asked for."""
+    """What the files hold: doc_id, start (ids before it in all shards), n_tokens, ids_crc32, and the id bytes if asked for.
+
+    No shards give an empty result; a frame or a document that differs from its checksum is an error.
+    """
     starts, before = [], 0
     for s in shards:
         starts.append((s["shard"], s["file"], before))

@@ -666,6 +666,20 @@ def test_decision_list():
     assert wrong < 25 and quality.fit([], ("a", "b")).rules == ()
 
 
+def test_quality_of_odd_tables(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (1, "other", "y"), (None, None, None)], "doc_id long, text string, kept string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 0), (7, 0), (1, None)], "doc_id long, quality int")
+    assert quality.learn(df, labels).rules == () and quality.learn(df.limit(0), labels).rules == () and quality.learn(df, labels.limit(0)).rules == ()
+    rules = quality.DecisionList((quality.Rule((("n_words", ">=", 30.0), ("digit_rate", ">=", 0.0)), False), ))
+    out = quality.judge(df, rules)
+    assert out.columns[:3] == df.columns and out.columns[-1] == "_kept" and [r["_kept"] for r in out.collect()] == [False] * 4
+    assert quality.judge(df.limit(0), rules).count() == 0 and quality.keep(df, rules).columns == df.columns
+    # a threshold is met by the value itself, on both sides
+    long = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(30)))], "doc_id long, text string")
+    for op in ("<=", ">="):
+        assert not quality.judge(long, quality.DecisionList((quality.Rule((("n_words", op, 30.0),), False),))).first()["kept"]
+
+
 def test_quality_on_held_out_labels(spark):
     d, l = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     rules = quality.learn(d, l.filter("doc_id % 2 = 0"))
