@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..core.prefix import numbered, running, with_totals
 from ..core.col import INF, NAN, dbl, ieee_div, ieee_sqrt, over, quantile, to_col
 from .num import xlogy
 
@@ -118,9 +119,8 @@ def query_mad(df: DataFrame, x, use_mean: bool = True, by=None) -> DataFrame:
 def _curve(df: DataFrame, actual, pred, by: list[str]) -> DataFrame:
     """For each distinct score: positives and rows with at least that score, and the totals."""
     counts = df.select(*by, to_col(actual).cast("int").alias("a"), dbl(pred).alias("score")).filter("a IS NOT NULL AND score IS NOT NULL").groupBy(*by, "score").agg(F.sum("a").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    down = part.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return counts.select(*by, "score", "p", "n", F.sum("p").over(down).alias("tp"), F.sum("n").over(down).alias("at_least"), F.sum("p").over(part).alias("all_p"), F.sum("n").over(part).alias("all_n"))
+    run = running(counts, "score", {"tp": "p", "at_least": "n"}, by, descending=True)
+    return with_totals(run, {"all_p": "p", "all_n": "n"}, by)
 
 
 def query_roc_auc(df: DataFrame, actual, pred, by=None) -> DataFrame:
@@ -176,8 +176,8 @@ def query_mase(df: DataFrame, actual, pred, train: str, order_by, freq: int = 1,
 
 
 def _discounted(df: DataFrame, y: str, score: str, log_base: float, k: int | None, ignore_ties: bool, by: list[str], name: str) -> DataFrame:
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    ranked = df.select(*by, dbl(y).alias("y"), dbl(score).alias("s")).withColumn("i", F.row_number().over(part.orderBy(F.desc("s"), F.desc("y") if ignore_ties else F.asc("y"))))
+    slim = df.select(*by, dbl(y).alias("y"), F.coalesce(dbl(score), F.lit(-INF)).alias("s"))
+    ranked = numbered(slim, "s", "i", by, descending=True, ties=[F.desc("y") if ignore_ties else F.asc("y")])
     w = math.log(log_base) / F.log(F.col("i") + 1.0)
     ranked = ranked.withColumn("w", F.when(F.col("i") <= k, w).otherwise(0.0) if k else w)
     if ignore_ties:

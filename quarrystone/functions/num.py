@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core.col import INF, NAN, dbl, finite, ieee_div, ieee_ln, over, to_col, total
@@ -168,25 +168,25 @@ def next_down(x) -> Column:
 # --- over a group of rows
 
 
-def center(x, by=None) -> Column:
-    return dbl(x) - F.avg(dbl(x)).over(over(by))
+def _all(e: Column, by, of: DataFrame | None) -> Column:
+    """An aggregate beside each row: over the row's group, or as a scalar subquery over the frame ``of``."""
+    if by is None and of is not None:
+        return of.select(e.alias("v")).scalar()
+    return e.over(over(by))
 
 
-def z_normalize(x, by=None) -> Column:
-    w = over(by)
-    return ieee_div(center(x, by), F.stddev_samp(dbl(x)).over(w))
+# ``of``: the frame itself, where there is no group; without either, the window is one task
 
+def center(x, by=None, of: DataFrame | None = None) -> Column:
+    return dbl(x) - _all(F.avg(dbl(x)), by, of)
 
-def softmax(x, by=None) -> Column:
-    return F.exp(dbl(x)) / F.sum(F.exp(dbl(x))).over(over(by))
 
+def z_normalize(x, by=None, of: DataFrame | None = None) -> Column:
+    return ieee_div(center(x, by, of), _all(F.stddev_samp(dbl(x)), by, of))
 
-def detrend(x, order_by, by=None, method: str = "linear") -> Column:
-    """x less its mean, or less the least-squares line over the row number in the given order."""
-    if method == "mean":
-        return center(x, by)
-    i = (F.row_number().over(over(by, order_by)) - 1).cast("double")
-    return F.struct(dbl(x).alias("x"), i.alias("i"))
+
+def softmax(x, by=None, of: DataFrame | None = None) -> Column:
+    return F.exp(dbl(x)) / _all(F.sum(F.exp(dbl(x))), by, of)
 
 
 def integrate_trapz_pairs(y, x, order_by=None, by=None) -> Column:

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import special
+from ..core.prefix import numbered, running, with_totals
 from ..core.col import NAN, dbl, finite, ieee_div, ieee_ln, ieee_sqrt, quantile, to_col
 
 TEST = "struct<statistic: double, pvalue: double>"
@@ -165,9 +166,8 @@ def ks_2samp(df: DataFrame, var1: str, var2: str, alpha: float = 0.05, by=None)
     one = df.select(*by, finite(var1).alias("v"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
     two = df.select(*by, finite(var2).alias("v"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
     counts = one.unionByName(two).filter("v IS NOT NULL").groupBy(*by, "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    run = part.orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = counts.select(*by, "a", "b", F.abs(ieee_div(F.sum("a").over(run), F.sum("a").over(part)) - ieee_div(F.sum("b").over(run), F.sum("b").over(part))).alias("d"))
+    d = with_totals(running(counts, "v", {"a_upto": "a", "b_upto": "b"}, by), {"a_all": "a", "b_all": "b"}, by)
+    d = d.select(*by, "a", "b", F.abs(ieee_div("a_upto", "a_all") - ieee_div("b_upto", "b_all")).alias("d"))
     n1, n2 = F.sum("a"), F.sum("b")
     enough = (n1 > 30) & (n2 > 30)
     import math
@@ -214,10 +214,9 @@ def ranks(df: DataFrame, x: str, name: str = "rank", by=None, method: str = "ave
     """Ranks of the values through counts of distinct values: ties by average, min, max or dense."""
     by = _by(by)
     counts = df.filter(to_col(x).isNotNull()).groupBy(*by, F.col(x).alias("rank_value")).agg(F.count(F.lit(1)).alias("rank_n"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    run = part.orderBy("rank_value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.sum("rank_n").over(run)
-    r = {"average": upto - (F.col("rank_n") - 1) / 2, "min": upto - F.col("rank_n") + 1, "max": upto, "dense": F.row_number().over(part.orderBy("rank_value"))}[method]
+    counts = running(counts.withColumn("rank_one", F.lit(1).cast("long")), "rank_value", {"rank_upto": "rank_n", "rank_dense": "rank_one"}, by)
+    upto = F.col("rank_upto")
+    r = {"average": upto - (F.col("rank_n") - 1) / 2, "min": upto - F.col("rank_n") + 1, "max": upto, "dense": F.col("rank_dense")}[method]
     table = counts.select(*by, "rank_value", r.cast("double").alias(name))
     return df.join(table, [df[b].eqNullSafe(table[b]) for b in by] + [df[x] == table["rank_value"]], "left").select(*(df[c] for c in df.columns), table[name])
 
@@ -227,8 +226,7 @@ def mann_whitney_u(df: DataFrame, var1: str, var2: str, alternative: str = "two-
     one = df.select(finite(var1).alias("v"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
     two = df.select(finite(var2).alias("v"), F.lit(0.0).alias("a"), F.lit(1.0).alias("b"))
     c = one.unionByName(two).filter("v IS NOT NULL").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("t", F.col("a") + F.col("b"))
-    upto = F.sum("t").over(Window.partitionBy(F.lit(1)).orderBy("v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    r = c.withColumn("r", upto - (F.col("t") - 1) / 2).agg(F.sum(F.col("r") * F.col("a")).alias("r1"), F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
+    r = running(c, "v", {"upto": "t"}).withColumn("r", F.col("upto") - (F.col("t") - 1) / 2).agg(F.sum(F.col("r") * F.col("a")).alias("r1"), F.sum("a").alias("n1"), F.sum("b").alias("n2"), F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
     n1, n2 = F.col("n1"), F.col("n2")
     u1 = F.col("r1") - n1 * (n1 + 1) / 2
     u = {"two-sided": F.greatest(u1, n1 * n2 - u1), "greater": u1, "less": n1 * n2 - u1}[alternative]
@@ -243,8 +241,9 @@ def xi_corr(df: DataFrame, x: str, y: str, seed: int = 42, return_p: bool = Fals
     d = df.select(dbl(x).alias("x"), dbl(y).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
     d = ranks(d, "y", "r", method="max").withColumn("neg", -F.col("y"))
     d = ranks(d, "neg", "l", method="max")
-    w = Window.partitionBy(F.lit(1)).orderBy("x", F.xxhash64(F.lit(seed), "x", "y"), "y")
-    d = d.withColumn("step", F.abs(F.col("r") - F.lag("r").over(w)))
+    # the row before in the order of x, by its number
+    d = numbered(d.select("x", "y", "r", "l"), "x", "i", ties=[F.xxhash64(F.lit(seed), "x", "y"), F.col("y")])
+    d = d.join(d.select((F.col("i") + 1).alias("i"), F.col("r").alias("r_before")), "i", "left").withColumn("step", F.abs(F.col("r") - F.col("r_before")))
     n = F.count(F.lit(1)).cast("double")
     s = d.agg(n.alias("n"), F.sum("step").alias("s"), F.sum("l").alias("l1"), F.sum(F.col("l") * F.col("l")).alias("l2"))
     xi = 1 - ieee_div(F.col("n") * F.col("s"), 2 * (F.col("n") * F.col("l1") - F.col("l2")))

@@ -73,8 +73,8 @@ def _vectors(df: DataFrame, features: tuple, index: str, mask: Column | None, ex
     return d.select(F.col(index).alias("id_"), v.alias("v_"), *extra).filter(ok)
 
 
-def _top(df: DataFrame, features: tuple, index: str, k: int, dist: str, eval_mask=None, data_mask=None, max_bound: float = 99999.0, extra: list[str] | None = None) -> DataFrame:
-    """(id_, nn_, d_, rank_): each query's k nearest points, ties by id."""
+def _top(df: DataFrame, features: tuple, index: str, k: int, dist: str, eval_mask=None, data_mask=None, max_bound: float = 99999.0, extra: list[str] | None = None, min_bound: float = -INF) -> DataFrame:
+    """(id_, nn_, d_, rank_): each query's k nearest points of those from min_bound to max_bound away, ties by id."""
     extra = extra or []
     q, p = _vectors(df, features, index, eval_mask, []), _vectors(df, features, index, data_mask, extra)
     n_q, n_p = (max(1, math.ceil(x.count() / BLOCK)) for x in (q, p))
@@ -95,10 +95,11 @@ def _top(df: DataFrame, features: tuple, index: str, k: int, dist: str, eval_mas
                 cols = {e: np.array([ps[o][e] for o in order]) for e in extra}
                 for i in range(0, len(a), 512):
                     d = _np_dist(a[i : i + 512], b, dist)
+                    d[d < min_bound] = np.inf
                     m = min(k, d.shape[1])
                     near = np.argsort(d, axis=1, kind="stable")[:, :m]
                     dd = np.take_along_axis(d, near, 1)
-                    ok = (dd <= max_bound).ravel()
+                    ok = ((dd <= max_bound) & (dd < np.inf)).ravel()
                     yield pd.DataFrame({"id_": np.repeat(ids[i : i + 512], m)[ok], "nn_": pid[near].ravel()[ok], "d_": dd.ravel()[ok], **{e: c[near].ravel()[ok] for e, c in cols.items()}})
 
     found = pairs.select("q_", "p_").repartition(n_q * n_p).mapInPandas(run, kind)
@@ -126,21 +127,15 @@ def query_knn_freq_cnt(df: DataFrame, *features, index: str, k: int, **options)
 def query_knn_avg(df: DataFrame, *features, index: str, target: str, k: int, dist: str = "sql2", weighted: bool = False, min_bound: float = 1e-9, max_bound: float = 99999.0) -> DataFrame:
     """Mean target of the k nearest points that are min_bound away at least and have a target."""
     p = df.withColumn("target_", dbl(target))
-    extra_k = k + 1 + _twins(df, features)
-    t = _top(p, features, index, extra_k, dist, None, F.col("target_").isNotNull(), max_bound, ["target_"]).filter(F.col("d_") >= min_bound)
-    t = t.withColumn("rank_", F.row_number().over(Window.partitionBy("id_").orderBy("d_", "nn_"))).filter(F.col("rank_") <= k)
+    t = _top(p, features, index, k, dist, None, F.col("target_").isNotNull(), max_bound, ["target_"], min_bound)
     w = ieee_div(1.0, "d_") if weighted else F.lit(1.0)
     return t.groupBy(F.col("id_").alias(index)).agg((F.sum(w * F.col("target_")) / F.sum(w)).alias("value"))
 
 
-def _twins(df: DataFrame, features: tuple) -> int:
-    """How many rows share one point at most: that many may stand before a point's first true neighbour."""
-    row = df.groupBy(*(dbl(f).alias(f"f{i}") for i, f in enumerate(features))).count().agg(F.max("count").alias("m")).first()
-    return int(row.m or 0)
-
-
 def _within(df: DataFrame, features: tuple, index: str, r, dist: str) -> DataFrame:
     """(id_, nn_, d_) of all pairs within r (a number): an equi join over grid cells, then the exact test."""
+    if dist not in ("l1", "l2", "sql2", "inf"):
+        raise ValueError(f"no radius search by {dist}")
     width = math.sqrt(r) if dist == "sql2" else float(r)
     width = width if width > 0 else 1.0
     dims = len(features)

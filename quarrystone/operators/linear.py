@@ -10,10 +10,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core import special
+from ..core.prefix import in_blocks, running
 from ..core.col import dbl, ieee_div, to_col, total
 
 NAN = float("nan")
@@ -197,8 +198,8 @@ def lin_reg_w_rcond(df: DataFrame, *x, target, add_bias: bool = False, rcond: fl
     return d.select(*by, F.slice("r", 1, k).alias("coeffs"), F.slice("r", k + 1, k).alias("singular_values"))
 
 
-def _windowed(df: DataFrame, x: tuple, target, order_by, frame, add_bias: bool, l2_reg: float, least: int, by) -> DataFrame:
-    """Coefficients and prediction of each row from the moments of its window."""
+def _windowed(df: DataFrame, x: tuple, target, order_by, before: int | None, add_bias: bool, l2_reg: float, least: int, by) -> DataFrame:
+    """Coefficients and prediction of each row from the moments of it and the ``before`` rows before it (all rows, if None)."""
     by = _by(by)
     k = len(x) + add_bias
     xs = [(F.expr(f) if isinstance(f, str) else f).cast("double") for f in x] + ([F.lit(1.0)] if add_bias else [])
@@ -206,21 +207,35 @@ def _windowed(df: DataFrame, x: tuple, target, order_by, frame, add_bias: bool,
     ok = y.isNotNull()
     for v in xs:
         ok = ok & v.isNotNull()
-    w = frame(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1)), order_by)
-    parts = [F.sum(F.when(ok, xs[i] * xs[j])).over(w) for i in range(k) for j in range(i, k)] + [F.sum(F.when(ok, v * y)).over(w) for v in xs]
-    n = F.count(F.when(ok, 1)).over(w).cast("double")
-    m = F.array(*parts, F.lit(0.0), n, n, F.lit(0.0))
+    sums = [F.when(ok, xs[i] * xs[j]) for i in range(k) for j in range(i, k)] + [F.when(ok, v * y) for v in xs]
+    if not by and before is None:
+        # running sums of the whole frame
+        names = [f"part_{i}_" for i in range(len(sums) + 1)]
+        d = df.withColumns({**dict(zip(names, sums)), names[-1]: F.when(ok, 1.0)}).withColumn("order_", to_col(order_by[0] if isinstance(order_by, list) else order_by))
+        upto = [f"upto_{i}_" for i in range(len(names))]
+        d = running(d, "order_", dict(zip(upto, names)), ties=[to_col(o) for o in order_by[1:]] if isinstance(order_by, list) else None)
+        m = F.array(*(F.col(c) for c in upto[:-1]), F.lit(0.0), F.col(upto[-1]), F.col(upto[-1]), F.lit(0.0))
+        gone = ["moments_", "order_", *names, *upto]
+    else:
+        d, block, own = (df, None, None) if by else in_blocks(df, order_by if isinstance(order_by, list) else [order_by], before)
+        w = Window.partitionBy(*(by or [block])).orderBy(*(order_by if isinstance(order_by, list) else [order_by])).rowsBetween(Window.unboundedPreceding if before is None else -before, 0)
+        n = F.count(F.when(ok, 1)).over(w).cast("double")
+        m = F.array(*(F.sum(c).over(w) for c in sums), F.lit(0.0), n, n, F.lit(0.0))
+        gone = ["moments_", *([block, own] if block else [])]
+    d = d.withColumn("moments_", m)
+    if not by and before is not None:
+        d = d.filter(own)
     run = _solver(k, lambda a, b, yy, cnt, sy: solve(a, b, cnt, add_bias=add_bias, l2=l2_reg) if cnt >= least else None)
-    d = df.withColumn("moments_", m).withColumn("coeffs", run("moments_")).drop("moments_")
+    d = d.withColumn("coeffs", run("moments_")).drop(*gone)
     return d.withColumn("pred", total(F.get("coeffs", F.lit(i)) * v for i, v in enumerate(xs)))
 
 
 def recursive_lin_reg(df: DataFrame, *x, target, start_with: int, order_by, add_bias: bool = False, l2_reg: float = 0.0, by=None) -> DataFrame:
-    return _windowed(df, x, target, order_by, lambda w, o: w.orderBy(o).rowsBetween(Window.unboundedPreceding, 0), add_bias, l2_reg, start_with, by)
+    return _windowed(df, x, target, order_by, None, add_bias, l2_reg, start_with, by)
 
 
 def rolling_lin_reg(df: DataFrame, *x, target, window_size: int, order_by, add_bias: bool = False, l2_reg: float = 0.0, min_valid_rows: int | None = None, by=None) -> DataFrame:
-    return _windowed(df, x, target, order_by, lambda w, o: w.orderBy(o).rowsBetween(-(window_size - 1), 0), add_bias, l2_reg, min_valid_rows or window_size, by)
+    return _windowed(df, x, target, order_by, window_size - 1, add_bias, l2_reg, min_valid_rows or window_size, by)
 
 
 def lin_reg_report(df: DataFrame, *x, target, weights=None, add_bias: bool = False, null_policy: str = "raise", std_err: str = "se", by=None) -> DataFrame:
@@ -448,6 +463,14 @@ class OnlineLR(_Model):
     def inv(self) -> np.ndarray:
         return np.linalg.inv(self._a)
 
+    def state(self) -> tuple[list[float], list[float]] | None:
+        """XtX (with the penalty) and Xty, to be saved; None before the first rows."""
+        return None if self._a is None else (self._a.ravel().tolist(), self._b.tolist())
+
+    def restore(self, a: list[float], b: list[float]):
+        self._a, self._b = np.array(a).reshape(len(b), len(b)), np.array(b)
+        return self._take(np.linalg.solve(self._a, self._b))
+
     def _merge(self, a: np.ndarray, b: np.ndarray):
         if self._a is None:
             reg = np.eye(len(b)) * self.lambda_
@@ -482,13 +505,29 @@ class GLM(_Model):
         super().__init__(has_bias)
         self.family, self.max_iter, self.tol = family, max_iter, tol
 
-    def fit_df(self, df: DataFrame, features: list[str], target: str, null_policy: str = "skip"):
+    def fit_df(self, df: DataFrame, features: list[str], target: str, null_policy: str = "skip", show_report: bool = False):
         self.feature_names_in_ = list(features)
         d = prepare(df, features, target, [], null_policy).cache()
         try:
-            return self._take(_irls(d, len(features), self.has_bias, self.family, self.max_iter, self.tol))
+            self._take(_irls(d, len(features), self.has_bias, self.family, self.max_iter, self.tol))
         finally:
             d.unpersist()
+        if show_report:
+            self.report(df).show()
+        return self
+
+    def fit(self, X, y, null_policy: str = "ignore"):
+        """From arrays, which fit the driver: they become a frame."""
+        X, y = _arrays(X, y, null_policy)
+        names = [f"x{i}" for i in range(X.shape[1])]
+        spark = SparkSession.active()
+        return self.fit_df(spark.createDataFrame([(*map(float, row), float(v)) for row, v in zip(X, y)], ", ".join(f"{n} double" for n in [*names, "y"])), names, "y")
+
+    def report(self, df: DataFrame) -> DataFrame:
+        """(feature, beta) of the fitted model."""
+        names = [*self.feature_names_in_, *(["__bias__"] if self.has_bias else [])]
+        betas = [*np.asarray(self._coeffs, float), *([float(self._bias)] if self.has_bias else [])]
+        return df.sparkSession.createDataFrame([(n, float(b)) for n, b in zip(names, betas)], "feature string, beta double")
 
     def mean(self) -> Column:
         eta = self.linear()
@@ -551,7 +590,15 @@ class MixedModel:
         self.names_ = [*features, "__bias__"]
         self.coeffs_, self.resid_variance_, self.gamma_ = beta, s2, ratio * s2
         self.std_errors_ = np.sqrt(np.diag(np.linalg.inv(A)) * s2)
-        self.dfs_ = np.array([n - k] * p + [max(n_groups - 1, 1)], float)
+        # a feature that is constant in every group (and the intercept) is tested against the groups, the others against the rows
+        spread = d.groupBy(group).agg(*(F.max(f"x{i}").alias(f"a{i}") for i in range(p)), *(F.min(f"x{i}").alias(f"b{i}") for i in range(p))).agg(*(F.bool_and(F.col(f"a{i}") == F.col(f"b{i}")).alias(f"c{i}") for i in range(p))).first()
+        between = np.array([*spread, True], bool)
+        within = a - sum(x[: k * k].reshape(k, k) / size for size, _, x in q)
+        rank = lambda m: int((np.linalg.eigvalsh(m / max(np.abs(m).max(), 1e-300)) > 1e-9).sum()) if m.size else 0
+        scale = np.sqrt(np.maximum(np.diag(a), 1e-300))
+        unit = lambda m, at: rank((m / np.outer(scale, scale))[np.ix_(at, at)])
+        inside = unit(within, ~between) if (~between).any() else 0
+        self.dfs_ = np.where(between, n_groups - unit(a, between), n - n_groups - inside).astype(float)
         return self
 
     def report(self) -> list[dict]:
@@ -564,9 +611,12 @@ class MixedModel:
 def query_ar_coeffs(df: DataFrame, x: str, lag: int, order_by, add_bias: bool = True, by=None) -> DataFrame:
     """Least squares of x on its own lags; the first rows, which have none, are left out."""
     by = _by(by)
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(order_by)
+    order = order_by if isinstance(order_by, list) else [order_by]
+    d, block, own = (df, None, None) if by else in_blocks(df, order, lag)
+    w = Window.partitionBy(*(by or [block])).orderBy(*order)
     lags = {f"lag_{i}": F.lag(dbl(x), i).over(w) for i in range(1, lag + 1)}
-    return lin_reg(df.withColumns(lags), *lags, target=x, add_bias=add_bias, by=by)
+    d = d.withColumns(lags)
+    return lin_reg(d if by else d.filter(own), *lags, target=x, add_bias=add_bias, by=by)
 
 
 # --- decomposition, from the same moments

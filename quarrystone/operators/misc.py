@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core.col import dbl
+from ..core.prefix import numbered, running, with_totals
 
 
 def _by(by) -> list[str]:
@@ -20,12 +21,10 @@ def query_kaplan_meier_prob(df: DataFrame, status, time_exit, by=None) -> DataFr
     by = _by(by)
     s = F.expr(status) if isinstance(status, str) else status
     c = df.select(*by, dbl(time_exit).alias("t"), s.cast("int").alias("d")).filter("t IS NOT NULL AND d IS NOT NULL").groupBy(*by, "t").agg(F.sum("d").cast("double").alias("d"), F.count(F.lit(1)).cast("double").alias("n"))
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    at_risk = F.sum("n").over(part.orderBy(F.desc("t")).rowsBetween(Window.unboundedPreceding, 0))
-    f = c.withColumn("p", 1 - F.col("d") / at_risk)
-    run = part.orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    gone = F.max((F.col("p") <= 0).cast("int")).over(run)
-    return f.select(*by, "t", F.when(gone == 1, 0.0).otherwise(F.exp(F.sum(F.log(F.when(F.col("p") > 0, F.col("p")))).over(run))).alias("prob"))
+    f = running(c, "t", {"at_risk": "n"}, by, descending=True).withColumn("p", 1 - F.col("d") / F.col("at_risk"))
+    f = f.withColumn("gone_", (F.col("p") <= 0).cast("int")).withColumn("log_", F.when(F.col("p") > 0, F.log("p")).otherwise(0.0))
+    f = running(f, "t", {"gone": "gone_", "log": "log_"}, by)
+    return f.select(*by, "t", F.when(F.col("gone") > 0, 0.0).otherwise(F.exp("log")).alias("prob"))
 
 
 def product(df: DataFrame, s1: str, s2: str) -> DataFrame:
@@ -36,7 +35,7 @@ def product(df: DataFrame, s1: str, s2: str) -> DataFrame:
 def combinations(df: DataFrame, source: str, k: int, unique: bool = False, order_by=None) -> DataFrame:
     """All k-combinations of a column's values, in the given order (by value by default)."""
     d = df.select(source).distinct() if unique else df
-    d = d.withColumn("i_", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(order_by or source))).select(F.col(source).alias("v_"), "i_")
+    d = numbered(d, order_by or source, "i_", ties=[F.col(f"`{c}`") for c in d.columns]).select(F.col(source).alias("v_"), "i_")
     out = d.select(F.array("v_").alias("values"), F.col("i_").alias("last_"))
     for _ in range(k - 1):
         out = out.join(d, d["i_"] > out["last_"]).select(F.concat("values", F.array("v_")).alias("values"), F.col("i_").alias("last_"))
@@ -59,9 +58,9 @@ def sample(df: DataFrame, value: int | float, replace: bool = False, seed: int |
         count = df.count()
         want = n if n is not None else round(count * value)
         rng = F.rand(seed) if seed is not None else F.rand()
-        numbered = df.withColumn("i_", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(_key(df, seed))) - 1)
-        draws = df.sparkSession.range(want).select(F.floor(rng * count).cast("int").alias("i_"))
-        return draws.join(numbered, "i_").drop("i_")
+        rows = numbered(df.withColumn("key_", _key(df, seed or 0)), "key_", "i_").drop("key_")
+        draws = df.sparkSession.range(want).select((F.floor(rng * count) + 1).cast("long").alias("i_"))
+        return draws.join(rows, "i_").drop("i_")
     if n is None:
         n = round(df.count() * value)
     return df.orderBy(_key(df, seed)).limit(n)
@@ -109,14 +108,14 @@ def split_by_ratio(df: DataFrame, split_ratio, split_col: str = "__split", by=No
         ratios = {f"split_{i}": r for i, r in enumerate(split_ratio)}
     if abs(sum(ratios.values()) - 1) > 1e-9:
         raise ValueError("shares must sum to 1")
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    pos = (F.row_number().over(part.orderBy(_key(df, seed))) - 1) / F.count(F.lit(1)).over(part)
-    d, upto, label = df.withColumn("pos_", pos), 0.0, None
+    d = df.withColumn("key_", _key(df, _random.randrange(1 << 31) if seed is None else seed)).withColumn("one_", F.lit(1).cast("long"))
+    d = with_totals(running(d, "key_", {"i_": "one_"}, by), {"n_": "one_"}, by).withColumn("pos_", (F.col("i_") - 1) / F.col("n_"))
+    upto, label = 0.0, None
     for name, r in list(ratios.items())[:-1]:
         upto += r
         label = (F if label is None else label).when(F.col("pos_") < upto - 1e-12, F.lit(name))
     last = list(ratios)[-1]
-    return d.withColumn(split_col, F.lit(last) if label is None else label.otherwise(F.lit(last))).drop("pos_")
+    return d.withColumn(split_col, F.lit(last) if label is None else label.otherwise(F.lit(last))).drop("pos_", "key_", "one_", "i_", "n_")
 
 
 def frame(spark: SparkSession, size: int = 2000, index_name: str = "row_num") -> DataFrame:
