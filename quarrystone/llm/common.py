@@ -215,7 +215,7 @@ def tree_sum(parts: DataFrame, n: int | None = None, kind: str = "f8") -> np.nda
     """Sum of the vectors (of numpy type ``kind``) in column ``v`` of rows (part, v), as doubles, in an order that the numbers ``part`` give; none: an empty one.
 
     ``part`` numbers rows from 0 on, each once, below ``n`` (by default the number of partitions).  Level by level a task
-    adds FAN_IN vectors at most; the driver gets as many.
+    adds FAN_IN vectors at most; the driver gets one.
     """
 
     def add(table: pa.Table) -> pa.Table:
@@ -226,7 +226,7 @@ def tree_sum(parts: DataFrame, n: int | None = None, kind: str = "f8") -> np.nda
         return pa.table({"part": pa.array([rows[0][0] // FAN_IN], pa.int64()), "v": pa.array([total.astype(kind).tobytes()], pa.binary())})
 
     n = parts.rdd.getNumPartitions() if n is None else n
-    while n > FAN_IN:
+    while n > 1:
         parts = parts.groupBy(F.expr(f"part div {FAN_IN}")).applyInArrow(add, "part long, v binary")
         n = -(-n // FAN_IN)
     rows = sorted((r.part, r.v) for r in parts.collect())
