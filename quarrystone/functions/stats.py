@@ -217,8 +217,9 @@ def ranks(df: DataFrame, x: str, name: str = "rank", by=None, method: str = "ave
     counts = running(counts.withColumn("rank_one", F.lit(1).cast("long")), "rank_value", {"rank_upto": "rank_n", "rank_dense": "rank_one"}, by)
     upto = F.col("rank_upto")
     r = {"average": upto - (F.col("rank_n") - 1) / 2, "min": upto - F.col("rank_n") + 1, "max": upto, "dense": F.col("rank_dense")}[method]
-    table = counts.select(*by, "rank_value", r.cast("double").alias(name))
-    return df.join(table, [df[b].eqNullSafe(table[b]) for b in by] + [df[x] == table["rank_value"]], "left").select(*(df[c] for c in df.columns), table[name])
+    table = counts.select(*(F.col(b).alias(f"rank_by_{i}") for i, b in enumerate(by)), "rank_value", r.cast("double").alias(name))
+    same = [F.col(b).eqNullSafe(F.col(f"rank_by_{i}")) for i, b in enumerate(by)] + [F.col(x) == F.col("rank_value")]
+    return df.join(table, same, "left").select(*(F.col(f"`{c}`") for c in df.columns), name)
 
 
 def mann_whitney_u(df: DataFrame, var1: str, var2: str, alternative: str = "two-sided") -> DataFrame:

@@ -602,9 +602,12 @@ class MixedModel:
         return self
 
     def report(self) -> list[dict]:
+        """A row for each fixed effect, the intercept first."""
+        order = [len(self.names_) - 1, *range(len(self.names_) - 1)]
         out = []
-        for name, b, s, df in zip(self.names_, self.coeffs_, self.std_errors_, self.dfs_):
-            out.append({"effect": name, "beta": float(b), "std_err": float(s), "df": float(df), "t": float(b / s), "p>|t|": 2 * special.t_sf(abs(float(b / s)), float(df))})
+        for j in order:
+            b, s, df = float(self.coeffs_[j]), float(self.std_errors_[j]), float(self.dfs_[j])
+            out.append({"effect": "Intercept" if self.names_[j] == "__bias__" else self.names_[j], "estimate": b, "std_err": s, "df": df, "t": b / s, "p_value": 2 * special.t_sf(abs(b / s), df)})
         return out
 
 

@@ -42,6 +42,10 @@ def combinations(df: DataFrame, source: str, k: int, unique: bool = False, order
     return out.select("values")
 
 
+#: Rows of a sample that one task may gather.
+TOP_ROWS = 50_000
+
+
 # --- sampling: rows are drawn by a hash of the seed and the row, so that reruns agree whatever the partitions
 
 
@@ -63,7 +67,11 @@ def sample(df: DataFrame, value: int | float, replace: bool = False, seed: int |
         return draws.join(rows, "i_").drop("i_")
     if n is None:
         n = round(df.count() * value)
-    return df.orderBy(_key(df, seed)).limit(n)
+    if n <= TOP_ROWS:
+        return df.orderBy(_key(df, seed)).limit(n)
+    # too many for one task to hold: rows are numbered by their keys, range by range
+    keyed = numbered(df.withColumn("key_", _key(df, _random.randrange(1 << 31) if seed is None else seed)), "key_", "i_")
+    return keyed.filter(F.col("i_") <= n).drop("key_", "i_")
 
 
 def volume_neutral(df: DataFrame, by: str, control=None, target_volume: int | None = None, seed: int | None = None) -> DataFrame:
