@@ -582,30 +582,26 @@ def test_latent_space_holds_what_a_whole_decomposition_holds(spark, monkeypatch)
 
 
 def test_leaks_against_all_windows(spark):
-    """Every pair that a look at all windows of all texts finds, and no other."""
+    """Items put into texts of the table with up to 3 of 10 words left out: at least 9 of 10 pairs that a look at all windows finds, and no other."""
+    docs_ = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").filter("text IS NOT NULL")
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     rng = random.Random(14)
-    items = [(i, " ".join(f"{words(rng, 1)}{rng.randint(0, 30)}" for _ in range(rng.choice([15, 25, 45]))) + ". " + words(rng, 4) + ".") for i in range(12)]
-    items.append((3, items[3][1]))  # the same item again
-    rows = []
-    for i in range(90):
-        t = words(rng, rng.randint(0, 250)).split()
-        if i % 3 == 0:
-            ws = [w for w in items[i % 12][1].split() if rng.random() > rng.choice([0.0, 0.1, 0.3, 0.5])]
-            at = rng.randint(0, len(t))
-            t[at:at] = ws
-        rows.append((i, " ".join(t)))
-    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
-    bench = spark.createDataFrame(items, "item_id long, text string")
+    texts, items = sorted(map(tuple, docs_.collect())), sorted((r.item_id, r.text) for r in bench.collect())[:20]
+    rows = {}
+    for k, (i, t) in enumerate([x for x in texts if 60 < len(x[1].split()) < 400][:60]):
+        ws, item = t.split(), [w for w in items[k % 20][1].split() if rng.random() > (0, 0.1, 0.2, 0.3)[k % 4]]
+        at = rng.randint(0, len(ws))
+        rows[i] = " ".join(ws[:at] + item + ws[at:])
+    df = spark.createDataFrame([(i, rows.get(i, t)) for i, t in texts], "doc_id long, text string")
     space = decontaminate.fit(df)
     want = set()
     for item in decontaminate._items(items, space):
-        for i, t in rows:
-            h = decontaminate.word_ids(pa.array([t]))[0].tolist()
-            n = len(item.words)
+        for i, t in rows.items():
+            h, n = decontaminate.word_ids(pa.array([t]))[0].tolist(), len(item.words)
             if any(item.check(h[k : k + 2 * n + 32]) for k in range(0, max(len(h) - n // 2, 1), 4)):
                 want.add((i, item.item_id))
-    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, bench).collect()}
-    assert len(want) >= 15 and got <= want and len(got) >= 0.9 * len(want), (want - got, got - want)
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect() if r.doc_id in rows}
+    assert len(want) >= 25 and got <= want and len(got) >= 0.9 * len(want), (len(want), want - got, got - want)
 
 
 def test_leaks_of_clashing_names_and_blocks(spark, monkeypatch):
