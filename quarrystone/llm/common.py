@@ -208,7 +208,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
 # --- sums of long vectors
 
 #: Vectors that one task adds up, at most.
-FAN_IN = 16
+FAN_IN = 4
 
 
 def tree_sum(parts: DataFrame, n: int | None = None, kind: str = "f8") -> np.ndarray:
