@@ -1,8 +1,10 @@
 """Nearest neighbours and radius queries, exact.
 
 Radius queries are equi joins over a grid whose cells are as wide as the radius: a row meets only the 3^d cells around its
-own.  k-nearest queries take the points in blocks: each block of queries meets each block of points once, keeps its k
-best, and the k best of all blocks are merged; no task holds more than two blocks.
+own.  k-nearest queries take the points in blocks of neighbouring points (leaves of a k-d tree over a bounded sample, cut
+further by a hash where a leaf holds many).  A block of queries first meets one block of points of its own leaf, which
+bounds how far its neighbours can be; then only blocks whose bounding boxes reach that near.  The k best of all blocks
+are merged; no task holds more than two blocks.
 """
 
 from __future__ import annotations
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..core.col import INF, dbl, finite, ieee_div, total
 
-BLOCK = 4096
+#: Rows of a block; leaves of the tree and points of the sample that it is made from, at most.
+BLOCK, LEAVES, SAMPLED = 4096, 1024, 20_000
 
 
 def distance(features: list, point: list[float], dist: str = "sql2") -> Column:
@@ -78,35 +81,93 @@ def _top(df: DataFrame, features: tuple, index: str, k: int, dist: str, eval_mas
     extra = extra or []
     q, p = _vectors(df, features, index, eval_mask, []), _vectors(df, features, index, data_mask, extra)
     n_q, n_p = (max(1, math.ceil(x.count() / BLOCK)) for x in (q, p))
-    key = lambda n: F.pmod(F.xxhash64("id_"), F.lit(n)).cast("int")
-    blocks = lambda x, n, tag: x.withColumn("b_", key(n)).groupBy("b_").agg(F.collect_list(F.struct(*x.columns)).alias(tag))
-    # blocks of bounded size: each pair of blocks is one row's work
-    pairs = blocks(q, n_q, "q_").withColumnRenamed("b_", "bq_").crossJoin(blocks(p, n_p, "p_"))  # pairs of blocks, not of rows
     id_type = df.schema[index].dataType.simpleString()
     kind = f"id_ {id_type}, nn_ {id_type}, d_ double" + "".join(f", `{e}` {df.schema[e].dataType.simpleString()}" for e in extra)
 
+    def nearest(qs, ps):
+        """For parts of the queries: their ids, and in order the places and distances of their nearest points; and the points."""
+        a, b = np.array([list(r["v_"]) for r in qs], float), np.array([list(r["v_"]) for r in ps], float)
+        ids, pid = np.array([r["id_"] for r in qs]), np.array([r["id_"] for r in ps])
+        order = np.argsort(pid, kind="stable")
+        b = b[order]
+        for i in range(0, len(a), 512):
+            d = _np_dist(a[i : i + 512], b, dist)
+            d[d < min_bound] = np.inf
+            near = np.argsort(d, axis=1, kind="stable")[:, : min(k, d.shape[1])]
+            yield ids[i : i + 512], order[near], np.take_along_axis(d, near, 1), pid
+
     def run(batches):
         for pdf in batches:
             for qs, ps in zip(pdf["q_"], pdf["p_"]):
-                a, b = np.array([list(r["v_"]) for r in qs], float), np.array([list(r["v_"]) for r in ps], float)
-                ids, pid = np.array([r["id_"] for r in qs]), np.array([r["id_"] for r in ps])
-                order = np.argsort(pid, kind="stable")
-                b, pid = b[order], pid[order]
-                cols = {e: np.array([ps[o][e] for o in order]) for e in extra}
-                for i in range(0, len(a), 512):
-                    d = _np_dist(a[i : i + 512], b, dist)
-                    d[d < min_bound] = np.inf
-                    m = min(k, d.shape[1])
-                    near = np.argsort(d, axis=1, kind="stable")[:, :m]
-                    dd = np.take_along_axis(d, near, 1)
-                    ok = ((dd <= max_bound) & (dd < np.inf)).ravel()
-                    yield pd.DataFrame({"id_": np.repeat(ids[i : i + 512], m)[ok], "nn_": pid[near].ravel()[ok], "d_": dd.ravel()[ok], **{e: c[near].ravel()[ok] for e, c in cols.items()}})
-
-    found = pairs.select("q_", "p_").repartition(n_q * n_p).mapInPandas(run, kind)
+                cols = {e: np.array([r[e] for r in ps]) for e in extra}
+                for ids, near, d, pid in nearest(qs, ps):
+                    ok = ((d <= max_bound) & (d < np.inf)).ravel()
+                    yield pd.DataFrame({"id_": np.repeat(ids, d.shape[1])[ok], "nn_": pid[near].ravel()[ok], "d_": d.ravel()[ok], **{e: c[near].ravel()[ok] for e, c in cols.items()}})
+
+    def reach(batches):
+        for pdf in batches:
+            far = [max((float(d[:, -1].max()) if d.shape[1] == k else math.inf) for _, _, d, _ in nearest(qs, ps)) for qs, ps in zip(pdf["q_"], pdf["p_"])]
+            yield pd.DataFrame({"bq_": pdf["bq_"], "far_": far})
+
+    if n_q * n_p == 1:
+        pairs = _blocks(q, F.lit(0), 1, "q_").crossJoin(_blocks(p, F.lit(0), 1, "p_"))  # a row each
+    else:
+        leaf, leaves = _tree(p, n_p)
+        bq, bp = _blocks(q, leaf, math.ceil(n_q / leaves), "q_"), _blocks(p, leaf, math.ceil(n_p / leaves), "p_")
+        some = bq.join(bp.filter("part_p_ = 0"), bq["leaf_q_"] == bp["leaf_p_"]).select("bq_", "q_", "p_")
+        far = some.repartition(n_q).mapInPandas(reach, "bq_ string, far_ double")
+        boxes_q = bq.select("bq_", "lo_q_", "hi_q_").join(far, "bq_", "left").withColumn("far_", F.least(F.coalesce("far_", F.lit(INF)), F.lit(float(max_bound))))
+        # boxes only, no points: which blocks come near enough
+        near = boxes_q.crossJoin(bp.select("bp_", "lo_p_", "hi_p_")).filter(_least_distance(dist) <= F.col("far_")).select("bq_", "bp_")
+        pairs = near.join(bq.select("bq_", "q_"), "bq_").join(bp.select("bp_", "p_"), "bp_")
+    found = pairs.select("q_", "p_").repartition(max(n_q, n_p)).mapInPandas(run, kind)
     w = Window.partitionBy("id_").orderBy("d_", "nn_")
     return found.withColumn("rank_", F.row_number().over(w)).filter(F.col("rank_") <= k)
 
 
+def _tree(points: DataFrame, n: int) -> tuple[Column, int]:
+    """The leaf of a vector ``v_`` in a k-d tree whose leaves hold about as many points each, and the number of leaves."""
+    rows = points.select("id_", "v_").orderBy(F.xxhash64("id_"), "id_").limit(SAMPLED).collect()
+    x = np.array([r.v_ for r in rows], float)
+    depth = min(math.ceil(math.log2(max(n, 1))), int(math.log2(LEAVES)), int(math.log2(max(len(x), 1))))
+    count = itertools.count()
+
+    def leaf(x: np.ndarray, left: int) -> Column:
+        wide = x.max(axis=0) - x.min(axis=0) if len(x) else np.zeros(1)
+        j = int(np.argmax(wide))
+        if not left or not wide[j] > 0:
+            return F.lit(next(count))
+        cut = float(np.median(x[:, j]))
+        cut = cut if (x[:, j] < cut).any() else float(x[:, j][x[:, j] > cut].min())
+        below = x[:, j] < cut
+        return F.when(F.get("v_", F.lit(j)) < cut, leaf(x[below], left - 1)).otherwise(leaf(x[~below], left - 1))
+
+    e = leaf(x, depth)
+    return e, max(next(count), 1)
+
+
+def _blocks(x: DataFrame, leaf: Column, parts: int, tag: str) -> DataFrame:
+    """A row a block: its name, leaf and number in it, its rows, and the least and greatest value in each dimension."""
+    name = f"b{tag}"
+    first = x.select(F.size("v_").alias("n")).first()
+    d = first.n if first else 0
+    e = lambda f: F.array(*(f(F.get("v_", F.lit(j))) for j in range(d)))
+    cut = x.withColumns({f"leaf_{tag}": leaf, f"part_{tag}": F.pmod(F.xxhash64("id_"), F.lit(parts)).cast("int")})
+    out = cut.groupBy(f"leaf_{tag}", f"part_{tag}").agg(F.collect_list(F.struct(*x.columns)).alias(tag), e(F.min).alias(f"lo_{tag}"), e(F.max).alias(f"hi_{tag}"))
+    return out.withColumn(name, F.concat_ws("-", f"leaf_{tag}", f"part_{tag}"))
+
+
+def _least_distance(dist: str) -> Column:
+    """No pair of points of two boxes is nearer than this."""
+    if dist not in ("l1", "l2", "sql2", "inf"):
+        return F.lit(-INF)
+    gaps = F.transform(F.arrays_zip("lo_q_", "hi_q_", "lo_p_", "hi_p_"), lambda b: F.greatest(b["lo_p_"] - b["hi_q_"], b["lo_q_"] - b["hi_p_"], F.lit(0.0)))
+    if dist == "inf":
+        return F.array_max(gaps) * (1 - 1e-9)
+    s = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + (g if dist == "l1" else g * g))
+    return (F.sqrt(s) if dist == "l2" else s) * (1 - 1e-9)
+
+
 def query_knn_ptwise(df: DataFrame, *features, index: str, k: int, dist: str = "sql2", return_dist: bool = False, eval_mask: Column | None = None, data_mask: Column | None = None, max_bound: float = 99999.0) -> DataFrame:
     """(index, neighbours): ids of the k + 1 nearest points, itself among them, nearest first; with ``return_dist`` (id, dist) pairs."""
     t = _top(df, features, index, k + 1, dist, eval_mask, data_mask, max_bound)

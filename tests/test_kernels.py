@@ -221,6 +221,21 @@ def test_averages_beside_many_rows_of_one_point(spark):
         assert got[i] == pytest.approx(np.mean([t[j] for _, j in near]))
 
 
+@pytest.mark.parametrize("dist", ["sql2", "l2", "l1", "inf"])
+def test_neighbours_over_many_blocks(spark, monkeypatch, dist):
+    """Blocks of 16 rows, clustered points, many equal ones, and a mask: as all pairs, ties by id."""
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    rng = np.random.default_rng(13)
+    pts = np.round(np.concatenate([rng.normal(c, 0.3, size=(50, 2)) for c in ((1, 1), (5, 5), (9, 1), (40, 40))] + [np.full((30, 2), 3.0)]), 2)
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "id int, x double, y double")
+    got = {r.id: list(r.neighbours) for r in knn.query_knn_ptwise(df, "x", "y", index="id", k=3, dist=dist, data_mask=F.col("id") % 5 != 0).collect()}
+    allowed = [j for j in range(len(pts)) if j % 5]
+    d = knn._np_dist(pts, pts[allowed], dist)
+    for i in range(len(pts)):
+        assert got[i] == [j for _, j in sorted(zip(d[i], allowed))[:4]]
+    assert len(got) == len(pts)
+
+
 def test_large_samples(spark, monkeypatch):
     monkeypatch.setattr(misc, "TOP_ROWS", 10)
     df = spark.range(500).withColumn("key_more", F.col("id") % 3)
