@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, shared_dir
+from .common import SLICE_BYTES, free_name, shared_dir
 
 #: States: nothing yet, or the role of the last turn.
 START, SYSTEM, USER, ASSISTANT = range(4)
@@ -239,6 +239,7 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
         k, r, t = names.index(conv_col), names.index(role_col), names.index(text_col)
         order_ = [conv_col, *names]
         pending: list[tuple] = []
+        size = 0
         for is_first, is_last, _, rows in groups(noted(), order_):
             mark = (at, "first" if is_first else "last" if is_last else "")
             begin, end = entry.get(mark, START), leave.get(mark)
@@ -249,9 +250,10 @@ def format_chats(turns: DataFrame, *, conv_col: str = "conv_id", turn_col: str =
                 last = i + 1 == len(done) and mark not in goes_on
                 pending.append((*row[1:], base + i, ROLES[role], how if role == role_of(row[r + 1]) else "relabel" if how == "keep" else f"relabel+{how}", render(row[t + 1], role, how, prev, last, template)))
                 prev = role
-            if len(pending) >= 2000:
-                yield batch_of(pending, fields)
-                pending = []
+                size += len(pending[-1][-1])
+                if len(pending) >= 2000 or size >= SLICE_BYTES:
+                    yield batch_of(pending, fields)
+                    pending, size = [], 0
         if pending:
             yield batch_of(pending, fields)
 

@@ -84,14 +84,13 @@ def _candidates(cut_after: np.ndarray, last: np.ndarray, long: np.ndarray, befor
 
 
 def _chunks(docs: DataFrame) -> DataFrame:
-    """Place and hash of every chunk."""
+    """The text's key, place and hash of every chunk."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
             doc, first, after, _, _, h = chunks_of(*texts_of(part.column("text")))
-            take = pa.array(doc)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("digest").take(take), pa.array(first, pa.int32()), pa.array(after, pa.int32()), pa.array(h.view(np.int64))], names=["doc_id", "digest", "first", "after", "hash"])
+            yield pa.RecordBatch.from_arrays([part.column("key").take(pa.array(doc)), pa.array(first, pa.int32()), pa.array(after, pa.int32()), pa.array(h.view(np.int64))], names=["key", "first", "after", "hash"])
 
-    return docs.mapInArrow(run, "doc_id long, digest binary, first int, after int, hash long")
+    return docs.select("key", "text").mapInArrow(run, "key long, first int, after int, hash long")
 
 
 def _packed(docs: DataFrame, column: str) -> DataFrame:
@@ -136,7 +135,7 @@ def _bodies(marked: DataFrame) -> DataFrame:
             rows, size = [], 0
             for d, g, z, places in zip(*(batch.column(c) for c in ("doc_id", "digest", "z", "places"))):
                 lines = _unpack(z.as_py()).split("\n")
-                spans_ = {(p["first"], p["after"]) for p in places.as_py()}
+                spans_ = {(p["first"], p["after"]) for p in places.as_py() if p["after"] <= len(lines)}
                 wider = spans_ | {(a - 1, b) for a, b in spans_ if a} | {(a, b + 1) for a, b in spans_ if b < len(lines)}
                 for a, b in sorted(wider):
                     rows.append((d.as_py(), g.as_py(), a, b, "\n".join(lines[a:b])))
@@ -161,12 +160,14 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     names = {n: free_name(docs, n) for n in ("r_id", "r_digest", "r_lines", "digest")}
     text = F.col(f"`{text_col}`")
     slim = docs.filter(text.isNotNull()).select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.unhex(F.md5(text)).alias("digest"), text.alias("text"))
+    # a number stands for id and digest where rows are many; texts of equal numbers get each other's places, which bytes then decide
+    slim = slim.withColumn("key", F.xxhash64("doc_id", "digest"))
     chunks = stage(_chunks(slim), "chunks")
     place = F.struct("doc_id", "digest", "first")
-    repeated = chunks.groupBy("hash").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).filter("NOT (lo <=> hi)").select("hash")
-    places = chunks.join(repeated, "hash", "left_semi").groupBy(F.col("doc_id").alias("p_id"), F.col("digest").alias("p_digest")).agg(F.collect_set(F.struct("first", "after")).alias("places"))
+    repeated = chunks.groupBy("hash").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("hash").repartition("hash")
+    places = chunks.join(repeated, "hash", "left_semi").groupBy(F.col("key").alias("p_key")).agg(F.collect_set(F.struct("first", "after")).alias("places"))
     z = _packed(slim, "text").withColumnRenamed("text", "z")
-    marked = z.join(places, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("digest") == F.col("p_digest"))).select("doc_id", "digest", "z", "places")
+    marked = z.join(places, F.col("key") == F.col("p_key")).select("doc_id", "digest", "z", "places")
     some = stage(_bodies(marked), "bodies")
     # equal bytes
     # dealt out anew, so that a body that very many places share is a hot key between two plain exchanges, which Spark splits

@@ -775,3 +775,89 @@ def test_page_tables_of_any_shape(spark):
     assert html_extract.extract(deep) == "deep text"
     tie = "<body><div><p>same words here</p></div><div><p>same words here</p></div></body>"
     assert html_extract.extract(tie) == "same words here same words here"
+
+
+# --- odd tables, one for each operator: nulls in every column, empty, repeated and very long texts, ties, names that clash, no rows
+
+LONG = "\n".join(f"line {i} of a text that is long " + "x" * (i % 50) for i in range(40_000))
+ODD_DOCS = [(None, None, None), (1, None, "a"), (2, "", None), (3, "a b", "a"), (3, "a b", "a"), (None, "c d e", "b"), (None, "c d e", "b"), (7, LONG, "a"), (8, " \n\t", "b"), (9, LONG, "b")]
+
+
+def odd(spark, extra):
+    names = extra.split()
+    return spark.createDataFrame([(*r, *range(len(names))) for r in ODD_DOCS], DOCS + "".join(f", {n} int" for n in names))
+
+
+def test_odd_urls(spark):
+    long = "http://a.example.net/en/" + "x/" * 200_000
+    rows = [(i, u, 1, None) for i, u in enumerate([None, "", "://", "http://", long, long, "http://EXAMPLE.com/de/", "x://net", "http://net?/", "http://casino.x/"])]
+    df = spark.createDataFrame(rows, "page_id long, url string, verdict int, url_place int")
+    got = url_filter.judge(df, queries.url_rules())
+    assert got.columns == ["page_id", "url", "verdict", "url_place", "host", "path", "rule", "pattern", "_verdict"]
+    by = {r.page_id: (r.host, r.rule, r["_verdict"]) for r in got.collect()}
+    assert by[0] == by[1] == by[2] == ("", None, "allow") and by[4] == by[5] == ("a.example.net", "example.net/en/", "allow")
+    # a rule's path begins with a slash, which an empty path has not
+    assert by[6] == ("example.com", "example.com/de/", "block") and by[7][1] is None and by[8][1] is None and by[9] == ("casino.x", None, "block")
+    assert url_filter.judge(df.limit(0), queries.url_rules()).count() == 0 and url_filter.judge(df, []).count() == len(rows)
+    # of rules alike the longest wins, of equally long ones the block, then the first
+    tie = [url_filter.Rule("||a.b/", "allow", "one"), url_filter.Rule("||a.b/", "block", "two"), url_filter.Rule("||a.b/", "block", "three")]
+    assert url_filter.judge(spark.createDataFrame([(1, "http://a.b/")], "page_id long, url string"), tie).first()["rule"] == "two"
+
+
+def test_odd_lines(spark):
+    got = line_dedup.dedup_lines(odd(spark, "r_id r_lines digest kept_text"))
+    assert got.columns[-4:] == ["_kept_text", "n_lines", "n_removed_lines", "n_removed_chars"]
+    rows = got.collect()
+    assert len(rows) == len(ODD_DOCS) and line_dedup.dedup_lines(odd(spark, "").limit(0)).count() == 0
+    long = {r.doc_id: r for r in rows if r.doc_id in (7, 9)}
+    # the text stands twice: it stays in the first document and goes from the second
+    assert long[7]["_kept_text"] == LONG and long[7].n_lines == 40_000 and long[9].n_removed_lines == 40_000 and long[9]["_kept_text"] == ""
+    assert [r["_kept_text"] for r in rows if r.doc_id == 3] == ["a b"] * 2 and all(r["_kept_text"] is None for r in rows if r.text is None)
+
+
+def test_odd_chats(spark):
+    rows = [(None, None, None, None, 1), (1, 1, "user", "hi", 1), (1, 1, "user", "hi", 1), (1, None, "Assistant", "", 1), (2, 5, "user", LONG, 1), (2, 6, "assistant", LONG, 1), (3, 1, "", None, 1)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, action int")
+    out = chat.format_chats(df)
+    assert out.columns == ["conv_id", "turn", "role", "text", "action", "position", "new_role", "_action", "rendered"]
+    got = out.collect()
+    assert len(got) == len(rows) and chat.format_chats(df.limit(0)).count() == 0
+    whole = "".join(r.rendered for r in sorted((r for r in got if r.conv_id == 2), key=lambda r: r.position))
+    assert whole.count(LONG) == 2 and re.findall(r"<\|(user|assistant)\|>", whole) == ["user", "assistant"]
+
+
+def test_odd_tokens(spark):
+    df = odd(spark, "start n_tokens ids")
+    _, shards = token_output.write_shards(df, queries.tokenizer_path(), n_shards=3)
+    got = token_output.read_shards(spark, shards, with_ids=True).collect()
+    e = token_output.ChunkEncoder(queries.tokenizer_path(), 1)
+    assert collections.Counter((r.doc_id, bytes(r.ids)) for r in got) == collections.Counter((i, e.encode([t])[0]) for i, t, _ in ODD_DOCS)
+    _, none = token_output.write_shards(df.limit(0), queries.tokenizer_path())
+    assert none == [] and token_output.read_shards(spark, none).count() == 0
+
+
+def test_odd_near_duplicates(spark):
+    got = order_minhash.classes(odd(spark, "digest class_id class_size rid"))
+    rows = got.drop("digest").collect()
+    assert got.columns == ["doc_id", "digest", "class_id", "class_size"]
+    # 7 and 9 are copies; texts without words are copies only of equal bytes (null: empty); null ids name no class that has another
+    want = [(None, 1, 3), (1, 1, 3), (2, 1, 3), (3, 3, 2), (3, 3, 2), (None, None, 2), (None, None, 2), (7, 7, 2), (9, 7, 2), (8, 8, 1)]
+    assert sorted(map(tuple, rows), key=str) == sorted(want, key=str)
+
+
+def test_odd_scores(spark):
+    got = attention_lm.train_and_score(odd(spark, "held_out n_known lm_row lm_ids rare_row"), queries.tokenizer_path())
+    rows = got.collect()
+    assert "text" not in got.columns and got.columns[-6:] == ["_held_out", "train_tokens", "n_tokens", "_n_known", "base_score", "score"]
+    assert len(rows) == len(ODD_DOCS) and all(np.isfinite(r.score) and r.score < 0 for r in rows)
+    assert {r.n_tokens for r in rows if r.doc_id in (7, 9)} == {len(LONG.split()) + 1} and {r.n_tokens for r in rows if r.doc_id in (1, 2, 8)} == {1}
+    same = collections.defaultdict(set)
+    for (i, t, _), r in zip(sorted(ODD_DOCS, key=str), sorted(rows, key=lambda r: str((r.doc_id, next(t for j, t, _ in ODD_DOCS if j == r.doc_id and (r.n_tokens > 1) == bool((t or "").split())), r.source)))):
+        same[r.doc_id, r.n_tokens].add(round(r.score, 6))
+    assert all(len(v) == 1 for v in same.values())
+
+
+def test_odd_mix(spark):
+    got = mixing.mix(odd(spark, "mix_key mix_id copies")).collect()
+    assert len(got) == len(ODD_DOCS) and all(r.taken <= 2 * r["size"] for r in got)
+    assert {r["size"] for r in got if r.doc_id in (7, 9)} == {len(LONG.split())}
