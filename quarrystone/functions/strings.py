@@ -10,10 +10,27 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..core.col import dbl, ieee_div, to_col, total
+from . import batch
 
 
-def _pairwise(f, kind: str):
-    """A pandas UDF of two strings (and literals bound in ``f``); equal pairs of a batch are computed once."""
+def _pairwise(kernel, kind: str, whole_table: bool = False, as_bytes: bool = False):
+    """A pandas UDF of two strings by a kernel over many pairs; equal pairs of a batch are computed once."""
+
+    @F.pandas_udf(kind)
+    def run(a: pd.Series, b: pd.Series) -> pd.Series:
+        pairs = pd.DataFrame({"a": a.to_numpy(object), "b": b.to_numpy(object)})
+        some = pairs.dropna().drop_duplicates()
+        read = (lambda t: t.encode().decode("latin-1")) if as_bytes else (lambda t: t)
+        some["v"] = pd.Series(batch.over_blocks(kernel, [read(t) for t in some["a"]], [read(t) for t in some["b"]], whole_table), index=some.index, dtype=object)
+        out = pairs.merge(some, on=["a", "b"], how="left")["v"] if len(some) else pd.Series([None] * len(pairs), dtype=object)
+        out = out.where(out.notna(), None)
+        return out.astype(object if kind in ("string", "boolean") else "Int64" if kind == "long" else float)
+
+    return run
+
+
+def _each(f, kind: str):
+    """A pandas UDF of two strings by a function of one pair; equal pairs of a batch are computed once."""
 
     @F.pandas_udf(kind)
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -80,7 +97,7 @@ def _of_grams(f, n: int):
         top, bottom = f(both, len(a), len(b))
         return top / bottom if bottom else float("nan")
 
-    return _pairwise(run, "double")
+    return _each(run, "double")
 
 
 def str_jaccard(c, other, substr_size: int = 2) -> Column:
@@ -130,11 +147,11 @@ def jaro_winkler(x: str, y: str, weight: float = 0.1) -> float:
 
 
 def str_jaro(c, other) -> Column:
-    return _pairwise(jaro, "double")(_text(c), _text(other))
+    return _pairwise(batch.jaro, "double")(_text(c), _text(other))
 
 
 def str_jw(c, other, weight: float = 0.1) -> Column:
-    return _pairwise(lambda x, y: jaro_winkler(x, y, weight), "double")(_text(c), _text(other))
+    return _pairwise(lambda *pairs: batch.jaro_winkler(*pairs, weight), "double")(_text(c), _text(other))
 
 
 def damerau(x, y) -> int:
@@ -171,18 +188,18 @@ def osa(x: str, y: str) -> int:
     return row[-1]
 
 
-def _distance(f, c, other, return_sim: bool) -> Column:
+def _distance(kernel, c, other, return_sim: bool, **options) -> Column:
     a, b = _text(c), _text(other)
-    d = _pairwise(f, "long")(a, b)
+    d = _pairwise(kernel, "long", **options)(a, b)
     return _as_similarity(d, a, b) if return_sim else d
 
 
 def str_d_leven(c, other, return_sim: bool = False, as_bytes: bool = False) -> Column:
-    return _distance((lambda x, y: damerau(x.encode(), y.encode())) if as_bytes else damerau, c, other, return_sim)
+    return _distance(batch.damerau, c, other, return_sim, whole_table=True, as_bytes=as_bytes)
 
 
 def str_osa(c, other, return_sim: bool = False) -> Column:
-    return _distance(osa, c, other, return_sim)
+    return _distance(batch.osa, c, other, return_sim)
 
 
 def lcs_length(x: str, y: str) -> int:
@@ -231,19 +248,23 @@ def lcs_substr(x: str, y: str) -> str:
 
 
 def str_lcs_substr(c, other) -> Column:
-    return _pairwise(lcs_substr, "string")(_text(c), _text(other))
+    return _pairwise(batch.lcs_substr, "string")(_text(c), _text(other))
 
 
 def str_lcs_subseq(c, other) -> Column:
-    return _pairwise(lcs_subseq, "string")(_text(c), _text(other))
+    return _pairwise(batch.lcs_subseq, "string", whole_table=True)(_text(c), _text(other))
 
 
 def str_lcs_subseq_dist(c, other, return_sim: bool = True) -> Column:
-    return _distance(lambda x, y: max(len(x), len(y)) - lcs_length(x, y), c, other, return_sim)
+    a, b = _text(c), _text(other)
+    d = F.greatest(F.length(a), F.length(b)).cast("long") - _pairwise(batch.lcs_length, "long")(a, b)
+    return _as_similarity(d, a, b) if return_sim else d
 
 
 def str_fuzz(c, other) -> Column:
-    return _pairwise(lambda x, y: 2 * lcs_length(x, y) / (len(x) + len(y)) if x or y else 1.0, "double")(_text(c), _text(other))
+    a, b = _text(c), _text(other)
+    both = F.length(a) + F.length(b)
+    return F.when(both == 0, F.lit(1.0)).otherwise(2.0 * _pairwise(batch.lcs_length, "long")(a, b) / both)
 
 
 def str_nearest(c, word: str, threshold: int = 100, metric: str = "lv") -> Column:

@@ -258,3 +258,31 @@ def test_a_stream_goes_on_with_its_model(spark, tmp_path):
     online.online_regression(spark.readStream.schema(schema).parquet(src), second, ["x"], "y", checkpoint).awaitTermination()
     x, y = np.array([1.0, 2, 3]), np.array([2.0, 4.5, 5])
     assert second.coeffs() == pytest.approx([x @ y / (x @ x)])
+
+
+# --- strings, many pairs at once
+
+@pytest.mark.parametrize("name", ["osa", "damerau", "lcs_length", "lcs_subseq", "lcs_substr", "jaro", "jaro_winkler"])
+def test_string_kernels_equal_their_plain_forms(monkeypatch, name):
+    from quarrystone.functions import batch
+
+    rng = random.Random(14)
+    draw = lambda: "".join(rng.choices("abcdé漢", k=rng.choice([0, 1, 2, 3, 5, 9, 14])))
+    x, y = [draw() for _ in range(600)], [draw() for _ in range(600)]
+    y[:40] = x[:40]
+    for cells in (1 << 21, 300, 1):
+        monkeypatch.setattr(batch, "CELLS", cells)
+        got = batch.over_blocks(getattr(batch, name), x, y, whole_table=name in ("damerau", "lcs_subseq"))
+        want = [getattr(strings, name)(a, b) for a, b in zip(x, y)]
+        assert got == (pytest.approx(want) if name.startswith("jaro") else want)
+
+
+def test_string_columns_with_nulls_and_repeats(spark):
+    df = spark.createDataFrame([("ca", "abc"), ("ca", "abc"), (None, "a"), ("", ""), ("é", "e")], "a string, b string")
+    col = lambda c: [r.v for r in df.select(c.alias("v")).collect()]
+    assert col(strings.str_osa("a", "b")) == [3, 3, None, 0, 1] and col(strings.str_d_leven("a", "b")) == [2, 2, None, 0, 1]
+    assert col(strings.str_d_leven("a", "b", as_bytes=True)) == [2, 2, None, 0, 2]
+    assert col(strings.str_jaro("a", "b"))[2:] == [None, 1.0, 0.0] and col(strings.str_fuzz("a", "b")) == [0.4, 0.4, None, 1.0, 0.0]
+    assert col(strings.str_lcs_subseq("a", "b"))[3:] == ["", ""] and col(strings.str_lcs_substr("a", "b"))[2] is None
+    nothing = df.filter("a IS NULL")
+    assert [r.v for r in nothing.select(strings.str_osa("a", "b").alias("v")).collect()] == [None]
