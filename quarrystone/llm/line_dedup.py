@@ -6,8 +6,8 @@ every line, the lines up to the first boundary that leaves a chunk make a chunk,
 boundary; so a repeated passage is covered up to its first and its last line, wherever it stands.  A chunk of two lines or
 more, or one long line, that stands anywhere before (in the order of document id, digest of the text, place) is removed.
 
-Chunks are first matched by hash.  Chunks of repeated hashes, and the same with one line more before or after, are then
-grouped by their bytes.  Texts cross the network compressed, and twice: to their repeated places, and to the lines that go.
+Chunks are first matched by hash.  Chunks of repeated hashes, and the same with a line more before or after that no such
+chunk of the text holds, are then grouped by their bytes.  Texts cross the network compressed, and twice: to their repeated places, and to the lines that go.
 """
 
 from __future__ import annotations
@@ -124,7 +124,7 @@ def _small(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
 
 
 def _bodies(marked: DataFrame) -> DataFrame:
-    """The texts of the chunks at the places of each row, and of the chunks with a line more before or after."""
+    """The texts of the chunks at the places of each row, and of the chunks with a line more on a side where no chunk holds it."""
     names, kinds = ("doc_id", "digest", "first", "after", "body"), (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.string())
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
@@ -136,7 +136,8 @@ def _bodies(marked: DataFrame) -> DataFrame:
             for d, g, z, places in zip(*(batch.column(c) for c in ("doc_id", "digest", "z", "places"))):
                 lines = _unpack(z.as_py()).split("\n")
                 spans_ = {(p["first"], p["after"]) for p in places.as_py() if p["after"] <= len(lines)}
-                wider = spans_ | {(a - 1, b) for a, b in spans_ if a} | {(a, b + 1) for a, b in spans_ if b < len(lines)}
+                held = {k for a, b in spans_ for k in range(a, b)} | {-1, len(lines)}
+                wider = spans_ | {(a - 1, b) for a, b in spans_ if a - 1 not in held} | {(a, b + 1) for a, b in spans_ if b not in held}
                 for a, b in sorted(wider):
                     rows.append((d.as_py(), g.as_py(), a, b, "\n".join(lines[a:b])))
                     size += len(rows[-1][4])

@@ -135,14 +135,15 @@ def plain_chunks(text):
 
 
 def brute_lines(rows):
-    """Chunks, and such as stand twice with a line more on either side, less those that stand before."""
+    """Chunks, and such as stand twice with a line more on a side where no such chunk holds it, less those that stand before."""
     docs = {i: plain_chunks(t) for i, t in rows}
     text = lambda i, a, b: "\n".join(docs[i][0][a:b])
     often = collections.Counter(text(i, *c) for i, (_, cs) in docs.items() for c in cs)
     seen, out = set(), {}
     for i, (lines, cs) in sorted(docs.items()):
         cs = {c for c in cs if often[text(i, *c)] > 1}
-        cs |= {(a - 1, b) for a, b in cs if a} | {(a, b + 1) for a, b in cs if b < len(lines)}
+        held = {k for a, b in cs for k in range(a, b)}
+        cs |= {(a - 1, b) for a, b in cs if a and a - 1 not in held} | {(a, b + 1) for a, b in cs if b < len(lines) and b not in held}
         gone = set()
         for a, b in sorted(cs):
             if text(i, a, b) in seen:
