@@ -49,7 +49,7 @@ q("blueprint_winsorize", "WITH s AS (SELECT list_sort(list(c_acctbal)) AS l, cou
 )
 q("blueprint_drop", "SELECT r_name FROM region")(lambda t: piped(t, "region", lambda b: b.drop(["r_regionkey"]), source=lambda d: d.select("r_regionkey", "r_name")))
 q("blueprint_rename", "SELECT r_regionkey AS k, r_name AS name FROM region")(lambda t: piped(t, "region", lambda b: b.rename({"r_regionkey": "k", "r_name": "name"}), "k", "name"))
-q("blueprint_with_columns", "SELECT c_custkey, c_nationkey + 1 AS n FROM customer")(lambda t: piped(t, CUST, lambda b: b.with_columns((F.col("c_nationkey") + 1).alias("n")), "c_custkey", F.col("n").cast("long").alias("n")))
+q("blueprint_with_columns", "SELECT c_custkey, (c_nationkey + 1)::BIGINT AS n FROM customer")(lambda t: piped(t, CUST, lambda b: b.with_columns((F.col("c_nationkey") + 1).alias("n")), "c_custkey", F.col("n").cast("long").alias("n")))
 q("blueprint_explode", "SELECT p_partkey, unnest(string_split(p_name, ' ')) AS w FROM part")(lambda t: piped(t, "part", lambda b: b.explode("w"), source=lambda d: d.select("p_partkey", F.split("p_name", " ").alias("w"))))
 q("blueprint_sort_limit", "SELECT c_custkey FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 7")(lambda t: piped(t, CUST, lambda b: b.sort(["c_acctbal", "c_custkey"], descending=[True, False]), "c_custkey").limit(7))
 q("blueprint_append_fit_func", "SELECT c_custkey, round(c_acctbal / (SELECT max(c_acctbal) FROM customer), 6) + 0.0 AS c_acctbal FROM customer")(
@@ -97,7 +97,7 @@ q("dia_infer_binary", "SELECT 'rich' AS \"column\"")(lambda t: named(t, diagnosi
 q("dia_infer_k_distinct", "SELECT 'prob' AS \"column\"")(lambda t: named(t, diagnosis.DIA(_FLAGS(t)).infer_k_distinct(7)))
 q("dia_infer_prob", "SELECT 'prob' AS \"column\" UNION ALL SELECT 'rare'")(lambda t: named(t, diagnosis.DIA(_FLAGS(t)).infer_prob()))
 q("dia_infer_corr", "SELECT 'c_acctbal' AS x, 'twice' AS y, 1.0::DOUBLE AS corr")(lambda t: diagnosis.DIA(_FLAGS(t)).infer_corr().filter("abs(corr) BETWEEN 0.999 AND 1.001").withColumn("corr", r("corr")))
-q("dia_meta", "SELECT * FROM (VALUES ('numerics', 3), ('strs', 4)) v(kind, n)")(lambda t: rows(t, "kind string, n long", *((k, len(v)) for k, v in diagnosis.DIA(t(CUST).select("c_custkey", "c_nationkey", "c_acctbal", "c_name", F.lit("a").alias("a"), F.lit("b").alias("b"), F.lit("c").alias("c"))).meta().items() if k in ("numerics", "strs"))))
+q("dia_meta", "SELECT kind, n::BIGINT AS n FROM (VALUES ('numerics', 3), ('strs', 4)) v(kind, n)")(lambda t: rows(t, "kind string, n long", *((k, len(v)) for k, v in diagnosis.DIA(t(CUST).select("c_custkey", "c_nationkey", "c_acctbal", "c_name", F.lit("a").alias("a"), F.lit("b").alias("b"), F.lit("c").alias("c"))).meta().items() if k in ("numerics", "strs"))))
 q("dia_col_validation", "SELECT 0 AS rule, (SELECT count(DISTINCT c_custkey) = count(*) FROM customer) AS ok UNION ALL SELECT 1, (SELECT min(c_acctbal) >= 0 FROM customer)")(lambda t: diagnosis.DIA(t(CUST)).col_validation(F.count_distinct("c_custkey") == F.count(F.lit(1)), F.min("c_acctbal") >= 0))
 q("dia_plot_corr", "SELECT a AS x, b AS y, round(c, 6) + 0.0 AS corr FROM (SELECT 'l_tax' AS a, 'l_quantity' AS b, corr(l_tax, l_quantity) AS c FROM lineitem UNION ALL SELECT 'l_quantity', 'l_tax', corr(l_tax, l_quantity) FROM lineitem)")(lambda t: diagnosis.DIA(t(LI)).plot_corr(["l_quantity", "l_tax"]).filter("x <> y").withColumn("corr", r("corr")))
 q("dia_plot_dependency", "SELECT 'n_regionkey' AS x, 'n_nationkey' AS y")(lambda t: diagnosis.DIA(t("nation")).plot_dependency(0.01, ["n_regionkey", "n_nationkey"]).select("x", "y"))
@@ -270,7 +270,7 @@ q("query_copula_entropy", "WITH c AS (SELECT c_nationkey AS g, c_acctbal, c_cust
 _LCS = "WITH RECURSIVE p AS (SELECT r_name AS a, n_name AS b FROM region, nation), l AS (SELECT a, b, 0 AS i, list_transform(range(length(b) + 1), lambda x: 0) AS row FROM p UNION ALL SELECT a, b, i + 1, list_reduce(list_prepend([0], list_transform(range(1, length(b) + 1), lambda j: [CASE WHEN b[j] = a[i + 1] THEN row[j] + 1 ELSE row[j + 1] END])), lambda acc, x: list_append(acc, greatest(x[1], acc[len(acc)]))) FROM l WHERE i < length(a)), f AS (SELECT a, b, row[len(row)] AS n FROM l WHERE i = length(a)) "
 _PAIRS = lambda t: t("region").crossJoin(t("nation")).select(F.col("r_name").alias("a"), F.col("n_name").alias("b"))
 q("str_lcs_subseq_dist", _LCS + "SELECT a, b, greatest(length(a), length(b)) - n AS v FROM f")(lambda t: _PAIRS(t).select("a", "b", strings.str_lcs_subseq_dist("a", "b", return_sim=False).cast("long").alias("v")))
-q("str_lcs_subseq", _LCS + "SELECT a, b, n AS v FROM f")(lambda t: _PAIRS(t).select("a", "b", F.char_length(strings.str_lcs_subseq("a", "b")).cast("long").alias("v")))
+q("str_lcs_subseq", _LCS + "SELECT a, b, n::BIGINT AS v FROM f")(lambda t: _PAIRS(t).select("a", "b", F.char_length(strings.str_lcs_subseq("a", "b")).cast("long").alias("v")))
 q("str_fuzz", _LCS + "SELECT a, b, round(2.0 * n / (length(a) + length(b)), 6)::DOUBLE + 0.0 AS v FROM f")(lambda t: _PAIRS(t).select("a", "b", r(strings.str_fuzz("a", "b")).alias("v")))
 q("str_lcs_substr", "WITH s AS (SELECT r_name AS a, n_name AS b, i, j FROM region, nation, range(1, 30) x(i), range(1, 30) y(j) WHERE i <= length(r_name) AND j <= length(r_name) - i + 1) SELECT a, b, coalesce(max(j) FILTER (WHERE contains(b, substr(a, i, j))), 0) AS v FROM s GROUP BY ALL")(lambda t: _PAIRS(t).select("a", "b", F.char_length(strings.str_lcs_substr("a", "b")).cast("long").alias("v")))
 
@@ -316,8 +316,8 @@ def _round_trip(t) -> DataFrame:
     return io.from_arrays(d.sparkSession, **{c: [getattr(x, c) for batch in io.collect_batches(d, 100) for x in batch] for c in d.columns})
 
 
-q("io_csv", "SELECT r_regionkey, r_name FROM region")(lambda t: _through(t, "csv", header=True, schema="r_regionkey long, r_name string"))
-q("io_json", "SELECT r_regionkey, r_name FROM region")(lambda t: _through(t, "json", schema="r_regionkey long, r_name string"))
+q("io_csv", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")(lambda t: _through(t, "csv", header=True, schema="r_regionkey long, r_name string"))
+q("io_json", "SELECT r_regionkey::BIGINT AS r_regionkey, r_name FROM region")(lambda t: _through(t, "json", schema="r_regionkey long, r_name string"))
 
 
 def _through(t, kind: str, schema: str, **options) -> DataFrame:
