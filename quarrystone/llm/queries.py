@@ -130,6 +130,25 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
 
 
+def quality_base_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express."""
+    judged = quality.judge(table(spark, sf_dir, "documents").select("doc_id", "text"), quality.DecisionList(()))
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept")
+
+
+QUALITY_SQL = r"""
+WITH w AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+n AS (SELECT r, unnest(range(1, len(ws) - 6)) AS i, ws FROM w WHERE len(ws) >= 8),
+g AS (SELECT r, i, array_to_string(ws[i : i + 7], ' ') AS win FROM n),
+a AS (SELECT r, i FROM g QUALIFY count(*) OVER (PARTITION BY r, win) > 1),
+c AS (SELECT r, count(DISTINCT i + k) AS again FROM a, range(8) x(k) GROUP BY r),
+l AS (SELECT r, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM w),
+o AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]'))::BIGINT AS n_symbols,
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(again, 0)::BIGINT AS n_repeat_words FROM w JOIN l USING (r) LEFT JOIN c USING (r)),
+f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM o)
+SELECT *, NOT base_failed AS kept FROM f
+"""
+
 # --- 10
 
 def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,8 +156,8 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_line_dedup, op4_format_chats, op5_token_output, op6_near_duplicates, op7_lm_scores, op8_decontaminate, op9_quality_rules, op10_main_text)}
+    return {f.__name__: f for f in (op1_mix_sources, op2_url_filter, op3_line_dedup, op4_format_chats, op5_token_output, op6_near_duplicates, op7_lm_scores, op8_decontaminate, op9_quality_rules, op10_main_text, quality_base_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": OP1_SQL, "op2_url_filter": OP2_SQL}
+    return {"op1_mix_sources": OP1_SQL, "op2_url_filter": OP2_SQL, "quality_base_counts": QUALITY_SQL}
