@@ -32,6 +32,21 @@ def product(df: DataFrame, s1: str, s2: str) -> DataFrame:
     return df.select(F.col(s1).alias("a")).crossJoin(df.select(F.col(s2).alias("b"))).select(F.array("a", "b").alias("pair"))
 
 
+#: Rows that become columns, at most.
+MOST_COLUMNS = 2_000
+
+
+def transpose(df: DataFrame, header: str, name: str = "column") -> DataFrame:
+    """A row for each other column, with its name; a column for each row, called by its value of ``header``.  Columns of different types become text."""
+    rows = df.select(header).limit(MOST_COLUMNS + 1).collect()
+    if len(rows) > MOST_COLUMNS or len({r[0] for r in rows}) < len(rows):
+        raise ValueError(f"{header} must name {MOST_COLUMNS} rows at most, each once")
+    rest = [c for c in df.columns if c != header]
+    kinds = {df.schema[c].dataType for c in rest}
+    cells = df.select(header, *(F.col(f"`{c}`") if len(kinds) == 1 else F.col(f"`{c}`").cast("string").alias(c) for c in rest)).unpivot([header], rest, name, "cell_")
+    return cells.groupBy(name).pivot(header, [r[0] for r in rows]).agg(F.first("cell_"))
+
+
 def combinations(df: DataFrame, source: str, k: int, unique: bool = False, order_by=None) -> DataFrame:
     """All k-combinations of a column's values, in the given order (by value by default)."""
     d = df.select(source).distinct() if unique else df

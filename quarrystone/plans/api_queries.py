@@ -307,6 +307,9 @@ def _random_cols(t) -> DataFrame:
 q("sample_n", "SELECT 100 AS n, true AS known")(lambda t: misc.sample(t(ORDERS), 100, seed=1).join(t(ORDERS).select("o_orderkey"), "o_orderkey", "left_semi").agg(F.count(F.lit(1)).alias("n"), (F.count_distinct("o_orderkey") == 100).alias("known")).select(F.col("n").cast("int").alias("n"), "known"))
 q("sample_replace", "SELECT 5000 AS n, true AS known")(lambda t: misc.sample(t(CUST), 5000, replace=True, seed=1).join(t(CUST).select("c_custkey"), "c_custkey", "left_semi").agg(F.count(F.lit(1)).cast("int").alias("n"), (F.count_distinct("c_custkey") > 800).alias("known")))
 
+q("frame_transpose", "SELECT 'n' AS \"column\", max(n) FILTER (WHERE l_returnflag = 'A') AS \"A\", max(n) FILTER (WHERE l_returnflag = 'N') AS \"N\", max(n) FILTER (WHERE l_returnflag = 'R') AS \"R\" FROM (SELECT l_returnflag, count(*) AS n, sum(l_linenumber)::BIGINT AS s FROM lineitem GROUP BY 1) UNION ALL "
+  "SELECT 's', max(s) FILTER (WHERE l_returnflag = 'A'), max(s) FILTER (WHERE l_returnflag = 'N'), max(s) FILTER (WHERE l_returnflag = 'R') FROM (SELECT l_returnflag, sum(l_linenumber)::BIGINT AS s FROM lineitem GROUP BY 1)")(lambda t: misc.transpose(t(LI).groupBy("l_returnflag").agg(F.count(F.lit(1)).alias("n"), F.sum("l_linenumber").cast("long").alias("s")), "l_returnflag"))
+
 # --- reading, writing, streams
 
 
