@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .col import to_col
 
 #: Ranges, at most (their bounds are literals of an expression), and rows of the sample for each.
 RANGES, SAMPLED = 128, 16
+#: Rows of a block of a series.
+BLOCK_ROWS = 1 << 16
 
 
 def _range_of(x: Column, bounds: list) -> Column:
@@ -83,18 +85,33 @@ def _free(taken: set[str], name: str) -> str:
     return name
 
 
-def in_blocks(df: DataFrame, order: list, context: int, rows: int = 1 << 16) -> tuple[DataFrame, str, str]:
+def in_blocks(df: DataFrame, order: list, context: int, rows: int | None = None, ahead: int = 0) -> tuple[DataFrame, str, str]:
     """One ordered series as blocks that a window can take: ``df`` with the block of each row, and whether the row is the block's own.
 
-    Each block begins with the ``context`` last rows of the blocks before it, so that a window over the block that looks back
-    as many rows sees what a window over the whole series sees.  Keep the rows that are a block's own afterwards.
+    Each block also has the ``context`` rows before it and the ``ahead`` rows after it, so that a window over the block that looks
+    as far sees what a window over the whole series sees.  Keep the rows that are a block's own afterwards.
     """
-    rows = max(rows, context)
+    rows = max(rows or BLOCK_ROWS, context, ahead)
     taken = {c.lower() for c in df.columns}
     at, i, block, own = (_free(taken, n) for n in ("order_", "number_", "block_", "own_"))
     d = numbered(df.withColumn(at, to_col(order[0])), at, i, ties=[to_col(o) for o in order[1:]]).drop(at)
-    mine = F.expr(f"(`{i}` - 1) div {rows}")
-    late = F.pmod(F.col(i) - 1, F.lit(rows)) >= rows - context
-    both = F.when(late, F.array(mine, mine + 1)).otherwise(F.array(mine)) if context else F.array(mine)
-    out = d.withColumn(block, F.explode(both)).withColumn(own, F.col(block) == mine)
+    mine, place = F.expr(f"(`{i}` - 1) div {rows}"), F.pmod(F.col(i) - 1, F.lit(rows))
+    blocks = [mine]
+    if context:
+        blocks.append(F.when(place >= rows - context, mine + 1))
+    if ahead:
+        blocks.append(F.when(place < ahead, mine - 1))
+    out = d.withColumn(block, F.explode(F.array_compact(F.array(*blocks)))).withColumn(own, F.col(block) == mine)
     return out.drop(i), block, own
+
+
+def series(df: DataFrame, by: list[str], order_by, back: int = 0, ahead: int = 0) -> tuple[DataFrame, WindowSpec, Column]:
+    """A frame, a window over it in the given order, and a condition that rows must meet once the window has been used.
+
+    With ``by`` a group is a window.  Without, the window is a block (see ``in_blocks``), and may look ``back`` and ``ahead`` so far.
+    """
+    order = order_by if isinstance(order_by, list | tuple) else [order_by]
+    if by:
+        return df, Window.partitionBy(*by).orderBy(*(to_col(o) for o in order)), F.lit(True)
+    d, block, own = in_blocks(df, list(order), back, ahead=ahead)
+    return d, Window.partitionBy(block).orderBy(*(to_col(o) for o in order)), F.col(own)

@@ -7,8 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core.prefix import numbered, running, with_totals
-from ..core.col import INF, NAN, dbl, ieee_div, ieee_sqrt, over, quantile, to_col
+from ..core.prefix import numbered, running, series, with_totals
+from ..core.col import INF, NAN, dbl, ieee_div, ieee_sqrt, quantile, to_col
 from .num import xlogy
 
 
@@ -170,9 +170,10 @@ def query_multi_roc_auc(df: DataFrame, actual, pred, n_classes: int, strategy: s
 def query_mase(df: DataFrame, actual, pred, train: str, order_by, freq: int = 1, use_mean: bool = True, by=None) -> DataFrame:
     """Absolute error over that of the seasonal naive forecast of the column ``train``."""
     by = _by(by)
-    step = F.abs(dbl(train) - F.lag(dbl(train), freq).over(over(by, order_by)))
+    d, w, own = series(df, by, order_by, back=freq)
+    step = F.abs(dbl(train) - F.lag(dbl(train), freq).over(w))
     pick = F.avg if use_mean else (lambda c: quantile(c, 0.5))
-    return df.withColumn("naive", step).groupBy(*by).agg(ieee_div(pick(F.abs(dbl(actual) - dbl(pred))), pick(F.col("naive"))).alias("mase"))
+    return d.withColumn("naive", step).filter(own).groupBy(*by).agg(ieee_div(pick(F.abs(dbl(actual) - dbl(pred))), pick(F.col("naive"))).alias("mase"))
 
 
 def _discounted(df: DataFrame, y: str, score: str, log_base: float, k: int | None, ignore_ties: bool, by: list[str], name: str) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..core.prefix import numbered, running, series
 from ..core.col import NAN, dbl, finite, ieee_div, ieee_ln, ieee_sqrt, over, quantile, to_col
 from ..core.special import digamma
 
@@ -88,38 +90,47 @@ def query_mean_n_abs_max(df: DataFrame, x: str, n_maxima: int, by=None) -> DataF
 
 # --- neighbours in the order
 
-def _agg(df: DataFrame, by: list[str], pre: dict[str, Column], out: Column) -> DataFrame:
-    return df.withColumns(pre).groupBy(*by).agg(out.alias("value"))
+def _agg(df: DataFrame, by: list[str], order_by, pre: Callable[[WindowSpec], dict[str, Column]], out: Column, back: int = 0, ahead: int = 0) -> DataFrame:
+    """An aggregate over columns that look so many rows back or ahead in the order."""
+    d, w, own = series(df, by, order_by, back, ahead)
+    return d.withColumns(pre(w)).filter(own).groupBy(*by).agg(out.alias("value"))
+
+
+def _step(x) -> Callable[[WindowSpec], dict[str, Column]]:
+    return lambda w: {"d_": dbl(x) - F.lag(dbl(x)).over(w)}
 
 
 def query_mean_abs_change(df: DataFrame, x: str, order_by, by=None) -> DataFrame:
     by = _by(by)
-    return _agg(df, by, {"d_": dbl(x) - F.lag(dbl(x)).over(over(by, order_by))}, F.avg(F.abs("d_")))
+    return _agg(df, by, order_by, _step(x), F.avg(F.abs("d_")), back=1)
 
 
 def query_cid_ce(df: DataFrame, x: str, order_by, normalize: bool = False, by=None) -> DataFrame:
     by = _by(by)
-    d = dbl(x) - F.lag(dbl(x)).over(over(by, order_by))
     s = F.sum(F.col("d_") * F.col("d_"))
-    return _agg(df, by, {"d_": d}, ieee_div(F.sqrt(s), F.stddev_samp(dbl(x))) if normalize else F.sqrt(s))
+    return _agg(df, by, order_by, _step(x), ieee_div(F.sqrt(s), F.stddev_samp(dbl(x))) if normalize else F.sqrt(s), back=1)
 
 
 def query_c3_stats(df: DataFrame, x: str, lag: int, order_by, by=None) -> DataFrame:
     by = _by(by)
-    w = over(by, order_by)
-    return _agg(df, by, {"p_": dbl(x) * F.lag(dbl(x), lag).over(w) * F.lag(dbl(x), 2 * lag).over(w)}, ieee_div(F.sum("p_"), F.count(dbl(x)) - 2 * lag))
+    three = lambda w: {"p_": dbl(x) * F.lag(dbl(x), lag).over(w) * F.lag(dbl(x), 2 * lag).over(w)}
+    return _agg(df, by, order_by, three, ieee_div(F.sum("p_"), F.count(dbl(x)) - 2 * lag), back=2 * lag)
 
 
 def query_time_reversal_asymmetry_stats(df: DataFrame, x: str, n_lags: int, order_by, by=None) -> DataFrame:
     by = _by(by)
-    w = over(by, order_by)
-    one, two = F.lead(dbl(x), n_lags).over(w), F.lead(dbl(x), 2 * n_lags).over(w)
-    return _agg(df, by, {"p_": one * (two + dbl(x)) * (two - dbl(x))}, F.avg("p_"))
+
+    def product(w: WindowSpec) -> dict[str, Column]:
+        one, two = F.lead(dbl(x), n_lags).over(w), F.lead(dbl(x), 2 * n_lags).over(w)
+        return {"p_": one * (two + dbl(x)) * (two - dbl(x))}
+
+    return _agg(df, by, order_by, product, F.avg("p_"), ahead=2 * n_lags)
 
 
 def query_auto_corr(df: DataFrame, x: str, lag: int, order_by, ddof: int = 0, normalize: bool = True, by=None) -> DataFrame:
     by = _by(by)
-    out = df.withColumn("y_", F.lead(dbl(x), lag).over(over(by, order_by)))
+    d, w, own = series(df, by, order_by, ahead=lag)
+    out = d.withColumn("y_", F.lead(dbl(x), lag).over(w)).filter(own)
     if not normalize:
         return out.groupBy(*by).agg(F.avg(dbl(x) * F.col("y_")).alias("value"))
     m = df.groupBy(*by).agg(F.avg(dbl(x)).alias("m_"), (F.var_samp(dbl(x)) if ddof else F.var_pop(dbl(x))).alias("v_"))
@@ -133,8 +144,9 @@ def query_streak(df: DataFrame, where, order_by, by=None) -> DataFrame:
     order = [order_by] if isinstance(order_by, str) else list(order_by)
     t = F.coalesce(F.expr(where) if isinstance(where, str) else where, F.lit(False))
     d = df.select(*by, *order, t.alias("t_"))
-    w = over(by, order)
-    d = d.withColumn("new_", (~F.col("t_").eqNullSafe(F.lag("t_").over(w))).cast("long")).withColumn("run_", F.sum("new_").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    d, w, own = series(d, by, order, back=1)
+    d = d.withColumn("new_", (~F.col("t_").eqNullSafe(F.lag("t_").over(w))).cast("long")).filter(own)
+    d = running(d, order[0], {"run_": "new_"}, by, ties=[F.col(o) for o in order[1:]])
     return d.groupBy(*by, "run_").agg(F.first("t_").alias("value"), F.count(F.lit(1)).alias("length"), F.min(order[0]).alias("begin")).drop("run_")
 
 
@@ -149,27 +161,28 @@ def query_avg_streak(df: DataFrame, where, order_by, by=None) -> DataFrame:
 def is_increasing(df: DataFrame, x: str, order_by, strict: bool = False, by=None) -> DataFrame:
     by = _by(by)
     d = F.col("d_")
-    return _agg(df, by, {"d_": dbl(x) - F.lag(dbl(x)).over(over(by, order_by))}, F.coalesce(F.bool_and(d > 0 if strict else d >= 0), F.lit(True)))
+    return _agg(df, by, order_by, _step(x), F.coalesce(F.bool_and(d > 0 if strict else d >= 0), F.lit(True)), back=1)
 
 
 def is_decreasing(df: DataFrame, x: str, order_by, strict: bool = False, by=None) -> DataFrame:
     by = _by(by)
     d = F.col("d_")
-    return _agg(df, by, {"d_": dbl(x) - F.lag(dbl(x)).over(over(by, order_by))}, F.coalesce(F.bool_and(d < 0 if strict else d <= 0), F.lit(True)))
+    return _agg(df, by, order_by, _step(x), F.coalesce(F.bool_and(d < 0 if strict else d <= 0), F.lit(True)), back=1)
 
 
 def integrate_trapz(df: DataFrame, y: str, x: str, by=None) -> DataFrame:
     """Trapezoid integral of y over x, in the order of x."""
     by = _by(by)
-    w = over(by, x)
-    return _agg(df, by, {"a_": (dbl(x) - F.lag(dbl(x)).over(w)) * (dbl(y) + F.lag(dbl(y)).over(w)) / 2}, F.coalesce(F.sum("a_"), F.lit(NAN)))
+    part = lambda w: {"a_": (dbl(x) - F.lag(dbl(x)).over(w)) * (dbl(y) + F.lag(dbl(y)).over(w)) / 2}
+    return _agg(df, by, x, part, F.coalesce(F.sum("a_"), F.lit(NAN)), back=1)
 
 
 def detrend(df: DataFrame, x: str, order_by, method: str = "linear", by=None, name: str = "detrended") -> DataFrame:
     by = _by(by)
     if method == "mean":
-        return df.withColumn(name, dbl(x) - F.avg(dbl(x)).over(over(by)))
-    d = df.withColumn("i_", (F.row_number().over(over(by, order_by)) - 1).cast("double"))
+        return df.withColumn(name, dbl(x) - (F.avg(dbl(x)).over(over(by)) if by else df.select(F.avg(dbl(x)).alias("m")).scalar()))
+    order = order_by if isinstance(order_by, list) else [order_by]
+    d = numbered(df.withColumn("order_", to_col(order[0])), "order_", "i_", by, ties=[to_col(o) for o in order[1:]]).drop("order_").withColumn("i_", (F.col("i_") - 1).cast("double"))
     fit = d.groupBy(*by).agg(F.regr_slope(dbl(x), F.col("i_")).alias("b_"), F.regr_intercept(dbl(x), F.col("i_")).alias("a_"))
     d = d.join(fit, by) if by else d.crossJoin(F.broadcast(fit))  # one row
     return d.withColumn(name, dbl(x) - F.col("a_") - F.col("b_") * F.col("i_")).drop("i_", "a_", "b_")
@@ -182,8 +195,8 @@ def query_similar_count(df: DataFrame, x: str, query: list[float], threshold: fl
     q = np.array(query, float)
     if metric == "sqzl2":
         q = (q - q.mean()) / max(q.std(), 1e-10)
-    w = over(by, order_by)
-    d = df.withColumn("s_", F.collect_list(dbl(x)).over(w.rowsBetween(0, m - 1))).filter(F.size("s_") == m)
+    d, w, own = series(df, by, order_by, ahead=m - 1)
+    d = d.withColumn("s_", F.collect_list(dbl(x)).over(w.rowsBetween(0, m - 1))).filter(own & (F.size("s_") == m))
     s = F.col("s_")
     if metric == "sqzl2":
         mean = F.aggregate(s, F.lit(0.0), lambda a, v: a + v) / m
@@ -197,9 +210,9 @@ def query_similar_count(df: DataFrame, x: str, query: list[float], threshold: fl
 def query_permute_entropy(df: DataFrame, ts: str, order_by, tau: int = 1, n_dims: int = 3, base: float = math.e, by=None) -> DataFrame:
     """Entropy of the ordinal patterns of n_dims values, tau apart."""
     by = _by(by)
-    w = over(by, order_by)
+    d, w, own = series(df, by, order_by, ahead=tau * (n_dims - 1))
     parts = [F.lead(dbl(ts), tau * k).over(w) for k in range(n_dims)]
-    d = df.withColumns({f"p{k}_": c for k, c in enumerate(parts)}).filter(F.col(f"p{n_dims - 1}_").isNotNull())
+    d = d.withColumns({f"p{k}_": c for k, c in enumerate(parts)}).filter(own & F.col(f"p{n_dims - 1}_").isNotNull())
     order = F.transform(F.array_sort(F.array(*(F.struct(F.col(f"p{k}_").alias("v"), F.lit(k).alias("i")) for k in range(n_dims)))), lambda s: s["i"])
     return query_entropy(d.withColumn("pattern_", F.array_join(order.cast("array<string>"), ",")), "pattern_", base, by)
 

@@ -70,6 +70,26 @@ def test_whole_frame_functions_equal_grouped_ones(spark):
     assert {r.t: round(r.prob, 9) for r in k} == {r.t: round(r.prob, 9) for r in misc.query_kaplan_meier_prob(df, "x > 1", "y", by="g").collect()}
 
 
+def test_series_without_groups_equal_one_group(spark, monkeypatch):
+    """The whole frame as blocks of 40 rows against the same rows as one group."""
+    from quarrystone.functions import metrics
+
+    rng = random.Random(15)
+    df = spark.createDataFrame([(1, i // 3, i, rng.choice([0.0, 1.0, rng.random()]), rng.random()) for i in rng.sample(range(3000), 333)], "g int, t int, i int, x double, y double")
+    monkeypatch.setattr(prefix, "BLOCK_ROWS", 40)
+    o = ["t", "i"]
+    checks = [
+        lambda by: ts.query_mean_abs_change(df, "x", o, by=by), lambda by: ts.query_cid_ce(df, "x", o, True, by=by), lambda by: ts.query_c3_stats(df, "x", 3, o, by=by),
+        lambda by: ts.query_time_reversal_asymmetry_stats(df, "x", 2, o, by=by), lambda by: ts.query_auto_corr(df, "x", 5, o, by=by), lambda by: ts.query_longest_streak(df, "x > 0.5", o, by=by),
+        lambda by: ts.query_avg_streak(df, "x > 0.5", o, by=by), lambda by: ts.is_increasing(df, "x", o, by=by), lambda by: ts.is_decreasing(df.withColumn("z", -F.col("i")), "z", o, by=by),
+        lambda by: ts.integrate_trapz(df, "y", "i", by=by), lambda by: ts.query_similar_count(df, "x", [0.0, 1.0, 0.5], 4.0, o, by=by), lambda by: ts.query_permute_entropy(df, "y", o, 2, 3, by=by),
+        lambda by: metrics.query_mase(df, "x", "y", "x", o, 7, by=by).withColumnRenamed("mase", "value"), lambda by: ts.detrend(df, "x", o, by=by).agg(F.sum(F.col("detrended") * F.col("i")).alias("value")),
+        lambda by: ts.detrend(df, "x", o, "mean", by=by).agg(F.sum(F.col("detrended") * F.col("i")).alias("value")),
+    ]
+    for k, check in enumerate(checks):
+        assert check(None).first()["value"] == pytest.approx(check("g").first()["value"]), k
+
+
 def test_xi_against_its_definition(spark):
     rng = random.Random(4)
     rows = [(float(i), rng.choice([1.0, 2.0, rng.random()])) for i in rng.sample(range(500), 200)]
