@@ -38,7 +38,7 @@ INDEX_MAGIC, TABLE_MAGIC, FOOTER_MAGIC = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
 NULL = 1
 FRAME_BYTES = 1 << 20
 #: Chunks of text whose ids a worker remembers; then it starts anew.  Bytes (or, of one text, characters) encoded together.
-REMEMBERED = 1_000_000
+REMEMBERED = 600_000
 SLICE = 8_000_000
 _ENTRY = struct.Struct("<III")
 INDEX = np.dtype([("doc_id", "<i8"), ("start", "<u8"), ("n", "<u8"), ("crc", "<u4"), ("flags", "<u4")])
