@@ -29,25 +29,6 @@ def _pairwise(kernel, kind: str, whole_table: bool = False, as_bytes: bool = Fal
     return run
 
 
-def _each(f, kind: str):
-    """A pandas UDF of two strings by a function of one pair; equal pairs of a batch are computed once."""
-
-    @F.pandas_udf(kind)
-    def run(a: pd.Series, b: pd.Series) -> pd.Series:
-        known: dict = {}
-
-        def one(x, y):
-            if x is None or y is None:
-                return None
-            if (x, y) not in known:
-                known[x, y] = f(x, y)
-            return known[x, y]
-
-        return pd.Series([one(x, y) for x, y in zip(a, b)], dtype=object if kind in ("string", "boolean") else "Int64" if kind == "long" else float)
-
-    return run
-
-
 def _text(x) -> Column:
     return to_col(x).cast("string")
 
@@ -85,19 +66,24 @@ def filter_by_hamming(c, other, bound: int, pad: bool = False) -> Column:
     return F.when(a.isNotNull() & b.isNotNull(), F.coalesce(str_hamming(a, b, pad) <= bound, F.lit(False)))
 
 
-def _grams(s: str, n: int) -> set[bytes]:
-    raw = s.encode()
-    return {raw[i : i + n] for i in range(max(1, len(raw) - n + 1))} if raw else set()
+def _grams(x: Column, n: int) -> Column:
+    """The different runs of n bytes; a shorter text is one, an empty one has none."""
+    raw = F.encode(x, "UTF-8")
+    each = F.transform(F.sequence(F.lit(1), F.greatest(F.octet_length(x) - (n - 1), F.lit(1))), lambda i: F.substring(raw, i, F.lit(n)))
+    return F.when(F.octet_length(x) == 0, F.array().cast("array<binary>")).otherwise(F.array_distinct(each))
 
 
 def _of_grams(f, n: int):
-    def run(x: str, y: str) -> float:
-        a, b = _grams(x, n), _grams(y, n)
-        both = len(a & b)
-        top, bottom = f(both, len(a), len(b))
-        return top / bottom if bottom else float("nan")
+    def run(x: Column, y: Column) -> Column:
+        # in a lambda, so that the sets are made once
+        def share(s: Column) -> Column:
+            top, bottom = f(F.size(F.array_intersect(s["a"], s["b"])), F.size(s["a"]), F.size(s["b"]))
+            return ieee_div(top, bottom)
 
-    return _each(run, "double")
+        both = F.transform(F.array(F.struct(_grams(x, n).alias("a"), _grams(y, n).alias("b"))), share)
+        return F.when(x.isNotNull() & y.isNotNull(), F.get(both, F.lit(0)))
+
+    return run
 
 
 def str_jaccard(c, other, substr_size: int = 2) -> Column:
@@ -105,7 +91,7 @@ def str_jaccard(c, other, substr_size: int = 2) -> Column:
 
 
 def str_overlap_coeff(c, other, substr_size: int = 2) -> Column:
-    return _of_grams(lambda m, a, b: (m, min(a, b)), substr_size)(_text(c), _text(other))
+    return _of_grams(lambda m, a, b: (m, F.least(a, b)), substr_size)(_text(c), _text(other))
 
 
 def str_sorensen_dice(c, other, substr_size: int = 2) -> Column:

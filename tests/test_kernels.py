@@ -306,3 +306,22 @@ def test_string_columns_with_nulls_and_repeats(spark):
     assert col(strings.str_lcs_subseq("a", "b"))[3:] == ["", ""] and col(strings.str_lcs_substr("a", "b"))[2] is None
     nothing = df.filter("a IS NULL")
     assert [r.v for r in nothing.select(strings.str_osa("a", "b").alias("v")).collect()] == [None]
+
+
+def test_gram_similarities_equal_sets_of_bytes(spark):
+    rng = random.Random(16)
+    rows = [("".join(rng.choices("abé漢 ", k=rng.randint(0, 9))), "".join(rng.choices("abé漢 ", k=rng.randint(0, 9)))) for _ in range(200)] + [(None, "a"), ("a", None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    grams = lambda t, n: {t.encode()[i : i + n] for i in range(max(1, len(t.encode()) - n + 1))} if t else set()
+    for n in (1, 2, 3):
+        for col, share in (
+            (strings.str_jaccard("a", "b", n), lambda m, a, b: (m, a + b - m)), (strings.str_overlap_coeff("a", "b", n), lambda m, a, b: (m, min(a, b))),
+            (strings.str_sorensen_dice("a", "b", n), lambda m, a, b: (2 * m, a + b)), (strings.str_tversky_sim("a", "b", 0.3, 0.7, n), lambda m, a, b: (m, m + 0.3 * (a - m) + 0.7 * (b - m))),
+        ):
+            for (x, y), r in zip(rows, df.select(col.alias("v")).collect()):
+                if x is None or y is None:
+                    assert r.v is None
+                    continue
+                a, b = grams(x, n), grams(y, n)
+                top, bottom = share(len(a & b), len(a), len(b))
+                assert r.v == pytest.approx(top / bottom) if bottom else math.isnan(r.v)
