@@ -7,9 +7,10 @@ A rule is a pattern over ``host`` followed by ``path``:
 * everything else stands for itself.
 
 A token is a run of letters and digits.  Tokens of a rule that a URL must hold whole (on either side a
-literal separator, ``||`` or ``^``) can index it; the one that is rarest in the table's URLs does.  Every
-distinct URL fetches, by its tokens, the rules that can match, and only those are tried as regular
-expressions.  All of it is DataFrame code; the rules are a parameter of bounded size and are broadcast.
+literal separator, ``||`` or ``^``) can index it; the one that is rarest in the table's URLs does.  A rule without such a
+token is indexed by the rarest piece of GRAM characters of its literal parts, which are then parts of a URL's tokens.  Every
+distinct URL fetches, by its tokens and their pieces, the rules that can match, and only those are tried as regular
+expressions; a rule with no literal part of that length is tried on all.  All of it is DataFrame code; the rules are a parameter of bounded size and are broadcast.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 from .common import free_name
 
 MAX_RULES = 100_000
+#: Characters of the pieces of tokens.
+GRAM = 4
 
 
 @dataclass(frozen=True)
@@ -53,6 +56,17 @@ def tokens_of(pattern: str) -> list[str]:
     return list(dict.fromkeys(found))
 
 
+def pieces_of(pattern: str) -> list[str]:
+    """Pieces of GRAM characters, marked by ``*``, that stand in a token of every URL matched by the pattern."""
+    runs = re.findall(rf"[A-Za-z0-9]{{{GRAM},}}", pattern.removeprefix("||"))
+    return list(dict.fromkeys(f"*{r[i : i + GRAM]}" for r in runs for i in range(len(r) - GRAM + 1)))
+
+
+def _pieces(tokens: Column) -> Column:
+    each = lambda t: F.transform(F.sequence(F.lit(1), F.length(t) - (GRAM - 1)), lambda i: F.concat(F.lit("*"), F.substring(t, i, F.lit(GRAM))))
+    return F.array_distinct(F.flatten(F.transform(F.filter(tokens, lambda t: F.length(t) >= GRAM), each)))
+
+
 def host_of(url: Column) -> Column:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z in lower case; else empty."""
     host = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
@@ -68,8 +82,8 @@ def judge(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", default:
     """``pages`` with host, path, rule (the winner's name), pattern (the winner's) and verdict.
 
     Defined cases: a null URL, or one without ``://``, has an empty host and path and gets ``default``, unless a
-    rule without literal tokens matches the empty string; repeated URLs are judged alike; an empty table
-    gives an empty result.  If the table has columns of the new names, the new ones get underscores before.
+    rule without literal parts matches the empty string; repeated URLs are judged alike; an empty table
+    gives an empty result; a very long URL is one row with all its tokens.  If the table has columns of the new names, the new ones get underscores before.
     """
     if len(rules) > MAX_RULES:
         raise ValueError(f"more than {MAX_RULES} rules")
@@ -79,7 +93,9 @@ def judge(pages: DataFrame, rules: list[Rule], *, url_col: str = "url", default:
     parts = pages.withColumns({new["host"]: host_of(F.col(url_col)), new["path"]: path_of(F.col(url_col))}).withColumn(place, F.concat(F.col(new["host"]), F.col(new["path"])))
     # whole tokens of each distinct place
     places = parts.select(F.col(place).alias("place")).distinct().withColumn("tokens", F.array_distinct(F.regexp_extract_all(F.col("place"), F.lit("[A-Za-z0-9]+"), 0)))
-    rows = [(i, r.pattern, regex_of(r.pattern), r.verdict, r.name, r.tier, tokens_of(r.pattern)) for i, r in enumerate(rules)]
+    rows = [(i, r.pattern, regex_of(r.pattern), r.verdict, r.name, r.tier, tokens_of(r.pattern) or pieces_of(r.pattern)) for i, r in enumerate(rules)]
+    if any(ts and ts[0].startswith("*") for *_, ts in rows):
+        places = places.withColumn("tokens", F.concat("tokens", _pieces(F.col("tokens"))))
     wanted = sorted({t for *_, ts in rows for t in ts})
     seen: dict[str, int] = {}
     if wanted:

@@ -111,6 +111,21 @@ def test_url_rules_against_plain_matching(spark):
             assert r.verdict == ("block" if plain else "allow"), r
 
 
+def test_rules_without_whole_tokens_are_found_by_pieces(spark):
+    rng = random.Random(20)
+    patterns = ["||*casino.", "*cheap", "*ab", "||*-porn.", "*x*longword*y", "/wp-", "*1234*", "||*spam-farm.", "*"]
+    assert [url_filter.pieces_of(p)[:1] for p in patterns[:3]] == [["*casi"], ["*chea"], []]
+    words_ = ["casino", "mycasinos", "cheaper", "ab", "x", "longwordy", "porn", "-porn", "wp-", "12345", "spam-farm", ".", "/", "-"]
+    urls = [(i, "http://" + "".join(rng.choices(words_, k=rng.randint(1, 6)))) for i in range(400)]
+    rules = [url_filter.Rule(p, "block", p) for p in patterns[:-1]]
+    got = {r.page_id: r["rule"] for r in url_filter.judge(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    for i, u in urls:
+        m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", u)
+        place = m[1].lower() + m[2]
+        fits = [r for r in rules if re.search(url_filter.regex_of(r.pattern), place)]
+        assert got[i] == (max(fits, key=lambda r: (len(r.pattern), -rules.index(r))).name if fits else None), place
+
+
 def test_tokens_bound_the_match():
     assert url_filter.tokens_of("||ads-track.") == ["ads", "track"]
     assert url_filter.tokens_of("*foo*/bar/baz") == ["bar"]
