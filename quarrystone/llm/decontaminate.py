@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 
 from .common import free_name, slices, span_hashes, spans, stage, table_of, texts_of, tree_sum
 
-#: Hashed terms, dimensions of the latent space, strongest directions left out (they tell languages apart, not passages) and extra ones of the random projection.
-TERMS, DIMS, LEFT_OUT, EXTRA = 1 << 14, 64, 4, 8
+#: Hashed terms, dimensions of the latent space, and extra ones of the random projection.  No direction is left out, however
+#: strong: a passage that very many documents share can be one.
+TERMS, DIMS, EXTRA = 1 << 14, 64, 12
 #: Words of a passage; a window is so many passages.
 PASSAGE = 16
 WIDTHS = (2, 3, 4, 5)
@@ -135,7 +136,7 @@ def fit(docs: DataFrame, text_col: str = "text", *, seed: int = 42) -> LatentSpa
         return None
     df, n = sums[:TERMS], sums[-1]
     idf = np.log((n + 1) / (df + 1)) + 0.1
-    size = DIMS + LEFT_OUT + EXTRA
+    size = DIMS + EXTRA
     w = np.random.default_rng(seed).standard_normal((TERMS, size)).astype(np.float32)
     center = df / max(df.sum(), 1)  # a word's mean
     weighted = (w * idf[:, None]).astype(np.float32)
@@ -156,14 +157,13 @@ def fit(docs: DataFrame, text_col: str = "text", *, seed: int = 42) -> LatentSpa
     # covariance = z (w'z)^-1 z', so its eigenvectors are the left singular vectors of z L'^-1 with w'z = L L'
     core = w.T.astype(np.float64) @ z
     values, vectors = np.linalg.eigh((core + core.T) / 2)
-    good = values > values.max(initial=0) * 1e-9
+    # the sums have single precision: what is weaker than this is rounding, which scaling to equal spread would blow up
+    good = values > values.max(initial=0) * 1e-6
     if not good.any():
         return LatentSpace(idf, np.zeros((TERMS, 1)), np.zeros(1))
     u, s, _ = np.linalg.svd(z @ (vectors[:, good] / np.sqrt(values[good])), full_matrices=False)
-    rank = int((s > s[0] * 1e-6).sum())
-    # a corpus of so few directions that leaving some out would leave little keeps all
-    skip = LEFT_OUT if rank >= 4 * LEFT_OUT else 0
-    loadings = u[:, skip : min(skip + DIMS, rank)] / s[skip : min(skip + DIMS, rank)]
+    rank = int((s > s[0] * 1e-3).sum())
+    loadings = u[:, : min(DIMS, rank)] / s[: min(DIMS, rank)]
     return LatentSpace(idf, loadings, center @ (loadings * idf[:, None]))
 
 

@@ -571,9 +571,8 @@ def test_leaks(spark):
     assert {r.doc_id for r in left.collect()} == set(range(60)) | {300, 301}
 
 
-def test_latent_space_holds_what_a_whole_decomposition_holds(spark, monkeypatch):
+def test_latent_space_holds_what_a_whole_decomposition_holds(spark):
     """The randomised directions keep nearly all that as many exact singular vectors keep of the passages."""
-    monkeypatch.setattr(decontaminate, "LEFT_OUT", 0)
     rng = random.Random(13)
     topics = [[words(rng, 1) + str(k) for k in range(40)] for _ in range(12)]
     texts = [" ".join(rng.choice(topics[i % 12]) for _ in range(96)) for i in range(80)]
@@ -620,6 +619,39 @@ def test_leaks_against_all_windows(spark):
     assert len(want) >= 25 and got <= want and len(got) >= 0.9 * len(want), (len(want), want - got, got - want)
 
 
+def test_leaks_in_a_small_corpus_against_all_windows(spark):
+    """Fewer directions than the space could have: what is only rounding must not count as one."""
+    rng = random.Random(14)
+    items = [(i, " ".join(f"{words(rng, 1)}{rng.randint(0, 30)}" for _ in range(rng.choice([15, 25, 45]))) + ". " + words(rng, 4) + ".") for i in range(12)]
+    items.append((3, items[3][1]))  # the same item again
+    rows = []
+    for i in range(90):
+        t = words(rng, rng.randint(0, 250)).split()
+        if i % 3 == 0:
+            ws = [w for w in items[i % 12][1].split() if rng.random() > rng.choice([0.0, 0.1, 0.3, 0.5])]
+            at = rng.randint(0, len(t))
+            t[at:at] = ws
+        rows.append((i, " ".join(t)))
+    df = spark.createDataFrame([*rows, rows[0]], "doc_id long, text string")
+    want = set()
+    for item in decontaminate._items(items, decontaminate.fit(df)):
+        for i, t in rows:
+            h, n = decontaminate.word_ids(pa.array([t]))[0].tolist(), len(item.words)
+            if any(item.check(h[k : k + 2 * n + 32]) for k in range(0, max(len(h) - n // 2, 1), 4)):
+                want.add((i, item.item_id))
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert len(want) >= 15 and got <= want and len(got) >= 0.9 * len(want), (len(want), want - got, got - want)
+
+
+def test_leaks_that_a_third_of_all_texts_hold(spark):
+    """An item so common that it is a strong direction of the latent space."""
+    rng = random.Random(21)
+    items = [(i, " ".join(f"{words(rng, 1)}k{i}" for _ in range(35)) + ".") for i in range(3)]
+    rows = [(i, words(rng, 120) + " " + (items[1][1] if i % 3 == 0 else items[2][1] if i == 1 else "") + " " + words(rng, 60)) for i in range(150)]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(i, 1) for i in range(0, 150, 3)} | {(1, 2)}
+
+
 def test_leaks_of_clashing_names_and_blocks(spark, monkeypatch):
     rng = random.Random(15)
     items = [(i, " ".join(f"{words(rng, 1)}k{i}" for _ in range(30)) + ".") for i in range(5)]
