@@ -356,7 +356,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     through; an empty table on either side leaves ``docs`` as it is.
     """
     names = {n: free_name(docs, f"hit_{n}") for n in ("id", "digest", "own")}
-    hit = leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(names["id"]), F.col("digest").alias(names["digest"])).distinct()
+    # a table of known size: where it is small, texts are not dealt out for the join
+    hit = stage(leaks(docs, benchmark, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias(names["id"]), F.col("digest").alias(names["digest"])).distinct(), "hits")
     marked = docs.withColumn(names["own"], F.unhex(F.md5(F.col(f"`{text_col}`"))))
     same = F.col(f"`{id_col}`").cast("long").eqNullSafe(F.col(names["id"])) & (F.col(names["own"]) == F.col(names["digest"]))
     return marked.join(hit, same, "left_anti").select(*(F.col(f"`{c}`") for c in docs.columns))
