@@ -15,6 +15,8 @@ from .col import to_col
 
 #: Ranges, at most (their bounds are literals of an expression), and rows of the sample for each.
 RANGES, SAMPLED = 128, 16
+#: Rows that one task may sort: a frame of no more is one window.
+FEW = 50_000
 #: Rows of a block of a series.
 BLOCK_ROWS = 1 << 16
 
@@ -45,11 +47,11 @@ def running(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | Non
     """``df`` with, for each (new name, column) of ``sums``, the column's sum over the rows up to this one in the order.
 
     ``ties`` order rows of equal ``order``; nulls stand where Spark sorts them.  With ``by``, sums run within groups, and
-    a group is a window; without, the frame is dealt to ranges.
+    a group is a window; without, the frame is dealt to ranges, unless it has FEW rows at most.
     """
     step = [F.desc(order) if descending else F.asc(order), *(ties or [])]
-    if by:
-        w = Window.partitionBy(*by).orderBy(*step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if by or df.limit(FEW + 1).count() <= FEW:
+        w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({new: F.sum(c).over(w) for new, c in sums.items()})
     taken = {c.lower() for c in df.columns} | {c.lower() for c in sums}
     at, offset_at = (_free(taken, n) for n in ("range_", "range_of_"))

@@ -14,8 +14,21 @@ from quarrystone.functions import num, stats, strings, ts
 from quarrystone.operators import knn, linear, misc
 
 
+@pytest.fixture(autouse=True)
+def _ranges(monkeypatch):
+    """Small frames take the way of large ones."""
+    monkeypatch.setattr(prefix, "FEW", 0)
+
+
 # --- running sums
 
+def test_few_rows_are_one_window(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 7, i) for i in range(50)], "x int, v int")
+    ranged = sorted(map(tuple, prefix.running(df, "x", {"upto": "v"}, ties=[F.col("v")]).collect()))
+    monkeypatch.setattr(prefix, "FEW", 50)
+    assert sorted(map(tuple, prefix.running(df, "x", {"upto": "v"}, ties=[F.col("v")]).collect())) == ranged
+
+
 @pytest.mark.parametrize("descending", [False, True])
 def test_running_sums_equal_a_window(spark, descending):
     rng = random.Random(1)
