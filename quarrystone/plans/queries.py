@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core.col import ieee_div
@@ -91,7 +91,7 @@ q("rel_top_k", "SELECT o_orderkey, round(o_totalprice, 2) AS v FROM orders ORDER
 q("rel_distinct_agg", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1")(lambda t: t("lineitem").groupBy("l_returnflag").agg(F.count_distinct("l_suppkey").alias("n")))
 q("rel_union_all", "SELECT n_name AS name FROM nation UNION ALL SELECT r_name FROM region")(lambda t: t("nation").select(F.col("n_name").alias("name")).unionByName(t("region").select(F.col("r_name").alias("name"))))
 q("rel_explode", "SELECT l, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS l FROM part) GROUP BY l")(lambda t: t("part").select(F.explode(F.split("p_name", " ")).alias("l")).groupBy("l").agg(F.count(F.lit(1)).alias("n")))
-q("rel_rank_window", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS v FROM customer")(lambda t: t("customer").select("c_custkey", F.rank().over(stats.Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))).cast("long").alias("v")))
+q("rel_rank_window", "SELECT c_custkey, rank() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC) AS v FROM customer")(lambda t: t("customer").select("c_custkey", F.rank().over(Window.partitionBy("c_nationkey").orderBy(F.desc("c_acctbal"))).cast("long").alias("v")))
 
 # --- 2.4 horizontal, arrays
 LI, LK = "lineitem", "l_orderkey, l_linenumber"
