@@ -12,7 +12,7 @@ from ..functions import noise, num, stats, strings, ts
 from ..operators import linear, misc
 from ..sources import io
 from ..streaming import online
-from . import diagnosis, transforms
+from . import diagnosis
 from .blueprint import Blueprint, Pipeline
 from .queries import LI, q, r
 

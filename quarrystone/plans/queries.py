@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core.col import ieee_div
-from ..functions import metrics, noise, num, stats, strings, ts
+from ..functions import metrics, num, stats, strings, ts
 from ..operators import encode, knn, linear, misc
 from . import diagnosis, transforms
 from .blueprint import Blueprint
