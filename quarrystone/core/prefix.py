@@ -43,14 +43,19 @@ def range_column(df: DataFrame, x, ranges: int | None = None) -> Column:
     return F.when(x.isNull(), F.lit(-1)).otherwise(_range_of(x, bounds))
 
 
-def running(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, descending: bool = False, ties: list | None = None) -> DataFrame:
+def is_few(df: DataFrame) -> bool:
+    """Whether one task may sort the frame."""
+    return df.limit(FEW + 1).count() <= FEW
+
+
+def running(df: DataFrame, order: str, sums: dict[str, str], by: list[str] | None = None, descending: bool = False, ties: list | None = None, few: bool | None = None) -> DataFrame:
     """``df`` with, for each (new name, column) of ``sums``, the column's sum over the rows up to this one in the order.
 
     ``ties`` order rows of equal ``order``; nulls stand where Spark sorts them.  With ``by``, sums run within groups, and
-    a group is a window; without, the frame is dealt to ranges, unless it has FEW rows at most.
+    a group is a window; without, the frame is dealt to ranges, unless it has FEW rows at most (``few``: whether it has, where that is known).
     """
     step = [F.desc(order) if descending else F.asc(order), *(ties or [])]
-    if by or df.limit(FEW + 1).count() <= FEW:
+    if by or (is_few(df) if few is None else few):
         w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(*step).rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumns({new: F.sum(c).over(w) for new, c in sums.items()})
     taken = {c.lower() for c in df.columns} | {c.lower() for c in sums}

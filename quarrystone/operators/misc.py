@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..core.col import dbl
-from ..core.prefix import numbered, running, with_totals
+from ..core.prefix import is_few, numbered, running, with_totals
 
 
 def _by(by) -> list[str]:
@@ -21,9 +21,10 @@ def query_kaplan_meier_prob(df: DataFrame, status, time_exit, by=None) -> DataFr
     by = _by(by)
     s = F.expr(status) if isinstance(status, str) else status
     c = df.select(*by, dbl(time_exit).alias("t"), s.cast("int").alias("d")).filter("t IS NOT NULL AND d IS NOT NULL").groupBy(*by, "t").agg(F.sum("d").cast("double").alias("d"), F.count(F.lit(1)).cast("double").alias("n"))
-    f = running(c, "t", {"at_risk": "n"}, by, descending=True).withColumn("p", 1 - F.col("d") / F.col("at_risk"))
+    few = bool(by) or is_few(c)
+    f = running(c, "t", {"at_risk": "n"}, by, descending=True, few=few).withColumn("p", 1 - F.col("d") / F.col("at_risk"))
     f = f.withColumn("gone_", (F.col("p") <= 0).cast("int")).withColumn("log_", F.when(F.col("p") > 0, F.log("p")).otherwise(0.0))
-    f = running(f, "t", {"gone": "gone_", "log": "log_"}, by)
+    f = running(f, "t", {"gone": "gone_", "log": "log_"}, by, few=few)
     return f.select(*by, "t", F.when(F.col("gone") > 0, 0.0).otherwise(F.exp("log")).alias("prob"))
 
 
