@@ -6,10 +6,10 @@ scored once, with at least HALF ids before it (fewer at a text's begin).  Masked
 and the vector a distribution over all ids in two steps: classes of ids, balanced by their frequency, and the ids of a
 class.  Ids that no training text has share a small fixed probability; so every text has one, and all sum to one.
 
-Training goes over every training text, once or, where there are few, up to PASSES times, by gradient descent (Adagrad).  Texts are dealt by a hash to groups, groups to
+Training goes over every training text once, by gradient descent (Adagrad), in ROUNDS rounds, whatever the size of the input.  Texts are dealt by a hash to groups, groups to
 rounds; a round's groups start from the same weights, each goes through its own texts in the order of their hashes, and
 the results are averaged.  Groups hang on hashes and the number of training ids alone, so partitions change nothing.
-More input makes more groups, each at least of GROUP_IDS ids.
+More input makes more groups in each round, of about GROUP_IDS ids at most.
 """
 
 from __future__ import annotations
@@ -31,11 +31,9 @@ FREQUENT = 1 << 17
 WINDOW, DIM = 32, 16
 HALF = WINDOW // 2
 #: Windows of a gradient step, its rate, and ids among whose windows the steps choose at random; windows scored together.
-BATCH, RATE, BUFFER, SCORED = 256, 0.1, 1 << 19, 512
-#: Times that training goes over texts of fewer than ENOUGH ids, at most.
-PASSES, ENOUGH = 6, 1 << 24
-#: Rounds of averaging, at most; training ids of a group, at least; and groups of a round, at most (beyond that, groups grow).
-ROUNDS, GROUP_IDS, GROUPS = 8, 1 << 21, 1024
+BATCH, RATE, BUFFER, SCORED = 64, 0.2, 1 << 19, 512
+#: Rounds of training; training ids of a group, on average at most.
+ROUNDS, GROUP_IDS = 8, 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _NO = np.float32(-1e9)
@@ -359,14 +357,11 @@ def _trained(encoded: DataFrame, names: dict[str, str], vocabulary: Vocabulary)
     total = int(vocabulary.count.sum())
     if not total:
         return model
-    groups = -(-total // GROUP_IDS)
-    rounds = min(ROUNDS, groups)
-    per_round = min(-(-groups // rounds), GROUPS)
+    per_round = -(-total // (ROUNDS * GROUP_IDS))
     spark = encoded.sparkSession
-    mine = F.pmod(F.col(names["order"]), F.lit(rounds * per_round))
+    mine = F.pmod(F.col(names["order"]), F.lit(ROUNDS * per_round))
     texts = encoded.filter(F.col(names["taught"])).select(mine.alias("g"), F.col(names["order"]).alias("order"), F.col(names["ids"]).alias("ids"))
-    for turn in range(rounds * min(PASSES, -(-ENOUGH // total))):
-        r = turn % rounds
+    for r in range(ROUNDS):
         shared = spark.sparkContext.broadcast(model)
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -380,7 +375,7 @@ def _trained(encoded: DataFrame, names: dict[str, str], vocabulary: Vocabulary)
 
             def done() -> pa.RecordBatch:
                 flush()
-                return pa.RecordBatch.from_pydict({"part": [now // rounds], "v": [np.append(own.flat.astype(np.float64) * n, n).tobytes()]}, schema=pa.schema([("part", pa.int64()), ("v", pa.binary())]))
+                return pa.RecordBatch.from_pydict({"part": [now // ROUNDS], "v": [np.append(own.flat.astype(np.float64) * n, n).tobytes()]}, schema=pa.schema([("part", pa.int64()), ("v", pa.binary())]))
 
             for batch in batches:
                 size = start.vocabulary.size
@@ -388,7 +383,7 @@ def _trained(encoded: DataFrame, names: dict[str, str], vocabulary: Vocabulary)
                     if g != now:
                         if own is not None:
                             yield done()
-                        own, n, seed, now = Attention(start.vocabulary, start.flat.copy()), 0, (turn * rounds * per_round + g) << 20, g
+                        own, n, seed, now = Attention(start.vocabulary, start.flat.copy()), 0, g << 20, g
                     ids = start.vocabulary.place[np.frombuffer(raw.as_buffer(), _kind(size))]
                     held.append(ids)
                     n, waiting = n + len(ids), waiting + len(ids)
@@ -397,7 +392,7 @@ def _trained(encoded: DataFrame, names: dict[str, str], vocabulary: Vocabulary)
             if own is not None:
                 yield done()
 
-        part = texts.filter(F.col("g") % rounds == r).repartition(per_round, "g").sortWithinPartitions("g", "order", "ids")
+        part = texts.filter(F.col("g") % ROUNDS == r).repartition(per_round, "g").sortWithinPartitions("g", "order", "ids")
         sums = tree_sum(part.mapInArrow(train, "part long, v binary"), per_round)
         shared.destroy()
         if len(sums):

@@ -483,6 +483,27 @@ def test_lm_scores_hang_on_no_partition(spark, monkeypatch):
     assert score(df.repartition(7, "x", "text")) == want and score(df.coalesce(1).orderBy("text")) == want
 
 
+def test_lm_training_takes_each_id_once_at_any_size(spark, monkeypatch):
+    taken, add = [], attention_lm.tree_sum
+
+    def noted(parts, n=None, kind="f8"):
+        sums = add(parts, n, kind)
+        taken.append(sums[-1] if n is not None and len(sums) else 0)
+        return sums
+
+    monkeypatch.setattr(attention_lm, "tree_sum", noted)
+    df = spark.createDataFrame([(i, f"some words {i} " * 20) for i in range(80)], "doc_id long, text string")
+    for n, group_ids in ((40, attention_lm.GROUP_IDS), (80, 300)):  # one group a round, and several
+        monkeypatch.setattr(attention_lm, "GROUP_IDS", group_ids)
+        taken.clear()
+        docs = df.filter(f"doc_id < {n}")
+        attention_lm.train_and_score(docs, queries.tokenizer_path())
+        # the first sum is that of the ids' counts
+        assert len(taken) == 1 + attention_lm.ROUNDS
+        taught = [r.text for r in docs.collect() if zlib.crc32(str(r.doc_id).encode()) % 7 != 2]
+        assert sum(taken) == len(token_output.encoder(queries.tokenizer_path(), 0, True).arrays(pa.array(taught))[0])
+
+
 def small_model(rng, size=40):
     counts = rng.integers(0, 30, size).astype(float)
     counts[:5] = 0
