@@ -30,8 +30,10 @@ FREQUENT = 1 << 17
 #: Ids of a window, the second half of them scored in it; size of embeddings.
 WINDOW, DIM = 32, 16
 HALF = WINDOW // 2
-#: Windows of a gradient step, its rate, and ids among whose windows the steps choose at random; windows scored together.
-BATCH, RATE, BUFFER, SCORED = 64, 0.2, 1 << 19, 512
+#: Windows of a gradient step, its rate, and ids among whose windows the steps choose at random.
+BATCH, RATE, BUFFER = 64, 0.2, 1 << 19
+#: Windows whose attention is computed together in scoring, and windows whose ids are sorted by class together.
+SCORED, SORTED = 256, 4096
 #: Rounds of training; training ids of a group, on average at most.
 ROUNDS, GROUP_IDS = 8, 1 << 21
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -40,6 +42,8 @@ _NO = np.float32(-1e9)
 #: How far each id of the window lies before each scored one; what lies behind is masked.
 _FAR = np.arange(HALF, WINDOW)[:, None] - np.arange(WINDOW)[None, :]
 _DISTANCE = np.clip(_FAR, 0, WINDOW - 1)
+_BEHIND = _FAR >= 0
+_SCALE = np.float32(DIM**-0.5)
 
 
 class Vocabulary:
@@ -57,13 +61,16 @@ class Vocabulary:
         self.place[self.order] = np.arange(self.n)
         root = np.sqrt(self.count)
         if self.n:
-            wanted = int(np.ceil(np.sqrt(self.n)))
+            # so many that classes and the ids of a class, on average over the text, are as many
+            wanted = int(np.ceil(root.sum() / np.sqrt(self.count.sum())))
             raw = np.minimum(((np.cumsum(root) - root / 2) / root.sum() * wanted).astype(np.int64), wanted - 1)
             self.classes, self.class_of = (x.astype(np.uint16) for x in np.unique(raw, return_inverse=True))
         else:
             self.class_of = np.zeros(0, np.uint16)
         self.n_classes = int(self.class_of.max()) + 1 if self.n else 0
         self.starts = np.searchsorted(self.class_of, np.arange(self.n_classes + 1))
+        #: Classes of similar size together, for the few ids of a step, and each alone, for many ids.
+        self.bands, self.alone = self._bands(2), self._bands(0)
         # the share of all unseen ids together: as if ids seen once had come as often as new ones will
         once = float((self.count == 1).sum())
         self.new = (once + 1) / (total + once + 1) if self.n < self.size else 0.0
@@ -71,29 +78,46 @@ class Vocabulary:
             self.log_seen = float(np.log1p(-self.new)) if self.new < 1 else -np.inf
             self.log_unseen = float(np.log(self.new) - np.log(max(self.size - self.n, 1)))
 
+    def _bands(self, times: float) -> list[tuple]:
+        """Runs of classes of up to so many times the first one's size: begin, end, a row of ids a class (the last repeated where a class has fewer), where those are, and where the others are."""
+        out, width, j = [], np.diff(self.starts), 0
+        while j < self.n_classes:
+            end = j + 1 + int(np.argmax(np.append(width[j + 1 :] > times * width[j], True)))
+            within, most = np.arange(width[j:end].max()), width[j:end, None]
+            ids = self.starts[j:end, None] + np.minimum(within, most - 1)
+            out.append((j, end, ids, *(np.flatnonzero(x) for x in (within >= most, within < most))))
+            j = end
+        return out
+
 
 class Attention:
     """The weights as one vector, and behind them the sums of squared gradients."""
 
     def __init__(self, vocabulary: Vocabulary, flat: np.ndarray | None = None) -> None:
         v = self.vocabulary = vocabulary
-        d = (DIM, DIM)
-        self.shapes = {"embed": (v.n + 3, DIM), "q": d, "k": d, "v": d, "last": d, "far": (WINDOW,), "top": (v.n_classes, DIM), "top_bias": (v.n_classes,), "out": (v.n, DIM), "out_bias": (v.n,)}
-        size = sum(int(np.prod(s)) for s in self.shapes.values())
+        # what is multiplied with the same vectors lies side by side; a bias is the last number of its row
+        shapes = {"embed": (v.n + 3, DIM), "kv": (DIM, 2 * DIM), "ql": (DIM, 2 * DIM), "far": (WINDOW,), "tops": (v.n_classes, DIM + 1), "outs": (v.n, DIM + 1)}
+        size = sum(int(np.prod(s)) for s in shapes.values())
         fresh = flat is None
         self.flat = np.zeros(2 * size, np.float32) if fresh else flat.astype(np.float32)
         self.w, self.g, at = {}, {}, 0
-        for name, shape in self.shapes.items():
+        for name, shape in shapes.items():
             n = int(np.prod(shape))
             self.w[name], self.g[name] = (self.flat[a : a + n].reshape(shape) for a in (at, size + at))
             at += n
+        for w in (self.w, self.g):
+            w |= {"k": w["kv"][:, :DIM], "v": w["kv"][:, DIM:], "q": w["ql"][:, :DIM], "last": w["ql"][:, DIM:]}
+            w |= {"top": w["tops"][:, :DIM], "top_bias": w["tops"][:, DIM], "out": w["outs"][:, :DIM], "out_bias": w["outs"][:, DIM]}
         if fresh:
             self._begin()
 
+    def __reduce__(self) -> tuple:
+        return Attention, (self.vocabulary, self.flat)
+
     def _begin(self) -> None:
         rng, v, w = np.random.default_rng(7), self.vocabulary, self.w
         for name, scale in (("embed", 0.3), ("q", DIM**-0.5), ("k", DIM**-0.5), ("v", 0.5 * DIM**-0.5), ("top", 0.1), ("out", 0.1)):
-            w[name][...] = rng.standard_normal(self.shapes[name]) * scale
+            w[name][...] = rng.standard_normal(w[name].shape) * scale
         w["embed"][v.unseen :] = 0
         w["last"][...] = np.eye(DIM)
         w["far"][1:4] = 1
@@ -102,128 +126,163 @@ class Attention:
             w["out_bias"][...] = np.log(v.count)
         self.flat[len(self.flat) // 2 :] = 1e-3
 
-    def tables(self) -> tuple[np.ndarray, ...]:
-        """Query, key, value and direct contribution of each id; one number more in queries and keys masks what is no id."""
-        w, e = self.w, self.w["embed"]
-        mask = np.zeros((len(e), 1), np.float32)
-        mask[self.vocabulary.none] = _NO
-        return np.concatenate([e @ w["q"] * np.float32(DIM**-0.5), np.ones_like(mask)], 1), np.concatenate([e @ w["k"], mask], 1), e @ w["v"], e @ w["last"]
-
-    def forward(self, x: np.ndarray, tables: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
-        """x: (windows, WINDOW) places of ids, each one place before the id that it predicts.  Attention (windows, WINDOW, HALF) and vectors of the second half."""
-        query, key, value, last = tables
-        k, v = key[x], value[x]
-        q = query[x[:, HALF:]]
-        # keys first: what is done along them then runs over whole rows of memory
-        a = k @ q.transpose(0, 2, 1)
-        a += np.where(_FAR >= 0, self.w["far"][_DISTANCE], _NO).T
-        a -= a.max(axis=1, keepdims=True)
+    def keys(self, e: np.ndarray, none: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and values of embeddings; one number more in the keys (and a one in the queries) masks what is no id."""
+        kv = e @ self.w["kv"]
+        k = np.empty((*none.shape, DIM + 1), np.float32)
+        k[..., :DIM] = kv[..., :DIM]
+        k[..., DIM] = none * _NO
+        return k, kv[..., DIM:]
+
+    def queries(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Queries and direct contributions of embeddings."""
+        ql = e @ self.w["ql"]
+        q = np.ones((*e.shape[:-1], DIM + 1), np.float32)
+        np.multiply(ql[..., :DIM], _SCALE, out=q[..., :DIM])
+        return q, ql[..., DIM:]
+
+    def forward(self, k: np.ndarray, v: np.ndarray, q: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Attention (WINDOW, windows, HALF) and the vectors of the second half, a one behind each, from keys and values of all places of windows, queries and direct contributions of the second half."""
+        # keys first: what is done along them then runs over long rows of memory
+        a = np.empty((WINDOW, len(k), HALF), np.float32)
+        np.matmul(k, q.transpose(0, 2, 1), out=a.transpose(1, 0, 2))
+        a += np.where(_BEHIND, self.w["far"][_DISTANCE], _NO).T[:, None]
+        a -= np.maximum.reduce(a, axis=0)
         np.exp(a, out=a)
-        a /= a.sum(axis=1, keepdims=True)
-        return a, a.transpose(0, 2, 1) @ v + last[x[:, HALF:]], q, k, v
+        a /= np.add.reduce(a, axis=0)
+        h = np.ones((len(k), HALF, DIM + 1), np.float32)
+        np.add(a.transpose(1, 2, 0) @ v, last, out=h[:, :, :DIM])
+        return a, h
 
     def log_p(self, h: np.ndarray, y: np.ndarray, step: bool = False) -> tuple[np.ndarray, np.ndarray | None]:
-        """ln probability of seen ids y after vectors h; with ``step`` the output is moved and the gradient at h comes along."""
-        v, w, n = self.vocabulary, self.w, len(y)
-        c = v.class_of[y]
-        at = np.arange(n)
+        """ln probability of ids y after vectors h (0 where y is no seen id); with ``step`` the output is moved and the gradient at h comes along."""
+        v, tops, outs = self.vocabulary, self.w["tops"], self.w["outs"]
+        lp, dh = np.zeros(len(y)), np.zeros_like(h) if step else None
+        order = np.flatnonzero((y >= 0) & (y < v.n))
+        n = len(order)
+        if not n:
+            return lp, dh
+        c = v.class_of[y[order]]
+        by = np.argsort(c, kind="stable")
+        order, c = order[by], c[by]
+        hs, ys = h.take(order, axis=0), y[order]
+        each, share = np.arange(n), np.float32(1 / n)
+        own, sums = np.empty(n, np.float32), np.empty(n, np.float32)
+        ds, moved = np.empty_like(hs) if step else None, np.zeros_like(tops)
         # a row a class, a column an id to predict: sums and maxima run along memory
-        z = w["top"] @ h.T
-        z += w["top_bias"][:, None]
-        z -= z.max(axis=0)
-        lp = z[c, at].astype(np.float64)
-        np.exp(z, out=z)
-        sums = z.sum(axis=0)
-        lp -= np.log(sums)
-        dh = None
+        for a in range(0, n, 4096):
+            b = min(a + 4096, n)
+            z = tops @ hs[a:b].T
+            z -= np.maximum.reduce(z, axis=0)
+            own[a:b] = z[c[a:b], each[: b - a]]
+            np.exp(z, out=z)
+            total = np.add.reduce(z, axis=0, out=sums[a:b])
+            if step:
+                z *= share / total
+                z[c[a:b], each[: b - a]] -= share
+                np.matmul(z.T, tops, out=ds[a:b])
+                moved += z @ hs[a:b]
         if step:
-            z /= sums
-            z[c, at] -= 1
-            z *= np.float32(1 / n)
-            dh = z.T @ w["top"]
-            self._move("top", z @ h)
-            self._move("top_bias", z.sum(axis=1))
-        order = np.argsort(c, kind="stable")
-        bounds = np.searchsorted(c[order], np.arange(v.n_classes + 1))
-        hs, ys, within = h[order], y[order], np.empty(n, np.float32)
-        ds = np.empty_like(hs) if step else None
-        for j in np.flatnonzero(np.diff(bounds)).tolist():
-            a, b, lo, hi = bounds[j], bounds[j + 1], v.starts[j], v.starts[j + 1]
-            x, out = hs[a:b], w["out"][lo:hi]
-            z = out @ x.T
-            z += w["out_bias"][lo:hi, None]
-            z -= z.max(axis=0)
-            at, t = np.arange(b - a), ys[a:b] - lo
-            own = z[t, at]
+            self._move("tops", moved)
+        lp[order] = own - np.log(sums) + v.log_seen
+        bounds = np.searchsorted(c, np.arange(v.n_classes + 1))
+        c = c.astype(np.int64)
+        nth, t = each - bounds[c], ys - v.starts[c]
+        for first, end, ids, fill, real in v.bands if step else v.alone:
+            a, b = bounds[first], bounds[end]
+            if a == b:
+                continue
+            # a class is a matrix, filled up with nothing to the most ids to predict and the most ids of a class
+            m = int(np.diff(bounds[first : end + 1]).max())
+            row = c[a:b] - first
+            to = row * m + nth[a:b]
+            x = hs[a:b]
+            if end - first > 1:
+                x = np.zeros((len(ids) * m, DIM + 1), np.float32)
+                x[to] = hs[a:b]
+            x = x.reshape(-1, m, DIM + 1)
+            out = outs.take(ids, axis=0)
+            out.reshape(-1, DIM + 1)[fill, DIM] = _NO
+            z = out @ x.transpose(0, 2, 1)
+            z -= np.maximum.reduce(z, axis=1)[:, None]
+            mine = (row * ids.shape[1] + t[a:b]) * m + nth[a:b]
+            own[a:b] = z.reshape(-1)[mine]
             np.exp(z, out=z)
-            sums = z.sum(axis=0)
-            within[a:b] = own - np.log(sums)
+            sums[a:b] = np.add.reduce(z, axis=1).reshape(-1)[to]
             if step:
-                z /= sums
-                z[t, at] -= 1
-                z *= np.float32(1 / n)
-                ds[a:b] = z.T @ out
-                self._move("out", z @ x, slice(lo, hi))
-                self._move("out_bias", z.sum(axis=1), slice(lo, hi))
-        lp[order] += within
+                scale = np.zeros(len(ids) * m, np.float32)
+                scale[to] = share / sums[a:b]
+                z *= scale.reshape(-1, 1, m)
+                z.reshape(-1)[mine] -= share
+                ds[a:b] += (z.transpose(0, 2, 1) @ out).reshape(-1, DIM + 1).take(to, axis=0)
+                self._move("outs", (z @ x).reshape(-1, DIM + 1).take(real, axis=0), slice(v.starts[first], v.starts[end]))
+        lp[order] += own - np.log(sums)
         if step:
-            dh[order] += ds
-        return lp + v.log_seen, dh
+            dh[order] = ds
+        return lp, dh
 
     def _move(self, name: str, d: np.ndarray, rows=slice(None)) -> None:
-        g = self.g[name]
-        g[rows] += d * d
-        self.w[name][rows] -= np.float32(RATE) * d / np.sqrt(g[rows])
+        g, w = self.g[name], self.w[name]
+        root = d * d
+        root += g[rows]
+        g[rows] = root
+        np.sqrt(root, out=root)
+        d /= root
+        d *= np.float32(RATE)
+        w[rows] -= d
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> float:
-        """One step on windows x and the ids y that their second halves predict (negative: none); the sum of ln p before it."""
-        tables = self.tables()
-        a, h, q, k, v = self.forward(x, tables)
-        known = (y >= 0) & (y < self.vocabulary.n)
-        if not known.any():
-            return 0.0
-        lp, some = self.log_p(h[known], y[known], step=True)
-        w = self.w
-        dh = np.zeros_like(h)
-        dh[known] = some
-        e = w["embed"][x]
-        late = e[:, HALF:]
-        over = lambda s, t: np.tensordot(s, t, axes=([0, 1], [0, 1]))
-        da = v @ dh.transpose(0, 2, 1)
-        da -= (a * da).sum(axis=1, keepdims=True)
+        """One step on windows x and the ids y that their second halves predict (negative: none); the sum of ln p of seen ids before it."""
+        v, w, flat = self.vocabulary, self.w, x.ravel()
+        e = w["embed"].take(flat, axis=0)
+        late = e.reshape(*x.shape, DIM)[:, HALF:].reshape(-1, DIM)
+        (k, value), (q, last) = self.keys(e, flat == v.none), self.queries(late)
+        k, value, q, last = (t.reshape(len(x), -1, t.shape[-1]) for t in (k, value, q, last))
+        a, h = self.forward(k, value, q, last)
+        lp, dh = self.log_p(h.reshape(-1, DIM + 1), y.ravel(), step=True)
+        dh = dh.reshape(h.shape)[:, :, :DIM]
+        da = np.empty_like(a)
+        np.matmul(value, dh.transpose(0, 2, 1), out=da.transpose(1, 0, 2))
+        da -= np.add.reduce(a * da, axis=0)
         da *= a
-        scale = np.float32(DIM**-0.5)
         # the last number of queries and keys is the mask's; queries are scaled already
-        dq, dk, dv = (da.transpose(0, 2, 1) @ k[:, :, :DIM]) * scale, da @ q[:, :, :DIM], a @ dh
-        de = dk @ w["k"].T + dv @ w["v"].T
-        de[:, HALF:] += dq @ w["q"].T + dh @ w["last"].T
-        steps = {"q": over(late, dq), "k": over(e, dk), "v": over(e, dv), "last": over(late, dh), "far": np.bincount(_DISTANCE[_FAR >= 0], weights=da.sum(axis=0).T[_FAR >= 0], minlength=WINDOW).astype(np.float32)}
-        flat = x.ravel()
-        order = np.argsort(flat.astype(np.uint16) if self.vocabulary.none < 1 << 16 else flat, kind="stable")
+        dkv, dql = np.empty((*x.shape, 2 * DIM), np.float32), np.empty((*y.shape, 2 * DIM), np.float32)
+        dkv[:, :, :DIM], dkv[:, :, DIM:] = da.transpose(1, 0, 2) @ q[:, :, :DIM], a.transpose(1, 0, 2) @ dh
+        dql[:, :, :DIM], dql[:, :, DIM:] = (da.transpose(1, 2, 0) @ k[:, :, :DIM]) * _SCALE, dh
+        dkv, dql = dkv.reshape(-1, 2 * DIM), dql.reshape(-1, 2 * DIM)
+        de = dkv @ w["kv"].T
+        de.reshape(*x.shape, DIM)[:, HALF:] += (dql @ w["ql"].T).reshape(*y.shape, DIM)
+        far = np.bincount(_DISTANCE[_BEHIND], weights=np.add.reduce(da, axis=1).T[_BEHIND], minlength=WINDOW).astype(np.float32)
+        order = np.argsort(flat.astype(np.uint16) if v.none < 1 << 16 else flat, kind="stable")
         ids = flat[order]
         at = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        rows, moved = ids[at], np.add.reduceat(de.reshape(-1, DIM)[order], at, axis=0)
-        trained = rows < self.vocabulary.unseen
-        self._move("embed", moved[trained], rows[trained])
+        rows, moved = ids[at], np.add.reduceat(de.take(order, axis=0), at, axis=0)
+        trained = np.searchsorted(rows, v.unseen)
+        steps = {"kv": e.T @ dkv, "ql": late.T @ dql, "far": far}
+        self._move("embed", moved[:trained], rows[:trained])
         for name, d in steps.items():
             self._move(name, d)
         return float(lp.sum())
 
     def score(self, places: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """ln probability of each text; ``places``: of all texts' ids in a row, the end among them."""
-        rows, targets, at, doc = windows_of(places, lengths, self.vocabulary)
+        v, embed = self.vocabulary, self.w["embed"]
+        rows, targets, at, doc = windows_of(places, lengths, v)
         out = np.zeros(len(lengths))
-        tables = self.tables()
-        for i in range(0, len(at), SCORED):
-            w = at[i : i + SCORED]
-            y = targets[w]
-            known = (y >= 0) & (y < self.vocabulary.n)
-            lp = np.zeros(y.shape)
-            lp[y >= self.vocabulary.n] = self.vocabulary.log_unseen
-            if known.any():
-                h = self.forward(np.concatenate([rows[w], rows[w + 1]], axis=1), tables)[1]
-                lp[known] = self.log_p(h[known], y[known])[0]
-            out += np.bincount(doc[i : i + SCORED], weights=lp.sum(axis=1), minlength=len(out))
+        (key, value), (query, last) = self.keys(embed, np.arange(len(embed)) == v.none), self.queries(embed)
+        value, last = np.ascontiguousarray(value), np.ascontiguousarray(last)
+        for i in range(0, len(at), SORTED):
+            windows = at[i : i + SORTED]
+            h = np.empty((len(windows), HALF, DIM + 1), np.float32)
+            for j in range(0, len(windows), SCORED):
+                w = windows[j : j + SCORED]
+                late = rows[w + 1]
+                x = np.concatenate([rows[w], late], axis=1)
+                h[j : j + SCORED] = self.forward(key.take(x, axis=0), value.take(x, axis=0), query.take(late, axis=0), last.take(late, axis=0))[1]
+            y = targets[windows]
+            lp = self.log_p(h.reshape(-1, DIM + 1), y.ravel())[0].reshape(y.shape)
+            lp[y >= v.n] = v.log_unseen
+            out += np.bincount(doc[i : i + SORTED], weights=lp.sum(axis=1), minlength=len(out))
         return out
 
 
@@ -375,7 +434,7 @@ def _trained(encoded: DataFrame, names: dict[str, str], vocabulary: Vocabulary)
 
             def done() -> pa.RecordBatch:
                 flush()
-                return pa.RecordBatch.from_pydict({"part": [now // ROUNDS], "v": [np.append(own.flat.astype(np.float64) * n, n).tobytes()]}, schema=pa.schema([("part", pa.int64()), ("v", pa.binary())]))
+                return pa.RecordBatch.from_pydict({"part": [now // ROUNDS], "v": [np.append(own.flat * np.float32(n), np.float32(n)).tobytes()]}, schema=pa.schema([("part", pa.int64()), ("v", pa.binary())]))
 
             for batch in batches:
                 size = start.vocabulary.size
@@ -393,7 +452,7 @@ def _trained(encoded: DataFrame, names: dict[str, str], vocabulary: Vocabulary)
                 yield done()
 
         part = texts.filter(F.col("g") % ROUNDS == r).repartition(per_round, "g").sortWithinPartitions("g", "order", "ids")
-        sums = tree_sum(part.mapInArrow(train, "part long, v binary"), per_round)
+        sums = tree_sum(part.mapInArrow(train, "part long, v binary"), per_round, "f4")
         shared.destroy()
         if len(sums):
             model = Attention(vocabulary, sums[:-1] / sums[-1])

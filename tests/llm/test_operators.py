@@ -4,6 +4,7 @@ import collections
 import html
 import io
 import itertools
+import pickle
 import random
 import re
 import zlib
@@ -567,6 +568,32 @@ def test_lm_learns_and_its_gradients_are_right():
         assert abs(slope) == pytest.approx(g[place], rel=0.08, abs=2e-4), name
 
 
+def test_lm_output_takes_few_sums_a_step():
+    rng = np.random.default_rng(11)
+    counts = rng.permutation(np.floor(1e6 / np.arange(1, 3001)))
+    v = attention_lm.Vocabulary(counts)
+    width, share = np.diff(v.starts), np.bincount(v.class_of, weights=v.count) / v.count.sum()
+    # as many classes as ids of a class, on average
+    assert v.n_classes == pytest.approx((width * share).sum(), rel=0.05)
+    for bands, most in ((v.bands, 1 + np.log2(width.max() / width.min())), (v.alone, v.n_classes)):
+        assert len(bands) <= most
+        assert [j for first, end, *_ in bands for j in range(first, end)] == list(range(v.n_classes))
+        assert np.array_equal(np.concatenate([ids.ravel()[real] for _, _, ids, _, real in bands]), np.arange(v.n))
+    m = attention_lm.Attention(v)
+    texts = [rng.choice(3000, 50, p=counts / counts.sum()) for _ in range(30)]
+    attention_lm._fit_buffer(m, [v.place[t] for t in texts], 1)
+    h, y = np.ones((3000, attention_lm.DIM + 1), np.float32) * 0.3, rng.permutation(v.n)
+    alone = m.log_p(h, y)[0]
+    assert np.log(np.exp(alone).sum()) == pytest.approx(v.log_seen, abs=1e-3)
+    v.alone = v.bands
+    assert m.log_p(h, y)[0] == pytest.approx(alone, abs=1e-4)
+    # the weights travel once
+    raw = pickle.dumps(m)
+    assert len(raw) < 1.2 * (m.flat.nbytes + len(pickle.dumps(v)))
+    again = pickle.loads(raw)
+    assert np.array_equal(again.flat, m.flat) and np.shares_memory(again.w["out"], again.flat)
+
+
 def test_lm_beats_word_frequencies_on_held_out_texts(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     r = attention_lm.train_and_score(docs, queries.tokenizer_path()).filter("held_out").selectExpr("sum(score) / sum(n_tokens) AS s", "sum(base_score) / sum(n_tokens) AS b").first()
