@@ -14,6 +14,7 @@ More input makes more groups in each round, of about GROUP_IDS ids at most.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, slices, span_hashes, spans, stage, texts_of, tree_sum
+from .common import forget_powers, free_name, slices, span_hashes, spans, stage, texts_of, tree_sum
 
 #: Words whose counts are kept in memory for the base score.  The others are joined, so this changes the cost and no result.
 FREQUENT = 1 << 17
@@ -317,6 +318,20 @@ def _fit_buffer(model: Attention, texts: list[np.ndarray], seed: int) -> None:
         model.fit(np.concatenate([rows[w], rows[w + 1]], axis=1), targets[w])
 
 
+def _give_back(encoders: bool = True) -> None:
+    """Memory of earlier work back to the system: Python workers outlive stages, and whatever they took counts for their executor."""
+    from . import token_output
+
+    if encoders:
+        token_output.forget_encoders()
+    forget_powers()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def _kind(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
@@ -348,6 +363,7 @@ def _word_counts(docs: DataFrame, taught: str, text_col: str) -> DataFrame:
             mine = np.repeat(part.column("taught").to_numpy(zero_copy_only=False), np.diff(first))
             n = np.bincount(inverse[mine], minlength=len(at))
             yield pa.RecordBatch.from_arrays([pa.array(_strings(raw, b[at], e[at]), pa.string()), pa.array(u.view(np.int64)), pa.array(n, pa.int64())], names=["word", "h", "c"])
+        _give_back()
 
     texts = docs.select(F.col(f"`{text_col}`").alias("text"), F.col(f"`{taught}`").alias("taught"))
     return stage(texts.mapInArrow(count, "word string, h long, c long").groupBy("word").agg(F.first("h").alias("h"), F.sum("c").alias("c")), "words")
@@ -391,6 +407,8 @@ def _encoded(docs: DataFrame, names: dict[str, str], keep: list[str], words: Dat
             bounds = (at * ids.itemsize).tolist()
             cols = [pa.array([data[i:j] for i, j in zip(bounds[:-1], bounds[1:])], pa.binary()), *(pa.array(x, pa.int64()) for x in (np.diff(at), n, np.bincount(doc[known], minlength=len(n)))), pa.array(logs, pa.float64()), lists]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in head), *cols], names=schema.names)
+        # the stage's next task encodes with what this one has remembered
+        _give_back(encoders=False)
 
     return stage(slim.mapInArrow(run, schema), "encoded")
 
@@ -401,6 +419,7 @@ def _vocabulary(encoded: DataFrame, names: dict[str, str], size: int) -> Vocabul
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
+        _give_back()
         total = np.zeros(size)
         for batch in batches:
             total += np.bincount(_ids(batch.column(column), size)[0], minlength=size)
@@ -424,6 +443,7 @@ def _trained(encoded: DataFrame, names: dict[str, str], vocabulary: Vocabulary)
         shared = spark.sparkContext.broadcast(model)
 
         def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            _give_back()
             start, own, held, waiting, n, seed, now = shared.value, None, [], 0, 0, 0, None
 
             def flush() -> None:
@@ -492,6 +512,7 @@ def train_and_score(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id",
     schema = T.StructType([*(kinds[c] for c in columns), T.StructField(new["score"], T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _give_back()
         m = shared.value
         for part in slices(batches, names["ids"]):
             ids, lengths = _ids(part.column(names["ids"]), m.vocabulary.size)

@@ -132,6 +132,12 @@ def _grow(n: int) -> None:
             _inverse = np.concatenate([[np.uint64(1)], np.multiply.accumulate(np.full(n, _R_INV, np.uint64))])
 
 
+def forget_powers() -> None:
+    """Frees what ``span_hashes`` keeps for the longest slice so far; it grows again when needed."""
+    global _powers, _inverse
+    _powers = _inverse = np.ones(1, np.uint64)
+
+
 def texts_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts of an Arrow string column, and where each begins and the last ends; null: empty."""
     column = column.cast(pa.large_string()).fill_null("")

@@ -1,6 +1,7 @@
 """Each operator on small tables: against brute force, and on nulls, empty and repeated rows, and names that clash."""
 
 import collections
+import contextlib
 import html
 import io
 import itertools
@@ -505,6 +506,36 @@ def test_lm_training_takes_each_id_once_at_any_size(spark, monkeypatch):
         assert sum(taken) == len(token_output.encoder(queries.tokenizer_path(), 0, True).arrays(pa.array(taught))[0])
 
 
+def test_lm_workers_give_memory_back(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"some words {i} " * 20) for i in range(20)], "doc_id long, text string")
+    tasks, plain = [], type(df).mapInArrow
+
+    def noted(self, func, schema, *more):
+        tasks.append((func, schema))
+        return plain(self, func, schema, *more)
+
+    monkeypatch.setattr(type(df), "mapInArrow", noted)
+    attention_lm.train_and_score(df, queries.tokenizer_path())
+    # words, texts, ids, each round, scores
+    assert len(tasks) == 4 + attention_lm.ROUNDS
+    for k, (func, _) in enumerate(tasks):
+        common.span_hashes(np.zeros(100, np.uint8), np.array([0]), np.array([100]))
+        token_output.encoder(queries.tokenizer_path(), 0, True)
+        with contextlib.suppress(Exception):  # outside of a task some find no context or weights
+            list(func(iter([])))
+        assert len(common._powers) == len(common._inverse) == 1, k
+        # only between tasks that encode are encoded pieces kept
+        assert bool(token_output._encoders) == (k == 1), k
+    assert len(common.span_hashes(np.zeros(100, np.uint8), np.array([0]), np.array([100]))) == 1
+    # what is free in the middle of the heap goes back, too
+    held = [bytes(40_000) for _ in range(3000)]
+    held = held[::30]
+    anon = lambda: int(re.search(r"Anonymous:\s+(\d+)", open("/proc/self/smaps_rollup").read())[1])  # noqa: E731, SIM115
+    before = anon()
+    attention_lm._give_back()
+    assert anon() < before - 50_000, len(held)
+
+
 def small_model(rng, size=40):
     counts = rng.integers(0, 30, size).astype(float)
     counts[:5] = 0
