@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..core import groups
+from ..core.groups import places, same_size
 from ..core.prefix import numbered, running, series
 from ..core.col import NAN, dbl, finite, ieee_div, ieee_ln, ieee_sqrt, over, quantile, to_col
 from ..core.special import digamma
@@ -220,21 +222,8 @@ def query_permute_entropy(df: DataFrame, ts: str, order_by, tau: int = 1, n_dims
 # --- kernels on one ordered group: each group is one task's work
 
 def _kernel(df: DataFrame, cols: list, order_by, by, f, kind: str) -> DataFrame:
-    """``f`` of arrays of the ordered columns, to rows of ``kind``, for each group."""
-    by = _by(by)
-    order = [order_by] if isinstance(order_by, str) else list(order_by or [])
-    slim = df.select(*by, *(to_col(o).alias(f"o{i}_") for i, o in enumerate(order)), *(dbl(c).alias(f"c{i}_") for i, c in enumerate(cols)))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([f"o{i}_" for i in range(len(order))], kind="stable") if order else pdf
-        out = f(*(pdf[f"c{i}_"].to_numpy(float) for i in range(len(cols))))
-        out = out if isinstance(out, pd.DataFrame) else pd.DataFrame({"value": [out]})
-        for b in reversed(by):
-            out.insert(0, b, [pdf[b].iloc[0]] * len(out))
-        return out
-
-    schema = ", ".join([*(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by), kind])
-    return slim.groupBy(*by).applyInPandas(run, schema)
+    """``f`` of arrays of the ordered columns, to a number or arrays of ``kind``, for each group."""
+    return groups.kernel(df, cols, order_by, _by(by), groups.one_by_one(f), kind)
 
 
 def lempel_ziv(b: np.ndarray) -> int:
@@ -355,21 +344,43 @@ def convolve_array(x: np.ndarray, kernel: list[float], fill_value: float = 0.0,
 
 
 def convolve(df: DataFrame, x, kernel: list[float], order_by, fill_value: float = 0.0, method: str = "direct", mode: str = "full", by=None) -> DataFrame:
-    def run(a: np.ndarray) -> pd.DataFrame:
+    k = np.array(kernel, float)
+    m = len(k)
+
+    def one(a: np.ndarray) -> tuple:
         out = convolve_array(a, kernel, fill_value, method, mode)
-        return pd.DataFrame({"i": np.arange(len(out)), "value": out})
+        return np.arange(len(out)), out
+
+    def many(sizes: np.ndarray, a: np.ndarray) -> tuple:
+        if m < 2 or (sizes < m).any():
+            raise ValueError("the kernel must have 2 values at least and be no longer than the series")
+        a = np.where(np.isnan(a), fill_value, a)
+        # each group's whole result lies m - 1 places further than the last one's
+        at = np.arange(len(a)) + np.repeat(np.arange(len(sizes)) * (m - 1), sizes)
+        full = np.zeros(len(a) + len(sizes) * (m - 1))
+        for j, c in enumerate(k):
+            full[at + j] += c * a
+        begin = {"full": 0, "same": (m - 1) // 2, "left": 0, "right": m - 1, "valid": m - 1}[mode]
+        got = sizes + {"full": m - 1, "valid": 1 - m}.get(mode, 0)
+        i = places(got)
+        return got, i, full[np.repeat(np.cumsum(sizes + m - 1) - (sizes + m - 1) + begin, got) + i]
 
-    return _kernel(df, [x], order_by, by, run, "i long, value double")
+    return groups.kernel(df, [x], order_by, _by(by), groups.one_by_one(one) if method == "fft" else many, "i long, value double")
 
 
 def rfft(df: DataFrame, x, order_by, n: int | None = None, return_full: bool = False, by=None) -> DataFrame:
-    def run(a: np.ndarray) -> pd.DataFrame:
+    def many(sizes: np.ndarray, a: np.ndarray) -> tuple:
         if np.isnan(a).any():
             raise ValueError("nulls")
-        out = np.fft.fft(a, n) if return_full else np.fft.rfft(a, n)
-        return pd.DataFrame({"i": np.arange(len(out)), "re": out.real, "im": out.imag})
+        over_ = np.full(len(sizes), n) if n is not None else sizes
+        got = over_ if return_full else over_ // 2 + 1
+        out, first = np.empty(int(got.sum()), complex), np.cumsum(got) - got
+        for _, at, rows in same_size(sizes):
+            f = (np.fft.fft if return_full else np.fft.rfft)(a[rows], n, axis=1)
+            out[first[at][:, None] + np.arange(f.shape[1])] = f
+        return got, places(got), out.real.copy(), out.imag.copy()
 
-    return _kernel(df, [x], order_by, by, run, "i long, re double, im double")
+    return groups.kernel(df, [x], order_by, _by(by), many, "i long, re double, im double")
 
 
 def pava(y: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -387,9 +398,9 @@ def pava(y: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def isotonic_regression(df: DataFrame, y, order_by, weights=None, increasing: bool = True, by=None) -> DataFrame:
-    def run(a: np.ndarray, *w: np.ndarray) -> pd.DataFrame:
+    def run(a: np.ndarray, *w: np.ndarray) -> tuple:
         s = 1.0 if increasing else -1.0
-        return pd.DataFrame({"i": np.arange(len(a)), "value": s * pava(s * a, w[0] if w else np.ones(len(a)))})
+        return np.arange(len(a)), s * pava(s * a, w[0] if w else np.ones(len(a)))
 
     return _kernel(df, [y] + ([weights] if weights is not None else []), order_by, by, run, "i long, value double")
 
@@ -431,7 +442,7 @@ def spline_fit(x: np.ndarray, y: np.ndarray, lam: float) -> np.ndarray:
 
 
 def smooth_spline(df: DataFrame, x, y, lambda_: float, by=None) -> DataFrame:
-    return _kernel(df, [x, y], [x], by, lambda a, b: pd.DataFrame({"x": a, "value": spline_fit(a, b, lambda_)}), "x double, value double")
+    return _kernel(df, [x, y], [x], by, lambda a, b: (a, spline_fit(a, b, lambda_)), "x double, value double")
 
 
 def add_at(df: DataFrame, indices: str, values: str, buffer_size: int | None = None) -> DataFrame:
