@@ -52,24 +52,30 @@ def kernel(df: DataFrame, cols: list, order_by, by: list[str], f: Callable, kind
     names = [c.split()[0] for c in kind.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def results(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            t = pa.Table.from_batches(held).combine_chunks()
-            first = np.flatnonzero(t.column("place_").to_numpy() == 1)
-            sizes = np.diff(np.append(first, t.num_rows))
+        for t, first, sizes in whole(batches):
             sizes, *out = f(sizes, *(t.column(f"c{i}_").to_numpy() for i in range(len(cols))))
             keys = t.select(range(len(by))).take(pa.array(np.repeat(first, sizes)))
             yield from pa.table([*keys.columns, *(pa.array(c) for c in out)], names=[*by, *names]).to_batches(OUT_ROWS)
 
-        held: list[pa.RecordBatch] = []
-        for b in batches:
-            begins = np.flatnonzero(b.column(b.num_columns - 1).to_numpy() == 1)
-            if len(begins) and held:
-                cut = int(begins[-1])
-                yield from results([*held, b.slice(0, cut)])
-                held = [b.slice(cut)]
-            elif b.num_rows:
-                held.append(b)
-        if held:
-            yield from results(held)
-
     return d.mapInArrow(run, ", ".join([*(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by), kind]))
+
+
+def whole(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray, np.ndarray]]:
+    """Tables of whole groups with their first rows and sizes, from batches whose column ``place_`` is 1 where a group begins."""
+
+    def table(held: list[pa.RecordBatch]) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+        t = pa.Table.from_batches(held).combine_chunks()
+        first = np.flatnonzero(t.column("place_").to_numpy() == 1)
+        return t, first, np.diff(np.append(first, t.num_rows))
+
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        begins = np.flatnonzero(b.column(b.schema.get_field_index("place_")).to_numpy() == 1)
+        if len(begins) and held:
+            cut = int(begins[-1])
+            yield table([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        elif b.num_rows:
+            held.append(b)
+    if held:
+        yield table(held)

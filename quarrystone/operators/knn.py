@@ -1,7 +1,6 @@
 """Nearest neighbours and radius queries, exact.
 
-Radius queries are equi joins over a grid whose cells are as wide as the radius: a row meets only the 3^d cells around its
-own.  k-nearest queries take the points in blocks of neighbouring points (leaves of a k-d tree over a bounded sample, cut
+Radius queries go by a grid whose cells are as wide as the radius: a block of rows of a cell meets only the 3^d cells around it.  k-nearest queries take the points in blocks of neighbouring points (leaves of a k-d tree over a bounded sample, cut
 further by a hash where a leaf holds many).  A block of queries first meets one block of points of its own leaf, which
 bounds how far its neighbours can be; then only blocks whose bounding boxes reach that near.  The k best of all blocks
 are merged; no task holds more than two blocks.
@@ -11,16 +10,21 @@ from __future__ import annotations
 
 import itertools
 import math
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..core import groups
 from ..core.col import INF, dbl, finite, ieee_div, total
 
 #: Rows of a block; leaves of the tree and points of the sample that it is made from, at most.
 BLOCK, LEAVES, SAMPLED = 4096, 1024, 20_000
+#: Pairs of a radius query that are looked at together.
+PAIRS = 1 << 20
 
 
 def distance(features: list, point: list[float], dist: str = "sql2") -> Column:
@@ -193,51 +197,111 @@ def query_knn_avg(df: DataFrame, *features, index: str, target: str, k: int, dis
     return t.groupBy(F.col("id_").alias(index)).agg((F.sum(w * F.col("target_")) / F.sum(w)).alias("value"))
 
 
-def _within(df: DataFrame, features: tuple, index: str, r, dist: str) -> DataFrame:
-    """(id_, nn_, d_) of all pairs within r (a number): an equi join over grid cells, then the exact test."""
+def libm_square(x: np.ndarray) -> np.ndarray:
+    """x ** 2 as the C library's pow rounds it, which SQL engines call: now and then it is a bit off x * x, which orders near ties."""
+    p = x * x
+    c = 134217729.0 * x
+    hi = c - (c - x)
+    lo = x - hi
+    rest = ((hi * hi - p) + 2 * hi * lo) + lo * lo
+    # pow is within 0.54 units of the last place: only where the exact square lies that near the middle can the two differ
+    open_ = np.flatnonzero(np.abs(rest) > 0.45 * np.spacing(p))
+    p[open_] = [math.pow(v, 2.0) for v in x[open_].tolist()]
+    return p
+
+
+def _near(q: np.ndarray, p: np.ndarray, r: np.ndarray, dist: str, sure: bool):
+    """For parts of the queries: the first one, how many, those surely within their r (counted, if ``sure``), and (queries, points, distances) of the other pairs within r."""
+    step = max(1, PAIRS // max(len(p), 1))
+    for i in range(0, len(q), step):
+        a, reach = q[i : i + step], r[i : i + step, None]
+        with np.errstate(over="ignore", invalid="ignore"):
+            rough = _np_dist(a, p, dist)
+            slack = np.abs(reach) * 1e-12
+            maybe = rough <= reach + slack
+            counted = np.zeros(len(a), np.int64)
+            if sure:
+                inside = rough < reach - slack
+                counted = np.count_nonzero(inside, axis=1)
+                maybe &= ~inside
+            at, nn = np.nonzero(maybe)
+            if dist in ("l2", "sql2"):
+                d = sum(libm_square(a[at, j] - p[nn, j]) for j in range(q.shape[1]))
+                d = np.sqrt(d) if dist == "l2" else d
+            else:
+                d = rough[at, nn]
+        ok = d <= reach[at, 0]
+        yield i, len(a), counted, at[ok], nn[ok], d[ok]
+
+
+def _within(df: DataFrame, features: tuple, index: str, r, dist: str, lists: bool, sort: bool = False) -> DataFrame:
+    """(index, neighbours) or (index, count): the points within r of each.
+
+    Cells of a grid as wide as the greatest radius are cut into blocks of queries; a block meets the points of the 3^d cells
+    around its own in one call, and gives its rows' whole results: no pairs are shuffled.
+    """
     if dist not in ("l1", "l2", "sql2", "inf"):
         raise ValueError(f"no radius search by {dist}")
-    width = math.sqrt(r) if dist == "sql2" else float(r)
+    own = isinstance(r, str | Column)
+    top = float((df.agg(F.max(dbl(r)).alias("m")).first().m or 0.0) if own else r)
+    width = math.sqrt(max(top, 0.0)) if dist == "sql2" else top
     width = width if width > 0 else 1.0
     dims = len(features)
-    grid = min(dims, 3)  # cells over the first dimensions are a necessary condition; the test below is exact
+    grid = min(dims, 3)  # cells over the first dimensions are a necessary condition; the test is exact
     names = [f"f{i}_" for i in range(dims)]
-    base = df.select(F.col(index).alias("id_"), *(finite(f).alias(n) for f, n in zip(features, names))).dropna(subset=names)
-    cell = [F.floor(F.col(n) / width).cast("long") for n in names[:grid]]
-    p = base.select(F.col("id_").alias("nn_"), *(F.col(n).alias(f"p{n}") for n in names), *(c.alias(f"c{i}_") for i, c in enumerate(cell)))
+    base = df.select(F.col(index).alias("id_"), *(finite(f).alias(n) for f, n in zip(features, names)), (dbl(r) if own else F.lit(top)).alias("r_")).dropna(subset=names)
+    cells = [f"c{i}_" for i in range(grid)]
+    base = base.withColumns({c: F.floor(F.col(n) / width).cast("long") for c, n in zip(cells, names)})
+    counts = base.groupBy(*cells).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts_"))
+    part = F.pmod(F.xxhash64("id_"), F.col("parts_")).cast("long")
+    # a row a block of queries and cell around it
     shifts = F.array(*(F.struct(*(F.lit(s).cast("long").alias(f"s{i}") for i, s in enumerate(c))) for c in itertools.product((-1, 0, 1), repeat=grid)))
-    q = base.withColumn("s_", F.explode(shifts)).select("id_", *names, *((c + F.col(f"s_.s{i}")).alias(f"c{i}_") for i, c in enumerate(cell)))
-    j = q.join(p, [f"c{i}_" for i in range(grid)])
-    diff = [F.col(n) - F.col(f"p{n}") for n in names]
-    if dist in ("l2", "sql2"):
-        s = total(d * d for d in diff)
-        d = F.sqrt(s) if dist == "l2" else s
-    elif dist == "l1":
-        d = total(F.abs(x) for x in diff)
-    else:
-        d = F.greatest(*(F.abs(x) for x in diff)) if dims > 1 else F.abs(diff[0])
-    return j.withColumn("d_", d).filter(F.col("d_") <= r).select("id_", "nn_", "d_")
+    reach = counts.withColumn("part_", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts_") - 1))).withColumn("s_", F.explode(shifts))
+    reach = reach.select(*((F.col(c) + F.col(f"s_.s{i}")).alias(c) for i, c in enumerate(cells)), F.struct("part_", *(F.col(c).alias(f"q{c}") for c in cells)).alias("block_"))
+    queries = base.join(counts, cells).select(F.struct(part.alias("part_"), *(F.col(c).alias(f"q{c}") for c in cells)).alias("block_"), F.lit(True).alias("query_"), "id_", *names, "r_")
+    points = base.join(reach, cells).select("block_", F.lit(False).alias("query_"), "id_", *names, "r_")
+    both = queries.unionByName(points).repartition(F.col("block_"))
+    placed = both.withColumn("place_", F.row_number().over(Window.partitionBy("block_").orderBy("query_", "id_"))).drop("block_")
+    kind = df.schema[index].dataType.simpleString()
+
+    def run(batches):
+        for t, first, sizes in groups.whole(batches):
+            for one in (t.slice(i, n) for i, n in zip(first.tolist(), sizes.tolist())):
+                asks = one.column("query_").to_numpy()
+                n = int((~asks).sum())  # points come first, in the order of their ids
+                ids, v = one.column("id_").combine_chunks(), np.column_stack([one.column(c).to_numpy() for c in names])
+                for i, m, counted, at, nn, d in _near(v[n:], v[:n], one.column("r_").to_numpy()[n:], dist, not lists):
+                    if sort and lists:
+                        o = np.lexsort((d, at))
+                        at, nn = at[o], nn[o]
+                    count = counted + np.bincount(at, minlength=m)
+                    q = ids.slice(n + i, m)
+                    if lists:
+                        found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), ids.take(pa.array(nn)))
+                        yield from pa.table([q, found], names=[index, "neighbours"]).to_batches(256)
+                    else:
+                        yield pa.RecordBatch.from_arrays([q, pa.array(count)], names=[index, "count"])
+
+    return placed.mapInArrow(run, f"`{index}` {kind}, " + (f"neighbours array<{kind}>" if lists else "count long"))
 
 
 def query_radius_ptwise(df: DataFrame, *features, index: str, r: float, dist: str = "sql2", sort: bool = True) -> DataFrame:
-    """(index, neighbours): ids within r, itself too, nearest first."""
-    x = F.collect_list(F.struct("d_", "nn_"))
-    return _within(df, features, index, r, dist).groupBy(F.col("id_").alias(index)).agg(F.transform(F.array_sort(x) if sort else x, lambda s: s["nn_"]).alias("neighbours"))
+    """(index, neighbours): ids within r, itself too, nearest first, ties by id."""
+    return _within(df, features, index, r, dist, True, sort).filter(F.size("neighbours") > 0)
 
 
 def query_radius_ptwise_null_safe(df: DataFrame, *features, index: str, r: float, dist: str = "sql2", sort: bool = True) -> DataFrame:
     """As before, and null for rows with a value that is null or not finite."""
-    return df.select(index).join(query_radius_ptwise(df, *features, index=index, r=r, dist=dist, sort=sort), index, "left")
+    found = query_radius_ptwise(df, *features, index=index, r=r, dist=dist, sort=sort)
+    odd = df.filter(reduce(lambda a, b: a | b, (finite(f).isNull() for f in features)) if r >= 0 else F.lit(True))
+    return found.unionByName(odd.select(index, F.lit(None).cast(found.schema["neighbours"].dataType).alias("neighbours")))
 
 
 def query_radius_freq_cnt(df: DataFrame, *features, index: str, r: float, dist: str = "sql2") -> DataFrame:
-    return _within(df, features, index, r, dist).groupBy(F.col("nn_").alias(index)).agg(F.count(F.lit(1)).alias("count"))
+    """Points that have the row within r: as many as the row has within r, since distances are the same both ways."""
+    return query_nb_cnt(df, *features, index=index, r=float(r), dist=dist)
 
 
 def query_nb_cnt(df: DataFrame, *features, index: str, r, dist: str = "sql2") -> DataFrame:
     """Neighbours within r, itself too; r may be a column with a radius for each row."""
-    if not isinstance(r, str | Column):
-        return _within(df, features, index, r, dist).groupBy(F.col("id_").alias(index)).agg(F.count(F.lit(1)).alias("count"))
-    top = df.agg(F.max(dbl(r)).alias("m")).first().m
-    own = df.select(F.col(index).alias("id_"), dbl(r).alias("r_"))
-    return _within(df, features, index, float(top or 0.0), dist).join(own, "id_").filter(F.col("d_") <= F.col("r_")).groupBy(F.col("id_").alias(index)).agg(F.count(F.lit(1)).alias("count"))
+    return _within(df, features, index, r, dist, False).filter("count > 0")

@@ -59,3 +59,39 @@ def test_rfft_query_stops_where_its_sql_does(spark, tmp_path):
     df.selectExpr("coalesce(g, 1L) AS l_orderkey", "i AS l_linenumber", "x AS l_quantity", "x AS l_extendedprice").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = QUERIES["rfft"](spark, str(tmp_path)).collect()
     assert sorted(r.i for r in got if r.l_orderkey == 0) == list(range(8)) and sorted(r.i for r in got if r.l_orderkey == 1) == [0, 1]
+
+
+def test_radius_near_ties(spark):
+    """Squares are rounded as the C library's pow does: points a bit apart in distance stand as in SQL."""
+    import math
+
+    from quarrystone.operators import knn
+
+    x = RNG.uniform(-11, 11, 200_000)
+    want = np.array([math.pow(v, 2.0) for v in x])
+    odd = np.flatnonzero(want != x * x)
+    assert len(odd) and (knn.libm_square(x) == want).all()
+    # b is as far along y as c is by x * x along x, and comes later in the id: only pow tells them apart
+    v, far = next((abs(float(x[i])), want[i]) for i in odd if want[i] < x[i] * x[i])
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 0.0, math.nextafter(float(v), 99)), (3, float(v), 0.0)], "id long, x double, y double")
+    assert knn.query_radius_ptwise(df, "x", "y", index="id", r=float(far)).filter("id = 1").first().neighbours == [1, 3]
+
+
+@pytest.mark.parametrize("dist", ["l1", "l2", "sql2", "inf"])
+def test_radius_against_all_pairs(spark, dist, monkeypatch):
+    from quarrystone.operators import knn
+
+    monkeypatch.setattr(knn, "BLOCK", 16)
+    monkeypatch.setattr(knn, "PAIRS", 512)
+    v = np.round(RNG.uniform(-2, 2, (300, 2)), 1)
+    v[7, 0], v[8, 1] = np.nan, np.inf
+    df = spark.createDataFrame([(f"p{i:03d}", float(a), float(b), float(i % 3) / 2) for i, (a, b) in enumerate(v)], "id string, x double, y double, r double")
+    d = knn._np_dist(v, v, dist)
+    lists = {r.id: r.neighbours for r in knn.query_radius_ptwise_null_safe(df, "x", "y", index="id", r=0.75, dist=dist).collect()}
+    counts = {r.id: r["count"] for r in knn.query_nb_cnt(df, "x", "y", index="id", r="r", dist=dist).collect()}
+    freq = {r.id: r["count"] for r in knn.query_radius_freq_cnt(df, "x", "y", index="id", r=0.75, dist=dist).collect()}
+    assert len(lists) == 300 and lists["p007"] is None and lists["p008"] is None and len(counts) == len(freq) == 298
+    for i in set(range(300)) - {7, 8}:
+        near = np.flatnonzero(d[i] <= 0.75)
+        assert lists[f"p{i:03d}"] == [f"p{j:03d}" for j in near[np.lexsort((near, d[i][near]))]] and freq[f"p{i:03d}"] == len(near)
+        assert counts[f"p{i:03d}"] == (d[i] <= (i % 3) / 2).sum()
