@@ -286,17 +286,101 @@ def query_approx_entropy(df: DataFrame, ts: str, m: int, filtering_level: float,
     return _kernel(df, [ts], order_by, by, lambda x: approx_entropy(x, m, filtering_level, scale_by_std), "value double")
 
 
+#: Points of a leaf of the tree of ``kth_distances``, and distances that it holds at once.
+LEAF, CELLS = 32, 1 << 22
+
+
+def _leaves(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """An order of the points whose 2 ** depth equal parts are the leaves of a tree of cuts at the widest dimension's median."""
+    n, depth = len(x), max(0, math.ceil(math.log2(max(len(x), 1) / LEAF)))
+    order = np.arange(n)
+    for level in range(depth):
+        edges = (np.arange((1 << level) + 1) * n) >> level
+        part = np.repeat(np.arange(1 << level), np.diff(edges))
+        v = x[order]
+        wide = (np.maximum.reduceat(v, edges[:-1]) - np.minimum.reduceat(v, edges[:-1])).argmax(axis=1)
+        order = order[np.lexsort((v[np.arange(n), wide[part]], part))]
+    return order, depth
+
+
+def kth_distances(x: np.ndarray, k: int, dist: str = "l2") -> np.ndarray:
+    """Each point's distance to the k-th nearest other point, exact: leaves of a tree meet only leaves that reach nearer than what is known."""
+    n, d = x.shape
+
+    def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        # the last axis last, as (..., d) would be summed up
+        out = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]))
+        for j in range(d):
+            diff = a[..., j] - b[..., j]
+            out = out + diff * diff if dist == "l2" else np.maximum(out, np.abs(diff))
+        return out
+
+    order, depth = _leaves(x)
+    # parts of one size: the last places of shorter leaves hold nothing
+    edges = (np.arange((1 << depth) + 1) * n) >> depth
+    sizes = np.diff(edges)
+    width = int(sizes.max())
+    place = np.arange(width)
+    full = place < sizes[:, None]
+    v = np.where(full[:, :, None], x[order][np.minimum(edges[:-1, None] + place, n - 1)], np.inf)
+    with np.errstate(invalid="ignore"):
+        # boxes of all nodes, by level from the leaves up
+        lo, hi = [v.min(axis=1)], [np.where(full[:, :, None], v, -np.inf).max(axis=1)]
+        while len(lo[-1]) > 1:
+            lo.append(np.minimum(lo[-1][::2], lo[-1][1::2]))
+            hi.append(np.maximum(hi[-1][::2], hi[-1][1::2]))
+        best = np.empty((len(v), width, k + 1))
+        step = max(1, CELLS // (width * width))
+        for i in range(0, len(v), step):
+            own = distances(v[i : i + step, :, None, :], v[i : i + step, None, :, :])
+            own[np.isnan(own)] = np.inf
+            if width <= k:
+                own = np.concatenate([own, np.full((*own.shape[:2], k + 1 - width), np.inf)], axis=2)
+            best[i : i + step] = np.sort(np.partition(own, k, axis=2)[:, :, : k + 1], axis=2)
+        far = np.where(full, best[:, :, k], -1.0).max(axis=1)
+        # leaves of queries go down the tree together, some at a time
+        for i in range(0, len(v), 4096):
+            q = np.arange(i, min(i + 4096, len(v)))
+            node = np.zeros(len(q), np.int64)
+            for level in range(depth - 1, -1, -1):
+                q, node = np.repeat(q, 2), np.repeat(2 * node, 2)
+                node[1::2] += 1
+                gap = np.maximum(np.maximum(lo[level][node] - hi[0][q], lo[0][q] - hi[level][node]), 0.0)
+                least = (gap * gap).sum(axis=1) if dist == "l2" else gap.max(axis=1)
+                reach = least * (1 - 1e-12) < far[q]
+                q, node = q[reach], node[reach]
+            other = q != node
+            q, node = q[other], node[other]
+            # nearest leaves first: a round takes the next leaf of every query
+            gap = np.maximum(np.maximum(lo[0][node] - hi[0][q], lo[0][q] - hi[0][node]), 0.0)
+            least = (gap * gap).sum(axis=1) if dist == "l2" else gap.max(axis=1)
+            o = np.lexsort((least, q))
+            q, node, least = q[o], node[o], least[o]
+            turn = np.arange(len(q)) - np.searchsorted(q, q)
+            by_turn = np.argsort(turn, kind="stable")
+            ends = np.searchsorted(turn[by_turn], np.arange(turn.max(initial=-1) + 2))
+            for a, b in zip(ends[:-1], ends[1:]):
+                at = by_turn[a:b]
+                at = at[least[at] * (1 - 1e-12) < far[q[at]]]
+                for c in range(0, len(at), step):
+                    qs, ps = q[at[c : c + step]], node[at[c : c + step]]
+                    got = distances(v[qs][:, :, None, :], v[ps][:, None, :, :])
+                    got[np.isnan(got)] = np.inf
+                    got = np.concatenate([best[qs], got], axis=2)
+                    best[qs] = np.sort(np.partition(got, k, axis=2)[:, :, : k + 1], axis=2)
+                    far[qs] = np.where(full[qs], best[qs, :, k], -1.0).max(axis=1)
+    out = np.empty(n)
+    out[order] = best[:, :, k][full]
+    return np.sqrt(out) if dist == "l2" else out
+
+
 def knn_entropy(x: np.ndarray, k: int = 3, dist: str = "l2") -> float:
     """Kozachenko and Leonenko's estimate; rows with a value that is not finite are left out."""
     x = x[np.isfinite(x).all(axis=1)]
     n, d = x.shape
     if n <= k:
         return NAN
-    far = np.empty(n)
-    for i in range(0, n, 256):
-        diff = x[i : i + 256, None, :] - x[None, :, :]
-        dd = np.sqrt((diff * diff).sum(-1)) if dist == "l2" else np.abs(diff).max(-1)
-        far[i : i + 256] = np.partition(dd, k, axis=1)[:, k]
+    far = kth_distances(x, k, dist)
     ball = d / 2 * math.log(math.pi) - math.lgamma(d / 2 + 1) if dist == "l2" else d * math.log(2)
     with np.errstate(divide="ignore"):
         return float(digamma(np.array([n]))[0] - digamma(np.array([k]))[0] + ball + d * np.log(far).mean())

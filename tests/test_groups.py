@@ -95,3 +95,25 @@ def test_radius_against_all_pairs(spark, dist, monkeypatch):
         near = np.flatnonzero(d[i] <= 0.75)
         assert lists[f"p{i:03d}"] == [f"p{j:03d}" for j in near[np.lexsort((near, d[i][near]))]] and freq[f"p{i:03d}"] == len(near)
         assert counts[f"p{i:03d}"] == (d[i] <= (i % 3) / 2).sum()
+
+
+@pytest.mark.parametrize("dist", ["l2", "inf"])
+def test_kth_distances(dist):
+    """The tree finds exactly the distances that all pairs give, ties and copies too."""
+    for n in (4, 33, 700):
+        for x in (RNG.normal(size=(n, 3)), np.round(RNG.normal(size=(n, 2)), 1), np.ones((n, 2)), RNG.normal(size=(n, 1))):
+            diff = np.abs(x[:, None, :] - x[None, :, :])
+            d = np.sqrt((diff * diff).sum(-1)) if dist == "l2" else diff.max(-1)
+            assert (ts.kth_distances(x, 3, dist) == np.sort(d, axis=1)[:, 3]).all()
+
+
+def test_kth_distances_meets_few_pairs(monkeypatch):
+    """Work grows with the points, not with their pairs."""
+    met = []
+    concatenate = np.concatenate
+    monkeypatch.setattr(ts.np, "concatenate", lambda parts, axis=0: (met.append(parts[-1].size), concatenate(parts, axis=axis))[1])
+    for n in (10_000, 40_000):
+        met.append(0)
+        ts.kth_distances(RNG.random((n, 2)), 3)
+        last, met[:] = sum(met), []
+        assert last < 600 * n
