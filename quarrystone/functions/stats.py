@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import special
+from ..core import groups, special
 from ..core.prefix import numbered, running, with_totals
 from ..core.col import NAN, dbl, finite, ieee_div, ieee_ln, ieee_sqrt, quantile, to_col
 
@@ -269,37 +270,65 @@ def bicor(df: DataFrame, x: str, y: str, c: float = 9.0) -> DataFrame:
     return d.agg(ieee_div(F.sum(F.col("a") * F.col("b")), ieee_sqrt(F.sum(F.col("a") * F.col("a"))) * ieee_sqrt(F.sum(F.col("b") * F.col("b")))).alias("statistic"))
 
 
-def kendall_tau(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
-    """Tau-b; pairs with a null or NaN are left out.  Each group is one task's work, n log n: give ``by`` for large tables."""
-    import numpy as np
+#: Rows of a group up to which Kendall's pairs are looked at one by one, for many groups of a size together; and pairs at once.
+PAIRED, PAIRS = 64, 1 << 21
+
+
+def _inversions(v: np.ndarray) -> int:
+    total, width, v = 0, 1, v.copy()
+    n = len(v)
+    while width < n:
+        for i in range(0, n - width, 2 * width):
+            a, b = v[i : i + width], v[i + width : i + 2 * width]
+            total += len(a) * len(b) - int(np.searchsorted(a, b, "right").sum())
+            v[i : i + 2 * width] = np.sort(v[i : i + 2 * width], kind="stable")
+        width *= 2
+    return total
+
+
+def _tau_of_many(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Tau-b of each row."""
+    n = x.shape[1]
+    i, j = np.triu_indices(n, 1)
+    out = np.empty(len(x))
+    step = max(1, PAIRS // max(len(i), 1))
+    sign = lambda a: (a[:, i] > a[:, j]).astype(np.int8) - (a[:, i] < a[:, j])
+    for at in range(0, len(x), step):
+        dx, dy = sign(x[at : at + step]), sign(y[at : at + step])
+        bottom = np.sqrt(np.count_nonzero(dx, axis=1).astype(float) * np.count_nonzero(dy, axis=1))
+        with np.errstate(invalid="ignore", divide="ignore"):
+            out[at : at + step] = np.where(bottom > 0, (dx * dy).sum(axis=1) / bottom, NAN)
+    return out
+
+
+def _tau(x: np.ndarray, y: np.ndarray) -> float:
+    """Tau-b of one long series, n log n."""
+    order = np.lexsort((y, x))
+    d = pd.DataFrame({"x": x[order], "y": y[order]})
+    n = len(d)
+    pairs = lambda c: float((c * (c - 1) // 2).sum())
+    n0, n1, n2 = n * (n - 1) / 2, pairs(d.groupby("x").size().to_numpy()), pairs(d.groupby("y").size().to_numpy())
+    n3 = pairs(d.groupby(["x", "y"]).size().to_numpy())
+    bottom = ((n0 - n1) * (n0 - n2)) ** 0.5
+    return (n0 - n1 - n2 + n3 - 2 * _inversions(d["y"].to_numpy(float))) / bottom if bottom else NAN
 
-    by = _by(by)
 
-    def count_inversions(v: np.ndarray) -> int:
-        total, width, v = 0, 1, v.copy()
-        n = len(v)
-        while width < n:
-            for i in range(0, n - width, 2 * width):
-                a, b = v[i : i + width], v[i + width : i + 2 * width]
-                total += len(a) * len(b) - int(np.searchsorted(a, b, "right").sum())
-                v[i : i + 2 * width] = np.sort(v[i : i + 2 * width], kind="stable")
-            width *= 2
-        return total
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = pdf.dropna(subset=["x", "y"]).sort_values(["x", "y"], kind="stable")
-        n = len(d)
-        pairs = lambda c: float((c * (c - 1) // 2).sum())
-        n0, n1, n2 = n * (n - 1) / 2, pairs(d.groupby("x").size().to_numpy()), pairs(d.groupby("y").size().to_numpy())
-        n3 = pairs(d.groupby(["x", "y"]).size().to_numpy())
-        discordant = count_inversions(d["y"].to_numpy(float))
-        bottom = ((n0 - n1) * (n0 - n2)) ** 0.5
-        tau = (n0 - n1 - n2 + n3 - 2 * discordant) / bottom if bottom else NAN
-        return pdf[by].head(1).assign(statistic=tau)
-
-    slim = df.select(*by, dbl(x).alias("x"), dbl(y).alias("y"))
-    kind = ", ".join([*(f"`{b}` {df.schema[b].dataType.simpleString()}" for b in by), "statistic double"])
-    return slim.groupBy(*by).applyInPandas(run, kind)
+def kendall_tau(df: DataFrame, x: str, y: str, by=None) -> DataFrame:
+    """Tau-b; pairs with a null or NaN are left out.  A group is one task's work, n log n: give ``by`` for large tables."""
+
+    def many(sizes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple:
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        ok = ~(np.isnan(x) | np.isnan(y))
+        x, y, sizes = x[ok], y[ok], np.bincount(group[ok], minlength=len(sizes))
+        out = np.full(len(sizes), NAN)
+        for n, at, rows in groups.same_size(sizes):
+            if 1 < n <= PAIRED:
+                out[at] = _tau_of_many(x[rows], y[rows])
+            elif n > PAIRED:
+                out[at] = [_tau(x[r], y[r]) for r in rows]
+        return np.ones(len(sizes), np.int64), out
+
+    return groups.kernel(df, [x, y], None, _by(by), many, "statistic double")
 
 
 def corr(df: DataFrame, x: str, y: str, method: str = "pearson", seed: int = 42) -> DataFrame:

@@ -117,3 +117,28 @@ def test_kth_distances_meets_few_pairs(monkeypatch):
         ts.kth_distances(RNG.random((n, 2)), 3)
         last, met[:] = sum(met), []
         assert last < 600 * n
+
+
+def test_kendall_groups(spark, monkeypatch):
+    """Groups of all sizes, ties, nulls and NaN; groups share calls, so that their number costs no call each."""
+    from quarrystone.functions import stats
+
+    rows = []
+    for g, n in enumerate([1, 2, 2, 3, 10, 64, 65, 300, *[7] * 50]):
+        rows += [(g, float(RNG.integers(0, 5)), float(RNG.integers(0, 40))) for _ in range(n)]
+    rows += [(4, None, 1.0), (4, 1.0, float("nan")), (900, None, 1.0), (5, float("inf"), 2.0), (5, float("inf"), 3.0)]
+    df = spark.createDataFrame(rows, "g long, x double, y double")
+    got = {r.g: r.statistic for r in stats.kendall_tau(df, "x", "y", by="g").collect()}
+    assert len(got) == 59 and np.isnan(got[0]) and np.isnan(got[900])
+    for g in got:
+        v = np.array([r[1:] for r in rows if r[0] == g], float)
+        v = v[~np.isnan(v).any(axis=1)]
+        sx, sy = (np.sign(np.greater.outer(c, c).astype(int) - np.less.outer(c, c)) for c in v.T)
+        bottom = np.sqrt(float((sx != 0).sum()) * (sy != 0).sum())
+        assert np.isnan(got[g]) if not bottom else got[g] == pytest.approx((sx * sy).sum() / bottom)
+    calls = []
+    monkeypatch.setattr(groups, "kernel", lambda df, cols, order, by, f, kind: calls.append(f))
+    stats.kendall_tau(df, "x", "y", by="g")
+    monkeypatch.setattr(stats, "_tau", lambda x, y: pytest.fail("a small group by itself"))
+    sizes, out = calls[0](np.full(100, 9), RNG.random(900), RNG.random(900))
+    assert len(out) == 100 and (sizes == 1).all()
