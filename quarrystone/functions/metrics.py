@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core.prefix import numbered, running, series, with_totals
+from ..core.prefix import running, series, with_totals
 from ..core.col import INF, NAN, dbl, ieee_div, ieee_sqrt, quantile, to_col
 from .num import xlogy
 
@@ -176,15 +178,54 @@ def query_mase(df: DataFrame, actual, pred, train: str, order_by, freq: int = 1,
     return d.withColumn("naive", step).filter(own).groupBy(*by).agg(ieee_div(pick(F.abs(dbl(actual) - dbl(pred))), pick(F.col("naive"))).alias("mase"))
 
 
+#: Ranks whose discounts are added up one by one; further ones go by the integral, with corrections below the last bit.
+FIRST_RANKS = 4096
+
+
+def discounts(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The sum of 1 / ln(i + 1) over the ranks i from begin + 1 to end."""
+    begin, end = np.asarray(begin, float), np.asarray(end, float)
+    upto = np.append(0.0, np.cumsum(1 / np.log(np.arange(1, FIRST_RANKS + 1) + 1.0)))
+    low = upto[np.minimum(end, FIRST_RANKS).astype(int)] - upto[np.minimum(begin, FIRST_RANKS).astype(int)]
+    a, b = np.maximum(begin, FIRST_RANKS), np.maximum(end, FIRST_RANKS)
+    out, many = low.copy(), np.flatnonzero(b - a > 32)
+    few = np.flatnonzero((b > a) & (b - a <= 32))
+    if len(few):
+        i = a[few, None] + np.arange(1, 33)
+        out[few] += np.where(i <= b[few, None], 1 / np.log(i + 1), 0.0).sum(axis=1)
+    if len(many):
+        # Euler and Maclaurin: the integral over ln(x + 1), in pieces of ln 2 at most, and what its ends leave over
+        a, b = a[many], b[many]
+        lo, hi = np.log(a + 2), np.log(b + 1)
+        nodes, weights = np.polynomial.legendre.leggauss(20)
+        pieces = int(np.ceil((hi - lo).max() / math.log(2))) or 1
+        total = np.zeros(len(a))
+        for p in range(pieces):
+            h = (hi - lo) / (2 * pieces)
+            u = lo[:, None] + h[:, None] * (2 * p + 1 + nodes)
+            total += h * ((np.exp(u) / u) * weights).sum(axis=1)
+        f = lambda u: 1 / u
+        df = lambda u: -np.exp(-u) / u**2
+        d3f = lambda u: -np.exp(-3 * u) * (2 / u**2 + 6 / u**3 + 6 / u**4)
+        out[many] += total + (f(lo) + f(hi)) / 2 + (df(hi) - df(lo)) / 12 - (d3f(hi) - d3f(lo)) / 720
+    return out
+
+
 def _discounted(df: DataFrame, y: str, score: str, log_base: float, k: int | None, ignore_ties: bool, by: list[str], name: str) -> DataFrame:
+    """Rows of equal score (and gain, where ties are ignored) are one: they hold a run of ranks, whose discounts are summed in closed form."""
+
+    @F.pandas_udf("double")
+    def summed(begin: pd.Series, end: pd.Series) -> pd.Series:
+        return pd.Series(discounts(begin.to_numpy(), end.to_numpy()))
+
     slim = df.select(*by, dbl(y).alias("y"), F.coalesce(dbl(score), F.lit(-INF)).alias("s"))
-    ranked = numbered(slim, "s", "i", by, descending=True, ties=[F.desc("y") if ignore_ties else F.asc("y")])
-    w = math.log(log_base) / F.log(F.col("i") + 1.0)
-    ranked = ranked.withColumn("w", F.when(F.col("i") <= k, w).otherwise(0.0) if k else w)
-    if ignore_ties:
-        return ranked.groupBy(*by).agg(F.sum(F.col("y") * F.col("w")).alias(name))
-    ties = ranked.groupBy(*by, "s").agg((F.avg("y") * F.sum("w")).alias("gain_"))
-    return ties.groupBy(*by).agg(F.sum("gain_").alias(name))
+    ties = slim.groupBy(*by, "s", *(["y"] if ignore_ties else [])).agg(F.sum("y").alias("y_"), F.count("y").alias("gains_"), F.count(F.lit(1)).alias("n_"))
+    ranked = running(ties, "s", {"end_": "n_"}, by, descending=True, ties=[F.desc("y")] if ignore_ties else None)
+    begin, end = F.col("end_") - F.col("n_"), F.col("end_")
+    if k:
+        begin, end = F.least(begin, F.lit(k)), F.least(end, F.lit(k))
+    w = math.log(log_base) * F.when((F.col("n_") == 1) & (begin < end), 1 / F.log(end + 1.0)).when(begin < end, summed(begin, end)).otherwise(0.0)
+    return ranked.groupBy(*by).agg(F.sum(ieee_div("y_", "gains_") * w).alias(name))
 
 
 def query_dcg_score(df: DataFrame, y_true, y_score, log_base: float = 2.0, k: int | None = None, ignore_ties: bool = False, by=None) -> DataFrame:

@@ -142,3 +142,31 @@ def test_kendall_groups(spark, monkeypatch):
     monkeypatch.setattr(stats, "_tau", lambda x, y: pytest.fail("a small group by itself"))
     sizes, out = calls[0](np.full(100, 9), RNG.random(900), RNG.random(900))
     assert len(out) == 100 and (sizes == 1).all()
+
+
+def test_discounts():
+    from quarrystone.functions import metrics
+
+    upto = np.append(0.0, np.cumsum(1 / np.log(np.arange(1, 3_000_001) + 1.0)))
+    begin = np.array([0, 0, 3, 4090, 4095, 4096, 4096, 5000, 100_000, 0, 2_999_999, 7])
+    end = np.array([1, 4096, 3, 5000, 4097, 4100, 3_000_000, 5033, 2_000_000, 3_000_000, 3_000_000, 1_000_000])
+    assert np.allclose(metrics.discounts(begin, end), upto[end] - upto[begin], rtol=1e-11, atol=1e-9)
+
+
+@pytest.mark.parametrize("k", [None, 7])
+@pytest.mark.parametrize("ignore_ties", [False, True])
+def test_dcg_rows(spark, k, ignore_ties, monkeypatch):
+    """Against the ranks of single rows; and only distinct scores are ordered, so that a large group is no task's to sort."""
+    from quarrystone.functions import metrics
+
+    rows = [(g, float(RNG.integers(0, 4)), float(RNG.integers(0, 6)) if i % 5 else None) for g in range(3) for i in range(40)] + [(0, None, 2.0), (3, None, 1.0)]
+    df = spark.createDataFrame(rows, "g long, y double, s double")
+    sizes, running = [], metrics.running
+    monkeypatch.setattr(metrics, "running", lambda d, *a, **o: (sizes.append(d.count()), running(d, *a, **o))[1])
+    got = {r.g: r.dcg for r in metrics.query_dcg_score(df, "y", "s", k=k, ignore_ties=ignore_ties, by="g").collect()}
+    assert sizes[0] <= 3 * 7 * 5 + 2
+    for g in range(3):
+        v = sorted(((-1.0 if s is None else s, -9.0 if y is None else y) for h, y, s in rows if h == g), reverse=True)
+        w = [1 / np.log2(i + 2) if not k or i < k else 0.0 for i in range(len(v))]
+        gain = [y if ignore_ties else np.mean([b for a, b in v if a == s and b >= 0]) for s, y in v]
+        assert got[g] == pytest.approx(sum(a * b for a, b in zip(gain, w) if a >= 0))
