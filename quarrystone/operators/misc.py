@@ -85,9 +85,27 @@ def sample(df: DataFrame, value: int | float, replace: bool = False, seed: int |
         n = round(df.count() * value)
     if n <= TOP_ROWS:
         return df.orderBy(_key(df, seed)).limit(n)
-    # too many for one task to hold: rows are numbered by their keys, range by range
-    keyed = numbered(df.withColumn("key_", _key(df, _random.randrange(1 << 31) if seed is None else seed)), "key_", "i_")
-    return keyed.filter(F.col("i_") <= n).drop("key_", "i_")
+    # too many for one task to hold: the greatest key that is drawn is found by counts, and no row is sorted
+    if df.count() <= n:
+        return df
+    keyed = df.withColumn("key_", _key(df, _random.randrange(1 << 31) if seed is None else seed))
+    open_, left, drawn = keyed, n, None
+    for shift in (48, 32, 16, 0):
+        part = F.shiftright("key_", shift)
+        # 2 ** 16 counts at most
+        counts = sorted((r.p, r.n) for r in open_.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())
+        at = 0
+        while counts[at][1] <= left and at + 1 < len(counts):
+            left -= counts[at][1]
+            at += 1
+        cut, here = counts[at]
+        below = open_.filter(part < cut)
+        drawn = below if drawn is None else drawn.unionByName(below)
+        open_ = open_.filter(part == cut)
+        if here <= TOP_ROWS:
+            break
+    # rows of one key are copies of each other
+    return drawn.unionByName(open_.orderBy("key_").limit(left) if here <= TOP_ROWS else open_.limit(left)).drop("key_")
 
 
 def volume_neutral(df: DataFrame, by: str, control=None, target_volume: int | None = None, seed: int | None = None) -> DataFrame:

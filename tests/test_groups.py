@@ -170,3 +170,18 @@ def test_dcg_rows(spark, k, ignore_ties, monkeypatch):
         w = [1 / np.log2(i + 2) if not k or i < k else 0.0 for i in range(len(v))]
         gain = [y if ignore_ties else np.mean([b for a, b in v if a == s and b >= 0]) for s, y in v]
         assert got[g] == pytest.approx(sum(a * b for a, b in zip(gain, w) if a >= 0))
+
+
+def test_sample_sorts_no_rows(spark, monkeypatch):
+    """The rows of the least keys, as many as asked for; all of them, if there are no more; copies too."""
+    from quarrystone.operators import misc
+
+    monkeypatch.setattr(misc, "TOP_ROWS", 50)
+    monkeypatch.setattr(misc, "numbered", lambda *a, **o: pytest.fail("rows are sorted"))
+    df = spark.range(2_000).select((F.col("id") % 700).alias("v"))
+    key = {r.v: r.k for r in df.select("v", F.xxhash64(F.lit(5), "v").alias("k")).distinct().collect()}
+    for n in (51, 700, 1_999):
+        got = sorted(key[r.v] for r in misc.sample(df, n, seed=5).collect())
+        assert got == sorted(key[i % 700] for i in range(2_000))[:n]
+    assert misc.sample(df, 10**9, seed=5).count() == 2_000
+    assert misc.sample(spark.range(300).select(F.lit(1).alias("v")), 120, seed=5).count() == 120
