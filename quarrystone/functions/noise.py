@@ -51,6 +51,15 @@ def add_noise(x, noise_type: str = "gaussian", **kwargs) -> Column:
     return jitter(x, **kwargs) if noise_type == "gaussian" else perturb(x, **kwargs)
 
 
+def _drawer(u: pd.Series) -> np.random.Generator:
+    """One generator for a batch, seeded by its draws: reruns over the same batches agree."""
+    return np.random.default_rng([len(u), *(int(x * 2**53) for x in u.iloc[[0, -1]])] if len(u) else 0)
+
+
+#: Characters that a batch draws at once.
+DRAWN = 1 << 22
+
+
 def random_str(min_size: int, max_size: int, seed: int | None = None) -> Column:
     """Letters and digits; the length is drawn too."""
     u, v = _u(seed), _u(None if seed is None else seed + 1)
@@ -59,8 +68,15 @@ def random_str(min_size: int, max_size: int, seed: int | None = None) -> Column:
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         import string
 
-        chars = np.array(list(string.ascii_letters + string.digits))
-        return pd.Series(["".join(np.random.default_rng(int(y * 2**53)).choice(chars, min_size + int(x * (max_size - min_size + 1)))) for x, y in zip(a, b)], dtype=object)
+        chars = np.frombuffer((string.ascii_letters + string.digits).encode(), np.uint8)
+        rng, out = _drawer(b), []
+        sizes = min_size + (a.to_numpy() * (max_size - min_size + 1)).astype(np.int64)
+        step = max(1, DRAWN // max(max_size, 1))
+        for i in range(0, len(sizes), step):
+            ends = np.cumsum(sizes[i : i + step])
+            text = chars[rng.integers(0, len(chars), int(ends[-1]))].tobytes().decode()
+            out += [text[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        return pd.Series(out, dtype=object)
 
     return run(u, v)
 
@@ -68,6 +84,6 @@ def random_str(min_size: int, max_size: int, seed: int | None = None) -> Column:
 def random_binomial(n: int, p: float, seed: int | None = None) -> Column:
     @F.pandas_udf("int")
     def run(a: pd.Series) -> pd.Series:
-        return pd.Series([np.random.default_rng(int(x * 2**53)).binomial(n, p) for x in a], dtype="int32")
+        return pd.Series(_drawer(a).binomial(n, p, len(a)), dtype="int32")
 
     return run(_u(seed))

@@ -185,3 +185,29 @@ def test_sample_sorts_no_rows(spark, monkeypatch):
         assert got == sorted(key[i % 700] for i in range(2_000))[:n]
     assert misc.sample(df, 10**9, seed=5).count() == 2_000
     assert misc.sample(spark.range(300).select(F.lit(1).alias("v")), 120, seed=5).count() == 120
+
+
+def test_random_str_and_binomial(spark, monkeypatch):
+    """One generator a batch, all letters equally often, reruns agree."""
+    from quarrystone.functions import noise
+
+    df = spark.range(0, 20_000, 1, 3)
+    cols = [noise.random_str(3, 6, 5).alias("s"), noise.random_binomial(10, 0.3, 6).alias("b")]
+    got, again = df.select(*cols).collect(), df.select(*cols).collect()
+    assert got == again and {len(r.s) for r in got} == {3, 4, 5, 6} and len({r.s for r in got}) > 15_000
+    letters = np.unique(list("".join(r.s for r in got)), return_counts=True)[1]
+    assert len(letters) == 62 and letters.min() > 0.85 * letters.mean() and letters.max() < 1.15 * letters.mean()
+    assert np.mean([r.b for r in got]) == pytest.approx(3, abs=0.05) and np.var([r.b for r in got]) == pytest.approx(2.1, abs=0.1)
+    assert df.select(noise.random_str(0, 0, 1).alias("s")).distinct().collect()[0].s == ""
+    seen, make = [], np.random.default_rng
+    monkeypatch.setattr(np.random, "default_rng", lambda *a: (seen.append(a), make(*a))[1])
+    import pandas as pd
+
+    for c in cols:
+        u = pd.Series(make(1).random(5_000))
+        f = noise.random_str if c is cols[0] else noise.random_binomial
+        kept = []
+        monkeypatch.setattr(noise.F, "pandas_udf", lambda kind: lambda g: (kept.append(g), lambda *x: None)[1])
+        f(*((3, 6) if c is cols[0] else (10, 0.3)), 1)
+        assert len(kept[0](*[u] * (2 if c is cols[0] else 1))) == 5_000
+    assert len(seen) == 2
