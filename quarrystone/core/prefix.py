@@ -6,12 +6,13 @@ is a second, small aggregate, a row a range.  Bounds of the ranges come from a b
 
 from __future__ import annotations
 
+import bisect
 import math
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from .col import to_col
+from .col import finite, to_col
 
 #: Ranges, at most (their bounds are literals of an expression), and rows of the sample for each.
 RANGES, SAMPLED = 128, 16
@@ -85,6 +86,41 @@ def with_totals(df: DataFrame, sums: dict[str, str], by: list[str] | None = None
     return df.crossJoin(F.broadcast(df.agg(*(F.sum(c).alias(new) for new, c in sums.items()))))  # one row
 
 
+def exact_quantile(df: DataFrame, x, q: float) -> float | None:
+    """The quantile of the finite values of x, linear between two of them, as ``percentile`` gives it; no task holds all values.
+
+    Counts of distinct values are dealt to ranges; only the range that holds the place is looked into.
+    """
+    values = df.select(finite(x).alias("v")).filter("v IS NOT NULL").groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    n = values.agg(F.sum("n")).first()[0]
+    if not n:
+        return None
+    at = q * (n - 1)
+    lower, upper, before = math.floor(at), math.ceil(at), 0
+    while True:
+        part = range_column(values, "v", RANGES)
+        rows = values.groupBy(part.alias("p")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("d"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("p").collect()
+        i = 0
+        while before + rows[i].n <= lower:
+            before += rows[i].n
+            i += 1
+        r = rows[i]
+        if upper >= before + r.n:  # the last value of one range, and the first of the next
+            found = r.hi, rows[i + 1].lo
+        elif r.d == 1:
+            found = r.lo, r.lo
+        else:
+            values = values.filter(F.col("v").between(r.lo, r.hi))
+            if r.d > FEW:
+                continue
+            ends, sorted_ = [], sorted(values.collect())
+            for row in sorted_:
+                before += row.n
+                ends.append(before)
+            found = tuple(sorted_[bisect.bisect_right(ends, k)].v for k in (lower, upper))
+        return found[0] if found[0] == found[1] else (upper - at) * found[0] + (at - lower) * found[1]
+
+
 def _free(taken: set[str], name: str) -> str:
     while name.lower() in taken:
         name = f"{name}_"

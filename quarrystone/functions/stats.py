@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..core import groups, special
-from ..core.prefix import numbered, running, with_totals
+from ..core.prefix import exact_quantile, numbered, running, with_totals
 from ..core.col import NAN, dbl, finite, ieee_div, ieee_ln, ieee_sqrt, quantile, to_col
 
 TEST = "struct<statistic: double, pvalue: double>"
@@ -259,8 +259,9 @@ def xi_corr(df: DataFrame, x: str, y: str, seed: int = 42, return_p: bool = Fals
 def bicor(df: DataFrame, x: str, y: str, c: float = 9.0) -> DataFrame:
     """Biweight midcorrelation."""
     d = df.select(dbl(x).alias("x"), dbl(y).alias("y")).filter("x IS NOT NULL AND y IS NOT NULL")
-    d = d.crossJoin(F.broadcast(d.agg(quantile("x", 0.5).alias("mx"), quantile("y", 0.5).alias("my"))))  # one row
-    d = d.crossJoin(F.broadcast(d.agg(quantile(F.abs(F.col("x") - F.col("mx")), 0.5).alias("dx"), quantile(F.abs(F.col("y") - F.col("my")), 0.5).alias("dy"))))
+    center = {v: F.lit(exact_quantile(d, v, 0.5)).cast("double") for v in "xy"}
+    d = d.withColumns({f"m{v}": c for v, c in center.items()})
+    d = d.withColumns({f"d{v}": F.lit(exact_quantile(d, F.abs(F.col(v) - c), 0.5)).cast("double") for v, c in center.items()})
 
     def part(v: str, m: str, s: str) -> Column:
         u = ieee_div(F.col(v) - F.col(m), c * F.col(s))

@@ -211,3 +211,30 @@ def test_random_str_and_binomial(spark, monkeypatch):
         f(*((3, 6) if c is cols[0] else (10, 0.3)), 1)
         assert len(kept[0](*[u] * (2 if c is cols[0] else 1))) == 5_000
     assert len(seen) == 2
+
+
+@pytest.mark.parametrize("few", [50_000, 3])
+def test_exact_quantile(spark, monkeypatch, few):
+    """percentile's value, for distinct and for tied values, while no more than a few are looked at together."""
+    from quarrystone.core import prefix
+
+    monkeypatch.setattr(prefix, "FEW", few)
+    monkeypatch.setattr(prefix, "RANGES", 4)
+    for v in (RNG.normal(size=301), RNG.integers(0, 3, 200), np.ones(5), np.array([1e300, -1e300]), np.array([2.5, np.nan, np.inf])):
+        df = spark.createDataFrame([(float(x),) for x in v] + [(None,)], "x double")
+        for q in (0.0, 0.25, 0.5, 0.73, 1.0):
+            assert prefix.exact_quantile(df, "x", q) == df.filter("abs(x) < double('inf')").selectExpr(f"percentile(x, {q}D)").first()[0]
+    assert prefix.exact_quantile(spark.createDataFrame([(None,)], "x double"), "x", 0.5) is None
+
+
+def test_bicor_gathers_no_values(spark, monkeypatch):
+    from quarrystone.functions import stats
+
+    monkeypatch.setattr(stats, "quantile", lambda *a: pytest.fail("percentile ships every value to one task"))
+    x = RNG.normal(size=400)
+    y = x + RNG.normal(size=400)
+    part = lambda v: (d := v - np.median(v)) * np.where(np.abs(u := d / (9 * np.median(np.abs(d)))) < 1, (1 - u * u) ** 2, 0)
+    a, b = part(x), part(y)
+    got = stats.bicor(spark.createDataFrame([(float(p), float(q)) for p, q in zip(x, y)], "x double, y double"), "x", "y").first().statistic
+    assert got == pytest.approx((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
+    assert stats.bicor(spark.createDataFrame([], "x double, y double"), "x", "y").first().statistic is None
