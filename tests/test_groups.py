@@ -238,3 +238,22 @@ def test_bicor_gathers_no_values(spark, monkeypatch):
     got = stats.bicor(spark.createDataFrame([(float(p), float(q)) for p, q in zip(x, y)], "x double, y double"), "x", "y").first().statistic
     assert got == pytest.approx((a * b).sum() / np.sqrt((a * a).sum() * (b * b).sum()))
     assert stats.bicor(spark.createDataFrame([], "x double, y double"), "x", "y").first().statistic is None
+
+
+def test_finite_compiles_in_moments(spark):
+    """The generated code of the normal test stays below what the JVM compiles (8,000 bytes a method)."""
+    import re
+
+    from quarrystone.core.col import finite
+    from quarrystone.functions import stats
+
+    values = [1.5, float("nan"), float("inf"), float("-inf"), None, -0.0, 1.7e308]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert [r.v for r in df.select(finite("x").alias("v")).collect()] == [1.5, None, None, None, None, 0.0, 1.7e308]
+    d = spark.range(100).select((F.col("id") % 3).alias("g"), F.col("id").cast("double").alias("x"))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    plan = d.groupBy("g").agg(stats.normal_test("x").alias("s"))._jdf.queryExecution()
+    code = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils.explainString(plan, "codegen")
+    spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
+    assert sizes and max(sizes) < 8_000
