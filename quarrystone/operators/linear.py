@@ -139,6 +139,42 @@ def _solver(k: int, f):
     return run
 
 
+def _solved(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The solutions of many systems; where one is singular, its least squares of least norm."""
+    try:
+        return np.linalg.solve(a, b[:, :, None])[:, :, 0]
+    except np.linalg.LinAlgError:
+        if len(a) == 1:
+            return np.linalg.lstsq(a[0], b[0], rcond=None)[0][None]
+        half = len(a) // 2
+        return np.concatenate([_solved(a[:half], b[:half]), _solved(a[half:], b[half:])])
+
+
+def _window_solver(k: int, add_bias: bool, l2: float, least: int):
+    """A pandas UDF from the moments of windows to coefficients, a batch at once; null below ``least`` rows."""
+    t = k * (k + 1) // 2
+
+    @F.pandas_udf("array<double>")
+    def run(m: pd.Series) -> pd.Series:
+        out = np.full(len(m), None, object)
+        at = np.flatnonzero(m.notna().to_numpy())
+        if len(at):
+            rows = np.stack(m.to_numpy()[at]).astype(float)
+            enough = rows[:, t + k + 1] >= least
+            at, rows = at[enough], rows[enough]
+        if len(at):
+            i, j = np.triu_indices(k)
+            a = np.zeros((len(at), k, k))
+            a[:, i, j] = a[:, j, i] = rows[:, :t]
+            diagonal = np.arange(k - 1 if add_bias else k)
+            a[:, diagonal, diagonal] += l2
+            for n, got in zip(at.tolist(), _solved(a, rows[:, t : t + k])):
+                out[n] = got
+        return pd.Series(out)
+
+    return run
+
+
 def lin_reg(df: DataFrame, *x, target, add_bias: bool = False, weights=None, l1_reg: float = 0.0, l2_reg: float = 0.0, tol: float = 1e-5, solver: str = "qr", max_iter: int = 200, null_policy: str = "skip", positive: bool = False, singular_x_tol: float | None = None, by=None) -> DataFrame:
     """Coefficients, bias last, for each group; for a list of targets one column a target.
 
@@ -225,7 +261,7 @@ def _windowed(df: DataFrame, x: tuple, target, order_by, before: int | None, add
     d = d.withColumn("moments_", m)
     if not by and before is not None:
         d = d.filter(own)
-    run = _solver(k, lambda a, b, yy, cnt, sy: solve(a, b, cnt, add_bias=add_bias, l2=l2_reg) if cnt >= least else None)
+    run = _window_solver(k, add_bias, l2_reg, least)
     d = d.withColumn("coeffs", run("moments_")).drop(*gone)
     return d.withColumn("pred", total(F.get("coeffs", F.lit(i)) * v for i, v in enumerate(xs)))
 

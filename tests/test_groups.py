@@ -257,3 +257,26 @@ def test_finite_compiles_in_moments(spark):
     spark.conf.unset("spark.sql.adaptive.enabled")
     sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", code)]
     assert sizes and max(sizes) < 8_000
+
+
+def test_window_solver_takes_batches(spark, monkeypatch):
+    """The windows of a batch are solved together, singular ones by least squares."""
+    import pandas as pd
+
+    from quarrystone.operators import linear
+
+    a = RNG.normal(size=(200, 5, 2))
+    a[[3, 77], :, 1] = a[[3, 77], :, 0]
+    a[5] = 0
+    b = RNG.normal(size=(200, 5))
+    xx, xy = np.einsum("nij,nik->njk", a, a), np.einsum("nij,ni->nj", a, b)
+    xx[[3, 77]] = np.round(xx[[3, 77]])
+    rows = [np.array([x[0, 0], x[0, 1], x[1, 1], *y, 0.0, n, n, 0.0]) for x, y, n in zip(xx, xy, [5.0] * 199 + [4.0])]
+    kept, calls, solve = [], [], np.linalg.solve
+    monkeypatch.setattr(linear.F, "pandas_udf", lambda kind: lambda f: (kept.append(f), f)[1])
+    monkeypatch.setattr(np.linalg, "solve", lambda a, b: (calls.append(1), solve(a, b))[1])
+    run = linear._window_solver(2, False, 0.0, 5)
+    got = run(pd.Series([*rows, None], dtype=object))
+    assert got[199] is None and got[200] is None and len(calls) < 60
+    for i in range(199):
+        assert np.allclose(got[i], np.linalg.lstsq(xx[i], xy[i], rcond=None)[0], rtol=1e-6)
