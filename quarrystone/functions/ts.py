@@ -290,7 +290,7 @@ def query_approx_entropy(df: DataFrame, ts: str, m: int, filtering_level: float,
 LEAF, CELLS = 32, 1 << 22
 
 
-def _leaves(x: np.ndarray) -> tuple[np.ndarray, int]:
+def leaves(x: np.ndarray) -> tuple[np.ndarray, int]:
     """An order of the points whose 2 ** depth equal parts are the leaves of a tree of cuts at the widest dimension's median."""
     n, depth = len(x), max(0, math.ceil(math.log2(max(len(x), 1) / LEAF)))
     order = np.arange(n)
@@ -315,7 +315,7 @@ def kth_distances(x: np.ndarray, k: int, dist: str = "l2") -> np.ndarray:
             out = out + diff * diff if dist == "l2" else np.maximum(out, np.abs(diff))
         return out
 
-    order, depth = _leaves(x)
+    order, depth = leaves(x)
     # parts of one size: the last places of shorter leaves hold nothing
     edges = (np.arange((1 << depth) + 1) * n) >> depth
     sizes = np.diff(edges)

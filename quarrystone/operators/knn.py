@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..core import groups
 from ..core.col import INF, dbl, finite, ieee_div, total
+from ..functions.ts import leaves
 
 #: Rows of a block; leaves of the tree and points of the sample that it is made from, at most.
 BLOCK, LEAVES, SAMPLED = 4096, 1024, 20_000
@@ -234,6 +235,35 @@ def _near(q: np.ndarray, p: np.ndarray, r: np.ndarray, dist: str, sure: bool):
         yield i, len(a), counted, at[ok], nn[ok], d[ok]
 
 
+def _counted(q: np.ndarray, p: np.ndarray, r: np.ndarray, dist: str) -> np.ndarray:
+    """How many points lie within each query's r: leaves of points that lie wholly within are counted, those wholly outside left, and only the others' points met."""
+    out = np.zeros(len(q), np.int64)
+    if not len(q) or not len(p):
+        return out
+
+    def boxes(x: np.ndarray) -> tuple:
+        order, depth = leaves(x)
+        edges = (np.arange((1 << depth) + 1) * len(x)) >> depth
+        v = x[order]
+        return order, edges, np.minimum.reduceat(v, edges[:-1]), np.maximum.reduceat(v, edges[:-1])
+
+    oq, eq, lq, hq = boxes(q)
+    op, ep, lp, hp = boxes(p)
+    p, sizes = p[op], np.diff(ep)
+    norm = {"l1": lambda x: x.sum(axis=1), "inf": lambda x: x.max(axis=1), "sql2": lambda x: (x * x).sum(axis=1), "l2": lambda x: np.sqrt((x * x).sum(axis=1))}[dist]
+    for i in range(len(lq)):
+        at = oq[eq[i] : eq[i + 1]]
+        least = norm(np.maximum(np.maximum(lp - hq[i], lq[i] - hp), 0.0))
+        most = norm(np.maximum(hp - lq[i], hq[i] - lp))
+        low, high = r[at].min(), r[at].max()
+        inside = most < low - abs(low) * 1e-12
+        open_ = ~inside & (least <= high + abs(high) * 1e-12)
+        out[at] += int(sizes[inside].sum())
+        for j, m, counted, near, _, _ in _near(q[at], p[np.repeat(open_, sizes)], r[at], dist, True):
+            out[at[j : j + m]] += counted + np.bincount(near, minlength=m)
+    return out
+
+
 def _within(df: DataFrame, features: tuple, index: str, r, dist: str, lists: bool, sort: bool = False) -> DataFrame:
     """(index, neighbours) or (index, count): the points within r of each.
 
@@ -270,17 +300,17 @@ def _within(df: DataFrame, features: tuple, index: str, r, dist: str, lists: boo
                 asks = one.column("query_").to_numpy()
                 n = int((~asks).sum())  # points come first, in the order of their ids
                 ids, v = one.column("id_").combine_chunks(), np.column_stack([one.column(c).to_numpy() for c in names])
-                for i, m, counted, at, nn, d in _near(v[n:], v[:n], one.column("r_").to_numpy()[n:], dist, not lists):
-                    if sort and lists:
+                reach = one.column("r_").to_numpy()[n:]
+                if not lists:
+                    yield pa.RecordBatch.from_arrays([ids.slice(n), pa.array(_counted(v[n:], v[:n], reach, dist))], names=[index, "count"])
+                    continue
+                for i, m, _, at, nn, d in _near(v[n:], v[:n], reach, dist, False):
+                    if sort:
                         o = np.lexsort((d, at))
                         at, nn = at[o], nn[o]
-                    count = counted + np.bincount(at, minlength=m)
-                    q = ids.slice(n + i, m)
-                    if lists:
-                        found = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(count)), pa.int32()), ids.take(pa.array(nn)))
-                        yield from pa.table([q, found], names=[index, "neighbours"]).to_batches(256)
-                    else:
-                        yield pa.RecordBatch.from_arrays([q, pa.array(count)], names=[index, "count"])
+                    ends = np.append(0, np.cumsum(np.bincount(at, minlength=m)))
+                    found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids.take(pa.array(nn)))
+                    yield from pa.table([ids.slice(n + i, m), found], names=[index, "neighbours"]).to_batches(256)
 
     return placed.mapInArrow(run, f"`{index}` {kind}, " + (f"neighbours array<{kind}>" if lists else "count long"))
 

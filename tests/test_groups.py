@@ -280,3 +280,19 @@ def test_window_solver_takes_batches(spark, monkeypatch):
     assert got[199] is None and got[200] is None and len(calls) < 60
     for i in range(199):
         assert np.allclose(got[i], np.linalg.lstsq(xx[i], xy[i], rcond=None)[0], rtol=1e-6)
+
+
+@pytest.mark.parametrize("dist", ["l1", "l2", "sql2", "inf"])
+def test_counted_leaves(monkeypatch, dist):
+    """Counts are those of all pairs, and most pairs are counted by whole leaves."""
+    from quarrystone.operators import knn
+
+    met, near = [], knn._near
+    monkeypatch.setattr(knn, "_near", lambda q, p, *a: (met.append(len(q) * len(p)), near(q, p, *a))[1])
+    for p in (RNG.uniform(-2, 2, (3_000, 2)), np.round(RNG.uniform(-2, 2, (500, 2)), 1), np.ones((3, 1))):
+        r = np.round(RNG.uniform(0, 2, len(p)), 1)
+        assert (knn._counted(p, p, r, dist) == (knn._np_dist(p, p, dist) <= r[:, None]).sum(axis=1)).all()
+    met.clear()
+    p = RNG.uniform(-2, 2, (3_000, 2))
+    knn._counted(p, p, np.full(3_000, 0.8), dist)
+    assert sum(met) < 0.5 * 3_000**2
